@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, simhash, tokenfile, tokens
+from . import bpe, chat, decontam, licenses, pii, quality, simhash, tokenfile, tokens, toxicity
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -39,3 +39,38 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     rows = simhash.simhash_components(table(spark, sf_dir, "documents"), words=3, radius=2, blocks=3)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases of every document, and templates that a line of it contains."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of all conversations with their results, topological levels, problems and canonical records."""
+    calls, results = chat.conversation_calls(table(spark, sf_dir, "conversations"))
+    return chat.link_calls(calls, results, chat.SCHEMAS)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, its nearest examples, and whether its label was held out."""
+    rows = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    held_out = F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, false)").alias("held_out")
+    return rows.select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain and disguised personal data of every document."""
+    return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, rules and the model's verdict for every document."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_bpe_round_trip, op3_license_scan, op4_chat_formatting, op5_toxicity, op6_personal_data, op7_decontamination, op8_token_files, op9_simhash, op10_quality)
+}
+ORACLE_SQL = {"op3_license_scan": licenses.oracle(), "op4_chat_formatting": chat.ORACLE}
