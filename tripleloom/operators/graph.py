@@ -51,8 +51,8 @@ def attribute_triples(used: DataFrame, attributes: DataFrame) -> DataFrame:
 
 def build_kg(triples: DataFrame, signature: DataFrame, closed: DataFrame, labels: DataFrame, subclass: DataFrame, attributes: DataFrame) -> DataFrame:
     """The graph of the accepted triples with their individuals' types, labels and attributes, and the classes' axioms."""
-    accepted = gate(triples, signature, closed).filter("accepted").select("s", "p", "o")
-    used = used_individuals(accepted)
+    accepted = gate(triples, signature, closed).filter("accepted").select("s", "p", "o").persist()
+    used = used_individuals(accepted).persist()
     types = type_triples(used, closed)
     parts = [iri_triples(accepted), types, label_triples(used, labels), subclass_triples(types, subclass), attribute_triples(used, attributes)]
     return reduce(DataFrame.unionByName, parts).dropDuplicates()

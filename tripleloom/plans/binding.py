@@ -46,7 +46,7 @@ class Star:
     """The tables of one folder as ontology tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._made = spark, sf_dir, {}
         self.subclass = values(spark, SUBCLASSES, "child", "parent")
         self.classes = values(spark, [(c,) for c in CLASSES], "name")
         self.signature = values(spark, SIGNATURES, "p", "domain", "range")
@@ -58,6 +58,12 @@ class Star:
         self.comments = values(spark, [(c,) for c in COMMENTS], "name")
         self.priority = values(spark, PRIORITY, "cls", "rank", "coarse")
 
+    def once(self, name: str, make) -> DataFrame:
+        """A table that several steps of one query use."""
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ WORDS = "lower(trim(regexp_replace(replace(regexp_replace({0}, '([a-z0-9])([A-Z]
 
 
 def closed(star: Star) -> DataFrame:
-    return onto.type_closure(star.individuals(), onto.closure(star.subclass), star.classes)
+    return star.once("closed", lambda: onto.type_closure(star.individuals(), onto.closure(star.subclass), star.classes))
 
 
 def names(star: Star) -> DataFrame:
