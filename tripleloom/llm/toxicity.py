@@ -23,9 +23,13 @@ from .common import map_texts, saved, session_of
 
 #: Labelled rows used as examples at most (by a hash of doc_id), and terms in the vocabulary at most: they bound
 #: what is collected and broadcast.
-EXAMPLES, TERMS = 20_000, 512
+EXAMPLES, TERMS = 20_000, 1024
 #: A term is chosen if its log-likelihood ratio for the labels is at least this and it is in so many examples.
 LEAST_RATIO, LEAST_ROWS = 20.0, 4
+#: Rows with a chosen term must have label 1 at least in this share, and so many times as often as all rows.
+LEAST_SHARE, LEAST_LIFT = 0.3, 2.0
+#: Examples whose leave-one-out votes calibrate the scores, at most.
+CALIBRATION = 4000
 NEIGHBOURS, BLOCK = 25, 64
 #: Weight of the share of label 1 among all examples in each vote.
 PRIOR_WEIGHT = 0.5
@@ -127,14 +131,16 @@ class Index:
         """Logistic scaling of leave-one-out votes, by Newton steps with a mild pull to the votes themselves."""
         if not rows:
             return
-        votes = np.array([self.vote(self.nearest(c, i)) for i, c in enumerate(rows)])
+        some = list(range(0, len(rows), -(-len(rows) // CALIBRATION)))
+        votes = np.array([self.vote(self.nearest(rows[i], i)) for i in some])
+        labels = self.labels[some]
         x = np.clip(votes, 1e-4, 1 - 1e-4)
         x = np.log(x / (1 - x))
         design = np.stack([np.ones_like(x), x], 1)
         w, pull = np.array([0.0, 1.0]), 1.0
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-            gradient = design.T @ (p - self.labels) + pull * (w - [0.0, 1.0])
+            gradient = design.T @ (p - labels) + pull * (w - [0.0, 1.0])
             w = w - np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + pull * np.eye(2), gradient)
         if w[1] > 0:
             self.scale = (float(w[0]), float(w[1]))
@@ -173,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = EXAMPLES) -> Index:
     found = (
         map_texts(train.withColumn("toxic", (F.col("toxic") > 0).cast("int")), ["toxic"], "found array<struct<term:binary,y:int,n:bigint>>", present)
         .select(F.inline("found")).groupBy("term").agg(F.sum(F.col("n") * F.col("y")).alias("a"), F.sum(F.col("n") * (1 - F.col("y"))).alias("b"))
-        .filter(F.col("a") + F.col("b") >= LEAST_ROWS)
+        .filter(F.col("a") + F.col("b") >= LEAST_ROWS).filter(F.col("a") >= max(LEAST_SHARE, LEAST_LIFT * min(0.4, n1 / max(1, n1 + n0))) * (F.col("a") + F.col("b")))
     )
     share = n1 / max(1, n1 + n0)
     apart = F.abs(F.col("a") - share * (F.col("a") + F.col("b"))) / F.sqrt((F.col("a") + F.col("b")) * share * (1 - share) + 1e-9)
@@ -217,7 +223,7 @@ def scores(docs: DataFrame, labels: DataFrame, keep: list[str] = ["doc_id"]) ->
 
     def each(texts, _):
         i = index.value
-        memo = cache.setdefault("m", Memo(i.score, 100_000))
+        memo = cache.setdefault("m", Memo(i.score, 20_000))
         found = [memo[c] for c in select_counts(texts, i.terms)]
         return [pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
 
