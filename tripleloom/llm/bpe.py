@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 #: Distinct words whose encoding a Python worker keeps (two generations of it, so memory is bounded).
-KEEP_WORDS = 300_000
+KEEP_WORDS = 100_000
 #: The same for words with their marks and capitals.
-KEEP_CHUNKS = 150_000
+KEEP_CHUNKS = 60_000
 #: Blanks of Python's str.split that Unicode does not call white space.
 ODD_BLANKS = re.compile("[\x1c-\x1f]")
 WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -83,7 +83,7 @@ class MergeEncoder:
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         self.lowers = "Lowercase" in json.dumps(spec.get("normalizer"))
         self.pieces = Memo(self.piece)
-        self.words = Memo(self.word)
+        self.words = Memo(self.word, KEEP_CHUNKS)
         self.decimal = Memo(lambda chunk: self.render(chunk, 1), KEEP_CHUNKS)
         self.text = Memo(lambda chunk: self.render(chunk, 2), KEEP_CHUNKS)
 
