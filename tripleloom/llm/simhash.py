@@ -254,7 +254,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     roots = components(place.mapInArrow(verify, "a bigint, b bigint"))
     groups = rows.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("r"))
-    best = best.select(F.col("r.doc_id").alias("_doc"), F.col("r.copy").alias("_copy"))
-    kept = docs.withColumn("_mark", F.struct(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64("text").alias("c")))
-    kept = kept.join(best, kept["_mark.d"].eqNullSafe(best["_doc"]) & (kept["_mark.c"] == best["_copy"]), "left_semi")
-    return kept.dropDuplicates(["_mark"]).drop("_mark")
+    mark = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("-")), "_copy")
+    best = best.select("r.doc_id", F.col("r.copy").alias("_copy")).select(mark.alias("_mark"))
+    # one exchange of the documents serves the join and the removal of repeated rows
+    kept = docs.withColumn("_copy", F.xxhash64("text")).withColumn("_mark", mark).drop("_copy")
+    return kept.join(best, "_mark", "left_semi").dropDuplicates(["_mark"]).drop("_mark")
