@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import ODD_BLANKS, WHITE, Memo
+from .bpe import ODD_BLANKS, PLAIN_WORD, WHITE, Memo
 from .common import new_folder, session_of, text_or_empty
 from .tokens import library
 
@@ -111,15 +111,23 @@ class TokenFile:
 
 class WordBytes:
     """Ids of words as bytes, from the library, cached word by word. The vocabulary drops white space, so a text's
-    ids are those of its stretches without white space, one after another."""
+    ids are those of its stretches without white space, one after another; a plain word and the marks behind it are pre-tokens
+    of their own, so that the library sees each of them once whatever its capitals and marks."""
 
     def __init__(self, path: str):
         self.library = library(path)
-        self.memo = Memo(self.encode)
+        self.pieces = Memo(self.encode)
+        self.memo = Memo(self.word)
 
     def encode(self, chunk: str) -> bytes:
         return np.array(self.library.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, chunk: str) -> bytes:
+        if self.library.lowers and (m := PLAIN_WORD.fullmatch(chunk)):
+            word, tail = m.groups()
+            return (self.pieces[word.lower()] if word else b"") + (self.pieces[tail] if tail else b"")
+        return self.pieces[chunk]
+
     def __call__(self, text: str, end: bytes) -> bytes:
         if self.library.special.search(text):  # special tokens are found in the raw text
             return self.encode(text) + end
@@ -127,6 +135,16 @@ class WordBytes:
         return b"".join(map(self.memo.__getitem__, chunks)) + end
 
 
+_CODERS: dict[str, WordBytes] = {}
+
+
+def coder_of(path: str) -> WordBytes:
+    """One per Python process, so that its next task finds the words of the one before."""
+    if path not in _CODERS:
+        _CODERS[path] = WordBytes(path)
+    return _CODERS[path]
+
+
 def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | None = None, files: int | None = None) -> DataFrame:
     """Writes the ids of all rows' whole texts, `end_id` behind each, in ascending doc_id order over numbered files
     (nulls first; rows with the same id by text). Gives the manifest (shard, path, n_docs, n_ids).
@@ -146,7 +164,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        coder = WordBytes(path)
+        coder = coder_of(path)
         system, place = file_system(folder)
         system.create_dir(place, recursive=True)
         name = f"{place}/ids-{task.partitionId():06d}.zst"

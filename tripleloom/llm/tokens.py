@@ -34,7 +34,9 @@ class Library:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            added = [t["content"] for t in json.load(f).get("added_tokens", [])]
+            spec = json.load(f)
+        self.lowers = "Lowercase" in json.dumps(spec.get("normalizer"))
+        added = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
 
     def pieces(self, tokens: list[str]) -> list[int]:
