@@ -72,6 +72,15 @@ def test_token_files(spark, odd):
     assert set(found) == {7, 12}
 
 
+def test_plain_words_as_the_library_gives_them():
+    path, t = public_tokenizers.path("word_bpe_49k.json"), library("word_bpe_49k.json")
+    coder = tokenfile.WordBytes(path)
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("aeiostrnÉàçñßøÿÀþDS'.,!-"), rng.integers(1, 14))) for _ in range(3000)]
+    for w in [*words, " ".join(words), "Éclair naïve, garçon! don't"]:
+        assert coder(w, b"") == np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), w
+
+
 def test_damage_is_seen(tmp_path):
     import pyarrow as pa
 
