@@ -43,7 +43,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (op 9): five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates stays (in place of op 9): all pairs of five-word shingle sets at similarity 0.8 or more."""
     return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
 
 
@@ -91,7 +91,7 @@ STAGES = [
     ("personal_data", redaction),
     ("bpe_encoding", encoding),
 ]
-#: SQL has neither nearest examples nor bit-parallel edit distance nor merges; tests hold run() against brute force.
+#: SQL has neither nearest examples nor bit-parallel edit distance nor merges; tests hold the near-duplicate stage against brute force.
 ORACLE_SQL = None
 
 

@@ -246,6 +246,46 @@ def test_near_duplicates(spark):
     assert got == sorted([(1, "c"), (2, "c"), (None, "c")], key=repr)
 
 
+def kept_by_brute_force(rows, words=5, similarity=0.8):
+    """Ids left when every pair of shingle sets is compared."""
+    sets = {d: set(simhash.shingle_set(t, words).tolist()) for d, t in rows}
+    group = {d: d for d in sets}
+
+    def top(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and (not sets[a] | sets[b] or both and both >= similarity * len(sets[a] | sets[b])) and top(a) != top(b):
+                group[max(top(a), top(b))] = min(top(a), top(b))
+    return sorted(d for d in sets if top(d) == d)
+
+
+def edited(rng, words, share):
+    """A copy with one stretch replaced, so that about `share` of the five-word shingles stay common."""
+    n = len(words)
+    k = int(n * (1 - share) / (1 + share))
+    at = int(rng.integers(0, n - k))
+    return [*words[:at], *(f"x{rng.integers(1 << 40)}" for _ in range(k)), *words[at + k :]]
+
+
+def test_near_duplicates_are_all_found(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(60):  # near the threshold, on both sides
+        base = [f"g{g}w{rng.integers(400)}" for _ in range(150)]
+        rows += [base, edited(rng, base, 0.86), edited(rng, base, 0.82)]
+    texts = [(int(i), " ".join(w)) for i, w in zip(rng.permutation(len(rows)), rows, strict=True)]
+    got = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert got == kept_by_brute_force(texts)
+    small = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").dropDuplicates(["doc_id"]).collect() if r["doc_id"] is not None]
+    got = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(small, "doc_id long, text string")).collect())
+    assert got == kept_by_brute_force(small)
+
+
 def test_quality_rules(spark, odd):
     words = [f"w{i % 11}".encode() for i in range(60)]
     windows = {}

@@ -8,20 +8,26 @@ are dealt by a shuffle on their key; nothing that grows is broadcast.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, saved, shared_dir
+from .common import map_texts, saved, shared_dir, text_or_empty
 from .components import components
 
 SEED = 42
 #: Fingerprints in one tree at most; a larger shard goes by the exact search of `ball_links`.
 TREE = 4096
+#: Rows sampled for the order of shingles, and shingles ordered by it at most; the others go by their hashes.
+SAMPLE, ORDERED = 8192, 100_000
+#: Bits of the bitmap that marks the rows whose sets are needed.
+SPOTS = 1 << 23
 
 
 def fingerprint(words: list[bytes], size: int) -> int:
@@ -202,46 +208,48 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.sort(np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], "<u8"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 12, blocks: int = 8, choose: int = 2) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each group one row stays, that with the smallest doc_id.
-
-    Texts with equal shingle sets (case apart) are one text. Among different ones, candidates are fingerprints within
-    `radius` bits that agree on `choose` of `blocks` blocks, found by BK-trees: all pairs within blocks - choose bits meet, and most
-    of those up to the radius. In each shard a text is held against its nearest and its least neighbour; a pair is linked if the
-    Jaccard similarity of the shingle sets is at least `similarity`, exactly. Groups are the connected components.
-    Rows with null ids rank last; of fully equal rows one stays. Empty texts are one group. All columns stay."""
-    spark = docs.sparkSession
-    shared_dir(spark)
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of shingles that repeat in a sample of the rows. They only set the order in which shingles are
+    looked at: any order finds the same pairs."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
 
-    def marks(texts, _):
-        sets = [shingle_set(t, words) for t in texts]
-        keys = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets]
-        prints = [fingerprint(t.encode().lower().split(), 3) for t in texts]
-        return [pa.array(keys, pa.int64()), pa.array(prints, pa.int64())]
-
-    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("copy", F.xxhash64("text"))
-    rows = saved(map_texts(known, ["doc_id", "copy"], "key bigint, fp bigint", marks))
-    nodes = saved(rows.groupBy("key").agg(F.min("fp").alias("fp")))
-    links = saved(shard_links(nodes.select("fp").distinct(), radius, blocks, choose, every=False))
-    # candidates among different texts: ends of a link, and texts that share a fingerprint (each with the least)
-    least = nodes.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n"))
-    same = nodes.join(least.filter("n > 1"), "fp").filter("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
-    first = least.select("fp", "first")
-    across = (
-        links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
-        .join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    )
-    pairs = saved(same.union(across).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    chosen = rows.join(wanted, "key").groupBy("key").agg(F.min(F.struct("copy", "doc_id")).alias("r")).select("key", "r.copy", "r.doc_id")
-
-    def sets(texts, _):
-        return [pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary())]
-
-    one = known.join(chosen, (known["copy"] == chosen["copy"]) & known["doc_id"].eqNullSafe(chosen["doc_id"]), "inner").select("key", "text")
-    shingles = map_texts(one, ["key"], "shingles binary", sets).dropDuplicates(["key"])
-    place = pairs.join(shingles.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
-    place = place.join(shingles.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+    def each(texts, _):
+        return [pa.array([shingle_set(t, words).view("<i8") for t in texts], pa.list_(pa.int64()))]
+
+    found = map_texts(docs.sample(share, SEED), [], "found array<bigint>", each).select(F.explode("found").alias("h"))
+    rows = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(ORDERED).collect()
+    hashes, counts = np.array([r["h"] for r in rows], "<i8").view("<u8"), np.array([r["n"] for r in rows], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set, rarest first: two sets at the similarity or above share one of them at least."""
+    hashes, counts = common
+    n = np.zeros(len(found), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+        n = np.where(hashes[at] == found, counts[at], 0)
+    size = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
+    return found[np.lexsort((found, n))[:size]].view("<i8")
+
+
+def similar_links(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Links (a, b) whose components are those over all pairs of keys with a Jaccard similarity of at least `similarity`.
+
+    rows: key, size, prefix; sets(keys) gives (key, shingles). Keys that share a shingle of their prefixes are a list. First
+    every key of a list is held against the list's least and greatest key, so that a large group is joined by few
+    links. Then all pairs of a list that are not joined yet are counted: what two sets share is at most what their prefixes
+    share and the longer one of their rests, so a pair with less than it needs is no pair."""
+    posts = rows.dropDuplicates(["key"]).select("key", "size", F.explode("prefix").alias("shingle"))
+    posts = posts.withColumn("shingle", F.shiftright("shingle", 24))  # 40 bits are shorter on disk; an equal pair too many is checked later
+    lists = Window.partitionBy("shingle")
+    marked = posts.select("*", F.min("key").over(lists).alias("first"), F.max("key").over(lists).alias("last"))
+    shared = saved(marked.filter("first <> last"))
+
+    def enough(a, b, part=1.0):
+        rest = F.ceil(similarity * F.greatest(a, b) - 1e-9) - 1
+        return F.col("n") >= part * (similarity / (1 + similarity) * (a + b) - rest) - 1e-9
 
     def verify(batches):
         for b in batches:
@@ -251,8 +259,71 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
                 keep.append(both >= similarity * ((len(x) + len(y)) // 8 - both))
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    roots = components(place.mapInArrow(verify, "a bigint, b bigint"))
-    groups = rows.join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
+    def verified(pairs):
+        pairs = saved(pairs)
+        shingles = saved(sets(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+        place = pairs.join(shingles.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a")
+        place = place.join(shingles.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
+        return place.mapInArrow(verify, "a bigint, b bigint")
+
+    ends = shared.select(F.col("key").alias("a"), "size", F.explode(F.array("first", "last")).alias("b")).filter("a <> b")
+    ends = ends.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter(enough(F.col("size"), F.col("size"), 0.5))
+    joined = saved(components(verified(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())))
+    labelled = shared.drop("first", "last").join(joined, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
+    labelled = labelled.select("*", F.min("root").over(lists).alias("low"), F.max("root").over(lists).alias("high"))
+    left = saved(labelled.filter("low <> high").drop("low", "high"))
+    x = left.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("key", "root", "size")])
+    y = left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "size")])
+    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    pairs = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & (small >= similarity * large - 1e-9))
+    pairs = pairs.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "size_a", "size_b").agg(F.count("*").alias("n"))
+    pairs = pairs.filter(enough(F.col("size_a"), F.col("size_b"))).select("a", "b")
+    return joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(pairs))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each group one row stays, that with the smallest doc_id.
+
+    Texts with equal shingle sets (case apart) are one text. Two texts are linked if the Jaccard similarity of their shingle
+    sets is at least `similarity`; `similar_links` finds the groups exactly. Groups are the connected components.
+    Rows with null ids rank last; of fully equal rows one stays. Empty texts are one group. All columns stay."""
+    spark = docs.sparkSession
+    shared_dir(spark)
+    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("copy", F.xxhash64("text"))
+    common = spark.sparkContext.broadcast(common_shingles(known, words))
+
+    def marks(texts, _):
+        sets = [shingle_set(t, words) for t in texts]
+        keys = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets]
+        firsts = [prefix(s, common.value, similarity) for s in sets]
+        return [pa.array(keys, pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+
+    rows = saved(map_texts(known, ["doc_id", "copy"], "key bigint, size int, prefix array<bigint>", marks))
+
+    spot = F.pmod(F.xxhash64("copy", "doc_id"), F.lit(SPOTS))
+
+    def shingles(wanted):
+        # one row of each wanted key, marked in a bitmap of fixed size, so that no text is shuffled; rows marked by chance fall out later
+        chosen = rows.select("key", spot.alias("spot")).join(wanted, "key").groupBy("key").agg(F.min("spot").alias("spot"))
+        bits = chosen.groupBy(F.expr("bitmap_bucket_number(spot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(spot))").alias("bits"))
+        found = {r["bucket"]: bytes(r["bits"]) for r in bits.collect()}
+        held = spark.sparkContext.broadcast(found)
+
+        def each(batches):
+            for b in batches:
+                keys, out = [], []
+                for place, bit, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if place in held.value and held.value[place][bit >> 3] >> (bit & 7) & 1:
+                        s = shingle_set(text, words).tobytes()
+                        keys.append(xxhash.xxh64_intdigest(s, SEED) - (1 << 63))
+                        out.append(s)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["key", "shingles"])
+
+        places = known.select(spot.alias("spot"), text_or_empty().alias("text")).selectExpr("bitmap_bucket_number(spot) AS place", "bitmap_bit_position(spot) AS bit", "text")
+        return places.mapInArrow(each, "key bigint, shingles binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+
+    roots = components(similar_links(rows.select("key", "size", "prefix"), shingles, similarity))
+    groups = rows.drop("size", "prefix").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("r"))
     mark = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("-")), "_copy")
     best = best.select("r.doc_id", F.col("r.copy").alias("_copy")).select(mark.alias("_mark"))
