@@ -286,6 +286,23 @@ def test_near_duplicates_are_all_found(spark):
     assert got == kept_by_brute_force(small)
 
 
+def repeated_line(rng, repeats, pairs, others):
+    """(id, text): texts of one line repeated, each with a tail of its own; each of `pairs` has a near copy."""
+    line, out = [f"line{i}" for i in range(13)], []
+    for g in range(pairs + others):
+        tail = [f"t{rng.integers(1 << 40)}" for _ in range(60)]
+        out += [line * repeats + tail] + ([line * repeats + tail[:30] + ["new"] + tail[31:]] if g < pairs else [])
+    return [(int(i), " ".join(w)) for i, w in zip(rng.permutation(len(out)), out, strict=True)]
+
+
+def test_near_duplicates_with_many_close_fingerprints(spark):
+    texts = repeated_line(np.random.default_rng(8), 12, 20, 150)
+    fps = [simhash.fingerprint(t.encode().split(), 3) & (2**64 - 1) for _, t in texts]
+    assert np.median([sum((a ^ b).bit_count() <= 12 for b in fps) - 1 for a in fps]) > 2
+    got = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert got == kept_by_brute_force(texts) and len(got) == 170
+
+
 def test_quality_rules(spark, odd):
     words = [f"w{i % 11}".encode() for i in range(60)]
     windows = {}

@@ -100,8 +100,7 @@ def shard_links(fps: DataFrame, radius: int, blocks: int, choose: int, every: bo
     """Links (a, b) among distinct fingerprints (column fp), found shard by shard.
 
     every: links connect all members that are within the radius, by one link to each connected group before it; components
-    over them are those over all pairs. Else a member gives its nearest and its least member within
-    the radius, as candidates for a check. Shards of more than `tree` members go by `ball_links` or `piece_links`."""
+    over them are those over all pairs. Else a member gives all members within the radius. Shards of more than `tree` members go by `ball_links` or `piece_links`."""
     keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("bigint")) for m in masks(blocks, choose)]))
     members = fps.select("fp", keys.alias("mask", "key"))
     sizes = members.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -135,11 +134,9 @@ def shard_links(fps: DataFrame, radius: int, blocks: int, choose: int, every: bo
                         left.append(x)
                         right.append(v - (v >> 63 << 64))
                         group[max(other, own)] = min(other, own)
-            elif found:
-                signed = [(d, v - (v >> 63 << 64)) for d, v in found]
-                for v in {min(signed)[1], min(v for _, v in signed)}:
-                    left.append(x)
-                    right.append(v)
+            else:
+                left += [x] * len(found)
+                right += [v - (v >> 63 << 64) for _, v in found]
             bk.add(u)
 
     found = shards.select("fps").mapInArrow(search, "a bigint, b bigint")
@@ -150,7 +147,7 @@ def shard_links(fps: DataFrame, radius: int, blocks: int, choose: int, every: bo
 
 def piece_links(hot: DataFrame, radius: int, tree: int) -> DataFrame:
     """Links within oversized shards (mask, key, fp, n): each is cut into pieces with a tree of their own, and every member
-    searches all the trees of its shard, so memory stays bounded. A member gives its nearest and least find in each."""
+    searches all the trees of its shard, so memory stays bounded. A member gives all its finds."""
     pieces = F.ceil(F.col("n") / tree).cast("int")
     own = hot.select("mask", "key", F.pmod(F.xxhash64("fp"), pieces).cast("int").alias("piece"), F.lit(0).alias("asks"), "fp")
     asks = hot.select("mask", "key", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), F.lit(1).alias("asks"), "fp")
@@ -166,8 +163,8 @@ def piece_links(hot: DataFrame, radius: int, tree: int) -> DataFrame:
                 u = fp & 0xFFFFFFFFFFFFFFFF
                 if not ask:
                     bk.add(u)
-                elif found := [(d, v - (v >> 63 << 64)) for d, v in bk.search(u) if v != u]:
-                    for v in {min(found)[1], min(v for _, v in found)}:
+                else:
+                    for v in (v - (v >> 63 << 64) for _, v in bk.search(u) if v != u):
                         left.append(max(fp, v))
                         right.append(min(fp, v))
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
