@@ -303,6 +303,13 @@ def test_near_duplicates_with_many_close_fingerprints(spark):
     assert got == kept_by_brute_force(texts) and len(got) == 170
 
 
+def test_near_duplicates_that_share_a_fingerprint(spark):
+    texts = repeated_line(np.random.default_rng(9), 200, 5, 15)
+    assert len({simhash.fingerprint(t.encode().split(), 3) for _, t in texts}) == 1
+    got = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert got == kept_by_brute_force(texts) and len(got) == 20
+
+
 def test_quality_rules(spark, odd):
     words = [f"w{i % 11}".encode() for i in range(60)]
     windows = {}
