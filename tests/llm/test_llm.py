@@ -176,6 +176,12 @@ def test_disguises(text, kind, part):
     assert pii.redact(text) == text.replace(part, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize("part", ["5 5 5 oh 1 2 3 4 5 6", "plus 4 4 nine nine 1 2 3 4 5 6 7"])
+def test_numbers_with_one_spelled_word(part):
+    text = f"call {part} now"
+    assert pii.redact(text) == "call [PHONE] now"
+
+
 def test_edit_distance():
     def brute(p, t):
         row = list(range(len(p) + 1))

@@ -167,7 +167,7 @@ def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[
     far = not text.isascii() and FAR.search(text)
     dots = "dot" in low or "[.]" in low or "(.)" in low or "point" in low
     ats = any(h in low for h in AT_HINTS) and (dots or re.search(rf"\.(?:{LAST_LABELS})\b", low))
-    numbers = sum(w in low for w in SPELLED) >= 2 or (far is not None and far is not False)
+    numbers = any(w in low for w in SPELLED) or (far is not None and far is not False)
     if not (far or dots or ats or numbers):
         return []
     r = Rewritten(text)
