@@ -1,7 +1,8 @@
 """Byte-pair encoding: merge ranks in a priority queue over a doubly linked list of symbols.
 
-Reads the public tokenizer files for the `tokenizers` library (a vocabulary, ranked merges, optional
-normalizer and pre-tokenizer). The library normalises and splits text; merging and decoding are done here.
+Reads public files of the `tokenizers` library whose text handling is that of `WORD_TEXTS` below (composed, lower case, white
+space dropped, letters by the word, no decoder); any other file is refused. Merging and decoding are done here; the library
+normalises and splits texts with unusual characters.
 """
 
 from __future__ import annotations
@@ -11,22 +12,39 @@ import json
 import re
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-#: Distinct words whose encoding a Python worker keeps (two generations of it, so memory is bounded).
-KEEP_WORDS = 100_000
-#: The same for words with their marks and capitals.
-KEEP_CHUNKS = 60_000
+#: Distinct pre-tokens whose encoding a Python worker keeps (two generations of it, so memory is bounded).
+KEEP_WORDS = 300_000
 #: Blanks of Python's str.split that Unicode does not call white space.
 ODD_BLANKS = re.compile("[\x1c-\x1f]")
-WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
-#: A word and the marks behind it: lower-casing these letters needs no look at their neighbours, normalising
-#: leaves them alone, and the two parts are one pre-token each.
+WHITE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: The normalizer and the pre-tokenizer that this module knows.
+WORD_TEXTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
+#: Texts of these characters only are composed already, and lower-casing needs no look at a letter's neighbours.
+PLAIN_TEXT = re.compile(r"[\t-\r -~\x85\xa0À-ÖØ-öø-ÿ]*")
+#: The pre-tokens of such a text in lower case.
+PLAIN_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+
+
+def word_texts(spec: dict) -> bool:
+    """Whether a tokenizer file handles texts as `WORD_TEXTS` says."""
+    return all(spec.get(k) == v for k, v in WORD_TEXTS.items())
 
 
 class Memo(dict):
@@ -56,7 +74,7 @@ def byte_letters() -> list[str]:
 
 
 class MergeEncoder:
-    """Encodes words as the tokenizer file says. One per Python process; see `encoder`."""
+    """Encodes and decodes as the tokenizer file says. One per Python process; see `encoder`."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -64,6 +82,11 @@ class MergeEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+        odd += [k for k in ("decoder", "post_processor") if spec.get(k)]
+        odd += [f"{k} of an added token" for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+        if model.get("type") != "BPE" or odd or not word_texts(spec):
+            raise ValueError(f"{path}: not a tokenizer of the known kind ({', '.join(odd) or 'model, normalizer or pre_tokenizer'})")
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         self.letters = byte_letters()
@@ -81,11 +104,7 @@ class MergeEncoder:
         self.names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.specials.items()}
         library = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
-        self.lowers = "Lowercase" in json.dumps(spec.get("normalizer"))
-        self.pieces = Memo(self.piece)
-        self.words = Memo(self.word, KEEP_CHUNKS)
-        self.decimal = Memo(lambda chunk: self.render(chunk, 1), KEEP_CHUNKS)
-        self.text = Memo(lambda chunk: self.render(chunk, 2), KEEP_CHUNKS)
+        self.ids_of, self.forms_of = Memo(self.packed), Memo(self.forms)
 
     def merge(self, letters: str) -> list[int]:
         """The ids of one pre-token, given in byte letters."""
@@ -119,53 +138,49 @@ class MergeEncoder:
                 heappush(queue, r << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def piece(self, piece: str) -> tuple[tuple[int, ...], str, str]:
-        """Ids, decimal ids and decoded text of one pre-token, already normalised."""
-        letters = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
-        ids = self.merge(letters)
-        return tuple(ids), " ".join(map(str, ids)), self.decode(ids)
-
-    def pre_tokens(self, chunk: str) -> list[str]:
-        """The pre-tokens of a stretch without white space (and without special tokens)."""
-        if self.lowers and (m := PLAIN_WORD.fullmatch(chunk)):
-            word, tail = m.groups()
-            return [word.lower(), tail] if word and tail else [word.lower() or tail]
-        if self.normalizer:
-            chunk = self.normalizer.normalize_str(chunk)
-        return [chunk[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(chunk) if b > a]
-
-    def word(self, chunk: str) -> tuple[int, ...]:
-        """The ids of a stretch without white space."""
-        return tuple(x for p in self.pre_tokens(chunk) for x in self.pieces[p][0])
-
-    def render(self, chunk: str, form: int) -> str:
-        """Decimal ids (1) or decoded text (2) of a stretch without white space."""
-        return " ".join([self.pieces[p][form] for p in self.pre_tokens(chunk)])
-
-    def chunks(self, text: str) -> list[str]:
-        """White space parts pre-tokens and is dropped by the word vocabulary, so its stretches are independent."""
-        if ODD_BLANKS.search(text):
-            return [c for c in WHITE.split(text) if c]
-        return text.split()
-
-    def segments(self, text: str) -> list[tuple[str, int | None]]:
-        """Ordinary text and special tokens, in turn; the library finds specials in the raw text."""
-        out, at = [], 0
-        for m in self.special.finditer(text):
-            out += [(text[at : m.start()], None), (m[0], self.specials[m[0]])]
-            at = m.end()
-        return [*out, (text[at:], None)]
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part, special in self.segments(text):
-            if special is not None:
-                out.append(special)
+    def ids(self, token: str) -> list[int]:
+        """The ids of one pre-token, already normalised; of a special token its own."""
+        if token in self.specials:
+            return [self.specials[token]]
+        return self.merge(token if token.isascii() and token.isprintable() else "".join([self.letters[b] for b in token.encode()]))
+
+    def packed(self, token: str) -> bytes:
+        """The ids of a pre-token as 32-bit numbers."""
+        return np.array(self.ids(token), "<i4").tobytes()
+
+    def forms(self, token: str) -> tuple[str, str]:
+        """The decimal ids of a pre-token and what they decode to."""
+        ids = self.ids(token)
+        return " ".join(map(str, ids)), self.decode(ids)
+
+    def pre_tokens(self, text: str) -> list[str]:
+        """The pre-tokens of a text, normalised, with special tokens (which the library finds in the raw text) among them."""
+        if self.special.search(text):
+            out, at = [], 0
+            for m in self.special.finditer(text):
+                out += [*self.ordinary(text[at : m.start()]), m[0]]
+                at = m.end()
+            return out + self.ordinary(text[at:])
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> list[str]:
+        """The same for a text without special tokens. White space parts pre-tokens and is dropped, so that the stretches
+        between may be looked at one by one; only unusual ones go through the library."""
+        if PLAIN_TEXT.fullmatch(text):
+            return PLAIN_TOKEN.findall(text.lower())
+        out: list[str] = []
+        for chunk in WHITE.split(text) if ODD_BLANKS.search(text) else text.split():
+            if PLAIN_TEXT.fullmatch(chunk):
+                out += PLAIN_TOKEN.findall(chunk.lower())
             else:
-                for c in self.chunks(part):
-                    out += self.words[c]
+                chunk = self.normalizer.normalize_str(chunk)
+                out += [chunk[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(chunk) if b > a]
         return out
 
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        return np.frombuffer(b"".join(map(self.ids_of.__getitem__, self.pre_tokens(text))), "<i4")
+
     def decode(self, ids) -> str:
         """The vocabulary's strings one after another, joined as a file without a decoder asks for: by blanks."""
         names = self.names
@@ -173,17 +188,10 @@ class MergeEncoder:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the decimal ids, SHA-256 of the decoded text."""
-        decimal, decoded = [], []
-        for part, special in self.segments(text) if self.special.search(text) else [(text, None)]:
-            if special is not None:
-                decimal.append(str(special))
-                decoded.append(part)
-            elif chunks := self.chunks(part):
-                decimal += map(self.decimal.__getitem__, chunks)
-                decoded += map(self.text.__getitem__, chunks)
-        ids = " ".join(decimal)
+        found = list(map(self.forms_of.__getitem__, self.pre_tokens(text)))
+        ids, decoded = " ".join([f[0] for f in found]), " ".join([f[1] for f in found])
         n = ids.count(" ") + 1 if ids else 0
-        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(" ".join(decoded).encode()).hexdigest()
+        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 _ENCODERS: dict[str, MergeEncoder] = {}
@@ -201,7 +209,9 @@ def encode_table(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
     def each(texts, _):
         e = encoder(path)
         ids = [e.encode(t) for t in texts]
-        return [pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64())]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(sizes)]
 
     return map_texts(docs, keep, "token_ids array<int>, n_tokens bigint", each)
 
@@ -223,9 +233,9 @@ def decode_table(tokens: DataFrame, path: str, keep: list[str]) -> DataFrame:
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Encodes and decodes every text in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    The ids of a text are never held as a list: a word's ids, their decimal form and their decoded text
-    are worked out once per worker and cached word, then joined. One row for each row of `docs`: repeated rows
-    and null ids stay, null text counts as empty, extra columns are not read."""
+    The ids of a text are never held as a list: the decimal ids of a pre-token and what they decode to are worked out once per
+    worker and cached pre-token, then joined. One row for each row of `docs`: repeated rows and null ids stay, null
+    text counts as empty, extra columns are not read."""
 
     def each(texts, _):
         e = encoder(path)
