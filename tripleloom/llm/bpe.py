@@ -35,7 +35,6 @@ WORD_TEXTS = {
         ],
     },
 }
-PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
 #: Texts of these characters only are composed already, and lower-casing needs no look at a letter's neighbours.
 PLAIN_TEXT = re.compile(r"[\t-\r -~\x85\xa0À-ÖØ-öø-ÿ]*")
 #: The pre-tokens of such a text in lower case.

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import ODD_BLANKS, PLAIN_WORD, WHITE, Memo, byte_letters
+from .bpe import PLAIN_TEXT, PLAIN_TOKEN, Memo, byte_letters, word_texts
 from .common import new_folder, session_of, text_or_empty
 from .tokens import library
 
@@ -28,7 +28,7 @@ from .tokens import library
 SKIP_INDEX, SKIP_TABLE, FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: A frame is closed when it holds this many bytes of ids (one document is never split).
 FRAME_BYTES = 1 << 20
-#: Distinct words and marks whose ids a Python worker keeps (two generations of it, so memory is bounded).
+#: Distinct pre-tokens whose ids a Python worker keeps (two generations of it, so memory is bounded).
 KEEP_PIECES = 300_000
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 
@@ -112,38 +112,26 @@ class TokenFile:
 
 
 class WordBytes:
-    """Ids of words as bytes, from the library, cached word by word. The vocabulary drops white space, so a text's
-    ids are those of its stretches without white space, one after another; a plain word and the marks behind it are pre-tokens
-    of their own, so that the library sees each of them once whatever its capitals and marks. A plain word in lower case
-    goes straight to the library's model, in byte letters, as normalising and splitting would leave it as it is."""
+    """Ids of texts as bytes, from the library. Where the file handles texts as `bpe.WORD_TEXTS` says, the pre-tokens of plain
+    texts go straight to the library's model, each once while it is cached, in byte letters; for other files and
+    texts with unusual characters the library encodes the whole text."""
 
     def __init__(self, path: str):
         self.library = library(path)
         self.model = self.library.tokenizer.model
+        self.words = word_texts(self.library.spec)
         self.letters = dict(enumerate(byte_letters()))
-        self.pieces = Memo(self.encode, KEEP_PIECES)
-        self.plain = Memo(self.merge, KEEP_PIECES) if self.library.byte_level else self.pieces
-        self.memo = Memo(self.word)
+        self.pieces = Memo(self.piece, KEEP_PIECES)
 
-    def merge(self, word: str) -> bytes:
-        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+    def piece(self, token: str) -> bytes:
+        letters = token if token.isascii() else token.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.model.tokenize(letters)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, chunk: str) -> bytes:
-        return np.array(self.library.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def word(self, chunk: str) -> bytes:
-        if self.library.lowers and (m := PLAIN_WORD.fullmatch(chunk)):
-            word, tail = m.groups()
-            return (self.plain[word.lower()] if word else b"") + (self.pieces[tail] if tail else b"")
-        return self.pieces[chunk]
-
     def __call__(self, text: str, end: bytes) -> bytes:
-        if self.library.special.search(text):  # special tokens are found in the raw text
-            return self.encode(text) + end
-        chunks = [c for c in WHITE.split(text) if c] if ODD_BLANKS.search(text) else text.split()
-        return b"".join(map(self.memo.__getitem__, chunks)) + end
+        if self.words and PLAIN_TEXT.fullmatch(text) and not self.library.special.search(text):
+            return b"".join(map(self.pieces.__getitem__, PLAIN_TOKEN.findall(text.lower()))) + end
+        return np.array(self.library.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
 
 
 _CODERS: dict[str, WordBytes] = {}

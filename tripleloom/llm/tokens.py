@@ -34,10 +34,8 @@ class Library:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.lowers = "Lowercase" in json.dumps(spec.get("normalizer"))
-        self.byte_level = "ByteLevel" in json.dumps(spec.get("pre_tokenizer"))
-        added = [t["content"] for t in spec.get("added_tokens", [])]
+            self.spec = {k: v for k, v in json.load(f).items() if k != "model"}
+        added = [t["content"] for t in self.spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
 
     def pieces(self, tokens: list[str]) -> list[int]:
