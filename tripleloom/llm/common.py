@@ -68,3 +68,29 @@ def map_texts(df: DataFrame, extra: list[str], schema: str, each: Callable[[list
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(extra)], *new], names=names)
 
     return source.mapInArrow(run, full)
+
+
+def rewrite_rows(df: DataFrame, each: Callable[[pa.RecordBatch, list[str], int], pa.RecordBatch]) -> DataFrame:
+    """Batches with all their columns through each(batch, texts, place of the text), which gives a batch of the same
+    columns; null texts are given as empty ones."""
+    session_of(df)
+    at = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield each(b, [t or "" for t in b.column(at).to_pylist()], at)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, name: str, rows: int) -> DataFrame:
+    """(doc_id, text, `name`): the texts of at most `rows` labelled documents (by a hash of doc_id; all rows of a chosen
+    one). labels: one row for each doc_id. The bound holds for labels that have a document, so that others use up none of
+    it; the chosen ones are broadcast, which `rows` bounds, and no text is shuffled."""
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
+    chosen = labels.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return ids_and_texts(docs).join(F.broadcast(chosen.select("doc_id", name)), "doc_id")
+
+
+def ids_and_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))

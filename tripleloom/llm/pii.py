@@ -10,12 +10,13 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_texts, rewrite_rows
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -47,14 +48,17 @@ DIGIT_WORD = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 ONE = rf"(?:(?:double|triple)[ -]+)?(?:{DIGIT_WORD}|[0-9])"
 RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(plus)[ ,-]+)?({ONE}(?:[ ,.-]{{0,2}}(?<![A-Za-z])(?={ONE}(?![A-Za-z])){ONE})+)(?![A-Za-z])", re.I)
 UNIT = re.compile(rf"(?:(double|triple)[ -]+)?({DIGIT_WORD}|[0-9])", re.I)
-BRACKET_AT = re.compile(r"[ ]*(?:\[[ ]*(?:at|@)[ ]*\]|\([ ]*(?:at|@)[ ]*\)|\{[ ]*(?:at|@)[ ]*\}|<[ ]*(?:at|@)[ ]*>|[_*-]+at[_*-]+)[ ]*", re.I)
-BRACKET_DOT = re.compile(r"[ ]*(?:\[[ ]*(?:dot|\.|point)[ ]*\]|\([ ]*(?:dot|\.|point)[ ]*\)|\{[ ]*(?:dot|\.|point)[ ]*\}|<[ ]*(?:dot|\.)[ ]*>|[_*-]+dot[_*-]+)[ ]*", re.I)
+# The look-behinds change no match: one that fails at the first blank or mark of a run fails at its others too. They keep the
+# time linear in the run.
+BRACKET_AT = re.compile(r"(?<![ ])[ ]*(?:\[[ ]*(?:at|@)[ ]*\]|\([ ]*(?:at|@)[ ]*\)|\{[ ]*(?:at|@)[ ]*\}|<[ ]*(?:at|@)[ ]*>|(?<![_*-])[_*-]+at[_*-]+)[ ]*", re.I)
+BRACKET_DOT = re.compile(r"(?<![ ])[ ]*(?:\[[ ]*(?:dot|\.|point)[ ]*\]|\([ ]*(?:dot|\.|point)[ ]*\)|\{[ ]*(?:dot|\.|point)[ ]*\}|<[ ]*(?:dot|\.)[ ]*>|(?<![_*-])[_*-]+dot[_*-]+)[ ]*", re.I)
 DOMAIN_WORDS = r"[A-Za-z0-9-]+"
 BARE_AT = re.compile(
     rf"(?<=[A-Za-z0-9])[ ]+(?:at|@)[ ]+(?={DOMAIN_WORDS}(?:\.{DOMAIN_WORDS})*[ ]+dot[ ]+[A-Za-z]|{DOMAIN_WORDS}(?:\.{DOMAIN_WORDS})*\.(?:{LAST_LABELS})(?![A-Za-z0-9]))", re.I
 )
 LOCAL_DOT = re.compile(r"(?<=[A-Za-z0-9])[ ]+dot[ ]+(?=[A-Za-z0-9._-]+@)", re.I)
-DOMAIN_DOT = re.compile(r"(@[A-Za-z0-9.-]+)[ ]+dot[ ]+(?=[A-Za-z0-9])", re.I)
+DOTTED_DOMAIN = re.compile(r"@[A-Za-z0-9.-]+(?:[ ]+dot[ ]+(?=[A-Za-z0-9])[A-Za-z0-9.-]+)+", re.I)
+DOMAIN_DOT = re.compile(r"[ ]+dot[ ]+(?=[A-Za-z0-9])", re.I)
 NUMBER_DOT = re.compile(r"(?<=[0-9])[ ]*(?:dot|point)[ ]*(?=[0-9])", re.I)
 AT_HINTS = ("[at", "(at", "{at", "<at", "[ at", "( at", "-at-", "_at_", "*at*", "[@", "(@", " at ", " @ ")
 
@@ -144,9 +148,12 @@ class Rewritten:
         self.starts, self.ends = starts + self.starts[at:], ends + self.ends[at:]
         self.made = made + self.made[at:]
 
-    def every(self, pattern: re.Pattern, new: str, group: int = 0) -> None:
-        found = [(m.end(1) if group else m.start(), m.end(), new) for m in pattern.finditer(self.text)]
-        self.replace(found)
+    def every(self, pattern: re.Pattern, new: str) -> None:
+        self.replace([(m.start(), m.end(), new) for m in pattern.finditer(self.text)])
+
+    def every_in(self, around: re.Pattern, pattern: re.Pattern, new: str) -> None:
+        """The same for what stands inside the matches of another pattern."""
+        self.replace([(m.start(), m.end(), new) for a in around.finditer(self.text) for m in pattern.finditer(self.text, a.start(), a.end())])
 
 
 def spelled_runs(text: str) -> list[tuple[int, int, str]]:
@@ -179,8 +186,7 @@ def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[
         r.every(BRACKET_AT, "@")
         r.every(BARE_AT, "@")
         r.every(LOCAL_DOT, ".")
-        while DOMAIN_DOT.search(r.text):
-            r.every(DOMAIN_DOT, ".", group=1)
+        r.every_in(DOTTED_DOMAIN, DOMAIN_DOT, ".")
     runs: set[str] = set()
     if numbers:
         found = spelled_runs(r.text)
@@ -188,17 +194,27 @@ def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[
         r.replace(found)
         r.every(NUMBER_DOT, ".")
     spans = plain_spans(r.text)
-    taken = [(a, b) for k, a, b in spans]
-    for m in re.finditer(r"(?<![0-9+])[0-9]{9,15}(?![0-9])", r.text) if runs else ():
-        # a spelled number needs no plus sign to be a telephone number
-        if m[0] in runs and all(r.made[m.start() : m.end()]) and not any(a < m.end() and m.start() < b for a, b in taken):
-            spans.append(("phone", *m.span()))
-    out = []
-    for kind, a, b in spans:
+    if runs:
+        taken = bytearray(len(r.text))
+        for _, a, b in spans:
+            taken[a:b] = b"\1" * (b - a)
+        for m in re.finditer(r"(?<![0-9+])[0-9]{9,15}(?![0-9])", r.text):
+            # a spelled number needs no plus sign to be a telephone number
+            if m[0] in runs and all(r.made[m.start() : m.end()]) and not any(taken[m.start() : m.end()]):
+                spans.append(("phone", *m.span()))
+    # Spans of one kind don't overlap, so that the nearest one before a span's end is the one to look at.
+    known = {k: [(a, b) for kind, a, b in plain if kind == k] for k in KINDS}
+    out: list[tuple[str, int, int]] = []
+    last, done = "", 0
+    for kind, a, b in in_order(spans):
+        if kind != last:
+            last, done = kind, 0
         if any(r.made[a:b]):
             start, end = r.starts[a], r.ends[b - 1]
-            if not any(k == kind and s < end and start < e for k, s, e in [*plain, *out]):
+            near = bisect_left(known[kind], (end,)) - 1
+            if start >= done and (near < 0 or known[kind][near][1] <= start):
                 out.append((kind, start, end))
+                done = end
     return out
 
 
@@ -255,3 +271,19 @@ def redact(text: str) -> str:
         elif b > at:  # the rest of an overlapping span goes too
             at = b
     return "".join(out) + text[at:]
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """All columns of `docs`, with each text redacted and n_chars, where there is such a column, set anew. Null texts stay
+    null (n_chars too); empty texts, repeated rows and null ids stay as they are."""
+
+    def each(batch, _, at):
+        new = [None if t is None else redact(t) for t in batch.column(at).to_pylist()]
+        columns = list(batch.columns)
+        columns[at] = pa.array(new, batch.schema.field(at).type)
+        if "n_chars" in batch.schema.names:
+            k = batch.schema.names.index("n_chars")
+            columns[k] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(batch.schema.field(k).type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return rewrite_rows(docs, each)
