@@ -47,8 +47,10 @@ def problem(value, schema: dict, at: str = "") -> str:
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys and no blanks; no NaN."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    """JSON with sorted keys and no blanks; no NaN, and no lone surrogate, which UTF-8 can't hold (ValueError for both)."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    text.encode()
+    return text
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -81,8 +83,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     calls: (conv_id, turn, call_id, name, arguments, depends_on); results: (conv_id, call_id, turn, content). Of calls with one id the
     first by turn, name and arguments counts and n_copies tells how many there were; likewise of results. Calls and results
     are joined by conversation and id. Rows without conv_id or call_id can't be linked and are left out. A call without result is
-    kept with linked false. Arguments that are no JSON object, and names without a schema, are problems. Order: (conv_id, level, turn,
-    call_id), a topological order of each conversation; level is null for calls in or behind a cycle, which come first."""
+    kept with linked false. Arguments that are no JSON object, that UTF-8 or JSON can't hold or that are nested too deeply, and names
+    without a schema, are problems; such arguments are null in the record. Rows come sorted by (conv_id, level, turn, call_id), a
+    topological order of each conversation; level is null for calls in or behind a cycle, which come last."""
     session_of(calls)
     key = ["conv_id", "call_id"]
     one = (
@@ -103,6 +106,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
                     value = json.loads(arguments or "")
                     canonical(value)
                     found = "arguments: not object" if not isinstance(value, dict) else problem(value, schemas[name]) if name in schemas else "name: unknown"
+                except RecursionError:
+                    value, found = None, "arguments: nested too deeply"
                 except ValueError:
                     value, found = None, "arguments: not JSON"
                 problems.append(found)
@@ -112,6 +117,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
 
     kinds = dict(rows.dtypes)
     head = ", ".join(f"{c} {kinds[c]}" for c in rows.columns[:7])
+    rows = rows.orderBy("conv_id", F.asc_nulls_last("level"), "turn", "call_id")
     return rows.mapInArrow(write, f"{head}, problem string, record string")
 
 
