@@ -32,7 +32,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in a document, with its edit distance and place."""
     found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", F.inline("hits")).select("doc_id", "item_id", "distance", F.col("start").alias("start_char"), F.col("end").alias("end_char"))
+    return found.withColumnsRenamed({"start": "start_char", "end": "end_char"})
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
