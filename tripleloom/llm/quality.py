@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, saved, session_of
+from .common import labelled, map_texts, session_of
 
 WINDOW = 8
 #: Labelled rows for training at most (by a hash of doc_id).
@@ -164,13 +164,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     count as the smallest. Without two different labels the model keeps everything."""
     label = labels.filter("doc_id is not null and quality is not null")
     label = label.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min((F.col("quality") > 0).cast("int")).alias("quality"))
-    label = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(label, "doc_id")
 
     def each(texts, _):
         return [pa.array([statistics(t)[1] for t in texts], pa.list_(pa.float64()))]
 
-    found = map_texts(saved(chosen), ["doc_id", "quality"], "features array<double>", each).orderBy("doc_id").collect()
+    chosen = map_texts(labelled(docs, label, "quality", rows), ["doc_id", "quality"], "features array<double>", each)
+    # of a document's repeated rows one counts, so that what is collected stays within the bound
+    found = chosen.groupBy("doc_id").agg(F.min(F.struct("features", "quality")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").collect()
     x = np.array([r["features"] for r in found], float).reshape(-1, len(FEATURES))
     y = np.array([r["quality"] for r in found], float)
     return train(x, y, list(FEATURES.values()))
