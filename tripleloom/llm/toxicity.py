@@ -12,22 +12,21 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .common import map_texts, saved, session_of
-
-#: Labelled rows used as examples at most (by a hash of doc_id), and terms in the vocabulary at most: they bound
-#: what is collected and broadcast.
-EXAMPLES, TERMS = 20_000, 1024
-#: A term is chosen if its log-likelihood ratio for the labels is at least this and it is in so many examples.
-LEAST_RATIO, LEAST_ROWS = 20.0, 4
-#: Rows with a chosen term must have label 1 at least in this share, and so many times as often as all rows.
-LEAST_SHARE, LEAST_LIFT = 0.3, 2.0
+from .common import labelled, map_texts, rewrite_rows, saved, session_of
+
+#: Labelled documents used as examples at most (by a hash of doc_id): the bound of what is collected and broadcast.
+EXAMPLES = 20_000
+#: A term is chosen if its log-likelihood ratio for the labels is at least this (one in about 130,000 terms reaches it by
+#: chance) and it is in so many examples, if so large a share of these has label 1, and so many times the share of all.
+LEAST_RATIO, LEAST_ROWS, LEAST_SHARE, LEAST_LIFT = 20.0, 4, 0.3, 2.0
 #: Examples whose leave-one-out votes calibrate the scores, at most.
 CALIBRATION = 4000
 NEIGHBOURS, BLOCK = 25, 64
@@ -36,27 +35,25 @@ PRIOR_WEIGHT = 0.5
 
 #: ASCII marks and digits become blanks.
 MARKS = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
+#: Letters of a longer word that also count as a term, for inflected and compound forms.
+STEM = 6
 
 
-#: Bytes of a longer word that also count as a term, for inflected and compound forms.
-STEM = 6
+def stem(word: bytes) -> bytes:
+    return (word[:STEM] if word.isascii() else word.decode()[:STEM].encode()) + b"*"
 
 
 def terms_of(text: str) -> list[bytes]:
     """Words, and the stems of longer ones (with a star)."""
     words = text.lower().encode().translate(MARKS).split()
-    return words + [w[:STEM] + b"*" for w in words if len(w) > STEM]
+    return words + [stem(w) for w in words if len(w) > STEM]
 
 
-def ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """Log-likelihood ratio of presence against label: a of n1 rows with label 1, b of n0 with label 0."""
-    total = np.zeros(len(a))
+def ratio(a: Column, b: Column, n1: int, n0: int) -> Column:
+    """Log-likelihood ratio of presence against label: in a of n1 rows with label 1, in b of n0 with label 0."""
     share = (a + b) / max(1, n1 + n0)
-    for part, n in ((a, n1), (b, n0)):
-        for seen, expected in ((part, n * share), (n - part, n * (1 - share))):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                total += np.where(seen > 0, seen * np.log(seen / expected), 0)
-    return 2 * total
+    parts = [(p, share * n) for p, n in ((a, n1), (b, n0))] + [(n - p, (1 - share) * n) for p, n in ((a, n1), (b, n0))]
+    return 2 * reduce(Column.__add__, [F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in parts])
 
 
 @dataclass
@@ -153,19 +150,19 @@ def select_counts(texts: list[str], terms: dict[bytes, int]) -> list[tuple]:
     for t in texts:
         words = terms_of(t)
         hits = known & set(words)
-        out.append(tuple(sorted((terms[h], words.count(h)) for h in hits)))
+        out.append(tuple(sorted((terms[h], n) for h, n in Counter(w for w in words if w in hits).items())) if hits else ())
     return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = EXAMPLES) -> Index:
-    """The index from labelled rows outside the held-out fifth (crc32 of doc_id as text, mod 5, is 0). Labels without a
-    document, null labels and null ids aren't used; several labels of a document count as the largest; equal
-    texts with equal labels are one example. Without any usable label all scores are 0."""
+    """The index from at most `rows` labelled documents outside the held-out fifth (crc32 of doc_id as text, mod 5, is 0).
+    Labels without a document, null labels and null ids aren't used; several labels of a document count as the largest; of
+    several texts of a document the least counts; equal texts with equal labels are one example. Without any usable
+    label all scores are 0."""
     label = labels.filter("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 5 <> 0")
     label = label.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    label = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    train = saved(texts.join(label, "doc_id").groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")))
+    one = labelled(docs, label, "toxic", rows).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    train = saved(one.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")))
 
     def present(texts, batch):
         counts: Counter = Counter()
@@ -176,17 +173,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = EXAMPLES) -> Index:
 
     sizes = {r[0]: r[1] for r in train.groupBy("toxic").agg(F.count("*")).collect()}
     n1, n0 = sum(n for y, n in sizes.items() if y > 0), sum(n for y, n in sizes.items() if y <= 0)
+    share = n1 / max(1, n1 + n0)
+    least = max(LEAST_SHARE, LEAST_LIFT * min(0.4, share))
     found = (
         map_texts(train.withColumn("toxic", (F.col("toxic") > 0).cast("int")), ["toxic"], "found array<struct<term:binary,y:int,n:bigint>>", present)
         .select(F.inline("found")).groupBy("term").agg(F.sum(F.col("n") * F.col("y")).alias("a"), F.sum(F.col("n") * (1 - F.col("y"))).alias("b"))
-        .filter(F.col("a") + F.col("b") >= LEAST_ROWS).filter(F.col("a") >= max(LEAST_SHARE, LEAST_LIFT * min(0.4, n1 / max(1, n1 + n0))) * (F.col("a") + F.col("b")))
+        .filter((F.col("a") + F.col("b") >= LEAST_ROWS) & (F.col("a") >= least * (F.col("a") + F.col("b"))))
     )
-    share = n1 / max(1, n1 + n0)
-    apart = F.abs(F.col("a") - share * (F.col("a") + F.col("b"))) / F.sqrt((F.col("a") + F.col("b")) * share * (1 - share) + 1e-9)
-    best = found.orderBy(F.desc(apart), "term").limit(8 * TERMS).collect()
-    a, b = np.array([r["a"] for r in best], float), np.array([r["b"] for r in best], float)
-    strong = ratio(a, b, n1, n0) if len(best) else a
-    chosen = [bytes(best[i]["term"]) for i in np.argsort(-strong, kind="stable")[:TERMS] if strong[i] >= LEAST_RATIO]
+    best = found.withColumn("ratio", ratio(F.col("a"), F.col("b"), n1, n0)).filter(F.col("ratio") >= LEAST_RATIO).select("term").collect()
+    chosen = [bytes(r["term"]) for r in best]
     terms = {t: i for i, t in enumerate(sorted(chosen))}
 
     def frequency(texts, _):
@@ -228,3 +223,16 @@ def scores(docs: DataFrame, labels: DataFrame, keep: list[str] = ["doc_id"]) ->
         return [pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
 
     return map_texts(docs, keep, "score double, evidence array<bigint>", each)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs`, with all columns, whose score is below the threshold. Null texts count as empty and stay with
+    their nulls; of repeated rows all stay or go."""
+    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    cache: dict = {}
+
+    def each(batch, texts, _):
+        memo = cache.setdefault("m", Memo(index.value.score, 20_000))
+        return batch.filter(pa.array([memo[c][0] < threshold for c in select_counts(texts, index.value.terms)], pa.bool_()))
+
+    return rewrite_rows(docs, each)
