@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, found with BK-trees over shards of fingerprints.
+"""SimHash near-duplicates, found with BK-trees over shards of fingerprints, and near-duplicates by Jaccard similarity.
 
 A fingerprint has 64 bits. Two that differ in at most `radius` bits agree on at least `blocks - radius` of `blocks`
 equal blocks of bits, so every such pair meets in a shard keyed by that many agreeing blocks (for radius 2 and three blocks, by one
@@ -30,6 +30,15 @@ SAMPLE, ORDERED = 8192, 100_000
 SPOTS = 1 << 23
 
 
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits set in over half of n hashes, as a signed number."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
 def fingerprint(words: list[bytes], size: int) -> int:
     """SimHash over word shingles of `size`, repeats included, as a signed number; no words: zero."""
     if not words:
@@ -43,9 +52,8 @@ def fingerprint(words: list[bytes], size: int) -> int:
     digest = xxhash.xxh64_intdigest
     counts = np.zeros(64, np.int64)
     for k in range(0, n, 65_536):  # a very long text in slices
-        h = np.array([digest(text[a:b], SEED) for a, b in zip(starts[k : k + 65_536], stops[k : k + 65_536], strict=True)], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+        counts += bit_counts(np.array([digest(text[a:b], SEED) for a, b in zip(starts[k : k + 65_536], stops[k : k + 65_536], strict=True)], "<u8"))
+    return majority(counts, n)
 
 
 def fingerprints(docs: DataFrame, keep: list[str], words: int = 3) -> DataFrame:
@@ -96,11 +104,10 @@ def masks(blocks: int, choose: int) -> list[int]:
     return [m - (m >> 63 << 64) for m in (sum(block[i] for i in c) for c in combinations(range(blocks), choose))]
 
 
-def shard_links(fps: DataFrame, radius: int, blocks: int, choose: int, every: bool, tree: int = TREE) -> DataFrame:
-    """Links (a, b) among distinct fingerprints (column fp), found shard by shard.
-
-    every: links connect all members that are within the radius, by one link to each connected group before it; components
-    over them are those over all pairs. Else a member gives all members within the radius. Shards of more than `tree` members go by `ball_links` or `piece_links`."""
+def shard_links(fps: DataFrame, radius: int, blocks: int, choose: int, tree: int = TREE) -> DataFrame:
+    """Links (a, b) among distinct fingerprints (column fp), found shard by shard. They connect all members that are within the
+    radius, by one link to each connected group before a member, so that components over them are those over all pairs.
+    Shards of more than `tree` members go by `ball_links` or `piece_links`, which give the same components."""
     keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("bigint")) for m in masks(blocks, choose)]))
     members = fps.select("fp", keys.alias("mask", "key"))
     sizes = members.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -127,21 +134,17 @@ def shard_links(fps: DataFrame, radius: int, blocks: int, choose: int, every: bo
             u = x & 0xFFFFFFFFFFFFFFFF
             found = bk.search(u)
             group[x] = x
-            if every:
-                for _, v in found:
-                    other, own = top(v - (v >> 63 << 64)), top(x)
-                    if other != own:
-                        left.append(x)
-                        right.append(v - (v >> 63 << 64))
-                        group[max(other, own)] = min(other, own)
-            else:
-                left += [x] * len(found)
-                right += [v - (v >> 63 << 64) for _, v in found]
+            for _, v in found:
+                other, own = top(v - (v >> 63 << 64)), top(x)
+                if other != own:
+                    left.append(x)
+                    right.append(v - (v >> 63 << 64))
+                    group[max(other, own)] = min(other, own)
             bk.add(u)
 
     found = shards.select("fps").mapInArrow(search, "a bigint, b bigint")
     hot = members.join(large, ["mask", "key"])
-    more = ball_links(hot.select("fp").distinct()) if every and radius <= 2 else piece_links(hot, radius, tree)
+    more = ball_links(hot.select("fp").distinct()) if radius <= 2 else piece_links(hot, radius, tree)
     return found.union(more).distinct()
 
 
@@ -189,7 +192,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, blocks:
     bytes a row, and everything after works on distinct ones."""
     rows = saved(fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ["doc_id"], words))
     least = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(shard_links(least.select("fp"), radius, blocks, blocks - radius, every=True))
+    roots = components(shard_links(least.select("fp"), radius, blocks, blocks - radius))
     joined = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = joined.join(ids, "root").select("fp", "component_id")
@@ -205,6 +208,11 @@ def shingle_set(text: str, size: int) -> np.ndarray:
     return np.sort(np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], "<u8"))
 
 
+def key_of(shingles: bytes, bits: int) -> int:
+    """A number that equal shingle sets share."""
+    return (xxhash.xxh64_intdigest(shingles, SEED) >> 64 - bits) - (1 << bits - 1)
+
+
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes and counts of shingles that repeat in a sample of the rows. They only set the order in which shingles are
     looked at: any order finds the same pairs."""
@@ -231,14 +239,26 @@ def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity:
     return found[np.lexsort((found, n))[:size]].view("<i8")
 
 
-def similar_links(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+def close_keys(rows: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Pairs (a, b) of keys with equal or close fingerprints (rows: key, fp), as links that connect them: BK-trees over
+    shards of the distinct fingerprints, and each key with the least key of its fingerprint."""
+    least = saved(rows.groupBy("fp").agg(F.min("key").alias("least")))
+    found = shard_links(least.select("fp"), radius, blocks, blocks - radius)
+    for side in ("a", "b"):
+        found = found.join(least.select(F.col("fp").alias(side), F.col("least").alias(f"key_{side}")), side)
+    same = rows.select("key", "fp").join(least, "fp").filter("key <> least")
+    return found.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).union(same.select("key", "least"))
+
+
+def similar_links(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, radius: int, blocks: int) -> DataFrame:
     """Links (a, b) whose components are those over all pairs of keys with a Jaccard similarity of at least `similarity`.
 
-    rows: key, size, prefix; sets(keys) gives (key, shingles). Keys that share a shingle of their prefixes are a list. First
-    every key of a list is held against the list's least and greatest key, so that a large group is joined by few
-    links. Then all pairs of a list that are not joined yet are counted: what two sets share is at most what their prefixes
-    share and the longer one of their rests, so a pair with less than it needs is no pair."""
-    posts = rows.dropDuplicates(["key"]).select("key", "size", F.explode("prefix").alias("shingle"))
+    rows: key (each once), size, prefix, fp; sets(keys) gives (key, shingles). Keys that share a shingle of their prefixes are a
+    list. First pairs with close fingerprints are compared and every key of a list is held against the list's least and
+    greatest key, so that a large group is joined by few links. Then all pairs of a list that are not joined yet are counted:
+    what two sets share is at most what their prefixes share and the longer one of their rests, so a pair with less than
+    it needs is no pair."""
+    posts = rows.select("key", "size", F.explode("prefix").alias("shingle"))
     posts = posts.withColumn("shingle", F.shiftright("shingle", 24))  # 40 bits are shorter on disk; an equal pair too many is checked later
     lists = Window.partitionBy("shingle")
     marked = posts.select("*", F.min("key").over(lists).alias("first"), F.max("key").over(lists).alias("last"))
@@ -265,6 +285,7 @@ def similar_links(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
 
     ends = shared.select(F.col("key").alias("a"), "size", F.explode(F.array("first", "last")).alias("b")).filter("a <> b")
     ends = ends.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter(enough(F.col("size"), F.col("size"), 0.5))
+    ends = ends.select("a", "b").union(close_keys(rows, radius, blocks))
     joined = saved(components(verified(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())))
     labelled = shared.drop("first", "last").join(joined, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
     labelled = labelled.select("*", F.min("root").over(lists).alias("low"), F.max("root").over(lists).alias("high"))
@@ -278,12 +299,16 @@ def similar_links(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
     return joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(pairs))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, blocks: int = 3, bits: int = 64) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each group one row stays, that with the smallest doc_id.
 
     Texts with equal shingle sets (case apart) are one text. Two texts are linked if the Jaccard similarity of their shingle
-    sets is at least `similarity`; `similar_links` finds the groups exactly. Groups are the connected components.
-    Rows with null ids rank last; of fully equal rows one stays. Empty texts are one group. All columns stay."""
+    sets is at least `similarity`: pairs whose fingerprints over these sets are within `radius` bits are compared first,
+    then `similar_links` finds the rest exactly. Groups are the connected components. Rows with null ids rank last; of
+    fully equal rows one stays. Empty and null texts are one group. All columns stay, whatever their names.
+
+    A text goes by a key of `bits` bits in the search; different texts with one key are left out of it and stay, each as its
+    own group, so that no text is lost to that."""
     spark = docs.sparkSession
     shared_dir(spark)
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("copy", F.xxhash64("text"))
@@ -291,19 +316,30 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     def marks(texts, _):
         sets = [shingle_set(t, words) for t in texts]
-        keys = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets]
+        data = [s.tobytes() for s in sets]
+        keys = [key_of(d, bits) for d in data]
+        checks = [xxhash.xxh64_intdigest(d, SEED + 1) - (1 << 63) for d in data]
         firsts = [prefix(s, common.value, similarity) for s in sets]
-        return [pa.array(keys, pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-
-    rows = saved(map_texts(known, ["doc_id", "copy"], "key bigint, size int, prefix array<bigint>", marks))
+        fps = [majority(bit_counts(s), len(s)) if len(s) else 0 for s in sets]
+        return [pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(fps, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
 
     spot = F.pmod(F.xxhash64("copy", "doc_id"), F.lit(SPOTS))
+    marked = map_texts(known, ["doc_id", "copy"], "key bigint, check bigint, size int, fp bigint, prefix array<bigint>", marks)
+    rows = saved(marked.select("key", "check", "size", "fp", "prefix", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy").alias("row"), spot.alias("spot")))
+    # copies meet here, after a part of them in each task; from here on a text is one row
+    one = rows.groupBy("key").agg(
+        F.min("row").alias("row"), F.min("spot").alias("spot"), F.min("check").alias("check"), F.max("check").alias("other"),
+        F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"),
+    )
+    one = saved(one)
+    alone = one.filter("check <> other").select("key")
+    one = one.filter("check = other")
 
     def shingles(wanted):
         # one row of each wanted key, marked in a bitmap of fixed size, so that no text is shuffled; rows marked by chance fall out later
-        chosen = rows.select("key", spot.alias("spot")).join(wanted, "key").groupBy("key").agg(F.min("spot").alias("spot"))
-        bits = chosen.groupBy(F.expr("bitmap_bucket_number(spot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(spot))").alias("bits"))
-        found = {r["bucket"]: bytes(r["bits"]) for r in bits.collect()}
+        chosen = one.select("key", "spot").join(wanted, "key", "left_semi")
+        bitmap = chosen.groupBy(F.expr("bitmap_bucket_number(spot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(spot))").alias("bits"))
+        found = {r["bucket"]: bytes(r["bits"]) for r in bitmap.collect()}
         held = spark.sparkContext.broadcast(found)
 
         def each(batches):
@@ -312,18 +348,21 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
                 for place, bit, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if place in held.value and held.value[place][bit >> 3] >> (bit & 7) & 1:
                         s = shingle_set(text, words).tobytes()
-                        keys.append(xxhash.xxh64_intdigest(s, SEED) - (1 << 63))
+                        keys.append(key_of(s, bits))
                         out.append(s)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["key", "shingles"])
 
         places = known.select(spot.alias("spot"), text_or_empty().alias("text")).selectExpr("bitmap_bucket_number(spot) AS place", "bitmap_bit_position(spot) AS bit", "text")
         return places.mapInArrow(each, "key bigint, shingles binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
-    roots = components(similar_links(rows.select("key", "size", "prefix"), shingles, similarity))
-    groups = rows.drop("size", "prefix").join(roots, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("r"))
-    mark = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("-")), "_copy")
-    best = best.select("r.doc_id", F.col("r.copy").alias("_copy")).select(mark.alias("_mark"))
+    roots = components(similar_links(one.select("key", "size", "prefix", "fp"), shingles, similarity, radius, blocks))
+    best = one.join(roots, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("root", "key")).agg(F.min("row").alias("row")).select("row")
+    best = best.union(rows.join(alone, "key").groupBy("key", "check").agg(F.min("row").alias("row")).select("row"))
+
+    def mark(doc_id, copy):
+        return F.concat_ws(":", F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("-")), copy)
+
     # one exchange of the documents serves the join and the removal of repeated rows
-    kept = docs.withColumn("_copy", F.xxhash64("text")).withColumn("_mark", mark).drop("_copy")
-    return kept.join(best, "_mark", "left_semi").dropDuplicates(["_mark"]).drop("_mark")
+    kept = docs.select(mark(F.col("doc_id"), F.xxhash64("text")).alias("mark"), F.struct("*").alias("row"))
+    best = best.select(mark(F.col("row.doc_id"), F.col("row.copy")).alias("mark"))
+    return kept.join(best, "mark", "left_semi").dropDuplicates(["mark"]).select("row.*")
