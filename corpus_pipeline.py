@@ -7,80 +7,36 @@ repeat; the last gives token ids. Results are written as Parquet in the shared f
 from __future__ import annotations
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tripleloom.llm import bpe, decontam, pii, simhash, toxicity
-from tripleloom.llm.common import new_folder, session_of, table
+from tripleloom.llm.common import new_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
-def rewrite_rows(docs: DataFrame, each) -> DataFrame:
-    """Batches with all their columns through each(batch, texts, place of the text), which gives a batch of the same columns."""
-    session_of(docs)
-    at = docs.columns.index("text")
-
-    def run(batches):
-        for b in batches:
-            yield each(b, [t or "" for t in b.column(at).to_pylist()], at)
-
-    return docs.mapInArrow(run, docs.schema)
-
-
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score is 0.5 or more (op 5). Examples come from the labelled documents of the stage's input."""
-    index = spark.sparkContext.broadcast(toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    cache: dict = {}
-
-    def clean(batch, texts, _):
-        i = index.value
-        score = cache.setdefault("score", bpe.Memo(i.score, 20_000))
-        return batch.filter(pa.array([score[c][0] < 0.5 for c in toxicity.select_counts(texts, i.terms)], pa.bool_()))
-
-    return rewrite_rows(docs, clean)
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (in place of op 9): all pairs of five-word shingle sets at similarity 0.8 or more."""
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more (op 9 and an exact join)."""
     return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item within its error budget (op 7)."""
-    held = [spark.sparkContext.broadcast(b) for b in decontam.blocks(table(spark, sf_dir, "benchmark"))]
-    cache: dict = {}
-
-    def clean(batch, texts, _):
-        if "items" not in cache:
-            cache["items"] = [decontam.Items(h.value, decontam.PER_EDIT) for h in held]
-        keep = []
-        for t in texts:
-            t = decontam.normalise(t)
-            keep.append(not any(next(items.matches(t), None) for items in cache["items"]))
-        return batch.filter(pa.array(keep, pa.bool_()))
-
-    return rewrite_rows(docs, clean)
+    return decontam.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by the name of its kind (op 6) and sets n_chars anew; null texts stay null."""
-
-    def clean(batch, texts, at):
-        new = [None if b is None else pii.redact(b) for b in batch.column(at).to_pylist()]
-        columns = list(batch.columns)
-        columns[at] = pa.array(new, batch.schema.field(at).type)
-        if "n_chars" in batch.schema.names:
-            k = batch.schema.names.index("n_chars")
-            columns[k] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(batch.schema.field(k).type)
-        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return rewrite_rows(docs, clean)
+    return pii.redacted(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left (op 2): doc_id, token_ids, n_tokens."""
+    """Token ids of every document that is left (op 2): doc_id, token_ids, n_tokens. Null texts have no ids; repeated rows stay."""
     return bpe.encode_table(docs, public_tokenizers.path(TOKENIZER), ["doc_id"])
 
 
