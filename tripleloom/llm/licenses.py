@@ -1,9 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-Blocks are lines. A block matches a template if it holds at least `threshold` of the template's distinct words. Words are
-ordered by how often they stand in all documents, rarest first. Then a matching block holds one of the template's first
-size - required + 1 words (prefix filter), at least `required` template words at all (length filter), and enough
-after the shared one (positional filter); what is left is counted exactly.
+A block is a window of consecutive words, across line ends, half as long again as the template. It matches if it holds at
+least `threshold` of the template's distinct words. Words are ordered by how often they stand in all documents, rarest first.
+Then a matching block holds one of the template's first size - required + 1 words (prefix filter), so only blocks around such a
+word are looked at; the words around it hold at least `required` template words (length filter) and enough behind it in the
+order (positional filter); what is left is counted exactly, window by window. The templates are a small fixed set, so
+each row is held against them where it is: nothing is shuffled, and equal texts need not meet.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ PHRASES = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all r
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
+#: Words of a block for each word of the template.
+SLACK = 1.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,9 +53,13 @@ def count_words(text: Column) -> Column:
 
 
 def lowered(docs: DataFrame) -> DataFrame:
-    """doc_id, text with A-Z in lower case, and a key that equal texts share."""
-    low = F.translate(text_or_empty(), UPPER, LOWER)
-    return docs.select("doc_id", low.alias("low")).withColumn("digest", F.sha2("low", 256))
+    """doc_id, text with A-Z in lower case."""
+    return docs.select("doc_id", F.translate(text_or_empty(), UPPER, LOWER).alias("low"))
+
+
+def width_of(template: str) -> int:
+    """Words of a template's blocks."""
+    return math.ceil(SLACK * len(template.split()))
 
 
 def word_order(docs: DataFrame, templates: dict[str, str]) -> list[str]:
@@ -65,90 +73,88 @@ def word_order(docs: DataFrame, templates: dict[str, str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def matching_blocks(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(digest, label, containment): for each distinct text the templates that some line of it contains, with the largest
-    share of the template's words found in one line. Texts without a match have no row."""
-    order = word_order(docs, templates)
+def matching_blocks(low: Column, order: list[str], templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
+    """array<struct<label, share>>: the templates that some block of the text contains, with shares of the template's words
+    found in a block (a label may stand there several times). Null for texts without a word of any prefix."""
     rank = {w: i + 1 for i, w in enumerate(order)}
     sets = {label: sorted(rank[w] for w in set(t.split())) for label, t in templates.items()}
     need = {label: math.ceil(threshold * len(s) - 1e-9) for label, s in sets.items()}
-    prefix = [(label, s, need[label], i) for label, s in sets.items() for i in range(len(s) - need[label] + 1)]
-    first = sorted({s[i] for _, s, _, i in prefix})
-    index = docs.sparkSession.range(1).select(
-        F.inline(F.array(*[
-            F.struct(F.lit(label).alias("label"), F.array(*[F.lit(r) for r in s]).alias("template"), F.lit(n).alias("required"), F.lit(i).alias("at"), F.lit(s[i]).alias("rank"))
-            for label, s, n, i in prefix
-        ]))
-    )
-    rare = whole([order[r - 1] for r in first])
-    lines = (
-        lowered(docs).filter(F.col("low").rlike(rare)).select("digest", F.explode(F.split("low", "\n")).alias("line"))
-        .filter(F.col("line").rlike(rare)).select("digest", F.array_distinct(words_in(F.col("line"))).alias("words"))
-    )
+    entry = "array<struct<rank:int,label:string,template:array<int>,required:int,at:int,width:int>>"
+    index = F.array(*[
+        F.struct(F.lit(s[i]), F.lit(label), F.array(*map(F.lit, s)), F.lit(need[label]), F.lit(i), F.lit(width_of(templates[label])))
+        for label, s in sets.items() for i in range(len(s) - need[label] + 1)
+    ]).cast(entry)
+    first = sorted({s[i] for label, s in sets.items() for i in range(len(s) - need[label] + 1)})
     known = F.array(*[F.lit(w) for w in order])
-    ranks = F.array_sort(F.filter(F.transform("words", lambda w: F.array_position(known, w).cast("int")), lambda r: r > 0))
-    blocks = lines.select("digest", ranks.alias("block")).dropDuplicates()
-    size, full = F.size("block"), F.size("template")
-    pairs = (
-        blocks.select("digest", "block", F.posexplode("block").alias("pos", "rank"))
-        .join(F.broadcast(index), "rank")
-        .filter(size >= F.col("required"))  # length
-        .filter(1 + F.least(full - F.col("at") - 1, size - F.col("pos") - 1) >= F.col("required"))  # position
-        .withColumn("both", F.size(F.array_intersect("block", "template")))
-        .filter(F.col("both") >= F.col("required"))
-    )
-    return pairs.groupBy("digest", "label").agg(F.max(F.col("both") / full).alias("containment"))
+    ranks = F.transform(words_in(low), lambda w: F.array_position(known, w).cast("int"))
+
+    def around(ranks):
+        anchors = F.filter(F.transform(ranks, lambda r, i: F.struct(r.alias("rank"), i.alias("i"))), lambda a: a["rank"].isin(first))
+        blocks = F.flatten(F.transform(anchors, lambda a: F.transform(
+            F.filter(index, lambda e: e["rank"] == a["rank"]),  # prefix
+            lambda e: F.struct(e.alias("e"), F.slice(ranks, F.greatest(a["i"] - e["width"] + 2, F.lit(1)), 2 * e["width"] - 1).alias("block")),
+        )))
+        blocks = F.filter(blocks, lambda b: F.size(F.array_intersect(b["block"], b["e"]["template"])) >= b["e"]["required"])  # length
+        behind = lambda b: F.size(F.filter(F.array_intersect(b["block"], b["e"]["template"]), lambda r: r > b["e"]["rank"]))
+        blocks = F.filter(blocks, lambda b: 1 + F.least(F.size(b["e"]["template"]) - b["e"]["at"] - 1, behind(b)) >= b["e"]["required"])  # position
+        windows = lambda b: F.transform(F.sequence(F.lit(1), F.size(b["block"])), lambda k: F.size(F.array_intersect(F.slice(b["block"], k, b["e"]["width"]), b["e"]["template"])))
+        counted = F.transform(blocks, lambda b: F.struct(b["e"]["label"].alias("label"), F.array_max(windows(b)).alias("both"), b["e"]["required"].alias("required"), F.size(b["e"]["template"]).alias("size")))
+        enough = F.filter(counted, lambda c: c["both"] >= c["required"])
+        return F.transform(enough, lambda c: F.struct(c["label"].alias("label"), (c["both"] / c["size"]).alias("share")))
+
+    # the words are worked out once for each text, as the one element of an array
+    found = F.element_at(F.transform(F.array(ranks), around), 1)
+    return F.when(low.rlike(whole([order[r - 1] for r in first])), found)
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row's whole text.
 
     Null text counts as empty; repeated rows and null ids stay; other columns are not read. score is the largest share of
-    a template found in one line (at least the threshold), 1 where a phrase stands, else 0."""
-    found = matching_blocks(docs, templates, threshold).groupBy("digest").agg(
-        F.collect_set("label").alias("more"), F.max("containment").alias("best")
-    )  # one row per template and text at most
+    a template found in one block (at least the threshold), 1 where a phrase stands, else 0."""
     phrase = whole(list(PHRASES.values()))
-    has = F.col("low").rlike(phrase)
+    low, has = F.col("low"), F.col("low").rlike(phrase)
     rows = lowered(docs).select(
-        "doc_id", "digest", count_words(F.col("low")).cast("bigint").alias("n_words"),
+        "doc_id", count_words(low).cast("bigint").alias("n_words"),
         F.when(has, F.regexp_extract_all("low", F.lit(f"({phrase})"), F.lit(1))).alias("hits"),
         F.when(has, F.split("low", phrase)).alias("parts"),
-        F.when(has, F.array(*[F.when(F.col("low").rlike(whole([p])), F.lit(label)) for label, p in sorted(PHRASES.items())])).alias("own"),
+        F.when(has, F.array(*[F.when(low.rlike(whole([p])), F.lit(label)) for label, p in sorted(PHRASES.items())])).alias("own"),
+        matching_blocks(low, word_order(docs, templates), templates, threshold).alias("found"),
     ).select(
-        "doc_id", "digest", "n_words",
+        "doc_id", "n_words",
         F.coalesce(F.size("hits"), F.lit(0)).alias("n"),
         count_words(F.element_at("parts", 1)).cast("bigint").alias("first_word"),
         (F.col("n_words") - count_words(F.element_at("parts", -1)) - count_words(F.element_at("hits", -1))).cast("bigint").alias("last_word"),
-        "own",
+        "own", F.col("found.label").alias("more"), F.array_max("found.share").alias("best"),
     )
-    own = F.coalesce(F.filter("own", lambda x: x.isNotNull()), F.array().cast("array<string>"))
-    return rows.join(found, "digest", "left").select(
+    none = F.array().cast("array<string>")
+    own = F.coalesce(F.filter("own", lambda x: x.isNotNull()), none)
+    return rows.select(
         "doc_id", "n_words", F.greatest("n", F.lit(0)).cast("bigint").alias("n_base"), "first_word", "last_word",
         F.array_join(own, ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(own, F.coalesce("more", F.array().cast("array<string>")))), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_union(own, F.coalesce("more", none))), ",").alias("labels"),
         F.when(F.col("n") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same in DuckDB SQL: every line against every template, without filters."""
+    """The same in DuckDB SQL: every window against every template, without filters."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     rows = ", ".join(f"('{label}', '{w}')" for label, t in templates.items() for w in sorted(set(t.split())))
+    sizes = ", ".join(f"('{label}', {len(set(t.split()))}, {width_of(t)})" for label, t in templates.items())
     phrases = ", ".join(f"('{label}', '{p.split()[0]}', '{p.split()[1]}', {repr(p.split()[2]) if len(p.split()) > 2 else 'NULL'})" for label, p in PHRASES.items())
     return rf"""
 WITH t(label, word) AS (VALUES {rows}),
-size AS (SELECT label, count(*) AS n FROM t GROUP BY label),
+size(label, n, width) AS (VALUES {sizes}),
 p(label, w1, w2, w3) AS (VALUES {phrases}),
 d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
-lines AS (SELECT r, row_number() OVER () AS l, line FROM (SELECT r, unnest(string_split(low, chr(10))) AS line FROM d)),
-lw AS (SELECT DISTINCT r, l, unnest(regexp_extract_all(line, '{word}')) AS word FROM lines),
-hit AS (SELECT lw.r, lw.l, t.label, count(*) AS shared FROM lw JOIN t USING (word) GROUP BY lw.r, lw.l, t.label),
-found AS (SELECT r, hit.label, max(shared / n) AS share FROM hit JOIN size USING (label) WHERE shared >= ceil({threshold} * n - 1e-9) GROUP BY r, hit.label),
 w AS (SELECT r, regexp_extract_all(low, '{word}') AS ws FROM d),
 seq AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
 n AS (SELECT r, i, word, lead(word, 1) OVER x AS w2, lead(word, 2) OVER x AS w3 FROM seq WINDOW x AS (PARTITION BY r ORDER BY i)),
 base AS (SELECT n.r, p.label, n.i FROM n JOIN p ON n.word = p.w1 AND n.w2 = p.w2 AND (p.w3 IS NULL OR n.w3 = p.w3)),
+hit AS (SELECT r, label, n, count(DISTINCT word) OVER (PARTITION BY r, label ORDER BY i RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS shared
+  FROM seq JOIN t USING (word) JOIN size USING (label)),
+found AS (SELECT r, label, max(shared / n) AS share FROM hit WHERE shared >= ceil({threshold} * n - 1e-9) GROUP BY r, label),
 b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
 lab AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION SELECT r, label FROM found) GROUP BY r),
 s AS (SELECT r, max(share) AS share FROM found GROUP BY r)
