@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tripleloom.functions import strings as fs
-from tripleloom.operators import graph, mentions, metrics, ontology
+from tripleloom.operators import dataset, graph, mentions, metrics, ontology
+from tripleloom.sources import files
 
 
 def test_names(spark):
@@ -43,3 +44,85 @@ def test_patterns_and_metrics(spark):
     assert graph.match_pattern(kg, [("?x", "p", "?y"), ("?y", "q", "?z")]).collect()[0][:] == ("b", "a", "c")
     none = metrics.triple_prf(kg.limit(0), kg.limit(0)).first()
     assert none["tp"] == 0 and none["f1"] == 0.0
+
+
+def test_tokens_of_long_and_odd_texts(spark):
+    import re
+
+    texts = ["", None, "  a b, c", "x", "Éa-b  ς" * 700, " ".join(f"w{i}." for i in range(3000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", mentions.tokens(F.col("t")).alias("x")).collect()
+    for k, found in rows:
+        want = None if texts[k] is None else [(m.start(), m.end(), m[0]) for m in re.finditer(r"\w+|[^\w\s]", texts[k])]
+        assert (None if found is None else [(x["start"], x["end"], x["token"]) for x in found]) == want
+
+
+def test_relations_in_running_text(spark):
+    """A nearer entity of the wrong type, a surface that two individuals share, two relations in a sentence, a side that is missing."""
+    entry = lambda pos, short, kind, *types: (pos, short, kind, list(types))
+    words = [
+        ("acme", [entry(3, "acme", "individual", "Party")]), ("bolt", [entry(3, "bolt", "individual", "Part")]), ("france", [entry(3, "france", "individual", "Nation")]), ("europe", [entry(3, "europe", "individual", "Region")]),
+        ("mercury", [entry(3, "mercury_part", "individual", "Part"), entry(3, "mercury_party", "individual", "Party")]), ("is based in", [entry(1, "basedIn", "object_property")]), ("lies in", [entry(1, "inRegion", "object_property")]),
+    ]
+    d = spark.createDataFrame(words, "surface string, entries array<struct<pos:int,short:string,kind:string,types:array<string>>>")
+    sig = spark.createDataFrame([("basedIn", "Party", "Nation"), ("inRegion", "Nation", "Region")], "p string, domain string, range string")
+    texts = ["Acme, which makes the bolt, is based in lovely France.", "Mercury is based in Europe near France.", "ACME is based in France which lies in Europe.", "Somebody is based in France.", "nothing at all"]
+    found = mentions.detect_mentions(spark.createDataFrame(list(enumerate(texts)), "k int, sentence string"), d, ["k"], 3)
+    gated = {(r["k"], r["s"], r["p"], r["o"]) for r in mentions.relation_candidates(found, sig, ["k"]).collect()}
+    assert gated == {(0, "acme", "basedIn", "france"), (1, "mercury_party", "basedIn", "france"), (2, "acme", "basedIn", "france"), (2, "france", "inRegion", "europe")}
+    near = {(r["k"], r["s"], r["p"], r["o"]) for r in mentions.relation_candidates(found, sig, ["k"], gated=False, window=10).collect()}
+    assert near == {(0, "bolt", "basedIn", "france"), (1, "mercury_part", "basedIn", "europe"), (2, "acme", "basedIn", "france"), (2, "france", "inRegion", "europe")}
+
+
+PRETTY = """<?xml version="1.0"?>
+<!DOCTYPE Ontology [
+    <!ENTITY xsd "http://www.w3.org/2001/XMLSchema#" >
+]>
+<Ontology>
+    <Declaration>
+        <Class IRI="#Tool"/>
+    </Declaration>
+    <DataPropertyDomain>
+        <DataProperty IRI="#size"/>
+        <Class IRI="#Tool"/>
+    </DataPropertyDomain>
+    <DataPropertyAssertion>
+        <DataProperty IRI="#size"/>
+        <NamedIndividual IRI="#saw"/>
+        <Literal datatypeIRI="&xsd;integer">7</Literal>
+    </DataPropertyAssertion>
+    <AnnotationAssertion>
+        <AnnotationProperty abbreviatedIRI="rdfs:comment"/>
+        <IRI>#saw</IRI>
+        <Literal xml:lang="en">cuts &amp; &quot;saws&quot;</Literal>
+    </AnnotationAssertion>
+</Ontology>"""
+
+
+def test_ontology_in_both_layouts(spark, tmp_path):
+    import re
+
+    for name, text in (("pretty", PRETTY), ("lines", re.sub(r">\s+<", ">\n<", PRETTY))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "o.owx").write_text(text)
+        t = files.load_ontology(spark, str(tmp_path / name))
+        got = {k: [tuple(r) for r in t[k].collect()] for k in ("class", "domain", "data", "comment", "label", "obj")}
+        assert got == {"class": [("Tool",)], "domain": [("size", "Tool", "data")], "data": [("size", "saw", "7", "xsd:integer")], "comment": [("saw", 'cuts & "saws"')], "label": [], "obj": []}
+
+
+def test_tiers_again_change_nothing(spark):
+    rows = spark.createDataFrame([("k", "[REL] p [/REL] [E1]A$1[/E1] likes [E2]B[/E2].", "p"), ("l", "[REL] q [/REL] [E1]C[/E1] has [E2]D[/E2].", "q")], "key string, text string, sentence_relation string")
+    synonyms = spark.createDataFrame([("p", "is $fond\\ of")], "p string, synonym string")
+    once = dataset.augment_tiers(rows, synonyms)
+    twice = dataset.augment_tiers(once, synonyms)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) and once.count() == 7
+    assert once.filter("complexity_tier = 'implicit'").first()["text"] == "[REL] p [/REL] [E1]A$1[/E1] is $fond\\ of [E2]B[/E2]."
+
+
+def test_numbers_and_classes(spark):
+    rows = spark.range(1000).select(F.concat(F.lit("t"), F.lpad("id", 5, "0")).alias("text")).repartition(7)
+    got = {r["text"]: r["n"] for r in metrics.numbered(rows, "text", "n").collect()}
+    assert got == {f"t{i:05d}": i + 1 for i in range(1000)} and metrics.numbered(rows.limit(0), "text", "n").count() == 0
+    facts = spark.createDataFrame([("k", "p", "tool", "shed")], "key string, p string, subject string, object string")
+    sig = spark.createDataFrame([("p", "Tool", "Place"), ("q", "Tool", "Place")], "p string, domain string, range string")
+    made = dataset.verifier_examples(facts, spark.createDataFrame([("p", "stands in")], "p string, phrase string"), sig, classes=True).collect()
+    assert {(r["label"], r["text"]) for r in made} == {("VALID", "[REL] p [/REL] A [E1]tool[/E1] stands in a [E2]shed[/E2]."), ("INVALID", "[REL] q [/REL] A [E1]tool[/E1] stands in a [E2]shed[/E2].")}

@@ -35,3 +35,23 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_models_beat_chance(spark):
     assert registry.QUERIES["train_tagger"](spark, DATA).first()["accuracy"] > 0.9
+    f1 = {r["system"]: r["f1"] for r in registry.QUERIES["train_verifier"](spark, DATA).collect()}
+    assert f1["rule"] > 0.5 and f1["model"] > 0.5
+    claims = registry.QUERIES["score_claims"](spark, DATA).collect()
+    assert claims and all(0 <= r["p_valid"] <= 1 and r["confidence"] >= 0.5 and (r["verdict"] == "VALID") == (r["p_valid"] >= 0.5) for r in claims)
+    tags = registry.QUERIES["tag_sentences"](spark, DATA).collect()
+    assert {r["label"] for r in tags} <= {"REGION", "NATION", "CUSTOMER", "SUPPLIER", "ORDER"} and len(tags) > 100
+
+
+def test_splits_leak_nothing(spark):
+    assert all(r["leaked"] == 0 for r in registry.QUERIES["leakage_audit"](spark, DATA).collect())
+
+
+def test_partitions_change_nothing(spark):
+    names, before = ["sample_documents", "chunk_documents", "per_story"], spark.conf.get("spark.sql.shuffle.partitions")
+    one = {n: sorted(map(tuple, registry.QUERIES[n](spark, DATA).collect())) for n in names}
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert one == {n: sorted(map(tuple, registry.QUERIES[n](spark, DATA).collect())) for n in names}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

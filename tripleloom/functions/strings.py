@@ -74,9 +74,10 @@ def sentence_id(stem: Column, number: Column) -> Column:
 
 
 def md5_mod(key: Column, n: int) -> Column:
-    """The 128-bit md5 of a text, as a number, mod n; by halves, as no number type holds it."""
-    half = lambda at: F.conv(F.substring(F.md5(key), at, 16), 16, 10).cast("decimal(20,0)")
-    return ((half(1) % n * (2**64 % n) + half(17) % n) % n).cast("int")
+    """The 128-bit md5 of a text, as a number, mod n (below 2^19); by three parts, as no number type holds it."""
+    digest = F.md5(key)
+    part = lambda at, size: F.conv(F.substring(digest, at, size), 16, 10).cast("bigint") % n
+    return ((part(1, 10) * (2**88 % n) + part(11, 11) * (2**44 % n) + part(22, 11)) % n).cast("int")
 
 
 def hash_split(key: Column, train: float = 0.70, val: float = 0.15, buckets: int = 100) -> Column:

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import hash_split, md5_mod, parse_marked, pick, strip_markers, verifier_text
+from ..functions.strings import MARKED, hash_split, md5_mod, pick, strip_markers, verifier_text
 
 #: Fixed values of this package: clauses for the harder tiers.
 DISTRACTORS = [", as many records show,", ", after a long review,", ", unlike some others,"]
 SUBORDINATES = ["Although the files are old, ", "While nobody asked, ", "Because the audit said so, "]
 OBJECT_TEMPLATES = ["A {s} {phrase} a {o}.", "Every {s} {phrase} some {o}.", "Some {s} {phrase} a {o}."]
 DATA_TEMPLATES = ["A {s} has a {phrase}.", "The {phrase} of a {s} is a value."]
+FACT_TEMPLATES = ["{s} {phrase} {o}.", "As is known, {s} {phrase} {o}."]
+#: What may stand between the relation and the sentence of a verifier's text.
+LEADS = ["", "It is said that ", "Records show that "]
 SUBCLASS_TEMPLATES = ["Every {s} is a {o}.", "A {s} is a kind of {o}."]
 
 
@@ -27,42 +30,50 @@ def verbalize_schema(triples: DataFrame) -> DataFrame:
     return rows.select("s", "p", "o", "variant", fill(F.col("template"), F.lower("s"), F.col("phrase"), F.lower("o")).alias("text"))
 
 
-def sample_documents(items: DataFrame, n_docs: int, seed: str, key: Column) -> DataFrame:
-    """(doc, position, item columns…): each of n_docs documents takes 9 to 12 items without repeats, ranked by a hash of seed,
-    document and item. The items are a schema, so n_docs copies of them stay small."""
-    docs = items.sparkSession.range(n_docs).select(F.col("id").alias("doc"))
-    rows = docs.crossJoin(F.broadcast(items)).withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), "doc", key)))
-    size = 9 + md5_mod(F.concat_ws("|", F.lit(seed), F.col("doc")), 4)
-    ranked = rows.withColumn("position", F.row_number().over(Window.partitionBy("doc").orderBy("_h")))
-    return ranked.filter(F.col("position") <= size).drop("_h")
+def hashed_items(docs: DataFrame, items: DataFrame, seed: str, key: Column) -> DataFrame:
+    """(doc, size, items): each document with the items in an order of its own, by a hash of seed, document and item, and how many of
+    them it takes, 9 to 12. The items are a schema: one row holds them all."""
+    one = items.agg(F.collect_list(F.struct(key.alias("_k"), F.struct(*items.columns).alias("item"))).alias("items"))
+    rows = docs.select("doc").crossJoin(F.broadcast(one))  # one row
+    ordered = F.array_sort(F.transform("items", lambda x: F.struct(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc"), x["_k"])).alias("h"), x["item"].alias("item"))))
+    return rows.select("doc", (9 + md5_mod(F.concat_ws("|", F.lit(seed), F.col("doc")), 4)).alias("size"), ordered.alias("items"))
 
 
-def stratified_documents(items: DataFrame, quotas: dict[str, int], n_docs: int, seed: str, key: Column, stratum: str) -> DataFrame:
+def sample_documents(docs: DataFrame, items: DataFrame, seed: str, key: Column) -> DataFrame:
+    """(doc, position, item columns…): each document (doc) takes 9 to 12 items without repeats, in hashed order."""
+    rows = hashed_items(docs, items, seed, key).select("doc", F.posexplode(F.slice("items", F.lit(1), F.col("size"))).alias("at", "x"))
+    return rows.select("doc", (F.col("at") + 1).alias("position"), "x.item.*")
+
+
+def stratified_documents(docs: DataFrame, items: DataFrame, quotas: dict[str, int], seed: str, key: Column, stratum: str) -> DataFrame:
     """(doc, position, item columns…): a fixed quota from each stratum, the rest up to 9 to 12 from all others, in hashed order."""
-    docs = items.sparkSession.range(n_docs).select(F.col("id").alias("doc"))
-    rows = docs.crossJoin(F.broadcast(items)).withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), "doc", key)))
-    quota = F.coalesce(*[F.when(F.col(stratum) == s, F.lit(n)) for s, n in quotas.items()], F.lit(0))
-    own = F.row_number().over(Window.partitionBy("doc", stratum).orderBy("_h")) <= quota
-    size = 9 + md5_mod(F.concat_ws("|", F.lit(seed), F.col("doc")), 4)
-    rows = rows.withColumn("_own", own)
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("_own"), "_h"))).filter(F.col("_r") <= size)
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("doc").orderBy("_h"))).drop("_h", "_own", "_r")
-
-
-def verbalize_facts(facts: DataFrame, labels: DataFrame, phrases: DataFrame, symmetric: DataFrame) -> DataFrame:
-    """(p, s, o, text): one sentence for each fact; of a symmetric property's two directions the first by name."""
+    rows = hashed_items(docs, items, seed, key)
+
+    def first(name: str, n: int) -> Column:
+        return F.slice(F.filter("items", lambda x: x["item"][stratum] == name), 1, n)
+
+    rows = rows.withColumn("own", F.array_sort(F.concat(*[first(name, n) for name, n in quotas.items()])))
+    rest = F.filter("items", lambda x: ~F.array_contains("own", x))
+    chosen = F.array_sort(F.slice(F.concat("own", rest), F.lit(1), F.col("size")))
+    return rows.select("doc", F.posexplode(chosen).alias("at", "x")).select("doc", (F.col("at") + 1).alias("position"), "x.item.*")
+
+
+def verbalize_facts(facts: DataFrame, labels: DataFrame, phrases: DataFrame, symmetric: DataFrame, templates: list[str] = FACT_TEMPLATES[:1]) -> DataFrame:
+    """(p, s, o, variant, text): a sentence for each fact and template; of a symmetric property's two directions the first by name."""
     marked = facts.join(F.broadcast(symmetric.withColumn("sym", F.lit(True))), "p", "left")
     unordered = F.when(F.col("sym"), F.struct(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"))).otherwise(F.struct(F.col("s").alias("a"), F.col("o").alias("b")))
     once = marked.groupBy("p", unordered.alias("k")).agg(F.min(F.struct("s", "o")).alias("f")).select("p", "f.s", "f.o")
     names = labels.select("ind", "label")
     rows = once.join(names.select(F.col("ind").alias("s"), F.col("label").alias("sl")), "s").join(names.select(F.col("ind").alias("o"), F.col("label").alias("ol")), "o")
-    return rows.join(F.broadcast(phrases), "p").select("p", "s", "o", F.concat_ws(" ", "sl", "phrase", F.concat("ol", F.lit("."))).alias("text"))
+    rows = rows.join(F.broadcast(phrases), "p").select("p", "s", "o", "sl", "phrase", "ol", F.posexplode(F.array(*map(F.lit, templates))).alias("variant", "t"))
+    return rows.select("p", "s", "o", "variant", fill(F.col("t"), F.col("sl"), F.col("phrase"), F.col("ol")).alias("text"))
 
 
-def chunk_documents(sentences: DataFrame, bucket: Column, size: int = 10) -> DataFrame:
-    """(bucket, doc, position, columns…): sentences in hashed order within each bucket, cut into documents of `size`. Buckets bound
-    each sort, so no global order is needed."""
-    rows = sentences.withColumn("bucket", bucket).withColumn("_h", F.md5("text"))
+def chunk_documents(sentences: DataFrame, size: int = 10, per_bucket: int = 10_000) -> DataFrame:
+    """(bucket, doc, position, columns…): sentences in hashed order within each bucket, cut into documents of `size`. There is a bucket
+    (by a hash of the text) for each `per_bucket` sentences, which bounds each sort, so no global order is needed."""
+    n = max(1, -(-sentences.count() // per_bucket))
+    rows = sentences.withColumn("bucket", md5_mod(F.col("text"), n)).withColumn("_h", F.md5("text"))
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy("_h", *sentences.columns)) - 1
     return rows.withColumn("_r", rank).withColumn("doc", F.floor(F.col("_r") / size).cast("int")).withColumn("position", (F.col("_r") % size + 1).cast("int")).drop("_h", "_r")
 
@@ -82,50 +93,66 @@ def hard_negatives(signature: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(F.broadcast(options), "p").select(*keys.columns, "neg_type", chosen.alias("q"))
 
 
-def verifier_examples(facts: DataFrame, phrases: DataFrame, signature: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def verifier_examples(facts: DataFrame, phrases: DataFrame, signature: DataFrame, carry: tuple[str, ...] = (), leads: list[str] = LEADS[:1], classes: bool = False) -> DataFrame:
     """(key, text, label, candidate_relation, sentence_relation, subject, object, neg_type, carry…) from (key, p, subject, object):
-    a VALID row for each fact and an INVALID one for each of its hard negatives."""
+    a VALID row for each fact and lead, and an INVALID one for each of its hard negatives, with a lead by a hash. classes: subjects
+    and objects are classes, which take an article."""
     base = facts.join(F.broadcast(phrases), "p")
-    text = lambda rel: verifier_text(rel, F.col("subject"), F.col("phrase"), F.col("object"), False)
+    text = lambda rel: verifier_text(rel, F.col("subject"), F.col("phrase"), F.col("object"), classes)
     common = ["key", "subject", "object", *carry]
     valid = base.select(*common, F.col("p").alias("candidate_relation"), F.col("p").alias("sentence_relation"), text(F.col("p")).alias("text"), F.lit("VALID").alias("label"), F.lit(None).cast("string").alias("neg_type"))
     false = hard_negatives(signature, base).select(*common, F.col("q").alias("candidate_relation"), F.col("p").alias("sentence_relation"), text(F.col("q")).alias("text"), F.lit("INVALID").alias("label"), "neg_type")
+    if leads != [""]:
+        led = lambda lead: F.regexp_replace("text", r"^(\[REL\] .*? \[/REL\] )", F.concat(F.lit("$1"), lead))
+        valid = valid.withColumn("lead", F.explode(F.array(*map(F.lit, leads)))).withColumn("text", led(F.col("lead"))).drop("lead")
+        false = false.withColumn("text", led(pick(leads, F.concat_ws("|", "key", "neg_type"))))
     return valid.unionByName(false)
 
 
-def rebuilt(parts: Column, e1_tail: Column, mid: Column) -> Column:
-    return F.concat(parts["head"], F.lit("[E1]"), parts["e1"], F.lit("[/E1]"), e1_tail, mid, F.lit("[E2]"), parts["e2"], F.lit("[/E2]"), parts["tail"])
+def implicit(text: Column, synonym: Column) -> Column:
+    """The words between the arguments of a marked text in other words; a text without marks stays."""
+    plain = F.replace(F.replace(synonym, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return F.regexp_replace(text, F.lit(MARKED), F.concat(F.lit("$1[E1]$2[/E1] "), plain, F.lit(" [E2]$4[/E2]$5")))
+
+
+def distant(text: Column) -> Column:
+    """A clause behind the first argument of a marked text; a text without marks stays."""
+    return F.regexp_replace(text, F.lit(MARKED), F.concat(F.lit("$1[E1]$2[/E1]"), pick(DISTRACTORS, text), F.lit("$3[E2]$4[/E2]$5")))
 
 
 def tier_implicit(examples: DataFrame, synonyms: DataFrame, by: str = "sentence_relation") -> DataFrame:
     """The relation in other words; rows whose relation has none are dropped. by: the relation the sentence states, or, as a
     known quirk, the candidate."""
     rows = examples.join(F.broadcast(synonyms.withColumnRenamed("p", by)), by)
-    m = parse_marked(F.col("text"))
-    text = rebuilt(m, F.lit(""), F.concat(F.lit(" "), F.col("synonym"), F.lit(" ")))
-    return rows.withColumn("text", text).drop("synonym").withColumn("complexity_tier", F.lit("implicit")).select(*examples.columns, "complexity_tier")
+    return rows.withColumn("text", implicit(F.col("text"), F.col("synonym"))).drop("synonym").withColumn("complexity_tier", F.lit("implicit")).select(*examples.columns, "complexity_tier")
 
 
 def tier_long_distance(examples: DataFrame) -> DataFrame:
     """A clause behind the first argument."""
-    m = parse_marked(F.col("text"))
-    return examples.withColumn("text", rebuilt(m, pick(DISTRACTORS, F.col("text")), m["mid"])).withColumn("complexity_tier", F.lit("long_distance"))
+    return examples.withColumn("text", distant(F.col("text"))).withColumn("complexity_tier", F.lit("long_distance"))
 
 
 def tier_nested(examples: DataFrame) -> DataFrame:
     """A subordinate clause before the sentence, behind the relation in front."""
-    head = F.regexp_extract("text", r"(?s)^(\[REL\].*?\[/REL\] ?)?(.*)$", 1)
-    rest = F.regexp_extract("text", r"(?s)^(\[REL\].*?\[/REL\] ?)?(.*)$", 2)
-    return examples.withColumn("text", F.concat(head, pick(SUBORDINATES, F.col("text")), rest)).withColumn("complexity_tier", F.lit("nested"))
+    return examples.withColumn("text", nested(F.col("text"))).withColumn("complexity_tier", F.lit("nested"))
+
+
+def nested(text: Column) -> Column:
+    head = F.regexp_extract(text, r"(?s)^(\[REL\].*?\[/REL\] ?)?(.*)$", 1)
+    rest = F.regexp_extract(text, r"(?s)^(\[REL\].*?\[/REL\] ?)?(.*)$", 2)
+    return F.concat(head, pick(SUBORDINATES, text), rest)
 
 
 def augment_tiers(examples: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """The explicit rows and their three harder forms. Rows that carry another tier are left out first, so that a second run
+    """The explicit rows and their three harder forms, all from one pass. Rows that carry another tier are left out first, so that a second run
     over its own result changes nothing."""
     if "complexity_tier" in examples.columns:
         examples = examples.filter(F.coalesce("complexity_tier", F.lit("explicit")).isin("explicit", "tier_1")).drop("complexity_tier")
-    base = examples.withColumn("complexity_tier", F.lit("explicit"))
-    return base.unionByName(tier_implicit(examples, synonyms)).unionByName(tier_long_distance(examples)).unionByName(tier_nested(examples))
+    tiers = F.array_compact(F.array(F.lit("explicit"), F.when(F.col("synonym").isNotNull(), "implicit"), F.lit("long_distance"), F.lit("nested")))
+    rows = examples.join(F.broadcast(synonyms.withColumnRenamed("p", "sentence_relation")), "sentence_relation", "left")
+    tier, text = F.col("complexity_tier"), F.col("text")
+    form = F.when(tier == "implicit", implicit(text, F.col("synonym"))).when(tier == "long_distance", distant(text)).when(tier == "nested", nested(text)).otherwise(text)
+    return rows.withColumn("complexity_tier", F.explode(tiers)).withColumn("text", form).select(*examples.columns, "complexity_tier")
 
 
 def with_split(examples: DataFrame, on: str = "fact", buckets: int = 100, train: float = 0.70, val: float = 0.15) -> DataFrame:
@@ -155,6 +182,11 @@ def split_table(rows: DataFrame) -> DataFrame:
     )
 
 
+def positives_by_relation(rows: DataFrame) -> DataFrame:
+    """(split, relation, n_pos): how many VALID rows each relation has in each split."""
+    return rows.filter("label = 'VALID'").groupBy("split", F.col("candidate_relation").alias("relation")).agg(F.count("*").alias("n_pos"))
+
+
 def split_percent(rows: DataFrame) -> DataFrame:
     """(split, n, percent)"""
     counts = rows.groupBy("split").agg(F.count("*").alias("n"))
@@ -167,10 +199,11 @@ def tier_by_split(rows: DataFrame) -> DataFrame:
 
 
 def dataset_stats(rows: DataFrame) -> DataFrame:
-    """(metric, key, value): labels, negative types, splits, and distinct texts by split."""
+    """(metric, key, value): labels, negative types, splits, and distinct texts and sentences (texts without marks) by split."""
     count = lambda metric, c: rows.filter(F.col(c).isNotNull()).groupBy(F.lit(metric).alias("metric"), F.col(c).alias("key")).agg(F.count("*").alias("value"))
     texts = rows.groupBy(F.lit("distinct_texts").alias("metric"), F.col("split").alias("key")).agg(F.countDistinct("text").alias("value"))
-    return count("label", "label").unionByName(count("neg_type", "neg_type")).unionByName(count("split", "split")).unionByName(texts)
+    sentences = rows.groupBy(F.lit("sentences").alias("metric"), F.col("split").alias("key")).agg(F.countDistinct(strip_markers(F.col("text"), whole_head=True)).alias("value"))
+    return count("label", "label").unionByName(count("neg_type", "neg_type")).unionByName(count("split", "split")).unionByName(texts).unionByName(sentences)
 
 
 def length_budget(texts: DataFrame, text: str, exact: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import type_literal
+from ..sources.files import saved
 
 COLUMNS = ["s", "p", "o", "o_kind", "o_dtype"]
 
@@ -18,7 +19,7 @@ def iri_triples(df: DataFrame) -> DataFrame:
 
 def gate(triples: DataFrame, signature: DataFrame, closed: DataFrame) -> DataFrame:
     """(s, p, o, accepted): whether subject and object have the types of the property's signature; a missing side passes."""
-    sided = triples.join(F.broadcast(signature), "p", "left")
+    sided = triples.join(signature, "p", "left")
     for side, end in (("domain", "s"), ("range", "o")):
         typed = closed.select(F.col("ind").alias(end), F.col("cls").alias(side), F.lit(True).alias(f"{side}_ok"))
         sided = sided.join(typed, [end, side], "left")
@@ -51,8 +52,9 @@ def attribute_triples(used: DataFrame, attributes: DataFrame) -> DataFrame:
 
 def build_kg(triples: DataFrame, signature: DataFrame, closed: DataFrame, labels: DataFrame, subclass: DataFrame, attributes: DataFrame) -> DataFrame:
     """The graph of the accepted triples with their individuals' types, labels and attributes, and the classes' axioms."""
-    accepted = gate(triples, signature, closed).filter("accepted").select("s", "p", "o").persist()
-    used = used_individuals(accepted).persist()
+    accepted = gate(triples, signature, closed).filter("accepted").select("s", "p", "o")
+    accepted = saved(accepted)
+    used = saved(used_individuals(accepted))
     types = type_triples(used, closed)
     parts = [iri_triples(accepted), types, label_triples(used, labels), subclass_triples(types, subclass), attribute_triples(used, attributes)]
     return reduce(DataFrame.unionByName, parts).dropDuplicates()
@@ -74,13 +76,13 @@ def make_shapes(signature: DataFrame) -> DataFrame:
 def infer_types(kg: DataFrame, ancestors: DataFrame) -> DataFrame:
     """(ind, cls): the types that follow from the graph's own type edges along subclass axioms."""
     own = kg.filter("p = 'rdf:type'").select(F.col("s").alias("ind"), F.col("o").alias("cls"))
-    return own.union(own.join(F.broadcast(ancestors), "cls").select("ind", "anc")).distinct()
+    return own.union(own.join(ancestors, "cls").select("ind", "anc")).distinct()
 
 
 def validate_shapes(kg: DataFrame, shapes: DataFrame, types: DataFrame) -> DataFrame:
     """(s, path, o, required_class, message): values of a path, at nodes of the target class, that lack the required class.
     Subjects of another class aren't looked at."""
-    rows = kg.filter("o_kind = 'iri'").join(F.broadcast(shapes), kg["p"] == shapes["path"]).select("s", "path", "o", "target_class", "required_class", "message")
+    rows = kg.filter("o_kind = 'iri'").join(shapes, kg["p"] == shapes["path"]).select("s", "path", "o", "target_class", "required_class", "message")
     rows = rows.join(types.select(F.col("ind").alias("s"), F.col("cls").alias("target_class")), ["s", "target_class"], "left_semi")
     return rows.join(types.select(F.col("ind").alias("o"), F.col("cls").alias("required_class")), ["o", "required_class"], "left_anti").select("s", "path", "o", "required_class", "message")
 

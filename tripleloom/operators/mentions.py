@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"(?U)\w+|[^\w\s]"
-KIND = "array<struct<start:int,end:int>>"
+PIECES = "array<struct<start:int,end:int,token:string,gap:string>>"
+#: Tokens whose places are summed together.
+BLOCK = 256
 
 
 def sentence_split(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -20,22 +22,35 @@ def sentence_split(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def tokens(text: Column) -> Column:
-    """array<struct<start,end>> of words and single symbols, by one pass that marks the token ends and sums the lengths of the parts."""
+    """array<struct<start, end, token, gap>> of words and single symbols, with what stands behind each. The text is cut once;
+    places are summed block by block, so that long texts take time in proportion to their length."""
     parts = F.split(F.regexp_replace(text, f"({TOKEN})", "\u0001$1\u0002"), "\u0001")
-    first = F.struct(F.length(F.element_at(parts, 1)).alias("at"), F.array().cast(KIND).alias("found"))
+    return F.element_at(F.transform(F.array(parts), places), 1)
+
+
+def places(parts: Column) -> Column:
+    """The same from a text's parts, each of which but the first begins with a token that ends at a mark."""
+    body = F.slice(parts, F.lit(2), F.size(parts))
+    last = F.ceil(F.size(body) / BLOCK).cast("int") - 1
+    blocks = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(body, b * BLOCK + 1, F.lit(BLOCK))))
+    sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x) - 1))
+    first = F.struct(F.length(F.element_at(parts, 1)).alias("at"), F.array().cast("array<int>").alias("found"))
+    starts = F.aggregate(sizes, first, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["found"], F.array(s["at"])).alias("found")), lambda s: s["found"])
 
     def step(state: Column, part: Column) -> Column:
         size = F.instr(part, "\u0002") - 1
-        span = F.struct(state["at"].alias("start"), (state["at"] + size).cast("int").alias("end"))
+        span = F.struct(state["at"].alias("start"), (state["at"] + size).cast("int").alias("end"), F.substring_index(part, "\u0002", 1).alias("token"), F.substring_index(part, "\u0002", -1).alias("gap"))
         return F.struct((state["at"] + F.length(part) - 1).alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
 
-    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), first, step, lambda s: s["found"])
+    def spans(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(PIECES).alias("found")), step, lambda s: s["found"])
+
+    return F.when(F.size(parts) <= BLOCK, spans(body, F.length(F.element_at(parts, 1)))).otherwise(F.flatten(F.zip_with(blocks, starts, spans)))
 
 
 def token_rows(sentences: DataFrame, key: list[str], text: str = "sentence") -> DataFrame:
     """(key…, pos, token, start, end)"""
-    rows = sentences.select(*key, F.col(text).alias("_t"), F.posexplode(tokens(F.col(text))).alias("pos", "x"))
-    return rows.select(*key, "pos", F.substr("_t", F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("token"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    return sentences.select(*key, F.posexplode(tokens(F.col(text))).alias("pos", "x")).select(*key, "pos", "x.token", "x.start", "x.end")
 
 
 def keep_longest(spans: Column) -> Column:
@@ -53,25 +68,38 @@ def keep_longest(spans: Column) -> Column:
 def detect_mentions(sentences: DataFrame, dictionary: DataFrame, key: list[str], longest: int, text: str = "sentence") -> DataFrame:
     """(key…, text, mentions array<struct<start, end, surface, entries>>): whole-word dictionary matches, case apart, chosen greedily.
 
-    Token n-grams meet surfaces by an equi-join, so the cost grows with the text, not with text times dictionary. A first
-    token that begins no surface is dropped before n-grams are made. Sentences without mentions stay, with null. Rows of one
-    key must be one sentence."""
-    spans = sentences.select(*key, F.col(text).alias("text"), tokens(F.col(text)).alias("t"))
-    n = F.size("t")
-    starts = spans.select(*key, "text", "t", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("i"))
-    at = F.element_at("t", F.col("i"))
-    starts = starts.withColumn("head", F.lower(F.substr("text", at["start"] + 1, at["end"] - at["start"])))
+    Token n-grams meet surfaces by an equi-join, so the cost grows with the text, not with text times dictionary. A token carries
+    only the words behind it, and one that begins no surface is dropped before n-grams are made. Sentences without mentions
+    stay, with null. Rows of one key must be one sentence."""
+    def begun(t: Column, i: Column) -> Column:
+        return F.struct(F.lower(t["token"]).alias("head"), F.slice(F.col("t"), i + 1, F.lit(longest)).alias("after"))
+
+    starts = sentences.select(*key, tokens(F.col(text)).alias("t")).select(*key, F.inline(F.transform("t", begun)))
     heads = dictionary.select(F.lower(F.regexp_extract("surface", f"({TOKEN})", 1)).alias("head")).distinct()
-    starts = starts.join(heads, "head", "left_semi")
-    grams = starts.select(
-        *key, at["start"].alias("start"), F.explode(F.sequence(F.col("i"), F.least(F.col("i") + longest - 1, n))).alias("j"), "text", "t"
-    ).select(*key, "start", F.element_at("t", F.col("j"))["end"].alias("end"), "text")
-    grams = grams.select(*key, "start", "end", F.lower(F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))).alias("surface"))
+    words = F.array_join(F.transform("after", lambda x: F.concat(x["token"], x["gap"])), "")
+    starts = starts.join(heads, "head", "left_semi").select(*key, F.col("after")[0]["start"].alias("start"), words.alias("words"), F.col("after.end").alias("ends"))
+    grams = starts.select(*key, "start", "words", F.explode("ends").alias("end"))
+    grams = grams.select(*key, "start", "end", F.lower(F.substr("words", F.lit(1), F.col("end") - F.col("start"))).alias("surface"))
     found = grams.join(dictionary, "surface").groupBy(*key).agg(F.collect_list(F.struct("start", "end", "surface", "entries")).alias("spans"))
     joined = sentences.select(*key, F.col(text).alias("text")).join(found, key, "left")
     return joined.select(*key, "text", F.when(F.col("spans").isNotNull(), keep_longest(F.col("spans"))).alias("mentions"))
 
 
+def weak_stats(mentioned: DataFrame, candidates: DataFrame, key: list[str], split: Column) -> DataFrame:
+    """(metric, key, value) of sentences with mentions (key…, text, mentions) and their candidates (key…, p): numbers of sentences in
+    all, by split and by whether they have a candidate, of mentions by kind, of candidates by property, and of sentences by their
+    set of properties."""
+    count = lambda rows, metric, by: rows.groupBy(F.lit(metric).alias("metric"), by.alias("key")).agg(F.count("*").alias("value"))
+    kinds = mentioned.select(F.inline("mentions")).select(F.element_at("entries", -1)["kind"].alias("kind"))
+    sets = candidates.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("set"))
+    signals = mentioned.select(*key).join(sets, key, "left")
+    parts = [
+        count(mentioned, "sentences", F.lit("")), count(mentioned, "split", split), count(kinds, "mentions", F.col("kind")), count(candidates, "candidates", F.col("p")),
+        count(signals, "signal", F.when(F.col("set").isNull(), "none").otherwise("relation")), count(signals.filter("set is not null"), "label_set", F.col("set")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def context_mentions(sentences: DataFrame, pattern: str, allowed: DataFrame, key: list[str], text: str = "sentence") -> DataFrame:
     """(key…, surface): words that a context pattern captures and that the allowed surfaces hold."""
     found = sentences.select(*key, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("x")).select(*key, F.lower("x").alias("surface"))
@@ -123,7 +151,7 @@ def relation_candidates(mentioned: DataFrame, signature: DataFrame, key: list[st
     is_entity = lambda m: F.exists(m["entries"], lambda e: e["kind"].isin("individual", "class"))
     rows = mentioned.filter(F.size("mentions") > 2).select(*key, "text", "mentions", F.explode(F.filter("mentions", is_property)).alias("tr"))
     rows = rows.select(*key, "text", F.filter("mentions", is_entity).alias("ents"), "tr", F.filter(F.col("tr.entries"), lambda e: e["kind"] == "object_property")[0]["short"].alias("p"))
-    rows = rows.join(F.broadcast(signature), "p").filter("domain is not null and range is not null")
+    rows = rows.join(signature, "p").filter("domain is not null and range is not null")
     left = F.filter("ents", lambda m: (m["end"] <= F.col("tr.start")) & (role_fits(m, F.col("domain")) if gated else F.lit(True)))
     right = F.filter("ents", lambda m: (m["start"] >= F.col("tr.end")) & (role_fits(m, F.col("range")) if gated else F.lit(True)))
     by_end = F.array_max(F.transform(left, lambda m: F.struct(m["end"].alias("k"), m.alias("m"))))["m"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import saved
+
 TRIPLE = ["s", "p", "o"]
 
 
@@ -95,27 +97,45 @@ def reject_by_negative(rows: DataFrame) -> DataFrame:
     return g.withColumn("rate", F.col("rejected") / F.col("total"))
 
 
-def per_story(gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(story, sentence, tp, fp, fn, precision, recall, f1): one row for each text of either side, numbered in the order of
-    the texts, which are cut at 80 characters; four decimals. The numbering is one sort of the aggregated rows."""
+def story_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(text, tp, fp, fn, precision, recall, f1): one row for each text of either side; four decimals."""
     g = compared(gold, predicted, ["text", *TRIPLE]).groupBy("text").agg(*counts())
-    ranked = g.withColumn("n", F.row_number().over(Window.orderBy("text")))
     rounded = [F.round(c, 4).alias(n) for c, n in zip(prf(F.col("tp"), F.col("fp"), F.col("fn")), ("precision", "recall", "f1"), strict=True)]
-    return ranked.select(F.format_string("story_%03d", "n").alias("story"), F.substring("text", 1, 80).alias("sentence"), "tp", "fp", "fn", *rounded)
+    return g.select("text", "tp", "fp", "fn", *rounded)
+
+
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """The rows with their number, from 1, in the order of a column. They are sorted by ranges and written once; a part's rows are
+    numbered by their place in it and the sizes of the parts before, of which there are few."""
+    place = F.monotonically_increasing_id()
+    rows = saved(rows.orderBy(by).withColumn("_at", place))
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
+    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + at + 1).drop("_at", "_part", "_before")
+
+
+def per_story(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """(story, sentence, tp, fp, fn, precision, recall, f1): the scores of each text, numbered in the order of the texts, which
+    are cut at 80 characters."""
+    ranked = numbered(story_scores(gold, predicted), "text", "n")
+    return ranked.select(F.format_string("story_%03d", "n").alias("story"), F.substring("text", 1, 80).alias("sentence"), "tp", "fp", "fn", "precision", "recall", "f1")
 
 
 def story_summary(stories: DataFrame) -> DataFrame:
-    """(stories, perfect, precision, recall, f1, macro_f1) over per-story rows."""
+    """(stories, perfect, precision, recall, f1, macro_f1) over `story_scores`."""
     g = stories.agg(F.count("*").alias("stories"), F.count(F.when((F.col("fp") == 0) & (F.col("fn") == 0), 1)).alias("perfect"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.round(F.avg("f1"), 6).alias("macro_f1"))
     return g.select("stories", "perfect", *prf(F.col("tp"), F.col("fp"), F.col("fn")), "macro_f1")
 
 
 def compare_systems(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """(system, tp, fp, fn, precision, recall, f1, rank) from predictions with a system column; equal F1 share a rank."""
-    systems = predicted.select("system").distinct()
-    wanted = gold.select("text", *TRIPLE).distinct().crossJoin(F.broadcast(systems)).withColumn("g", F.lit(1))
-    both = wanted.join(predicted.select("system", "text", *TRIPLE).distinct().withColumn("x", F.lit(1)), ["system", "text", *TRIPLE], "full_outer").na.fill(0, ["g", "x"])
-    g = both.groupBy("system").agg(*counts()).select("system", "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+    own = gold.select("text", *TRIPLE).distinct().withColumn("g", F.lit(1))
+    total = own.agg(F.count("*").alias("total"))
+    both = predicted.select("system", "text", *TRIPLE).distinct().join(own, ["text", *TRIPLE], "left")
+    g = both.groupBy("system").agg(F.count("g").alias("tp"), F.count("*").alias("n")).crossJoin(total)  # one row
+    g = g.select("system", "tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("total") - F.col("tp")).alias("fn"))
+    g = g.select("system", "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
     return g.withColumn("rank", F.rank().over(Window.orderBy(F.desc("f1"))))
 
 

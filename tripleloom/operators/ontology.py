@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import camel_to_words, display_name
+from ..sources.files import saved
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """(cls, anc) for (child, parent): all ancestors, also over cycles. Paths double in each round, so rounds grow with the
     logarithm of the depth; stops when a round adds nothing."""
-    pairs = edges.select(F.col("child").alias("cls"), F.col("parent").alias("anc")).distinct().cache()
+    pairs = edges.select(F.col("child").alias("cls"), F.col("parent").alias("anc")).distinct()
+    pairs = saved(pairs)
     n = pairs.count()
     while True:
         longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.anc") == F.col("b.cls")).select("a.cls", "b.anc")
-        pairs = pairs.union(longer).distinct().cache()
+        pairs = saved(pairs.union(longer).distinct())
         if (m := pairs.count()) == n:
             return pairs
         n = m
@@ -24,7 +26,7 @@ def closure(edges: DataFrame) -> DataFrame:
 def type_closure(types: DataFrame, ancestors: DataFrame, classes: DataFrame) -> DataFrame:
     """(ind, cls): all types of individuals, and of classes taken as nodes."""
     own = types.select("ind", "cls")
-    more = own.join(F.broadcast(ancestors), "cls").select("ind", F.col("anc").alias("cls"))
+    more = own.join(ancestors, "cls").select("ind", F.col("anc").alias("cls"))
     nodes = classes.select(F.col("name").alias("ind"), F.col("name").alias("cls")).union(ancestors.select("cls", "anc"))
     return own.union(more).union(nodes).distinct()
 
@@ -32,7 +34,7 @@ def type_closure(types: DataFrame, ancestors: DataFrame, classes: DataFrame) ->
 def most_specific_class(types: DataFrame, ancestors: DataFrame) -> DataFrame:
     """(ind, cls): the asserted class (ind, cls, pos) with most ancestors, the first of equals; `Entity` where none is asserted."""
     depth = ancestors.groupBy("cls").agg(F.count("*").alias("depth"))
-    ranked = types.join(F.broadcast(depth), "cls", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    ranked = types.join(depth, "cls", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     best = F.max_by("cls", F.when(F.col("cls").isNotNull(), F.struct("depth", -F.col("pos"))))
     return ranked.groupBy("ind").agg(F.coalesce(best, F.lit("Entity")).alias("cls"))
 
@@ -67,6 +69,13 @@ def inverse_groups(inverse: DataFrame) -> DataFrame:
     return both.groupBy("a").agg(F.array_join(F.array_sort(F.collect_set("b")), ",").alias("inverses"))
 
 
+def vocabulary(signature: DataFrame, data_signature: DataFrame, phrases: DataFrame, inverse: DataFrame) -> DataFrame:
+    """(p, kind, label, phrase, inverses): all properties by name, with their words as label; '' where there is no phrase or inverse."""
+    rows = signature.select("p", F.lit("object_property").alias("kind")).union(data_signature.select("p", F.lit("datatype_property")))
+    rows = rows.join(phrases, "p", "left").join(inverse_groups(inverse).withColumnRenamed("a", "p"), "p", "left")
+    return rows.select("p", "kind", camel_to_words(F.col("p")).alias("label"), F.coalesce("phrase", F.lit("")).alias("phrase"), F.coalesce("inverses", F.lit("")).alias("inverses")).orderBy("p")
+
+
 def missing_signature(signature: DataFrame) -> DataFrame:
     """(p, side): the sides that a property doesn't state."""
     sides = F.array(F.when(F.col("domain").isNull(), "domain"), F.when(F.col("range").isNull(), "range"))
@@ -82,7 +91,7 @@ def inverse_consistency(inverse: DataFrame, signature: DataFrame) -> DataFrame:
 
 def assertion_violations(facts: DataFrame, signature: DataFrame, closed: DataFrame) -> DataFrame:
     """(p, s, o, side): one row for each side of a fact whose individual lacks the required class."""
-    typed = facts.join(F.broadcast(signature), "p")
+    typed = facts.join(signature, "p")
     sides = []
     for side, end in (("domain", "s"), ("range", "o")):
         need = typed.filter(F.col(side).isNotNull()).withColumn("ind", F.col(end)).withColumn("cls", F.col(side))

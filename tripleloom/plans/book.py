@@ -26,10 +26,10 @@ class Book:
         return put
 
 
-def md5_mod(expr: str, n: int) -> str:
-    """DuckDB: the 128-bit md5 of a text mod n."""
+def md5_mod(expr: str, n: int | str) -> str:
+    """DuckDB: the 128-bit md5 of a text mod n, a number or a column."""
     half = lambda at: f"('0x' || substr(md5({expr}), {at}, 16))::UBIGINT"
-    return f"((({half(1)} % {n})::HUGEINT * {2**64 % n} + {half(17)} % {n}) % {n})::INTEGER"
+    return f"((({half(1)} % {n})::HUGEINT * {2**64 % n if isinstance(n, int) else f"(18446744073709551616::HUGEINT % {n})"} + {half(17)} % {n}) % {n})::INTEGER"
 
 
 def pick(options: list[str], expr: str) -> str:

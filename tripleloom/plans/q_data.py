@@ -37,34 +37,39 @@ def verbalize_schema(star):
     return ds.verbalize_schema(rows).join(rows.select("s", "p", "o", "n_facts"), ["s", "p", "o"])
 
 
+def doc_ids(star: Star) -> DataFrame:
+    return star.table("documents").select(F.col("doc_id").alias("doc")).distinct()
+
+
 SIZE = "9 + " + md5_mod("'7|' || doc", 4)
 
 
-@book.add(sql(f"""WITH {SCHEMA}, docs AS (SELECT range AS doc FROM range(200)), r AS (SELECT doc, s, p, o, row_number() OVER (PARTITION BY doc ORDER BY md5('7|' || doc || '|' || s || '|' || p || '|' || o)) AS position FROM docs, sp)
+@book.add(sql(f"""WITH {SCHEMA}, docs AS (SELECT DISTINCT doc_id AS doc FROM documents), r AS (SELECT doc, s, p, o, row_number() OVER (PARTITION BY doc ORDER BY md5('7|' || doc || '|' || s || '|' || p || '|' || o)) AS position FROM docs, sp)
 SELECT doc, s, p, o, position::INTEGER AS position FROM r WHERE position <= {SIZE}""", *SCHEMA_NEEDS))
 def sample_documents(star):
-    return ds.sample_documents(schema_phrases(star).select("s", "p", "o"), 200, "7", F.concat_ws("|", "s", "p", "o"))
+    return ds.sample_documents(doc_ids(star), schema_phrases(star).select("s", "p", "o"), "7", F.concat_ws("|", "s", "p", "o"))
 
 
-@book.add(sql(f"""WITH {SCHEMA}, docs AS (SELECT range AS doc FROM range(200)), k AS (SELECT s, p, o, CASE WHEN n_facts > 0 THEN 'used' WHEN p = 'rdfs:subClassOf' THEN 'subclass' ELSE 'other' END AS stratum FROM sp),
+@book.add(sql(f"""WITH {SCHEMA}, docs AS (SELECT DISTINCT doc_id AS doc FROM documents), k AS (SELECT s, p, o, CASE WHEN n_facts > 0 THEN 'used' WHEN p = 'rdfs:subClassOf' THEN 'subclass' ELSE 'other' END AS stratum FROM sp),
 h AS (SELECT doc, s, p, o, stratum, md5('7|' || doc || '|' || s || '|' || p || '|' || o) AS h FROM docs, k), q AS (SELECT *, row_number() OVER (PARTITION BY doc, stratum ORDER BY h) <= CASE stratum WHEN 'used' THEN 5 WHEN 'subclass' THEN 2 ELSE 1 END AS own FROM h),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY own DESC, h) AS r FROM q) SELECT doc, s, p, o, stratum, row_number() OVER (PARTITION BY doc ORDER BY h)::INTEGER AS position FROM r WHERE r <= {SIZE}""", *SCHEMA_NEEDS))
 def stratified_documents(star):
     stratum = F.when(F.col("n_facts") > 0, "used").when(F.col("p") == "rdfs:subClassOf", "subclass").otherwise("other")
     rows = schema_phrases(star).select("s", "p", "o", stratum.alias("stratum"))
-    return ds.stratified_documents(rows, {"used": 5, "subclass": 2, "other": 1}, 200, "7", F.concat_ws("|", "s", "p", "o"), "stratum")
+    return ds.stratified_documents(doc_ids(star), rows, {"used": 5, "subclass": 2, "other": 1}, "7", F.concat_ws("|", "s", "p", "o"), "stratum")
 
 
-@book.add(sql("""WITH once AS (SELECT p, min([s, o]) AS k FROM facts WHERE p = 'tradesWith' GROUP BY p, least(s, o), greatest(s, o)), f AS (SELECT p, s, o FROM facts WHERE p IN ('inRegion', 'basedIn', 'placedBy') UNION ALL SELECT p, k[1], k[2] FROM once)
-SELECT p, s, o, x.label || ' ' || phrase || ' ' || y.label || '.' AS text FROM f JOIN inds x ON x.ind = s JOIN inds y ON y.ind = o JOIN phrases USING (p)""", "facts", "inds", "phrases"))
+@book.add(sql("""WITH once AS (SELECT p, min([s, o]) AS k FROM facts WHERE p = 'tradesWith' GROUP BY p, least(s, o), greatest(s, o)), f AS (SELECT p, s, o FROM facts WHERE p <> 'tradesWith' UNION ALL SELECT p, k[1], k[2] FROM once),
+t AS (SELECT p, s, o, x.label || ' ' || phrase || ' ' || y.label || '.' AS text FROM f JOIN inds x ON x.ind = s JOIN inds y ON y.ind = o JOIN phrases USING (p))
+SELECT p, s, o, 0 AS variant, text FROM t UNION ALL SELECT p, s, o, 1, 'As is known, ' || text FROM t""", "facts", "inds", "phrases"))
 def verbalize_facts(star):
-    return ds.verbalize_facts(star.facts("inRegion", "basedIn", "placedBy", "tradesWith"), star.individuals("Region", "Nation", "Customer", "Supplier", "Order"), star.phrases, star.symmetric)
+    return ds.verbalize_facts(star.facts(), star.individuals(), star.phrases, star.symmetric, ds.FACT_TEMPLATES)
 
 
-@book.add(sql(f"""WITH {SENTS}, h AS (SELECT *, {md5_mod("text", 16)} AS bucket FROM sents), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5(text), p, s, o) - 1 AS r FROM h)
+@book.add(sql(f"""WITH {SENTS}, n AS (SELECT greatest(1, ceil(count(*) / 10000))::UBIGINT AS n FROM sents), h AS (SELECT sents.*, {md5_mod("text", "n")} AS bucket FROM sents, n), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5(text), p, s, o) - 1 AS r FROM h)
 SELECT p, s, o, text, bucket, (r // 10)::INTEGER AS doc, (r % 10 + 1)::INTEGER AS position FROM r""", *NEEDED))
 def chunk_documents(star):
-    return ds.chunk_documents(told(star).select("p", "s", "o", "text"), fs.md5_mod(F.col("text"), 16))
+    return ds.chunk_documents(told(star).select("p", "s", "o", "text"))
 
 
 # examples with negatives, tiers and splits
@@ -107,9 +112,11 @@ def hard_negatives(star):
 COLUMNS = ["key", "text", "label", "candidate_relation", "sentence_relation", "neg_type"]
 
 
-@book.add(sql(f"WITH {EX} SELECT {', '.join(COLUMNS)} FROM ex", *EX_NEEDS))
+@book.add(sql(f"""WITH {EX}, led AS (SELECT ex.*, unnest({_list(ds.LEADS)}) AS lead FROM ex WHERE label = 'VALID' UNION ALL SELECT *, {pick(ds.LEADS, "key || '|' || neg_type")} FROM ex WHERE label = 'INVALID')
+SELECT {', '.join(COLUMNS).replace('text', "regexp_replace(text, '^(.REL. .*? ./REL. )', chr(92) || '1' || lead) AS text")} FROM led""", *EX_NEEDS))
 def verifier_examples(star):
-    return examples(star).select(*COLUMNS)
+    """With all leads."""
+    return ds.verifier_examples(keyed(star), star.phrases, star.signature, leads=ds.LEADS).select(*COLUMNS)
 
 
 @book.add(sql(f"WITH {ALL} SELECT {', '.join(COLUMNS)} FROM tiers WHERE complexity_tier = 'implicit'", *EX_NEEDS))
@@ -129,8 +136,7 @@ def tier_nested(star):
 
 @book.add(sql(f"WITH {ALL} SELECT {', '.join(COLUMNS)}, complexity_tier FROM tiers", *EX_NEEDS))
 def augment_tiers(star):
-    once = ds.augment_tiers(examples(star), star.synonyms)
-    return ds.augment_tiers(once, star.synonyms).select(*COLUMNS, "complexity_tier")
+    return ds.augment_tiers(examples(star), star.synonyms).select(*COLUMNS, "complexity_tier")
 
 
 SPLIT100 = f"CASE WHEN {md5_mod('text', 100)} < 70 THEN 'train' WHEN {md5_mod('text', 100)} < 85 THEN 'val' ELSE 'test' END"
@@ -141,9 +147,9 @@ def hash_split_100(star):
     return star.table("documents").select("doc_id", fs.hash_split(F.col("text")).alias("split"))
 
 
-@book.add(f"SELECT conv_id, turn, CASE WHEN h < 8000 THEN 'train' WHEN h < 9025 THEN 'val' ELSE 'test' END AS split FROM (SELECT conv_id, turn, {md5_mod('text', 10000)} AS h FROM conversations)")
+@book.add(f"SELECT doc_id, CASE WHEN h < 8000 THEN 'train' WHEN h < 9025 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, {md5_mod('text', 10000)} AS h FROM documents)")
 def hash_split_10000(star):
-    return star.table("conversations").select("conv_id", "turn", fs.hash_split(F.col("text"), 0.80, 0.1025, 10000).alias("split"))
+    return star.table("documents").select("doc_id", fs.hash_split(F.col("text"), 0.80, 0.1025, 10000).alias("split"))
 
 
 @book.add("SELECT doc_id, CASE WHEN doc_id < floor(n * 0.8) THEN 'train' WHEN doc_id < floor(n * 0.9) THEN 'val' ELSE 'test' END AS split FROM documents, (SELECT count(*) AS n FROM documents)")
@@ -170,6 +176,11 @@ def split_table(star):
     return ds.split_table(split_examples(star))
 
 
+@book.add(sql(f"WITH {ALL} SELECT split, candidate_relation AS relation, count(*) AS n_pos FROM split_ WHERE label = 'VALID' GROUP BY ALL", *EX_NEEDS))
+def positives_by_relation(star):
+    return ds.positives_by_relation(split_examples(star))
+
+
 @book.add(sql(f"WITH {ALL} SELECT split, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1)::DOUBLE AS percent FROM split_ GROUP BY split", *EX_NEEDS))
 def split_percent(star):
     return ds.split_percent(split_examples(star))
@@ -181,11 +192,12 @@ def tier_by_split(star):
 
 
 @book.add(sql(f"""WITH {ALL} SELECT 'label' AS metric, label AS key, count(*) AS value FROM split_ GROUP BY label UNION ALL SELECT 'neg_type', neg_type, count(*) FROM split_ WHERE neg_type IS NOT NULL GROUP BY neg_type
-UNION ALL SELECT 'split', split, count(*) FROM split_ GROUP BY split UNION ALL SELECT 'distinct_texts', split, count(DISTINCT text) FROM split_ GROUP BY split""", *EX_NEEDS))
+UNION ALL SELECT 'split', split, count(*) FROM split_ GROUP BY split UNION ALL SELECT 'distinct_texts', split, count(DISTINCT text) FROM split_ GROUP BY split
+UNION ALL SELECT 'sentences', split, count(DISTINCT trim(regexp_replace(regexp_replace(text, '^.REL..*?./REL. ?', ''), '.(/?E[12]|/?REL)\\]', '', 'g'))) FROM split_ GROUP BY split""", *EX_NEEDS))
 def dataset_stats(star):
     return ds.dataset_stats(split_examples(star))
 
 
-@book.add(r"SELECT greatest(64.0, least(192.0, quantile_cont(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')), 0.99)))::DOUBLE AS budget FROM conversations")
+@book.add(r"SELECT greatest(64.0, least(192.0, quantile_cont(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')), 0.99)))::DOUBLE AS budget FROM documents")
 def length_budget(star):
-    return ds.length_budget(star.table("conversations"), "text")
+    return ds.length_budget(star.table("documents"), "text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def kg_triples(star: Star) -> DataFrame:
 
 
 def gated(star: Star) -> DataFrame:
-    return star.once("gated", lambda: g.gate(kg_triples(star), star.signature, closed(star)).persist())
+    return star.once("gated", lambda: files.saved(g.gate(kg_triples(star), star.signature, closed(star))))
 
 
 def used(star: Star) -> DataFrame:
@@ -266,7 +268,7 @@ def per_story(star):
 
 @book.add(sql(f"WITH {STORY}, f AS (SELECT *, CASE WHEN tp > 0 THEN round(2 * tp / (2 * tp + fp + fn), 4) ELSE 0 END AS sf FROM st), t AS (SELECT count(*) AS stories, count(*) FILTER (WHERE fp = 0 AND fn = 0) AS perfect, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, round(avg(sf), 6) AS macro_f1 FROM f) SELECT stories, perfect, {PRF}, macro_f1 FROM t", *NEEDED))
 def story_summary(star):
-    return m.story_summary(m.per_story(told(star), predicted(star)))
+    return m.story_summary(m.story_scores(told(star), predicted(star)))
 
 
 SYSTEMS = f"""{SENTS}, gold AS (SELECT p, s, o, text FROM sents), h AS (SELECT *, {md5_mod("s || '|' || p || '|' || o", 10)} AS h1, {md5_mod("'b' || s || '|' || p || '|' || o", 10)} AS h2 FROM gold),
@@ -301,10 +303,10 @@ def verifier_summary(star):
     return m.f1_by(rows, "system", "split").join(right, ["system", "split"])
 
 
-@book.add(rf"WITH c AS (SELECT text, role FROM conversations), t AS (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')) AS token, role FROM c) SELECT count(*) AS n, avg(CASE WHEN (CASE WHEN length(token) > 3 THEN 'W' ELSE 'S' END) = (CASE WHEN role = 'user' THEN 'W' ELSE 'S' END) THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy FROM t")
+@book.add(rf"WITH c AS (SELECT text, lang FROM documents), t AS (SELECT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')) AS token, lang FROM c) SELECT count(*) AS n, avg(CASE WHEN (CASE WHEN length(token) > 3 THEN 'W' ELSE 'S' END) = (CASE WHEN lang = 'en' THEN 'W' ELSE 'S' END) THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy FROM t")
 def token_accuracy(star):
-    rows = star.table("conversations").select("role", F.explode(F.regexp_extract_all("text", F.lit(r"((?U)\w+|[^\w\s])"), F.lit(1))).alias("token"))
-    return m.token_accuracy(rows.select(F.when(F.length("token") > 3, "W").otherwise("S").alias("gold"), F.when(F.col("role") == "user", "W").otherwise("S").alias("pred")))
+    rows = star.table("documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"((?U)\w+|[^\w\s])"), F.lit(1))).alias("token"))
+    return m.token_accuracy(rows.select(F.when(F.length("token") > 3, "W").otherwise("S").alias("gold"), F.when(F.col("lang") == "en", "W").otherwise("S").alias("pred")))
 
 
 # models, sources and sinks: no SQL
@@ -325,7 +327,7 @@ def train_verifier(star):
 def score_claims(star):
     rows = split_examples(star)
     model, _ = verify.train_verifier(rows, (0.0,))
-    return verify.score_claims(model, rows.filter("split = 'test' and complexity_tier = 'explicit'").select("key", "candidate_relation", "text"))
+    return verify.score_claims(model, rows.filter("split = 'test'").select("key", "candidate_relation", "complexity_tier", "text"))
 
 
 def tag_rows(star: Star) -> DataFrame:
@@ -352,21 +354,38 @@ def batch_validate(star):
     return verify.batch_validate(rows, lambda b: b["h"] == 0).drop("h")
 
 
-@book.add(sql("SELECT 'type' AS axiom, ind AS s, cls AS o FROM inds WHERE cls IN ('Region', 'Nation', 'Supplier') UNION ALL SELECT 'label', ind, label FROM inds WHERE cls IN ('Region', 'Nation', 'Supplier') UNION ALL SELECT 'subclass', child, parent FROM subclass UNION ALL SELECT p, s, o FROM facts WHERE p = 'inRegion'", "inds", "subclass", "facts"))
+@book.add(sql("""SELECT 'class' AS axiom, name AS s, '' AS p, '' AS o FROM classes UNION ALL SELECT 'objprop', p, '', '' FROM sig UNION ALL SELECT 'dataprop', p, '', '' FROM dsig UNION ALL SELECT 'individual', ind, '', '' FROM inds
+UNION ALL SELECT 'label', ind, '', label FROM inds UNION ALL SELECT 'comment', name, '', 'What "' || name || '" means & <more>.' FROM comments UNION ALL SELECT 'domain', p, 'object', domain FROM sig WHERE domain IS NOT NULL
+UNION ALL SELECT 'domain', p, 'data', domain FROM dsig WHERE domain IS NOT NULL UNION ALL SELECT 'range', p, '', rng FROM sig WHERE rng IS NOT NULL UNION ALL SELECT 'subclass', child, '', parent FROM subclass UNION ALL SELECT 'type', ind, '', cls FROM inds
+UNION ALL SELECT 'obj', s, p, o FROM facts UNION ALL SELECT 'data', s, p, lex || coalesce('^^' || dtype, '') FROM attrs UNION ALL SELECT 'inverse', a, '', b FROM inverse UNION ALL SELECT 'symmetric', 'tradesWith', '', ''""",
+    "classes", "sig", "dsig", "inds", "comments", "subclass", "facts", "attrs", "inverse"))
 def load_ontology(star):
-    """Axioms written as OWL/XML and loaded again."""
-    place = files.shared_folder(star.spark, "ontology")
-    files.write_ontology(star.classes, star.subclass, star.individuals("Region", "Nation", "Supplier"), star.facts("inRegion"), place)
-    t = files.load_ontology(star.spark, place)
-    rows = t["type"].select(F.lit("type").alias("axiom"), F.col("ind").alias("s"), F.col("cls").alias("o")).union(t["label"].select(F.lit("label"), "name", "label"))
-    return rows.union(t["subclass"].select(F.lit("subclass"), "child", "parent")).union(t["obj"].select("p", "s", "o"))
-
-
-@book.add("SELECT 'conversation' AS stem, conv_id || ':' || turn AS key, text FROM conversations UNION ALL SELECT 'document', doc_id::VARCHAR, text FROM documents")
+    """All axioms written as OWL/XML and loaded again."""
+    place, inds = files.shared_folder(star.spark, "ontology"), star.individuals()
+    domains = star.signature.select("p", F.col("domain").alias("cls"), F.lit("object").alias("kind")).union(star.data_signature.select("p", "domain", F.lit("data"))).filter("cls is not null")
+    tables = {
+        "class": star.classes, "objprop": star.signature.select(F.col("p").alias("name")), "dataprop": star.data_signature.select(F.col("p").alias("name")), "individual": inds.select(F.col("ind").alias("name")),
+        "label": inds.select(F.col("ind").alias("name"), "label"), "comment": star.comments.select("name", F.format_string('What "%s" means & <more>.', "name").alias("comment")),
+        "domain": domains, "range": star.signature.filter("range is not null").select("p", F.col("range").alias("cls")), "subclass": star.subclass, "type": inds.select("cls", "ind"),
+        "obj": star.facts(), "data": star.attributes(), "inverse": star.inverse, "symmetric": star.symmetric,
+    }
+    files.write_ontology(tables, place)
+    t, none = files.load_ontology(star.spark, place), F.lit("")
+    row = lambda axiom, s, p, o: t[axiom].select(F.lit(axiom).alias("axiom"), F.col(s).alias("s"), p.alias("p"), o.alias("o"))
+    parts = [row(k, "name", none, none) for k in ("class", "objprop", "dataprop", "individual")] + [row(k, "name", none, F.col(k)) for k in ("label", "comment")]
+    parts += [row("domain", "p", F.col("kind"), F.col("cls")), row("range", "p", none, F.col("cls")), row("subclass", "child", none, F.col("parent")), row("type", "ind", none, F.col("cls"))]
+    parts += [row("obj", "s", F.col("p"), F.col("o")), row("data", "s", F.col("p"), F.concat_ws("^^", "lex", "dtype")), row("inverse", "a", none, F.col("b")), row("symmetric", "p", none, none)]
+    return reduce(DataFrame.union, parts)
+
+
+@book.add("SELECT line, count(*) AS n FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) GROUP BY line")
 def read_corpus(star):
-    """Texts of both tables in one shape."""
-    talk = star.table("conversations").select(F.lit("conversation").alias("stem"), F.concat_ws(":", "conv_id", "turn").alias("key"), "text")
-    return talk.union(star.table("documents").select(F.lit("document"), F.col("doc_id").cast("string"), "text"))
+    """Documents written as text files, read again file by file, and their lines counted."""
+    place = files.shared_folder(star.spark, "corpus")
+    star.table("documents").select("lang", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("lang").option("maxRecordsPerFile", 2000).text(place)
+    whole = files.read_corpus(star.spark, f"{place}/*/part-*.txt").filter("source_file = concat(stem, '.txt')")
+    lines = F.split(F.expr("left(text, length(text) - 1)"), "\n")  # each file ends with a line end
+    return whole.select(F.explode(lines).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
 
 
 @book.add(sql(f"WITH {SENTS}, h AS (SELECT *, {md5_mod("s || '|' || p", 100)} AS h FROM sents) SELECT CASE WHEN h < 70 THEN 'train' WHEN h < 85 THEN 'val' ELSE 'test' END AS split, p AS predicate, count(*) AS n FROM h GROUP BY ALL", *NEEDED))

@@ -68,12 +68,12 @@ def relation_triggers(star):
 
 
 @book.add(sql("""WITH both_ AS (SELECT a, b FROM inverse UNION SELECT b, a FROM inverse), g AS (SELECT a, string_agg(b, ',' ORDER BY b) AS inverses FROM both_ GROUP BY a)
-SELECT sig.p, coalesce(phrase, '') AS phrase, coalesce(inverses, '') AS inverses, coalesce(f.n, 0) AS n_facts FROM sig LEFT JOIN phrases USING (p) LEFT JOIN g ON g.a = sig.p LEFT JOIN (SELECT p, count(*) AS n FROM facts GROUP BY p) f ON f.p = sig.p""", "sig", "phrases", "inverse", "facts"))
+SELECT k.p, kind, """ + WORDS.format("k.p") + """ AS label, coalesce(phrase, '') AS phrase, coalesce(inverses, '') AS inverses, coalesce(f.n, 0) AS n_facts FROM (SELECT p, 'object_property' AS kind FROM sig UNION ALL SELECT p, 'datatype_property' FROM dsig) k
+LEFT JOIN phrases USING (p) LEFT JOIN g ON g.a = k.p LEFT JOIN (SELECT p, count(*) AS n FROM (SELECT p FROM facts UNION ALL SELECT p FROM attrs) GROUP BY p) f ON f.p = k.p""", "sig", "dsig", "phrases", "inverse", "facts", "attrs"))
 def relation_vocabulary(star):
-    groups = onto.inverse_groups(star.inverse).withColumnRenamed("a", "p")
-    used = star.facts().groupBy("p").agg(F.count("*").alias("n_facts"))
-    rows = star.signature.join(star.phrases, "p", "left").join(groups, "p", "left").join(used, "p", "left")
-    return rows.select("p", F.coalesce("phrase", F.lit("")).alias("phrase"), F.coalesce("inverses", F.lit("")).alias("inverses"), F.coalesce("n_facts", F.lit(0)).alias("n_facts")).orderBy("p")
+    used = star.facts().select("p").union(star.attributes().select("p")).groupBy("p").agg(F.count("*").alias("n_facts"))
+    rows = onto.vocabulary(star.signature, star.data_signature, star.phrases, star.inverse).join(used, "p", "left")
+    return rows.na.fill(0, ["n_facts"]).orderBy("p")
 
 
 @book.add(sql("""SELECT (SELECT count(*) FROM classes) AS n_classes, (SELECT count(*) FROM sig) AS n_properties, (SELECT count(*) FROM dsig) AS n_data_properties, (SELECT count(*) FROM inds) AS n_individuals,

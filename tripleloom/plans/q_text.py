@@ -11,7 +11,7 @@ from ..operators.dataset import verbalize_facts
 from ..operators.ontology import entity_dictionary, relation_triggers
 from . import q_ontology
 from .binding import NAMESPACE, Star, sql
-from .book import Book
+from .book import Book, md5_mod
 from .q_ontology import WORDS
 
 book = Book()
@@ -21,6 +21,7 @@ LONGEST = 4
 #: DuckDB: one sentence for each told fact.
 SENTS = """sents AS (SELECT p, s, o, x.label AS sl, y.label AS ol, phrase, x.label || ' ' || phrase || ' ' || y.label || '.' AS text FROM facts JOIN inds x ON x.ind = s JOIN inds y ON y.ind = o JOIN phrases USING (p) WHERE p IN ('inRegion', 'basedIn', 'placedBy'))"""
 NEEDED = ("facts", "inds", "phrases")
+SPLIT_OF = f"CASE WHEN {md5_mod("s || '|' || p", 100)} < 70 THEN 'train' WHEN {md5_mod("s || '|' || p", 100)} < 85 THEN 'val' ELSE 'test' END"
 WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 #: DuckDB: tokens with offsets of texts (sid, text) in a relation `src`.
 TOKENS = rf"""parts AS (SELECT sid, text, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM (SELECT sid, text, string_split(regexp_replace(text, '({WORD})', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS ps FROM src)),
@@ -35,7 +36,7 @@ sent AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY l, c) AS
 def told(star: Star) -> DataFrame:
     """(sid, p, s, o, text) of the facts that are told in sentences."""
     rows = verbalize_facts(star.facts(*TOLD), star.individuals("Region", "Nation", "Customer", "Supplier", "Order"), star.phrases, star.symmetric)
-    return rows.withColumn("sid", F.concat_ws("|", "s", "p"))
+    return rows.drop("variant").withColumn("sid", F.concat_ws("|", "s", "p"))
 
 
 def dictionary(star: Star) -> DataFrame:
@@ -56,6 +57,12 @@ def candidates(star: Star, gated: bool = True, window: int | None = None) -> Dat
     return men.relation_candidates(mentioned(star), star.signature, ["sid"], gated, window)
 
 
+def running_texts(star: Star) -> DataFrame:
+    """(sid, text) of documents and conversations."""
+    talk = star.table("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("sid"), "text")
+    return star.table("documents").select(F.concat(F.lit("d"), "doc_id").alias("sid"), "text").union(talk)
+
+
 def benchmark_terms(star: Star) -> DataFrame:
     """The first two words of each benchmark item, as a dictionary."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"((?U)\w+)"), F.lit(1))
@@ -147,10 +154,9 @@ def sentence_split(star):
     return men.sentence_split(star.table("documents"), "doc_id")
 
 
-@book.add(f"WITH src AS (SELECT conv_id || ':' || turn AS sid, text FROM conversations), {TOKENS} SELECT sid, pos::INTEGER AS pos, token, st AS start, en AS \"end\" FROM toks")
+@book.add(f"WITH src AS (SELECT 'd' || doc_id AS sid, text FROM documents UNION ALL SELECT conv_id || ':' || turn, text FROM conversations), {TOKENS} SELECT sid, pos::INTEGER AS pos, token, st AS start, en AS \"end\" FROM toks")
 def tokenize_offsets(star):
-    rows = star.table("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("sid"), "text")
-    return men.token_rows(rows, ["sid"], "text")
+    return men.token_rows(running_texts(star), ["sid"], "text")
 
 
 @book.add(sql(f"""WITH {SENTS} SELECT s || '|' || p AS sid, unnest([0, length(sl) + 1, length(sl) + length(phrase) + 2]) AS start, unnest([length(sl), length(sl) + 1 + length(phrase), length(text) - 1]) AS "end",
@@ -160,7 +166,7 @@ def detect_mentions(star):
 
 
 @book.add(rf"""WITH RECURSIVE terms AS (SELECT DISTINCT ws[1] || ' ' || ws[2] AS surface FROM (SELECT regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS ws FROM benchmark) WHERE len(ws) > 1),
-src AS (SELECT conv_id || ':' || turn AS sid, text FROM conversations UNION ALL SELECT 'b' || item_id, text FROM benchmark), {TOKENS},
+src AS (SELECT 'd' || doc_id AS sid, text FROM documents UNION ALL SELECT conv_id || ':' || turn, text FROM conversations UNION ALL SELECT 'b' || item_id, text FROM benchmark), {TOKENS},
 grams AS (SELECT sid, st AS s, lead(en) OVER w AS e, lower(substr(text, st + 1, lead(en) OVER w - st)) AS surface FROM toks WINDOW w AS (PARTITION BY sid ORDER BY pos)),
 found AS (SELECT DISTINCT sid, s, e, surface FROM grams JOIN terms USING (surface)),
 nxt AS (SELECT a.sid, a.s, a.e, a.surface, min(b.s) AS nx FROM found a LEFT JOIN found b ON a.sid = b.sid AND b.s >= a.e GROUP BY ALL),
@@ -168,7 +174,7 @@ walk AS (SELECT sid, s, e, surface, nx FROM nxt WHERE (sid, s) IN (SELECT (sid,
 SELECT sid, s AS start, e AS "end", surface FROM walk""")
 def detect_terms(star):
     """The same over running text, with terms that may overlap."""
-    texts = star.table("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("sid"), "text").union(star.table("benchmark").select(F.concat(F.lit("b"), "item_id"), "text"))
+    texts = running_texts(star).union(star.table("benchmark").select(F.concat(F.lit("b"), "item_id"), "text"))
     return men.detect_mentions(texts, benchmark_terms(star), ["sid"], 2, "text").select("sid", F.inline("mentions")).select("sid", "start", "end", "surface")
 
 
@@ -242,15 +248,9 @@ def bio_decode(star):
     return men.bio_decode(tagged(star), ["sid"])
 
 
-@book.add(sql(f"WITH {SENTS}, c AS (SELECT p, count(*) AS n FROM sents GROUP BY p) SELECT 'sentences' AS metric, '' AS key, sum(n)::BIGINT AS value FROM c UNION ALL SELECT 'mentions', 'individual', 2 * sum(n)::BIGINT FROM c UNION ALL SELECT 'mentions', 'object_property', sum(n)::BIGINT FROM c UNION ALL SELECT 'candidates', p, n FROM c", *NEEDED))
+@book.add(sql(f"WITH {SENTS}, c AS (SELECT p, count(*) AS n FROM sents GROUP BY p) SELECT 'sentences' AS metric, '' AS key, sum(n)::BIGINT AS value FROM c UNION ALL SELECT 'mentions', 'individual', 2 * sum(n)::BIGINT FROM c UNION ALL SELECT 'mentions', 'object_property', sum(n)::BIGINT FROM c UNION ALL SELECT 'candidates', p, n FROM c UNION ALL SELECT 'label_set', p, n FROM c UNION ALL SELECT 'signal', 'relation', sum(n)::BIGINT FROM c UNION ALL SELECT 'split', {SPLIT_OF}, count(*) FROM sents GROUP BY 2", *NEEDED))
 def weak_stats(star):
-    m = mentioned(star)
-    kinds = m.select(F.inline("mentions")).select(F.element_at("entries", -1)["kind"].alias("key"))
-    return (
-        m.agg(F.lit("sentences").alias("metric"), F.lit("").alias("key"), F.count("*").alias("value"))
-        .union(kinds.groupBy(F.lit("mentions"), "key").count())
-        .union(candidates(star).groupBy(F.lit("candidates"), "p").count())
-    )
+    return men.weak_stats(mentioned(star), candidates(star), ["sid"], fs.hash_split(F.col("sid")))
 
 
 @book.add(sql(f"WITH {SENTS} SELECT s, p, o, text FROM sents", *NEEDED))

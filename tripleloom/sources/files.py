@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,56 +25,81 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the shared folder by checkpoint(), so that steps that use them twice don't make them twice
+    and a lost executor loses none."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
 def unescaped(c: Column) -> Column:
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
+#: Spark DDL of the axiom tables.
+AXIOMS = {
+    "class": "name string", "objprop": "name string", "dataprop": "name string", "individual": "name string", "label": "name string, label string", "comment": "name string, comment string",
+    "domain": "p string, cls string, kind string", "range": "p string, cls string", "subclass": "child string, parent string", "type": "cls string, ind string, pos int",
+    "obj": "p string, s string, o string", "data": "p string, s string, lex string, dtype string", "inverse": "a string, b string", "symmetric": "p string",
+}
+
+
 def load_ontology(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Axiom tables of all OWL/XML files under a path: class, objprop, dataprop, individual, label, domain, range, subclass, type, obj,
-    data, inverse, symmetric. Class expressions aren't read: a union as range is no range."""
+    """The tables of `AXIOMS` from all OWL/XML files under a path. Names are cut behind `#`; the kind of a domain is `object` or
+    `data`; dtype is `xsd:` and a name, also where a file writes it as an entity. Class expressions aren't read: a union
+    as range is no range."""
     text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r">\s+<", "><").alias("x"))
-    iri = lambda tag: rf'<{tag} (?:IRI|abbreviatedIRI)="#?([^"]*)"/>'
+    iri = lambda tag: rf'<{tag} (?:IRI|abbreviatedIRI)="(?:[^"#]*#)?([^"]*)"/>'
 
-    def axioms(tag: str, body: str, names: list[str], kind: Column | None = None) -> DataFrame:
+    def axioms(tag: str, body: str, names: list[str], more: Column | None = None) -> DataFrame:
         pattern = rf"<{tag}>{body}</{tag}>"
         rows = text.select(F.posexplode(F.regexp_extract_all("x", F.lit(f"({pattern})"), F.lit(1))).alias("pos", "a"))
         cells = [unescaped(F.regexp_extract("a", pattern, i + 1)).alias(n) for i, n in enumerate(names)]
-        return rows.select(*cells, *([kind] if kind is not None else []), "pos")
+        return rows.select(*cells, *([more] if more is not None else []), "pos")
 
     drop = lambda df: df.drop("pos").distinct()
     declared = lambda kind: drop(axioms("Declaration", iri(kind), ["name"]))
-    datatype = F.regexp_extract("a", r'<Literal[^>]*datatypeIRI="[^"]*#([^"]*)"', 1)
+    noted = lambda what: drop(axioms("AnnotationAssertion", rf'<AnnotationProperty (?:IRI|abbreviatedIRI)="[^"]*[#:]{what}"/><IRI>(?:[^<#]*#)?([^<]*)</IRI><Literal[^>]*>([^<]*)</Literal>', ["name", what]))
+    domain = lambda kind, tag: drop(axioms(f"{tag}Domain", iri(tag) + iri("Class"), ["p", "cls"], F.lit(kind).alias("kind")))
+    datatype = F.regexp_extract("a", r'<Literal[^>]*datatypeIRI="(?:[^"]*#|&xsd;|xsd:)([^"]*)"', 1)
     return {
         "class": declared("Class"), "objprop": declared("ObjectProperty"), "dataprop": declared("DataProperty"), "individual": declared("NamedIndividual"),
-        "label": drop(axioms("AnnotationAssertion", r'<AnnotationProperty abbreviatedIRI="rdfs:label"/><IRI>#?([^<]*)</IRI><Literal[^>]*>([^<]*)</Literal>', ["name", "label"])),
-        "domain": drop(axioms("ObjectPropertyDomain", iri("ObjectProperty") + iri("Class"), ["p", "cls"])).unionByName(drop(axioms("DataPropertyDomain", iri("DataProperty") + iri("Class"), ["p", "cls"]))),
+        "label": noted("label"), "comment": noted("comment"),
+        "domain": domain("object", "ObjectProperty").unionByName(domain("data", "DataProperty")),
         "range": drop(axioms("ObjectPropertyRange", iri("ObjectProperty") + iri("Class"), ["p", "cls"])),
         "subclass": drop(axioms("SubClassOf", iri("Class") + iri("Class"), ["child", "parent"])),
         "type": axioms("ClassAssertion", iri("Class") + iri("NamedIndividual"), ["cls", "ind"]),
         "obj": drop(axioms("ObjectPropertyAssertion", iri("ObjectProperty") + iri("NamedIndividual") + iri("NamedIndividual"), ["p", "s", "o"])),
-        "data": drop(axioms("DataPropertyAssertion", iri("DataProperty") + iri("NamedIndividual") + r"<Literal[^>]*>([^<]*)</Literal>", ["p", "s", "lex"], F.when(datatype != "", datatype).alias("dtype"))),
+        "data": drop(axioms("DataPropertyAssertion", iri("DataProperty") + iri("NamedIndividual") + r"<Literal[^>]*>([^<]*)</Literal>", ["p", "s", "lex"], F.when(datatype != "", F.concat(F.lit("xsd:"), datatype)).alias("dtype"))),
         "inverse": drop(axioms("InverseObjectProperties", iri("ObjectProperty") + iri("ObjectProperty"), ["a", "b"])),
         "symmetric": drop(axioms("SymmetricObjectProperty", iri("ObjectProperty"), ["p"])),
     }
 
 
-def write_ontology(classes: DataFrame, subclass: DataFrame, types: DataFrame, facts: DataFrame, path: str) -> None:
-    """An OWL/XML file part for each partition, one axiom a line."""
-    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+def write_ontology(tables: dict[str, DataFrame], path: str, per_file: int = 50_000) -> None:
+    """OWL/XML axioms of the given tables (names and columns as in `AXIOMS`), one a line, so many lines a file at most."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
     one = lambda tag, c: F.concat(F.lit(f'<{tag} IRI="#'), esc(F.col(c)), F.lit('"/>'))
-    axiom = lambda tag, *cells: F.concat(F.lit(f"<{tag}>"), *cells, F.lit(f"</{tag}>")).alias("value")
-    lines = [
-        classes.select(axiom("Declaration", one("Class", "name"))), subclass.select(axiom("SubClassOf", one("Class", "child"), one("Class", "parent"))),
-        types.select(axiom("Declaration", one("NamedIndividual", "ind"))), types.select(axiom("ClassAssertion", one("Class", "cls"), one("NamedIndividual", "ind"))),
-        types.select(axiom("AnnotationAssertion", F.lit('<AnnotationProperty abbreviatedIRI="rdfs:label"/><IRI>#'), esc(F.col("ind")), F.lit("</IRI><Literal>"), esc(F.col("label")), F.lit("</Literal>"))),
-        facts.select(axiom("ObjectPropertyAssertion", one("ObjectProperty", "p"), one("NamedIndividual", "s"), one("NamedIndividual", "o"))),
-    ]
-    out = lines[0]
-    for df in lines[1:]:
-        out = out.union(df)
-    out.write.text(path)
+    axiom = lambda tag, *cells: F.concat(F.lit(f"<{tag}>"), *cells, F.lit(f"</{tag}>"))
+    note = lambda what: axiom("AnnotationAssertion", F.lit(f'<AnnotationProperty abbreviatedIRI="rdfs:{what}"/><IRI>#'), esc(F.col("name")), F.lit("</IRI><Literal>"), esc(F.col(what)), F.lit("</Literal>"))
+    prop = lambda c: one("ObjectProperty", c)
+    ind = lambda c: one("NamedIndividual", c)
+    literal = F.concat(F.when(F.col("dtype").isNull(), F.lit("<Literal>")).otherwise(F.concat(F.lit('<Literal datatypeIRI="http://www.w3.org/2001/XMLSchema#'), F.substring_index("dtype", ":", -1), F.lit('">'))), esc(F.col("lex")), F.lit("</Literal>"))
+    lines = {
+        "class": axiom("Declaration", one("Class", "name")), "objprop": axiom("Declaration", prop("name")), "dataprop": axiom("Declaration", one("DataProperty", "name")), "individual": axiom("Declaration", ind("name")),
+        "label": note("label"), "comment": note("comment"),
+        "domain": F.when(F.col("kind") == "object", axiom("ObjectPropertyDomain", prop("p"), one("Class", "cls"))).otherwise(axiom("DataPropertyDomain", one("DataProperty", "p"), one("Class", "cls"))),
+        "range": axiom("ObjectPropertyRange", prop("p"), one("Class", "cls")), "subclass": axiom("SubClassOf", one("Class", "child"), one("Class", "parent")),
+        "type": axiom("ClassAssertion", one("Class", "cls"), ind("ind")), "obj": axiom("ObjectPropertyAssertion", prop("p"), ind("s"), ind("o")),
+        "data": axiom("DataPropertyAssertion", one("DataProperty", "p"), ind("s"), literal),
+        "inverse": axiom("InverseObjectProperties", prop("a"), prop("b")), "symmetric": axiom("SymmetricObjectProperty", prop("p")),
+    }
+    out = reduce(DataFrame.union, [df.select(lines[name].alias("value")) for name, df in tables.items()])
+    out.write.option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
