@@ -26,6 +26,10 @@ SEED = 42
 TREE = 4096
 #: Rows sampled for the order of shingles, and shingles ordered by it at most; the others go by their hashes.
 SAMPLE, ORDERED = 8192, 100_000
+#: Bits of a shingle's hash in the search for pairs.
+BITS = 48
+#: Bits of a set's parities.
+PARITIES = 512
 #: Bits of the bitmap that marks the rows whose sets are needed.
 SPOTS = 1 << 23
 
@@ -214,29 +218,65 @@ def key_of(shingles: bytes, bits: int) -> int:
 
 
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of shingles that repeat in a sample of the rows. They only set the order in which shingles are
-    looked at: any order finds the same pairs."""
+    """Sorted hashes (`BITS` bits) and counts of shingles that repeat in a sample of the rows: no exchange by shingle has to
+    count these. They only set the order in which shingles are looked at: any order finds the same pairs."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
 
     def each(texts, _):
-        return [pa.array([shingle_set(t, words).view("<i8") for t in texts], pa.list_(pa.int64()))]
+        return [pa.array([short(shingle_set(t, words)) for t in texts], pa.list_(pa.int64()))]
 
     found = map_texts(docs.sample(share, SEED), [], "found array<bigint>", each).select(F.explode("found").alias("h"))
     rows = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(ORDERED).collect()
-    hashes, counts = np.array([r["h"] for r in rows], "<i8").view("<u8"), np.array([r["n"] for r in rows], np.int64)
+    hashes, counts = np.array([r["h"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
     order = np.argsort(hashes)
     return hashes[order], counts[order]
 
 
-def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first shingles of a set, rarest first: two sets at the similarity or above share one of them at least."""
+def short(found: np.ndarray) -> np.ndarray:
+    """The first `BITS` bits of hashes: shorter on disk, and an equal pair too many is checked later."""
+    return (found >> np.uint64(64 - BITS)).view("<i8")
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """For each slot of `PARITIES`, whether an odd number of shingles falls into it. Each shingle that only one of two sets holds
+    turns one bit, so the sets differ in as many shingles at least as these bits differ."""
+    return np.packbits(np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).view("<i8")
+
+
+def prefix_length(size: int, similarity: float) -> int:
+    """Two sets at the similarity or above share one at least of so many first shingles, in any one order of all shingles."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
+
+
+def split(found: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set that are not common, and the common ones that still fall into its prefix: these come last in the
+    order, the least common first."""
     hashes, counts = common
-    n = np.zeros(len(found), np.int64)
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-        n = np.where(hashes[at] == found, counts[at], 0)
-    size = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
-    return found[np.lexsort((found, n))[:size]].view("<i8")
+    h = short(found)
+    if not len(hashes):
+        return h, h[:0]
+    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+    hot = hashes[at] == h
+    rest, h, n = h[~hot], h[hot], counts[at[hot]]
+    return rest, h[np.lexsort((h, n))[: max(0, prefix_length(len(found), similarity) - len(rest))]]
+
+
+def rare_prefixes(posts: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """(key, size, shingle): the shingles of each set's prefix that other sets hold too, of those that are not common.
+
+    posts: (key, shingle) for every shingle that is not common (equal rows may repeat); sizes: key, size, common (how many of its
+    shingles are). The order is by the number of sets that hold a shingle, counted over all sets. So what only one set holds comes
+    first, and a set of which a fifth is its own has no row here: a passage that it shares with many others can't make it a pair."""
+    lists = Window.partitionBy("shingle")
+    counted = posts.select("*", F.count("*").over(lists).alias("n"), F.min("key").over(lists).alias("low"), F.max("key").over(lists).alias("high"))
+    # the number of sets above the bits of the shingle, so that one long sorts both
+    ranked = F.shiftleft(F.least("n", F.lit((1 << 63 - BITS) - 1)).cast("bigint"), BITS).bitwiseOR(F.col("shingle"))
+    shared = counted.filter("low <> high").select("key", ranked.alias("ranked")).join(sizes, "key")
+    own = Window.partitionBy("key")
+    place = shared.select("*", F.row_number().over(own.orderBy("ranked")).alias("place"), F.count("*").over(own).alias("shared"))
+    first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
+    alone = F.col("size") - F.col("common") - F.col("shared")
+    return place.filter(F.col("place") <= first - alone).select("key", "size", F.col("ranked").bitwiseAND(F.lit((1 << BITS) - 1)).alias("shingle"))
 
 
 def close_keys(rows: DataFrame, radius: int, blocks: int) -> DataFrame:
@@ -250,18 +290,21 @@ def close_keys(rows: DataFrame, radius: int, blocks: int) -> DataFrame:
     return found.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).union(same.select("key", "least"))
 
 
-def similar_links(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, radius: int, blocks: int) -> DataFrame:
+def similar_links(rows: DataFrame, posts: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, radius: int, blocks: int) -> DataFrame:
     """Links (a, b) whose components are those over all pairs of keys with a Jaccard similarity of at least `similarity`.
 
-    rows: key (each once), size, prefix, fp; sets(keys) gives (key, shingles). Keys that share a shingle of their prefixes are a
-    list. First pairs with close fingerprints are compared and every key of a list is held against the list's least and
-    greatest key, so that a large group is joined by few links. Then all pairs of a list that are not joined yet are counted:
+    rows: key (each once), fp, parity; posts: key, size, shingle for the shingles of each prefix, those that no other set holds left
+    out; sets(keys) gives (key, shingles). Keys that share a shingle of their prefixes are a list. First pairs with close fingerprints are compared and every key of a list is held against the list's least
+    and greatest key and its hub, so that a large group is joined by few links. Then all pairs of a list that are not joined yet are looked at,
+    but for those whose parities differ in more bits than sets so similar may differ in shingles, and counted:
     what two sets share is at most what their prefixes share and the longer one of their rests, so a pair with less than
     it needs is no pair."""
-    posts = rows.select("key", "size", F.explode("prefix").alias("shingle"))
-    posts = posts.withColumn("shingle", F.shiftright("shingle", 24))  # 40 bits are shorter on disk; an equal pair too many is checked later
     lists = Window.partitionBy("shingle")
-    marked = posts.select("*", F.min("key").over(lists).alias("first"), F.max("key").over(lists).alias("last"))
+    # the hub of a list is the text with the fewest shingles of its own, which lies in the middle of a group of near copies
+    first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
+    ranked = posts.select("*", (first - F.count("*").over(Window.partitionBy("key"))).alias("own"))
+    hub = F.min(F.struct("own", "key")).over(lists)["key"]
+    marked = ranked.select("key", "size", "shingle", F.min("key").over(lists).alias("first"), F.max("key").over(lists).alias("last"), hub.alias("hub"))
     shared = saved(marked.filter("first <> last"))
 
     def enough(a, b, part=1.0):
@@ -283,17 +326,19 @@ def similar_links(rows: DataFrame, sets: Callable[[DataFrame], DataFrame], simil
         place = place.join(shingles.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
         return place.mapInArrow(verify, "a bigint, b bigint")
 
-    ends = shared.select(F.col("key").alias("a"), "size", F.explode(F.array("first", "last")).alias("b")).filter("a <> b")
+    ends = shared.select(F.col("key").alias("a"), "size", F.explode(F.array_distinct(F.array("first", "last", "hub"))).alias("b")).filter("a <> b")
     ends = ends.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter(enough(F.col("size"), F.col("size"), 0.5))
     ends = ends.select("a", "b").union(close_keys(rows, radius, blocks))
     joined = saved(components(verified(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())))
-    labelled = shared.drop("first", "last").join(joined, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
+    labelled = shared.drop("first", "last", "hub").join(joined, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key")).drop("node")
     labelled = labelled.select("*", F.min("root").over(lists).alias("low"), F.max("root").over(lists).alias("high"))
-    left = saved(labelled.filter("low <> high").drop("low", "high"))
-    x = left.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("key", "root", "size")])
-    y = left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "size")])
+    left = saved(labelled.filter("low <> high").drop("low", "high").join(rows.select("key", "parity"), "key"))
+    x = left.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("key", "root", "size", "parity")])
+    y = left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "size", "parity")])
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    pairs = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & (small >= similarity * large - 1e-9))
+    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    near = (small >= similarity * large - 1e-9) & (differ <= (1 - similarity) / (1 + similarity) * (small + large) + 1e-9)
+    pairs = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & near)
     pairs = pairs.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "size_a", "size_b").agg(F.count("*").alias("n"))
     pairs = pairs.filter(enough(F.col("size_a"), F.col("size_b"))).select("a", "b")
     return joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(pairs))
@@ -319,43 +364,54 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
         data = [s.tobytes() for s in sets]
         keys = [key_of(d, bits) for d in data]
         checks = [xxhash.xxh64_intdigest(d, SEED + 1) - (1 << 63) for d in data]
-        firsts = [prefix(s, common.value, similarity) for s in sets]
+        parts = [split(s, common.value, similarity) for s in sets]
+        counts = [len(s) - len(rest) for s, (rest, _) in zip(sets, parts, strict=True)]
         fps = [majority(bit_counts(s), len(s)) if len(s) else 0 for s in sets]
-        return [pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(fps, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
+        numbers = [pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(counts, pa.int32()), pa.array(fps, pa.int64())]
+        return [*numbers, *(pa.array(a, pa.list_(pa.int64())) for a in (list(map(parities, sets)), [first for _, first in parts]))]
 
     spot = F.pmod(F.xxhash64("copy", "doc_id"), F.lit(SPOTS))
-    marked = map_texts(known, ["doc_id", "copy"], "key bigint, check bigint, size int, fp bigint, prefix array<bigint>", marks)
-    rows = saved(marked.select("key", "check", "size", "fp", "prefix", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy").alias("row"), spot.alias("spot")))
+    marked = map_texts(known, ["doc_id", "copy"], "key bigint, check bigint, size int, common int, fp bigint, parity array<bigint>, prefix array<bigint>", marks)
+    rows = saved(marked.select("key", "check", "size", "common", "fp", "parity", "prefix", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy").alias("row"), spot.alias("spot")))
     # copies meet here, after a part of them in each task; from here on a text is one row
     one = rows.groupBy("key").agg(
         F.min("row").alias("row"), F.min("spot").alias("spot"), F.min("check").alias("check"), F.max("check").alias("other"),
-        F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"),
+        F.first("size").alias("size"), F.first("common").alias("common"), F.first("fp").alias("fp"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"),
     )
     one = saved(one)
     alone = one.filter("check <> other").select("key")
     one = one.filter("check = other")
 
-    def shingles(wanted):
-        # one row of each wanted key, marked in a bitmap of fixed size, so that no text is shuffled; rows marked by chance fall out later
-        chosen = one.select("key", "spot").join(wanted, "key", "left_semi")
-        bitmap = chosen.groupBy(F.expr("bitmap_bucket_number(spot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(spot))").alias("bits"))
-        found = {r["bucket"]: bytes(r["bits"]) for r in bitmap.collect()}
-        held = spark.sparkContext.broadcast(found)
+    def sets_of(wanted, each, schema):
+        # one row of each wanted key, marked in a bitmap of fixed size, so that no text is shuffled; more rows may be marked by chance
+        bitmap = wanted.groupBy(F.expr("bitmap_bucket_number(spot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(spot))").alias("bits"))
+        held = spark.sparkContext.broadcast({r["bucket"]: bytes(r["bits"]) for r in bitmap.collect()})
 
-        def each(batches):
+        def run(batches):
             for b in batches:
-                keys, out = [], []
-                for place, bit, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if place in held.value and held.value[place][bit >> 3] >> (bit & 7) & 1:
-                        s = shingle_set(text, words).tobytes()
-                        keys.append(key_of(s, bits))
-                        out.append(s)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["key", "shingles"])
+                texts = (t for p, bit, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if p in held.value and held.value[p][bit >> 3] >> (bit & 7) & 1)
+                yield from each([shingle_set(t, words) for t in texts])
 
         places = known.select(spot.alias("spot"), text_or_empty().alias("text")).selectExpr("bitmap_bucket_number(spot) AS place", "bitmap_bit_position(spot) AS bit", "text")
-        return places.mapInArrow(each, "key bigint, shingles binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+        return places.mapInArrow(run, schema)
+
+    def whole(sets):
+        data = [s.tobytes() for s in sets]
+        yield pa.RecordBatch.from_arrays([pa.array([key_of(d, bits) for d in data], pa.int64()), pa.array(data, pa.binary())], names=["key", "shingles"])
+
+    def shingles(wanted):
+        chosen = one.select("key", "spot").join(wanted, "key", "left_semi")
+        return sets_of(chosen, whole, "key bigint, shingles binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+
+    def flat(sets):
+        parts = [split(s, common.value, similarity)[0] for s in sets]
+        if any(map(len, parts)):
+            keys = np.repeat(np.array([key_of(s.tobytes(), bits) for s in sets], np.int64), list(map(len, parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(parts))], names=["key", "shingle"])
 
-    roots = components(similar_links(one.select("key", "size", "prefix", "fp"), shingles, similarity, radius, blocks))
+    rare = rare_prefixes(sets_of(one, flat, "key bigint, shingle bigint"), one.select("key", "size", "common"), similarity)
+    posts = saved(rare.union(one.select("key", "size", F.explode("prefix").alias("shingle"))))
+    roots = components(similar_links(one.select("key", "fp", "parity"), posts, shingles, similarity, radius, blocks))
     best = one.join(roots, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("root", "key")).agg(F.min("row").alias("row")).select("row")
     best = best.union(rows.join(alone, "key").groupBy("key", "check").agg(F.min("row").alias("row")).select("row"))
 
