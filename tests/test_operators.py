@@ -32,6 +32,19 @@ def test_longest_match_from_the_left(spark):
     assert not rows[2] and not rows[3]
 
 
+def test_dictionary_with_types(spark):
+    """A surface that an individual and a property share, repeated names, an individual without types."""
+    names = spark.createDataFrame([("acme_1", "Acme", "individual"), ("acme_1", "Acme", "individual"), ("Acme", None, "class"), ("makes", '"Makes (up)"', "individual"), ("x", None, "individual")], "short string, label string, kind string")
+    closed = spark.createDataFrame([("acme_1", "Party"), ("acme_1", "Entity"), ("Acme", "Acme")], "ind string, cls string")
+    trigger = spark.createDataFrame([("makes", (1, "makes", "object_property", []))], "surface string, entry struct<pos:int,short:string,kind:string,types:array<string>>")
+    rows = ontology.entity_dictionary(ontology.surface_entries(mentions.with_types(names, closed)).union(trigger)).collect()
+    acme = (3, "acme_1", "individual", ["Entity", "Party"])
+    assert {r["surface"]: [tuple(e) for e in r["entries"]] for r in rows} == {
+        "acme": [(0, "Acme", "class", ["Acme"]), acme], "acme_1": [acme], "acme 1": [acme], '"makes (up)"': [(3, "makes", "individual", [])],
+        "makes": [(1, "makes", "object_property", []), (3, "makes", "individual", [])],
+    }
+
+
 def test_strict_and_lax_decoding(spark):
     tags = spark.createDataFrame([(1, 0, "A", "I-X"), (1, 1, "B", "B-X"), (1, 2, "C", "I-Y"), (1, 3, "d", "O")], "k int, pos int, token string, tag string")
     assert [tuple(r) for r in mentions.bio_decode(tags, ["k"]).collect()] == [(1, "b c", "X")]

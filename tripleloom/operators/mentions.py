@@ -123,12 +123,10 @@ def ground(entries: DataFrame, closed: DataFrame, key: list[str], role: str) ->
     return rows.groupBy(*key).agg(F.min_by("short", F.struct(F.col("fits").isNull().cast("int").alias("x"), F.col("pos"), F.col("short"))).alias("short"))
 
 
-def with_types(dictionary: DataFrame, closed: DataFrame) -> DataFrame:
-    """The dictionary (surface, entries<pos, short, kind>) with each entry's types, so that later steps need no join."""
+def with_types(names: DataFrame, closed: DataFrame) -> DataFrame:
+    """Names (short, …) with each one's types, before surfaces are made of them, so that later steps need no join."""
     types = closed.groupBy(F.col("ind").alias("short")).agg(F.array_sort(F.collect_set("cls")).alias("types"))
-    rows = dictionary.select("surface", F.inline("entries")).join(types, "short", "left")
-    entry = F.struct("pos", "short", "kind", F.coalesce("types", F.array().cast("array<string>")).alias("types"))
-    return rows.groupBy("surface").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    return names.join(types, "short", "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
 
 
 def role_fits(mention: Column, cls: Column) -> Column:

@@ -47,13 +47,18 @@ def priority_type(closed: DataFrame, priority: DataFrame) -> DataFrame:
 KIND_ORDER = {"class": 0, "object_property": 1, "datatype_property": 2, "individual": 3}
 
 
-def entity_dictionary(names: DataFrame) -> DataFrame:
-    """surface -> entries, from (short, label, kind): each entity under its label, name, the name's words and its display name,
-    in lower case, two characters at least; entries in the order of kinds, then names."""
+def surface_entries(names: DataFrame) -> DataFrame:
+    """(surface, entry) from (short, label, kind) and, where given, types: each entity under its label, name, the name's words and
+    its display name, in lower case, two characters at least. Entries hold the place of their kind, short, kind and types."""
     surfaces = F.array_distinct(F.transform(F.array(F.coalesce("label", "short"), F.col("short"), camel_to_words(F.col("short")), display_name(F.col("label"), F.col("short"))), lambda s: F.lower(F.trim(s))))
     order = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in KIND_ORDER.items()])
-    rows = names.select(F.explode(surfaces).alias("surface"), F.struct(order.alias("pos"), "short", "kind").alias("entry"))
-    return rows.filter(F.length("surface") >= 2).groupBy("surface").agg(F.array_sort(F.collect_set("entry")).alias("entries"))
+    entry = F.struct(order.alias("pos"), "short", "kind", *[c for c in ("types",) if c in names.columns])
+    return names.select(F.explode(surfaces).alias("surface"), entry.alias("entry")).filter(F.length("surface") >= 2)
+
+
+def entity_dictionary(entries: DataFrame) -> DataFrame:
+    """surface -> entries, from (surface, entry), in the order of kinds, then names. One exchange, on the surface."""
+    return entries.groupBy("surface").agg(F.array_sort(F.collect_set("entry")).alias("entries"))
 
 
 def relation_triggers(properties: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ SURFACES = f"""surf AS (SELECT DISTINCT lower(trim(s)) AS surface, pos, short, k
 
 @book.add(sql(f"WITH {NAMES}, {SURFACES} SELECT surface, string_agg(kind || ':' || short, ',' ORDER BY pos, short) AS entries FROM surf GROUP BY surface", "classes", "sig", "dsig", "inds"))
 def entity_dictionary(star):
-    d = onto.entity_dictionary(names(star))
+    d = onto.entity_dictionary(onto.surface_entries(names(star)))
     return d.select("surface", F.array_join(F.transform("entries", lambda e: F.concat(e["kind"], F.lit(":"), e["short"])), ",").alias("entries"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import strings as fs
 from ..operators import mentions as men
 from ..operators.dataset import verbalize_facts
-from ..operators.ontology import entity_dictionary, relation_triggers
+from ..operators.ontology import entity_dictionary, relation_triggers, surface_entries
+from ..sources.files import saved
 from . import q_ontology
 from .binding import NAMESPACE, Star, sql
 from .book import Book, md5_mod
@@ -44,13 +45,15 @@ def dictionary(star: Star) -> DataFrame:
     none = F.lit(None).cast("string").alias("label")
     names = star.individuals("Region", "Nation", "Customer", "Supplier", "Order").select(F.col("ind").alias("short"), "label", F.lit("individual").alias("kind"))
     names = names.unionByName(star.classes.select(F.col("name").alias("short"), none, F.lit("class").alias("kind")))
-    surfaces = entity_dictionary(names)
-    triggers = relation_triggers(star.signature, star.phrases).join(star.phrases.select("p"), "p").select("surface", F.array(F.struct(F.lit(1).alias("pos"), F.col("p").alias("short"), F.lit("object_property").alias("kind"))).alias("entries"))
-    return men.with_types(surfaces.union(triggers), q_ontology.closed(star))
+    rows = surface_entries(men.with_types(names, q_ontology.closed(star)))
+    entry = F.struct(F.lit(1).alias("pos"), F.col("p").alias("short"), F.lit("object_property").alias("kind"), F.array().cast("array<string>").alias("types"))
+    triggers = relation_triggers(star.signature, star.phrases).join(star.phrases.select("p"), "p").select("surface", entry.alias("entry"))
+    return entity_dictionary(rows.union(triggers))
 
 
 def mentioned(star: Star) -> DataFrame:
-    return men.detect_mentions(told(star), dictionary(star), ["sid"], LONGEST, "text")
+    # written once, as the first words of surfaces and the surfaces are both looked up in it
+    return men.detect_mentions(told(star), star.once("dictionary", lambda: saved(dictionary(star))), ["sid"], LONGEST, "text")
 
 
 def candidates(star: Star, gated: bool = True, window: int | None = None) -> DataFrame:
@@ -250,7 +253,8 @@ def bio_decode(star):
 
 @book.add(sql(f"WITH {SENTS}, c AS (SELECT p, count(*) AS n FROM sents GROUP BY p) SELECT 'sentences' AS metric, '' AS key, sum(n)::BIGINT AS value FROM c UNION ALL SELECT 'mentions', 'individual', 2 * sum(n)::BIGINT FROM c UNION ALL SELECT 'mentions', 'object_property', sum(n)::BIGINT FROM c UNION ALL SELECT 'candidates', p, n FROM c UNION ALL SELECT 'label_set', p, n FROM c UNION ALL SELECT 'signal', 'relation', sum(n)::BIGINT FROM c UNION ALL SELECT 'split', {SPLIT_OF}, count(*) FROM sents GROUP BY 2", *NEEDED))
 def weak_stats(star):
-    return men.weak_stats(mentioned(star), candidates(star), ["sid"], fs.hash_split(F.col("sid")))
+    rows = saved(mentioned(star))
+    return men.weak_stats(rows, men.relation_candidates(rows, star.signature, ["sid"]), ["sid"], fs.hash_split(F.col("sid")))
 
 
 @book.add(sql(f"WITH {SENTS} SELECT s, p, o, text FROM sents", *NEEDED))
