@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, licenses, pii, quality, simhash, tokenfile, tokens, toxicity
+from . import bpe, chat, decontam, licenses, mixing, pii, quality, repair, simhash, tokenfile, tokens, toxicity, whitening
 from .common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -69,8 +69,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and the cheapest edits that mend it."""
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components of every finite vector."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), 8)
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of sources by weights 5, 2 and 1 takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_bpe_round_trip, op3_license_scan, op4_chat_formatting, op5_toxicity, op6_personal_data, op7_decontamination, op8_token_files, op9_simhash, op10_quality)
+    for f in (op1_token_counts, op2_bpe_round_trip, op3_license_scan, op4_chat_formatting, op5_toxicity, op6_personal_data, op7_decontamination, op8_token_files, op9_simhash, op10_quality, op11_conversation_repair, op12_embedding_whitening, op13_source_mixing)
 }
 ORACLE_SQL = {"op3_license_scan": licenses.oracle(), "op4_chat_formatting": chat.ORACLE}
