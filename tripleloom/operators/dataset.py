@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import MARKED, hash_split, md5_mod, pick, strip_markers, verifier_text
+from ..functions.strings import MARKED, hash_split, md5_mod, pick, sentence_id, strip_markers, verifier_text
+from .metrics import numbered
 
 #: Fixed values of this package: clauses for the harder tiers.
 DISTRACTORS = [", as many records show,", ", after a long review,", ", unlike some others,"]
 SUBORDINATES = ["Although the files are old, ", "While nobody asked, ", "Because the audit said so, "]
-OBJECT_TEMPLATES = ["A {s} {phrase} a {o}.", "Every {s} {phrase} some {o}.", "Some {s} {phrase} a {o}."]
+OBJECT_TEMPLATES = ["A {s} {phrase} a {o}.", "Every {s} {phrase} some {o}.", "Some {s} {phrase} a {o}.", "It is a {o} that a {s} {phrase}.", "As for the {s}, it {phrase} the {o}."]
 DATA_TEMPLATES = ["A {s} has a {phrase}.", "The {phrase} of a {s} is a value."]
 FACT_TEMPLATES = ["{s} {phrase} {o}.", "As is known, {s} {phrase} {o}."]
 #: What may stand between the relation and the sentence of a verifier's text.
@@ -22,60 +25,152 @@ def fill(template: Column, s: Column, phrase: Column, o: Column) -> Column:
     return F.replace(F.replace(F.replace(template, F.lit("{s}"), s), F.lit("{phrase}"), phrase), F.lit("{o}"), o)
 
 
-def verbalize_schema(triples: DataFrame) -> DataFrame:
-    """(s, p, o, variant, text) from (s, p, o, phrase): each schema triple by each of its templates."""
+def verbalize_schema(triples: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """(s, p, o, variant, text) from (s, p, o, phrase): each schema triple by each of its templates. templates: (s, p, o, template,
+    pos), the forms of single triples, which take the place of the general ones for them."""
     array = lambda ts: F.array(*[F.lit(t) for t in ts])
     chosen = F.when(F.col("p") == "rdfs:subClassOf", array(SUBCLASS_TEMPLATES)).when(F.col("o") == "LiteralValue", array(DATA_TEMPLATES)).otherwise(array(OBJECT_TEMPLATES))
-    rows = triples.select("s", "p", "o", "phrase", F.posexplode(chosen).alias("variant", "template"))
+    rows = triples.withColumn("own", F.lit(None).cast("array<string>"))
+    if templates is not None:
+        own = templates.groupBy("s", "p", "o").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "template"))), lambda x: x["template"]).alias("own"))
+        rows = triples.join(own, ["s", "p", "o"], "left")
+    rows = rows.select("s", "p", "o", "phrase", F.posexplode(F.coalesce("own", chosen)).alias("variant", "template"))
     return rows.select("s", "p", "o", "variant", fill(F.col("template"), F.lower("s"), F.col("phrase"), F.lower("o")).alias("text"))
 
 
-def hashed_items(docs: DataFrame, items: DataFrame, seed: str, key: Column) -> DataFrame:
-    """(doc, size, items): each document with the items in an order of its own, by a hash of seed, document and item, and how many of
-    them it takes, 9 to 12. The items are a schema: one row holds them all."""
-    one = items.agg(F.collect_list(F.struct(key.alias("_k"), F.struct(*items.columns).alias("item"))).alias("items"))
-    rows = docs.select("doc").crossJoin(F.broadcast(one))  # one row
-    ordered = F.array_sort(F.transform("items", lambda x: F.struct(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc"), x["_k"])).alias("h"), x["item"].alias("item"))))
-    return rows.select("doc", (9 + md5_mod(F.concat_ws("|", F.lit(seed), F.col("doc")), 4)).alias("size"), ordered.alias("items"))
+#: Documents take so many items at least, and so many more at most.
+LEAST, MORE = 9, 3
+#: Hashes below this make the steps of permutations.
+STEPS = 499_979
 
 
-def sample_documents(docs: DataFrame, items: DataFrame, seed: str, key: Column) -> DataFrame:
-    """(doc, position, item columns…): each document (doc) takes 9 to 12 items without repeats, in hashed order."""
-    rows = hashed_items(docs, items, seed, key).select("doc", F.posexplode(F.slice("items", F.lit(1), F.col("size"))).alias("at", "x"))
-    return rows.select("doc", (F.col("at") + 1).alias("position"), "x.item.*")
+def prime_from(n: int) -> int:
+    """The least prime that is n or more, above 1."""
+    n = max(n, 2)
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
 
 
-def stratified_documents(docs: DataFrame, items: DataFrame, quotas: dict[str, int], seed: str, key: Column, stratum: str) -> DataFrame:
-    """(doc, position, item columns…): a fixed quota from each stratum, the rest up to 9 to 12 from all others, in hashed order."""
-    rows = hashed_items(docs, items, seed, key)
+def permuted(key: Column, number: Column, n: int) -> Column:
+    """Where a key's own permutation of 0 … prime - 1 leads a number, the prime being the least from n on: a step and a start by hashes
+    of the key. Places from n on are no items."""
+    prime = prime_from(n)
+    part = lambda name: md5_mod(F.concat_ws("|", F.lit(name), key), STEPS).cast("long")
+    step = (part("step") * STEPS + part("step2")) % max(prime - 1, 1) + 1
+    start = (part("start") * STEPS + part("start2")) % prime
+    return (step * number + start) % prime
+
+
+def ordinals(items: DataFrame, seed: str, key: Column) -> DataFrame:
+    """The items with `ordinal` from 0, in the order of a hash of seed and item (equal ones by the item itself); numbered by ranges."""
+    order = F.struct(F.md5(F.concat_ws("|", F.lit(seed), key)).alias("h"), key.alias("k"))
+    return numbered(items.withColumn("_by", order), "_by", "ordinal").drop("_by").withColumn("ordinal", F.col("ordinal") - 1)
+
 
-    def first(name: str, n: int) -> Column:
-        return F.slice(F.filter("items", lambda x: x["item"][stratum] == name), 1, n)
+def drawn(docs: DataFrame, n: int, most: int, seed: str, name: str = "") -> DataFrame:
+    """(doc, turn, ordinal): for each document the first `most` of its own permutation of n items, from turn 0; never an array of all
+    items. As many turns are looked at as the prime lies above n, and `most` more."""
+    turns = F.explode(F.sequence(F.lit(0), F.lit(min(most + prime_from(n) - n, prime_from(n)) - 1)))
+    at = permuted(F.concat_ws("|", F.lit(seed), F.lit(name), F.col("doc").cast("string")), F.col("turn").cast("long"), n)
+    return docs.select("doc", turns.alias("turn")).select("doc", "turn", at.alias("ordinal")).filter(F.col("ordinal") < n)
 
-    rows = rows.withColumn("own", F.array_sort(F.concat(*[first(name, n) for name, n in quotas.items()])))
-    rest = F.filter("items", lambda x: ~F.array_contains("own", x))
-    chosen = F.array_sort(F.slice(F.concat("own", rest), F.lit(1), F.col("size")))
-    return rows.select("doc", F.posexplode(chosen).alias("at", "x")).select("doc", (F.col("at") + 1).alias("position"), "x.item.*")
+
+def sizes(seed: str) -> Column:
+    return LEAST + md5_mod(F.concat_ws("|", F.lit(seed), F.col("doc").cast("string")), MORE + 1)
+
+
+def picked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(doc, position, columns…) from (doc, turn, size, columns…): the first `size` turns of each document, of which there are few."""
+    best = F.array_sort(F.collect_list(F.struct("turn", F.struct(*columns).alias("item")))).alias("xs")
+    own = rows.groupBy("doc", "size").agg(best)
+    chosen = F.slice("xs", F.lit(1), F.col("size"))
+    return own.select("doc", F.posexplode(chosen).alias("at", "x")).select("doc", (F.col("at") + 1).alias("position"), "x.item.*")
+
+
+def sample_documents(docs: DataFrame, items: DataFrame, seed: str, key: Column) -> DataFrame:
+    """(doc, position, item columns…): each document (doc) takes 9 to 12 items without repeats, or all where there are fewer, in the
+    order of a permutation of its own. Items are numbered once and met by an equi-join on their numbers, so they may be as many
+    as facts."""
+    numbers = ordinals(items, seed, key)
+    n = numbers.count()
+    if not n:
+        return docs.select("doc", F.lit(0).alias("position")).join(items.limit(0), F.lit(True)).filter("false")
+    rows = drawn(docs, n, LEAST + MORE, seed).join(numbers, "ordinal").withColumn("size", sizes(seed))
+    return picked(rows, items.columns)
+
+
+def stratified_documents(docs: DataFrame, items: DataFrame, quotas: dict[str, int], seed: str, key: Column, stratum: str) -> DataFrame:
+    """(doc, position, item columns…): first a fixed quota from each stratum, by permutations of the strata, then, up to 9 to 12, the
+    rest by a permutation of all items that leaves out what was taken."""
+    parts = []
+    for name, quota in quotas.items():
+        numbers = ordinals(items.filter(F.col(stratum) == name), seed, key)
+        if n := numbers.count():
+            parts.append(drawn(docs, n, quota, seed, name).join(numbers, "ordinal").withColumn("quota", F.lit(quota)).withColumn("stage", F.lit(len(parts))))
+    numbers = ordinals(items, seed, key)
+    n, most = numbers.count(), LEAST + MORE + sum(quotas.values())
+    if not n:
+        return docs.select("doc", F.lit(0).alias("position")).join(items.limit(0), F.lit(True)).filter("false")
+    parts.append(drawn(docs, n, most, seed).join(numbers, "ordinal").withColumn("quota", F.lit(most)).withColumn("stage", F.lit(len(parts))))
+    rows = reduce(DataFrame.unionByName, parts)
+    # few rows a document: the quotas' first, then those of all that none of them has
+    one = F.struct("stage", "turn", "quota", F.struct(*items.columns).alias("item"))
+    own = rows.groupBy("doc").agg(F.array_sort(F.collect_list(one)).alias("xs")).withColumn("size", sizes(seed))
+    of_stage = lambda i: F.filter("xs", lambda x: x["stage"] == i)
+    # a stratum without items has no rows and no quota
+    quotas_of = [F.slice(of_stage(i), F.lit(1), F.coalesce(F.get(of_stage(i), F.lit(0))["quota"], F.lit(0))) for i in range(len(parts) - 1)]
+    own = own.withColumn("firsts", F.transform(F.concat(*quotas_of) if quotas_of else F.slice("xs", 1, 0), lambda x: x["item"]))
+    rest = F.filter("xs", lambda x: (x["stage"] == len(parts) - 1) & ~F.array_contains("firsts", x["item"]))
+    chosen = F.slice(F.concat("firsts", F.transform(rest, lambda x: x["item"])), F.lit(1), F.col("size"))
+    return own.select("doc", F.posexplode(chosen).alias("at", "item")).select("doc", (F.col("at") + 1).alias("position"), "item.*")
 
 
 def verbalize_facts(facts: DataFrame, labels: DataFrame, phrases: DataFrame, symmetric: DataFrame, templates: list[str] = FACT_TEMPLATES[:1]) -> DataFrame:
     """(p, s, o, variant, text): a sentence for each fact and template; of a symmetric property's two directions the first by name."""
-    marked = facts.join(F.broadcast(symmetric.withColumn("sym", F.lit(True))), "p", "left")
+    marked = facts.join(symmetric.withColumn("sym", F.lit(True)), "p", "left")
     unordered = F.when(F.col("sym"), F.struct(F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"))).otherwise(F.struct(F.col("s").alias("a"), F.col("o").alias("b")))
     once = marked.groupBy("p", unordered.alias("k")).agg(F.min(F.struct("s", "o")).alias("f")).select("p", "f.s", "f.o")
     names = labels.select("ind", "label")
     rows = once.join(names.select(F.col("ind").alias("s"), F.col("label").alias("sl")), "s").join(names.select(F.col("ind").alias("o"), F.col("label").alias("ol")), "o")
-    rows = rows.join(F.broadcast(phrases), "p").select("p", "s", "o", "sl", "phrase", "ol", F.posexplode(F.array(*map(F.lit, templates))).alias("variant", "t"))
+    rows = rows.join(phrases, "p").select("p", "s", "o", "sl", "phrase", "ol", F.posexplode(F.array(*map(F.lit, templates))).alias("variant", "t"))
     return rows.select("p", "s", "o", "variant", fill(F.col("t"), F.col("sl"), F.col("phrase"), F.col("ol")).alias("text"))
 
 
-def chunk_documents(sentences: DataFrame, size: int = 10, per_bucket: int = 10_000) -> DataFrame:
-    """(bucket, doc, position, columns…): sentences in hashed order within each bucket, cut into documents of `size`. There is a bucket
-    (by a hash of the text) for each `per_bucket` sentences, which bounds each sort, so no global order is needed."""
-    n = max(1, -(-sentences.count() // per_bucket))
-    rows = sentences.withColumn("bucket", md5_mod(F.col("text"), n)).withColumn("_h", F.md5("text"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("_h", *sentences.columns)) - 1
-    return rows.withColumn("_r", rank).withColumn("doc", F.floor(F.col("_r") / size).cast("int")).withColumn("position", (F.col("_r") % size + 1).cast("int")).drop("_h", "_r")
+#: Sentences of a document, and documents whose lengths are summed together.
+FEWEST, MOST_SENTENCES, SUMMED = 8, 12, 4096
+
+
+def document_cuts(spark: SparkSession, n: int, seed: str) -> DataFrame:
+    """(doc, size, first): documents of 8 to 12 sentences, by a hash of seed and number, until n sentences are used up; `first` is the
+    place of the first, from 0. Lengths are summed in parts of so many documents, then over parts."""
+    docs = spark.range(-(-n // FEWEST)).select(F.col("id").alias("doc"), F.floor(F.col("id") / SUMMED).alias("part"))
+    docs = docs.withColumn("size", FEWEST + md5_mod(F.concat_ws("|", F.lit(seed), F.col("doc").cast("string")), MOST_SENTENCES - FEWEST + 1))
+    within = F.sum("size").over(Window.partitionBy("part").orderBy("doc")) - F.col("size")
+    parts = docs.groupBy("part").agg(F.sum("size").alias("whole"))  # one row for thousands of documents
+    before = parts.select("part", (F.sum("whole").over(Window.orderBy("part")) - F.col("whole")).alias("before"))
+    return docs.withColumn("within", within).join(before, "part").select("doc", "size", (F.col("before") + F.col("within")).alias("first")).filter(F.col("first") < n)
+
+
+def chunk_documents(sentences: DataFrame, seed: str = "7", text: str = "text") -> DataFrame:
+    """(doc, position, columns…): sentences in the order of a hash of their text (equal ones by all columns), cut into documents of 8 to
+    12, the last of what is left. Sentences are numbered by ranges and meet their document by an equi-join on the number."""
+    order = F.struct(F.md5(text).alias("h"), *sentences.columns)
+    rows = numbered(sentences.withColumn("_by", order), "_by", "_n").drop("_by")
+    cuts = document_cuts(sentences.sparkSession, rows.count(), seed)
+    places = cuts.select("doc", "first", F.posexplode(F.sequence(F.lit(1), F.col("size"))).alias("at", "x")).select("doc", (F.col("first") + F.col("at") + 1).alias("_n"), (F.col("at") + 1).alias("position"))
+    return rows.join(places, "_n").drop("_n")
+
+
+def document_records(chunks: DataFrame, prefix: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """(document_id, split, text, n_sentences) of whole documents, a line for each sentence, and the gold records (document_id,
+    sentence_id, split, text, s, p, o) of their sentences, from (doc, position, s, p, o, text). Splits are by document."""
+    name = F.concat(F.lit(f"{prefix}_"), F.lpad((F.col("doc") + 1).cast("string"), 7, "0"))
+    rows = chunks.withColumn("document_id", name).withColumn("split", hash_split(F.col("document_id")))
+    lines = F.array_sort(F.collect_list(F.struct("position", "text")))
+    docs = rows.groupBy("document_id", "split").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"), F.count("*").alias("n_sentences"))
+    gold = rows.select("document_id", sentence_id(F.col("document_id"), F.col("position")).alias("sentence_id"), "split", "text", "s", "p", "o")
+    return docs, gold
 
 
 def hard_negatives(signature: DataFrame, keys: DataFrame) -> DataFrame:
@@ -90,14 +185,14 @@ def hard_negatives(signature: DataFrame, keys: DataFrame) -> DataFrame:
     pairs = pairs.join(any_, "p").withColumn("neg_type", F.when(F.col("n") == 0, "type_incompatible").otherwise(F.col("neg_type"))).filter("neg_type is not null").drop("n")
     options = pairs.groupBy("p", "neg_type").agg(F.array_sort(F.collect_list("q")).alias("options"))
     chosen = F.element_at("options", (md5_mod(F.concat_ws("|", F.col("key"), F.col("neg_type")), 1000) % F.size("options") + 1).cast("int"))
-    return keys.join(F.broadcast(options), "p").select(*keys.columns, "neg_type", chosen.alias("q"))
+    return keys.join(options, "p").select(*keys.columns, "neg_type", chosen.alias("q"))
 
 
 def verifier_examples(facts: DataFrame, phrases: DataFrame, signature: DataFrame, carry: tuple[str, ...] = (), leads: list[str] = LEADS[:1], classes: bool = False) -> DataFrame:
     """(key, text, label, candidate_relation, sentence_relation, subject, object, neg_type, carry…) from (key, p, subject, object):
     a VALID row for each fact and lead, and an INVALID one for each of its hard negatives, with a lead by a hash. classes: subjects
     and objects are classes, which take an article."""
-    base = facts.join(F.broadcast(phrases), "p")
+    base = facts.join(phrases, "p")
     text = lambda rel: verifier_text(rel, F.col("subject"), F.col("phrase"), F.col("object"), classes)
     common = ["key", "subject", "object", *carry]
     valid = base.select(*common, F.col("p").alias("candidate_relation"), F.col("p").alias("sentence_relation"), text(F.col("p")).alias("text"), F.lit("VALID").alias("label"), F.lit(None).cast("string").alias("neg_type"))
@@ -123,7 +218,7 @@ def distant(text: Column) -> Column:
 def tier_implicit(examples: DataFrame, synonyms: DataFrame, by: str = "sentence_relation") -> DataFrame:
     """The relation in other words; rows whose relation has none are dropped. by: the relation the sentence states, or, as a
     known quirk, the candidate."""
-    rows = examples.join(F.broadcast(synonyms.withColumnRenamed("p", by)), by)
+    rows = examples.join(synonyms.withColumnRenamed("p", by), by)
     return rows.withColumn("text", implicit(F.col("text"), F.col("synonym"))).drop("synonym").withColumn("complexity_tier", F.lit("implicit")).select(*examples.columns, "complexity_tier")
 
 
@@ -149,7 +244,7 @@ def augment_tiers(examples: DataFrame, synonyms: DataFrame) -> DataFrame:
     if "complexity_tier" in examples.columns:
         examples = examples.filter(F.coalesce("complexity_tier", F.lit("explicit")).isin("explicit", "tier_1")).drop("complexity_tier")
     tiers = F.array_compact(F.array(F.lit("explicit"), F.when(F.col("synonym").isNotNull(), "implicit"), F.lit("long_distance"), F.lit("nested")))
-    rows = examples.join(F.broadcast(synonyms.withColumnRenamed("p", "sentence_relation")), "sentence_relation", "left")
+    rows = examples.join(synonyms.withColumnRenamed("p", "sentence_relation"), "sentence_relation", "left")
     tier, text = F.col("complexity_tier"), F.col("text")
     form = F.when(tier == "implicit", implicit(text, F.col("synonym"))).when(tier == "long_distance", distant(text)).when(tier == "nested", nested(text)).otherwise(text)
     return rows.withColumn("complexity_tier", F.explode(tiers)).withColumn("text", form).select(*examples.columns, "complexity_tier")
@@ -199,11 +294,14 @@ def tier_by_split(rows: DataFrame) -> DataFrame:
 
 
 def dataset_stats(rows: DataFrame) -> DataFrame:
-    """(metric, key, value): labels, negative types, splits, and distinct texts and sentences (texts without marks) by split."""
-    count = lambda metric, c: rows.filter(F.col(c).isNotNull()).groupBy(F.lit(metric).alias("metric"), F.col(c).alias("key")).agg(F.count("*").alias("value"))
-    texts = rows.groupBy(F.lit("distinct_texts").alias("metric"), F.col("split").alias("key")).agg(F.countDistinct("text").alias("value"))
-    sentences = rows.groupBy(F.lit("sentences").alias("metric"), F.col("split").alias("key")).agg(F.countDistinct(strip_markers(F.col("text"), whole_head=True)).alias("value"))
-    return count("label", "label").unionByName(count("neg_type", "neg_type")).unionByName(count("split", "split")).unionByName(texts).unionByName(sentences)
+    """(metric, key, value): labels, negative types, splits, and distinct texts and sentences (texts without marks) by split. One scan:
+    each row gives its counters, texts as digests, to one grouping."""
+    counter = lambda metric, key, item=None: F.struct(F.lit(metric).alias("metric"), F.col(key).alias("key"), (F.lit(None).cast("string") if item is None else F.md5(item)).alias("item"))
+    bare = strip_markers(F.col("text"), whole_head=True)
+    counters = F.array(counter("label", "label"), counter("neg_type", "neg_type"), counter("split", "split"), counter("distinct_texts", "split", F.col("text")), counter("sentences", "split", bare))
+    # equal digests and mere counts come together before the exchange
+    once = rows.select(F.inline(counters)).filter("key is not null").groupBy("metric", "key", "item").agg(F.count("*").alias("n"))
+    return once.groupBy("metric", "key").agg(F.count("item").alias("_items"), F.sum("n").alias("_n")).select("metric", "key", F.when(F.col("metric").isin("distinct_texts", "sentences"), F.col("_items")).otherwise(F.col("_n")).alias("value"))
 
 
 def length_budget(texts: DataFrame, text: str, exact: bool = True) -> DataFrame:

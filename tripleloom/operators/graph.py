@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import type_literal
-from ..sources.files import saved
+from ..sources.files import if_small, saved
+from .ontology import has_type
 
 COLUMNS = ["s", "p", "o", "o_kind", "o_dtype"]
 
@@ -17,14 +18,14 @@ def iri_triples(df: DataFrame) -> DataFrame:
     return df.select("s", "p", "o", F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dtype"))
 
 
-def gate(triples: DataFrame, signature: DataFrame, closed: DataFrame) -> DataFrame:
-    """(s, p, o, accepted): whether subject and object have the types of the property's signature; a missing side passes."""
-    sided = triples.join(signature, "p", "left")
-    for side, end in (("domain", "s"), ("range", "o")):
-        typed = closed.select(F.col("ind").alias(end), F.col("cls").alias(side), F.lit(True).alias(f"{side}_ok"))
-        sided = sided.join(typed, [end, side], "left")
-    ok = lambda side: F.col(side).isNull() | F.col(f"{side}_ok").isNotNull()
-    return sided.select("s", "p", "o", (ok("domain") & ok("range")).alias("accepted"))
+def gate(triples: DataFrame, signature: DataFrame, types: DataFrame) -> DataFrame:
+    """(s, p, o, accepted): whether subject and object have the types of the property's signature; a missing side passes. types:
+    (ind, types) bitmaps, one row each; signature with the bits of its sides."""
+    sided = triples.join(if_small(signature), "p", "left")
+    for end in ("s", "o"):
+        sided = sided.join(types.select(F.col("ind").alias(end), F.col("types").alias(f"{end}_types")), end, "left")
+    ok = lambda side, end: F.col(f"{side}_bit").isNull() | has_type(F.col(f"{end}_types"), F.col(f"{side}_bit"))
+    return sided.select("s", "p", "o", (ok("domain", "s") & ok("range", "o")).alias("accepted"))
 
 
 def used_individuals(triples: DataFrame) -> DataFrame:
@@ -50,9 +51,9 @@ def attribute_triples(used: DataFrame, attributes: DataFrame) -> DataFrame:
     return rows.select("s", "p", F.col("v.o").alias("o"), F.lit("literal").alias("o_kind"), F.col("v.o_dtype").alias("o_dtype"))
 
 
-def build_kg(triples: DataFrame, signature: DataFrame, closed: DataFrame, labels: DataFrame, subclass: DataFrame, attributes: DataFrame) -> DataFrame:
-    """The graph of the accepted triples with their individuals' types, labels and attributes, and the classes' axioms."""
-    accepted = gate(triples, signature, closed).filter("accepted").select("s", "p", "o")
+def build_kg(triples: DataFrame, signature: DataFrame, bitmaps: DataFrame, closed: DataFrame, labels: DataFrame, subclass: DataFrame, attributes: DataFrame) -> DataFrame:
+    """The graph of the accepted triples (see `gate`) with their individuals' types, labels and attributes, and the classes' axioms."""
+    accepted = gate(triples, signature, bitmaps).filter("accepted").select("s", "p", "o")
     accepted = saved(accepted)
     used = saved(used_individuals(accepted))
     types = type_triples(used, closed)
@@ -118,6 +119,44 @@ def optional_pattern(bindings: DataFrame, kg: DataFrame, p: tuple[str, str, str]
     return joined(bindings, pattern(kg, *p), "left")
 
 
+#: Values of one subject and pattern up to which they are grouped; a subject with more goes by joins.
+GROUPED = 10_000
+
+
+def star_pattern(kg: DataFrame, center: str, required: list[tuple[str, str, str]], optional: list[tuple[str, str, str]], grouped: int = GROUPED) -> DataFrame:
+    """Bag of bindings of patterns that share one variable: all required ones, and the optional ones where they match, as
+    `match_pattern` and `optional_pattern` give them one by one, but from one scan and one exchange on the shared variable. Each
+    pattern binds one more variable at most. Nodes with very many values, counted first, go by the joins instead, so that no
+    group grows beyond bounds."""
+    patterns = [*required, *optional]
+    cells = []
+    for i, (s, p, o) in enumerate(patterns):
+        at, other, term = ("s", "o", o) if s == center else ("o", "s", s)
+        if (s == center) == (o == center) or p.startswith("?"):
+            raise ValueError("each pattern has the shared variable as subject or object, and a fixed property")
+        fits = (F.col("p") == p) & (F.lit(True) if term.startswith("?") else F.col(other) == term)
+        cells.append(F.when(fits, F.struct(F.col(at).alias("_k"), F.lit(i).alias("i"), F.col(other).alias("v"))))
+    rows = kg.filter(F.col("p").isin(*{p for _, p, _ in patterns})).select(F.inline(F.array_compact(F.array(*cells)))).filter("_k is not null")
+    heavy = rows.groupBy("_k", "i").agg(F.count("*").alias("n")).filter(F.col("n") > grouped).select("_k").distinct()
+    heavy = saved(heavy)
+    key, out = center[1:], None
+    if not heavy.isEmpty():
+        few = heavy.withColumnRenamed("_k", key)
+        parts = [pattern(kg, *p).join(few, key, "left_semi") for p in patterns]
+        out = parts[0]
+        for i, p in enumerate(parts[1:], 1):
+            out = joined(out, p, "inner" if i < len(required) else "left")
+        rows = rows.join(heavy, "_k", "left_anti")
+    sets = rows.groupBy("_k").agg(*[F.collect_list(F.when(F.col("i") == i, F.struct("v"))).alias(f"x{i}") for i in range(len(patterns))])
+    sets = sets.filter(" and ".join(f"size(x{i}) > 0" for i in range(len(required)))).withColumnRenamed("_k", key)
+    for i, (s, _, o) in enumerate(patterns):
+        term = o if s == center else s
+        sets = sets.withColumn(f"x{i}", (F.explode if i < len(required) else F.explode_outer)(f"x{i}"))
+        sets = sets.withColumn(term[1:], F.col(f"x{i}.v")) if term.startswith("?") else sets
+        sets = sets.drop(f"x{i}")
+    return sets if out is None else sets.unionByName(out.select(*sets.columns))
+
+
 def joined(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     shared = [c for c in a.columns if c in b.columns]
     if not shared:

@@ -54,50 +54,91 @@ def token_rows(sentences: DataFrame, key: list[str], text: str = "sentence") ->
 
 
 def keep_longest(spans: Column) -> Column:
-    """Spans from left to right, of those that begin together the longest, none overlapping another."""
-    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    start = F.slice(ordered, 1, 0)
+    """array<struct<start, end, surface, entries>> of spans (start, far, surface, entries), where far is the end below zero: from left
+    to right, of those that begin together the longest, none overlapping another. Their own order is already the right one."""
+    ordered = F.array_sort(spans)
+    none = F.struct(F.lit(0).alias("free"), F.slice(ordered, 1, 0).alias("kept"))
 
-    def step(kept: Column, m: Column) -> Column:
-        free = (F.size(kept) == 0) | (m["start"] >= F.element_at(kept, -1)["end"])
-        return F.when(free, F.concat(kept, F.array(m))).otherwise(kept)
+    def step(state: Column, m: Column) -> Column:
+        taken = F.struct((-m["far"]).alias("free"), F.concat(state["kept"], F.array(m)).alias("kept"))
+        return F.when(m["start"] >= state["free"], taken).otherwise(state)
 
-    return F.aggregate(ordered, start, step)
+    kept = F.aggregate(ordered, none, step, lambda s: s["kept"])
+    return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), (-m["far"]).alias("end"), m["surface"].alias("surface"), m["entries"].alias("entries")))
+
+
+#: Surfaces of schema terms up to which they are broadcast.
+BROADCAST_SURFACES = 20_000
+#: Bits of the filter that n-grams pass before any exchange, 63 a row; it grows no further, whatever the dictionary.
+FILTER_BITS = 1 << 23
+
+
+def masks(texts: DataFrame, text: str) -> DataFrame:
+    """(_word, _mask): the bits that the hashes of a column set; at most FILTER_BITS / 63 rows."""
+    bits = texts.select(F.pmod(F.xxhash64(text), F.lit(FILTER_BITS)).alias("h"))
+    return bits.groupBy(F.floor(F.col("h") / 63).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("h") % 63).cast("int"))).alias("_mask"))
+
+
+def may_hold(rows: DataFrame, text: str, filter_: DataFrame) -> DataFrame:
+    """The rows whose text is null or passes a filter of `masks`, which is broadcast."""
+    h = F.pmod(F.xxhash64(text), F.lit(FILTER_BITS))
+    set_ = F.getbit(F.col("_mask"), (h % 63).cast("int")) == 1
+    return rows.join(F.broadcast(filter_), F.floor(h / 63) == F.col("_word"), "left").filter(F.col(text).isNull() | set_).drop("_word", "_mask")
 
 
 def detect_mentions(sentences: DataFrame, dictionary: DataFrame, key: list[str], longest: int, text: str = "sentence") -> DataFrame:
     """(key…, text, mentions array<struct<start, end, surface, entries>>): whole-word dictionary matches, case apart, chosen greedily.
 
-    Token n-grams meet surfaces by an equi-join, so the cost grows with the text, not with text times dictionary. A token carries
-    only the words behind it, and one that begins no surface is dropped before n-grams are made. Sentences without mentions
-    stay, with null. Rows of one key must be one sentence."""
+    Token n-grams meet surfaces by an equi-join, so the cost grows with the text, not with text times dictionary. Surfaces of classes
+    and properties, which many sentences hold, are few: they are broadcast while their number allows it, and an n-gram that one of
+    them matches goes past the join under a key of its own, as does the row that carries the sentence's text. All others meet the
+    dictionary by one exchange, if they pass a filter of bounded size, and a second brings a sentence together again; nothing is joined back to the sentences. Sentences
+    without mentions stay, with null. Rows of one key must be one sentence."""
+    schema_kind = F.exists("entries", lambda e: e["kind"].isin("class", "object_property", "datatype_property"))
+    common = dictionary.filter(schema_kind)
+    few = common.select("surface").limit(BROADCAST_SURFACES + 1).count() <= BROADCAST_SURFACES
+
     def begun(t: Column, i: Column) -> Column:
-        return F.struct(F.lower(t["token"]).alias("head"), F.slice(F.col("t"), i + 1, F.lit(longest)).alias("after"))
-
-    starts = sentences.select(*key, tokens(F.col(text)).alias("t")).select(*key, F.inline(F.transform("t", begun)))
-    heads = dictionary.select(F.lower(F.regexp_extract("surface", f"({TOKEN})", 1)).alias("head")).distinct()
-    words = F.array_join(F.transform("after", lambda x: F.concat(x["token"], x["gap"])), "")
-    starts = starts.join(heads, "head", "left_semi").select(*key, F.col("after")[0]["start"].alias("start"), words.alias("words"), F.col("after.end").alias("ends"))
-    grams = starts.select(*key, "start", "words", F.explode("ends").alias("end"))
-    grams = grams.select(*key, "start", "end", F.lower(F.substr("words", F.lit(1), F.col("end") - F.col("start"))).alias("surface"))
-    found = grams.join(dictionary, "surface").groupBy(*key).agg(F.collect_list(F.struct("start", "end", "surface", "entries")).alias("spans"))
-    joined = sentences.select(*key, F.col(text).alias("text")).join(found, key, "left")
-    return joined.select(*key, "text", F.when(F.col("spans").isNotNull(), keep_longest(F.col("spans"))).alias("mentions"))
-
-
-def weak_stats(mentioned: DataFrame, candidates: DataFrame, key: list[str], split: Column) -> DataFrame:
-    """(metric, key, value) of sentences with mentions (key…, text, mentions) and their candidates (key…, p): numbers of sentences in
-    all, by split and by whether they have a candidate, of mentions by kind, of candidates by property, and of sentences by their
-    set of properties."""
-    count = lambda rows, metric, by: rows.groupBy(F.lit(metric).alias("metric"), by.alias("key")).agg(F.count("*").alias("value"))
-    kinds = mentioned.select(F.inline("mentions")).select(F.element_at("entries", -1)["kind"].alias("kind"))
-    sets = candidates.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("set"))
-    signals = mentioned.select(*key).join(sets, key, "left")
-    parts = [
-        count(mentioned, "sentences", F.lit("")), count(mentioned, "split", split), count(kinds, "mentions", F.col("kind")), count(candidates, "candidates", F.col("p")),
-        count(signals, "signal", F.when(F.col("set").isNull(), "none").otherwise("relation")), count(signals.filter("set is not null"), "label_set", F.col("set")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+        """A token with the words behind it and their ends, so that long texts take time by their length."""
+        after = F.slice(F.col("t"), i + 1, F.lit(longest))
+        words = F.array_join(F.transform(after, lambda x: F.concat(x["token"], x["gap"])), "")
+        return F.struct(t["start"].alias("start"), F.lower(t["token"]).alias("head"), words.alias("words"), F.transform(after, lambda x: x["end"]).alias("ends"), F.lit(None).cast("string").alias("text"))
+
+    kinds = "struct<start:int,head:string,words:string,ends:array<int>,text:string>"
+    whole = F.struct(F.lit(-1).alias("start"), F.lit(None).cast("string").alias("head"), F.lit("").alias("words"), F.array(F.lit(-1)).alias("ends"), F.col("text"))
+    heads = dictionary.select(F.lower(F.regexp_extract("surface", f"({TOKEN})", 1)).alias("head"))
+    starts = sentences.select(*key, F.col(text).alias("text"), tokens(F.col(text)).alias("t")).select(*key, F.inline(F.concat(F.array(whole), F.coalesce(F.transform("t", begun), F.array().cast(f"array<{kinds}>")))))
+    rows = may_hold(starts, "head", masks(heads, "head")).select(*key, "start", "words", "text", F.explode("ends").alias("end"))
+    surface = F.when(F.col("start") >= 0, F.lower(F.substr("words", F.lit(1), F.col("end") - F.col("start"))))
+    rows = may_hold(rows.select(*key, "start", "end", surface.alias("surface"), "text"), "surface", masks(dictionary, "surface"))
+    light = dictionary
+    if few:
+        rows = rows.join(F.broadcast(common.select("surface", F.col("entries").alias("known"))), "surface", "left")
+        light = dictionary.filter(~schema_kind)
+    else:
+        rows = rows.withColumn("known", F.lit(None).cast(dictionary.schema["entries"].dataType))
+    past = (F.col("start") < 0) | F.col("known").isNotNull()
+    rows = rows.withColumn("_at", F.when(past, F.concat(F.lit("\u0001"), F.xxhash64(*key, "start", "end").cast("string"))).otherwise(F.col("surface")))
+    rows = rows.join(light.select(F.col("surface").alias("_at"), "entries"), "_at", "left").withColumn("entries", F.coalesce("known", "entries"))
+    rows = rows.filter((F.col("start") < 0) | F.col("entries").isNotNull())
+    span = F.when(F.col("start") >= 0, F.struct("start", (-F.col("end")).alias("far"), "surface", "entries"))
+    found = rows.groupBy(*key).agg(F.max("text").alias("text"), F.collect_list(span).alias("spans"))
+    return found.select(*key, "text", F.when(F.size("spans") > 0, keep_longest(F.col("spans"))).alias("mentions"))
+
+
+def weak_stats(mentioned: DataFrame, signature: DataFrame, key: list[str], split: Column, gated: bool = True) -> DataFrame:
+    """(metric, key, value) of sentences with mentions (key…, text, mentions) and their candidates: numbers of sentences in all, by split
+    and by whether they have a candidate, of mentions by kind, of candidates by property, and of sentences by their set of
+    properties. One scan: a sentence's triggers come together again, and each sentence gives its counters to one grouping."""
+    rows = candidate_rows(mentioned.withColumn("_split", split), signature, [*key, "_split"], gated, whole=True)
+    found = F.col("sm").isNotNull() & F.col("om").isNotNull()
+    each = rows.groupBy(*key).agg(F.max("_split").alias("split"), F.max("kinds").alias("kinds"), F.collect_list(F.when(found, F.col("p"))).alias("ps"))
+    counter = lambda metric, name: F.struct(F.lit(metric).alias("metric"), name.alias("key"))
+    own = F.array(counter("sentences", F.lit("")), counter("split", F.col("split")), counter("signal", F.when(F.size("ps") > 0, "relation").otherwise("none")))
+    sets = F.when(F.size("ps") > 0, F.array(counter("label_set", F.array_join(F.array_sort(F.array_distinct("ps")), ",")))).otherwise(F.array().cast("array<struct<metric:string,key:string>>"))
+    kinds = F.transform(F.coalesce("kinds", F.array().cast("array<string>")), lambda k: counter("mentions", k))
+    all_ = F.concat(own, sets, kinds, F.transform("ps", lambda p: counter("candidates", p)))
+    return each.select(F.inline(all_)).groupBy("metric", "key").agg(F.count("*").alias("value"))
 
 
 def context_mentions(sentences: DataFrame, pattern: str, allowed: DataFrame, key: list[str], text: str = "sentence") -> DataFrame:
@@ -141,20 +182,29 @@ def grounded(mention: Column, cls: Column) -> Column:
     return F.coalesce(F.get(fits, F.lit(0))["short"], F.get(people, F.lit(0))["short"])
 
 
-def relation_candidates(mentioned: DataFrame, signature: DataFrame, key: list[str], gated: bool = True, window: int | None = None) -> DataFrame:
-    """(key…, text, p, trigger_start, s, o, s_start, s_end, o_start, o_end): for each property mentioned, the nearest entity before
-    and behind it. gated: entities must have the types of its signature, and both are grounded to them. window: both must begin
-    within so many tokens of the trigger, whatever their types."""
+def candidate_rows(mentioned: DataFrame, signature: DataFrame, key: list[str], gated: bool, whole: bool = False) -> DataFrame:
+    """(key…, text, kinds, p, domain, range, tr, sm, om): for each property mentioned the nearest entity before and behind it, null
+    where there is none. whole: a sentence without such a property stays, with nulls, and each carries its mentions' kinds."""
     is_property = lambda m: F.exists(m["entries"], lambda e: e["kind"] == "object_property")
     is_entity = lambda m: F.exists(m["entries"], lambda e: e["kind"].isin("individual", "class"))
-    rows = mentioned.filter(F.size("mentions") > 2).select(*key, "text", "mentions", F.explode(F.filter("mentions", is_property)).alias("tr"))
-    rows = rows.select(*key, "text", F.filter("mentions", is_entity).alias("ents"), "tr", F.filter(F.col("tr.entries"), lambda e: e["kind"] == "object_property")[0]["short"].alias("p"))
-    rows = rows.join(signature, "p").filter("domain is not null and range is not null")
-    left = F.filter("ents", lambda m: (m["end"] <= F.col("tr.start")) & (role_fits(m, F.col("domain")) if gated else F.lit(True)))
-    right = F.filter("ents", lambda m: (m["start"] >= F.col("tr.end")) & (role_fits(m, F.col("range")) if gated else F.lit(True)))
+    of_trigger = F.filter(F.col("tr.entries"), lambda e: e["kind"] == "object_property")
+    kinds = F.transform("mentions", lambda m: F.element_at(m["entries"], -1)["kind"]) if whole else F.lit(None)
+    rows = mentioned if whole else mentioned.filter(F.size("mentions") > 2)
+    rows = rows.select(*key, "text", "mentions", kinds.alias("kinds"), (F.explode_outer if whole else F.explode)(F.filter("mentions", is_property)).alias("tr"))
+    rows = rows.select(*key, "text", "kinds", F.filter("mentions", is_entity).alias("ents"), "tr", F.get(of_trigger, F.lit(0))["short"].alias("p"))
+    rows = rows.join(signature.filter("domain is not null and range is not null"), "p", "left" if whole else "inner")
+    left = F.filter("ents", lambda m: (m["end"] <= F.col("tr.start")) & (role_fits(m, F.col("domain")) if gated else F.col("domain").isNotNull()))
+    right = F.filter("ents", lambda m: (m["start"] >= F.col("tr.end")) & (role_fits(m, F.col("range")) if gated else F.col("range").isNotNull()))
     by_end = F.array_max(F.transform(left, lambda m: F.struct(m["end"].alias("k"), m.alias("m"))))["m"]
     by_start = F.array_min(F.transform(right, lambda m: F.struct(m["start"].alias("k"), m.alias("m"))))["m"]
-    rows = rows.withColumn("sm", by_end).withColumn("om", by_start).filter("sm is not null and om is not null")
+    return rows.withColumn("sm", by_end).withColumn("om", by_start).drop("ents")
+
+
+def relation_candidates(mentioned: DataFrame, signature: DataFrame, key: list[str], gated: bool = True, window: int | None = None) -> DataFrame:
+    """(key…, text, p, trigger_start, s, o, s_start, s_end, o_start, o_end): for each property mentioned, the nearest entity before
+    and behind it. gated: entities must have the types of its signature, and both are grounded to them. window: both must begin
+    within so many tokens of the trigger, whatever their types."""
+    rows = candidate_rows(mentioned, signature, key, gated).filter("sm is not null and om is not null")
     if window is not None:
         between = lambda a, b: F.regexp_count(F.substr("text", a + 1, b - a), F.lit(TOKEN))
         rows = rows.filter((between(F.col("sm.start"), F.col("tr.start")) <= window) & (between(F.col("tr.start"), F.col("om.start")) <= window))
@@ -165,6 +215,11 @@ def relation_candidates(mentioned: DataFrame, signature: DataFrame, key: list[st
     )
 
 
+def document_mentions(docs: DataFrame, dictionary: DataFrame, key: str, longest: int, text: str = "text") -> DataFrame:
+    """(key, n, text, mentions): documents cut into sentences, numbered from 1, with their mentions; offsets are those in a sentence."""
+    return detect_mentions(sentence_split(docs, key, text), dictionary, [key, "n"], longest)
+
+
 def distinct_triples(candidates: DataFrame, order: list[str]) -> DataFrame:
     """(s, p, o, text, order…): each triple once, with the sentence where it stands first."""
     place = F.struct(*order, F.col("text"))

@@ -2,25 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import camel_to_words, display_name
-from ..sources.files import saved
+from ..sources.files import if_small, saved
+from .metrics import numbered
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(cls, anc) for (child, parent): all ancestors, also over cycles. Paths double in each round, so rounds grow with the
-    logarithm of the depth; stops when a round adds nothing."""
-    pairs = edges.select(F.col("child").alias("cls"), F.col("parent").alias("anc")).distinct()
-    pairs = saved(pairs)
-    n = pairs.count()
+def distances(edges: DataFrame) -> DataFrame:
+    """(cls, anc, far) for (child, parent): all ancestors with the length of the shortest way, which for a class on a cycle leads
+    back to itself. Lengths double in each round: a way longer than 2^k begins with one of exactly 2^k, so only pairs that are
+    that far apart are joined with what is known, and only new pairs are kept and written. Ends when no pair is that far apart."""
+    new = saved(edges.filter("child is not null and parent is not null").select(F.col("child").alias("cls"), F.col("parent").alias("anc")).distinct().withColumn("far", F.lit(1).cast("long")))
+    known, step = new, 1
     while True:
-        longer = pairs.alias("a").join(pairs.alias("b"), F.col("a.anc") == F.col("b.cls")).select("a.cls", "b.anc")
-        pairs = saved(pairs.union(longer).distinct())
-        if (m := pairs.count()) == n:
-            return pairs
-        n = m
+        ends = new.filter(F.col("far") == step)
+        if ends.isEmpty():
+            return known
+        beyond = known.select(F.col("cls").alias("mid"), F.col("anc").alias("to"), (F.col("far") + step).alias("way"))
+        further = ends.select("cls", F.col("anc").alias("mid")).join(beyond, "mid").groupBy("cls", F.col("to").alias("anc")).agg(F.min("way").alias("far"))
+        have = known.select(F.col("cls").alias("_c"), F.col("anc").alias("_a"))
+        new = saved(further.join(have, (F.col("cls") == F.col("_c")) & (F.col("anc") == F.col("_a")), "left_anti"))
+        known, step = known.union(new), step * 2
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(cls, anc) for (child, parent): all ancestors, also over cycles; edges without both ends are left out."""
+    return distances(edges).select("cls", "anc")
+
+
+#: Types in one word of a bitmap.
+WORD = 63
+
+
+def class_bits(ancestors: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, bit): classes numbered from 0, those with fewer ancestors first, then by name."""
+    depth = ancestors.groupBy("cls").agg(F.count("*").alias("n"))
+    every = classes.select(F.col("name").alias("cls")).union(ancestors.select("cls")).union(ancestors.select("anc")).distinct()
+    order = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "cls")
+    return numbered(every.join(depth, "cls", "left").select("cls", order.alias("_by")), "_by", "bit").select("cls", (F.col("bit") - 1).cast("int").alias("bit"))
+
+
+def type_bits(types: DataFrame, ancestors: DataFrame, bits: DataFrame, words: int, label: str | None = None) -> DataFrame:
+    """(ind, types array<bigint>): the types of individuals (ind, cls), asserted and inherited, as a bitmap of so many words; one row
+    each, so that a test of a type is a test of a bit. Classes count as individuals of their own name. label: a column that comes
+    along, the greatest of an individual's."""
+    mask = lambda w: F.bit_or(F.when(F.floor(F.col("bit") / WORD) == w, F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % WORD).cast("int"))).otherwise(F.lit(0).cast("long")))
+    up = bits.select("cls", F.col("cls").alias("anc")).union(ancestors).distinct()
+    of_class = up.join(bits.withColumnRenamed("cls", "anc"), "anc").groupBy("cls").agg(F.array(*[mask(w) for w in range(words)]).alias("types"))
+    more = [F.col(label)] if label else []
+    own = types.select("ind", "cls", *more).union(bits.select(F.col("cls").alias("ind"), "cls", *[F.lit(None).cast("string") for _ in more]))
+    joined = own.join(if_small(of_class), "cls")
+    return joined.groupBy("ind").agg(F.array(*[F.bit_or(F.get("types", F.lit(w))) for w in range(words)]).alias("types"), *[F.max(c).alias(label) for c in more])
+
+
+def words_of(bits: DataFrame) -> int:
+    """How many words bitmaps of these classes take; one count over a schema."""
+    return max(1, -(-bits.count() // WORD))
+
+
+def has_type(types: Column, bit: Column) -> Column:
+    """Whether a bitmap (null: none) has a bit."""
+    word = F.get(types, F.floor(bit / WORD).cast("int"))
+    return (bit >= 0) & F.coalesce(F.getbit(word, (bit % WORD).cast("int")) == 1, F.lit(False))
+
+
+def signature_bits(signature: DataFrame, bits: DataFrame) -> DataFrame:
+    """(p, domain, range, domain_bit, range_bit): null where the property states no side; -1 for a class that is none."""
+    rows = signature
+    for side in ("domain", "range"):
+        rows = rows.join(bits.select(F.col("cls").alias(side), F.col("bit").alias(f"{side}_bit")), side, "left")
+        rows = rows.withColumn(f"{side}_bit", F.when(F.col(side).isNotNull(), F.coalesce(f"{side}_bit", F.lit(-1))))
+    return rows.select("p", "domain", "range", "domain_bit", "range_bit")
 
 
 def type_closure(types: DataFrame, ancestors: DataFrame, classes: DataFrame) -> DataFrame:
@@ -41,7 +95,7 @@ def most_specific_class(types: DataFrame, ancestors: DataFrame) -> DataFrame:
 
 def priority_type(closed: DataFrame, priority: DataFrame) -> DataFrame:
     """(ind, coarse): the coarse type of the first listed class among an individual's types, else `Entity`."""
-    return closed.join(F.broadcast(priority), "cls", "left").groupBy("ind").agg(F.coalesce(F.min_by("coarse", "rank"), F.lit("Entity")).alias("coarse"))
+    return closed.join(priority, "cls", "left").groupBy("ind").agg(F.coalesce(F.min_by("coarse", "rank"), F.lit("Entity")).alias("coarse"))
 
 
 KIND_ORDER = {"class": 0, "object_property": 1, "datatype_property": 2, "individual": 3}
@@ -63,7 +117,7 @@ def entity_dictionary(entries: DataFrame) -> DataFrame:
 
 def relation_triggers(properties: DataFrame, phrases: DataFrame) -> DataFrame:
     """(surface, p): the phrase and the words of each property, without repeats."""
-    both = properties.join(F.broadcast(phrases), "p", "left")
+    both = properties.join(phrases, "p", "left")
     words = F.array_distinct(F.array_compact(F.array(F.lower("phrase"), camel_to_words(F.col("p")))))
     return both.select(F.explode(words).alias("surface"), "p").distinct()
 

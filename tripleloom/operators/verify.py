@@ -9,34 +9,44 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import FeatureHasher, HashingTF, NGram, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.strings import mark_entities
+from ..sources.files import if_small
 from .mentions import bio_decode
+from .ontology import WORD, has_type
 
 
-def rule_verify(examples: DataFrame, signature: DataFrame, closed: DataFrame) -> DataFrame:
-    """The examples (candidate_relation, subject_short, object_short, …) with pred: whether subject and object fit the candidate's
-    signature; null where it lacks a side."""
-    rows = examples.join(F.broadcast(signature.withColumnRenamed("p", "candidate_relation")), "candidate_relation", "left")
-    for side, end in (("domain", "subject_short"), ("range", "object_short")):
-        typed = closed.select(F.col("ind").alias(end), F.col("cls").alias(side), F.lit(True).alias(f"_{side}"))
-        rows = rows.join(typed, [end, side], "left")
-    both = F.col("domain").isNotNull() & F.col("range").isNotNull()
-    pred = F.when(both, F.col("_domain").isNotNull() & F.col("_range").isNotNull())
+def rule_verify(examples: DataFrame, signature: DataFrame, subject_types: str = "subject_types", object_types: str = "object_types") -> DataFrame:
+    """The examples (candidate_relation, …) with pred: whether the bitmaps of their subject's and object's types fit the candidate's
+    signature; null where it lacks a side. Bitmaps are joined to facts before negatives and tiers are made of them, so that
+    nothing but the signatures is joined here."""
+    rows = examples.join(if_small(signature).withColumnRenamed("p", "candidate_relation"), "candidate_relation", "left")
+    both = F.col("domain_bit").isNotNull() & F.col("range_bit").isNotNull()
+    pred = F.when(both, has_type(F.col(subject_types), F.col("domain_bit")) & has_type(F.col(object_types), F.col("range_bit")))
     return rows.withColumn("pred", pred).select(*examples.columns, "pred")
 
 
+def with_types(rows: DataFrame, types: DataFrame, subject: str = "s", obj: str = "o") -> DataFrame:
+    """The rows with subject_types and object_types, null where an end has none; types: (ind, types) bitmaps, one row each."""
+    for end, name in ((subject, "subject_types"), (obj, "object_types")):
+        rows = rows.join(types.select(F.col("ind").alias(end), F.col("types").alias(name)), end, "left")
+    return rows
+
+
 def train_verifier(examples: DataFrame, choices: tuple[float, ...] = (0.0, 0.01), features: int = 1 << 14) -> tuple[PipelineModel, float]:
-    """A model of label VALID on words and word pairs of the marked text, from rows with a split. Of several strengths of
-    regularisation the one with the best accuracy on `val` is kept (the first of equals), with that accuracy."""
+    """A model of label VALID on words and word pairs of the marked text, and on each word together with the relation in front, from
+    rows with a split. Of several strengths of
+    regularisation the one with the best accuracy on `val` is kept (the first of equals), with that accuracy. Each fit reads the
+    rows, so give saved ones."""
     data = examples.withColumn("y", (F.col("label") == "VALID").cast("double"))
     train, val = data.filter("split = 'train'"), data.filter("split = 'val'")
     best = None
     for reg in choices:
         stages = [
             RegexTokenizer(inputCol="text", outputCol="_w", pattern=r"\W+"), NGram(inputCol="_w", outputCol="_g", n=2),
-            SQLTransformer(statement="SELECT *, concat(_w, _g) AS _t FROM __THIS__"), HashingTF(inputCol="_t", outputCol="features", numFeatures=features),
+            SQLTransformer(statement="SELECT *, concat(_w, _g, transform(_w, w -> concat_ws('|', try_element_at(_w, 2), w))) AS _t FROM __THIS__"), HashingTF(inputCol="_t", outputCol="features", numFeatures=features),
             LogisticRegression(labelCol="y", regParam=reg, maxIter=20),
         ]
         model = Pipeline(stages=stages).fit(train)
@@ -46,13 +56,52 @@ def train_verifier(examples: DataFrame, choices: tuple[float, ...] = (0.0, 0.01)
     return best
 
 
-def score_claims(model: PipelineModel, claims: DataFrame) -> DataFrame:
-    """The claims (with their marked text) with p_valid, confidence and verdict."""
-    scored = model.transform(claims).withColumn("_p", vector_to_array("probability"))
+def save_model(model: PipelineModel, path: str) -> str:
+    """The path of a new folder that holds the model; the folder is one that driver and executors share."""
+    model.write().save(path)
+    return path
+
+
+def loaded(model: PipelineModel | str) -> PipelineModel:
+    """A model, or the one stored under a path."""
+    return PipelineModel.load(model) if isinstance(model, str) else model
+
+
+def score_claims(model: PipelineModel | str, claims: DataFrame) -> DataFrame:
+    """The claims (with their marked text) with p_valid, confidence and verdict, by a fitted or stored model."""
+    scored = loaded(model).transform(claims).withColumn("_p", vector_to_array("probability"))
     valid = F.col("_p")[1]
     return scored.select(*claims.columns, valid.alias("p_valid"), F.greatest(valid, 1 - valid).alias("confidence"), F.when(valid >= 0.5, "VALID").otherwise("INVALID").alias("verdict"))
 
 
+def claims_of(candidates: DataFrame) -> DataFrame:
+    """The candidates (p, text, s_start, s_end, o_start, o_end) with `claim`: the relation in front of the sentence with both of its
+    ends marked, as verifiers are trained on."""
+    marked = mark_entities(F.col("text"), F.col("s_start"), F.col("s_end"), F.col("o_start"), F.col("o_end"))
+    return candidates.withColumn("claim", F.concat(F.lit("[REL] "), F.col("p"), F.lit(" [/REL] "), marked))
+
+
+def gate_by_model(candidates: DataFrame, model: PipelineModel | str) -> DataFrame:
+    """The candidates whose claim a fitted or stored model calls valid. The model is applied by `transform`, so rows stay in the JVM."""
+    own = candidates.columns
+    claims = claims_of(candidates).withColumn("_row", F.struct(*own)).select("_row", F.col("claim").alias("text"))
+    return score_claims(model, claims).filter("verdict = 'VALID'").select("_row.*")
+
+
+def gate_by_rule(candidates: DataFrame, signature: DataFrame, types: DataFrame) -> DataFrame:
+    """The candidates (s, p, o, …) whose subject and object have the types of the property's signature. One that lacks a side decides
+    nothing and lets none through."""
+    typed = with_types(candidates.withColumn("candidate_relation", F.col("p")), types)
+    return rule_verify(typed, signature).filter("pred").select(*candidates.columns)
+
+
+def types_fit(batch: pd.DataFrame) -> pd.Series:
+    """For `batch_validate`: whether the bitmaps subject_types and object_types have the bits domain_bit and range_bit."""
+    has = lambda types, bit: types is not None and 0 <= bit < WORD * len(types) and bool(int(types[bit // WORD]) >> bit % WORD & 1)
+    rows = zip(batch["subject_types"], batch["domain_bit"], batch["object_types"], batch["range_bit"])
+    return pd.Series([has(s, int(d)) and has(o, int(r)) for s, d, o, r in rows], index=batch.index, dtype=bool)
+
+
 def batch_validate(candidates: DataFrame, accept: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
     """The candidates that a function over Arrow batches accepts (null: no)."""
 
@@ -74,23 +123,69 @@ def tagger_features(tokens: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def train_tagger(tags: DataFrame, key: list[str], features: int = 1 << 12) -> PipelineModel:
-    """A token classifier for tags from (key…, pos, token, tag, split) rows of split train."""
-    stages = [
-        StringIndexer(inputCol="tag", outputCol="y", handleInvalid="keep", stringOrderType="alphabetDesc"),
-        FeatureHasher(inputCols=["f_word", "f_shape", "f_before", "f_behind", "f_end"], outputCol="features", numFeatures=features),
-        LogisticRegression(labelCol="y", maxIter=15),
-    ]
-    return Pipeline(stages=stages).fit(tagger_features(tags.filter("split = 'train'"), key))
-
-
-def predict_tags(model: PipelineModel, tokens: DataFrame, key: list[str]) -> DataFrame:
-    """(key…, pos, token, pred)"""
-    labels = F.array(*[F.lit(x) for x in model.stages[0].labels], F.lit("O"))
-    made = PipelineModel(model.stages[1:]).transform(tagger_features(tokens, key))
-    return made.select(*key, "pos", "token", F.element_at(labels, F.col("prediction").cast("int") + 1).alias("pred"))
+def train_tagger(tags: DataFrame, key: list[str], choices: tuple[float, ...] = (0.0, 0.01), features: int = 1 << 12) -> tuple[PipelineModel, float]:
+    """A token classifier for tags from (key…, pos, token, tag, split) rows of split train. Of several strengths of regularisation the
+    one with the best token accuracy on `val` is kept (the first of equals), with that accuracy. Each fit reads the rows."""
+    rows = tagger_features(tags, key)
+    train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
+    best = None
+    for reg in choices:
+        stages = [
+            StringIndexer(inputCol="tag", outputCol="y", handleInvalid="keep", stringOrderType="alphabetDesc"),
+            FeatureHasher(inputCols=["f_word", "f_shape", "f_before", "f_behind", "f_end"], outputCol="features", numFeatures=features),
+            LogisticRegression(labelCol="y", regParam=reg, maxIter=15),
+        ]
+        model = Pipeline(stages=stages).fit(train)
+        right = model.transform(val).agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0] or 0.0
+        if best is None or right > best[1]:
+            best = (model, right)
+    return best
 
 
-def tag_sentences(model: PipelineModel, tokens: DataFrame, key: list[str]) -> DataFrame:
-    """(key…, entity, label): the entities that a tagger finds, strictly decoded."""
+#: Stands for the logarithm of nothing.
+IMPOSSIBLE = -1e30
+
+
+def best_path(scores: Column, tags: list[str]) -> Column:
+    """array<int>: of all sequences of tags in which each I- goes on with B- or I- of its own label, the one with the greatest sum of
+    scores, an array<array<double>> of one row for each token; of equals, the tags that come first, from the end. A tag that
+    isn't I- may follow any, so a step looks for the best of all tags once, and at two for each I-."""
+    spot = {t: i for i, t in enumerate(tags)}
+    before = [[spot[x] for x in (f"B-{t[2:]}", t) if x in spot] if t.startswith("I-") else None for t in tags]
+    score = lambda s, i: F.struct(F.get(s, F.lit(i)).alias("s"), F.lit(-i).alias("i"))
+
+    def reached(s: Column, row: Column, first: Column) -> Column:
+        ways = [first if b is None else F.greatest(*[score(s, i) for i in b]) if len(b) > 1 else score(s, b[0]) for b in before]
+        return F.array(*[F.struct((w["s"] + F.get(row, F.lit(i))).alias("s"), (-w["i"]).alias("i")) for i, w in enumerate(ways)])
+
+    def step(state: Column, row: Column) -> Column:
+        best = F.array_max(F.transform(state["s"], lambda x, i: F.struct(x.alias("s"), (-i).alias("i"))))
+        new = F.element_at(F.transform(F.array(best), lambda b: reached(state["s"], row, b)), 1)
+        return F.element_at(F.transform(F.array(new), lambda n: F.struct(F.transform(n, lambda x: x["s"]).alias("s"), F.concat(state["back"], F.array(F.transform(n, lambda x: x["i"]))).alias("back"))), 1)
+
+    start = F.array(*[F.lit(IMPOSSIBLE if b is not None else 0.0) + F.get(F.get(scores, F.lit(0)), F.lit(i)) for i, b in enumerate(before)])
+    zero = F.struct(start.alias("s"), F.array().cast("array<array<int>>").alias("back"))
+    last = lambda s: -F.array_max(F.transform(s["s"], lambda x, i: F.struct(x.alias("s"), (-i).alias("i"))))["i"]
+    way = lambda s: F.aggregate(F.reverse(s["back"]), F.array(last(s)), lambda path, row: F.concat(path, F.array(F.get(row, F.element_at(path, -1)))), F.reverse)
+    return F.when(F.size(scores) > 0, F.aggregate(F.slice(scores, F.lit(2), F.size(scores)), zero, step, way))
+
+
+def predict_tags(model: PipelineModel | str, tokens: DataFrame, key: list[str], constrained: bool = True) -> DataFrame:
+    """(key…, pos, token, pred). constrained: each sentence gets its most probable sequence of tags in which no run begins with I-;
+    else each token its most probable tag. Rows of one key must be one sentence."""
+    stages = loaded(model).stages
+    tags = list(stages[0].labels)
+    made = PipelineModel(stages[1:]).transform(tagger_features(tokens, key))
+    if not constrained:
+        labels = F.array(*[F.lit(x) for x in tags], F.lit("O"))
+        return made.select(*key, "pos", "token", F.element_at(labels, F.col("prediction").cast("int") + 1).alias("pred"))
+    logs = F.transform(F.slice(vector_to_array("probability"), 1, len(tags)), lambda p: F.log(F.greatest(p, F.lit(1e-12))))
+    whole = made.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "token", logs.alias("logs")))).alias("xs"))
+    labels = F.array(*[F.lit(x) for x in tags])
+    found = F.zip_with("xs", best_path(F.col("xs.logs"), tags), lambda x, t: F.struct(x["pos"].alias("pos"), x["token"].alias("token"), F.get(labels, t).alias("pred")))
+    return whole.select(*key, F.inline(found))
+
+
+def tag_sentences(model: PipelineModel | str, tokens: DataFrame, key: list[str]) -> DataFrame:
+    """(key…, entity, label): the entities that a fitted or stored tagger finds, strictly decoded."""
     return bio_decode(predict_tags(model, tokens, key).withColumnRenamed("pred", "tag"), key, strict=True)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import strings as fs
 from ..operators import dataset as ds
 from ..operators import ontology as onto
-from .binding import PHRASES, Star, sql
+from .binding import Star, sql, sql_values, values
 from .book import Book, md5_mod, pick
-from .q_ontology import WORDS
+from .q_ontology import WORDS, bitmaps
 from .q_text import NEEDED, SENTS, told
 
 book = Book()
@@ -30,33 +30,64 @@ def _list(ts: list[str]) -> str:
     return f"[{', '.join(repr(t) for t in ts)}]"
 
 
-@book.add(sql(f"""WITH {SCHEMA}, t AS (SELECT *, CASE WHEN p = 'rdfs:subClassOf' THEN {_list(ds.SUBCLASS_TEMPLATES)} WHEN o = 'LiteralValue' THEN {_list(ds.DATA_TEMPLATES)} ELSE {_list(ds.OBJECT_TEMPLATES)} END AS ts FROM sp),
+#: Templates of single schema triples.
+OWN_TEMPLATES = [
+    ("Order", "placedBy", "Customer", "An {s} {phrase} a {o}, who pays for it.", 0), ("Order", "placedBy", "Customer", "The {o} behind an {s} is known.", 1),
+    ("Customer", "rdfs:subClassOf", "Party", "Whoever is a {s} is a {o} too.", 0),
+]
+
+
+@book.add(sql(f"""WITH {SCHEMA}, {sql_values("own0", OWN_TEMPLATES, "s", "p", "o", "template", "pos")}, own AS (SELECT s, p, o, list(template ORDER BY pos) AS own FROM own0 GROUP BY ALL),
+t AS (SELECT sp.*, coalesce(own, CASE WHEN sp.p = 'rdfs:subClassOf' THEN {_list(ds.SUBCLASS_TEMPLATES)} WHEN sp.o = 'LiteralValue' THEN {_list(ds.DATA_TEMPLATES)} ELSE {_list(ds.OBJECT_TEMPLATES)} END) AS ts FROM sp LEFT JOIN own ON own.s = sp.s AND own.p = sp.p AND own.o = sp.o),
 u AS (SELECT s, p, o, phrase, n_facts, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS variant FROM t) SELECT s, p, o, n_facts, variant::INTEGER AS variant, replace(replace(replace(t, '{{s}}', lower(s)), '{{phrase}}', phrase), '{{o}}', lower(o)) AS text FROM u""", *SCHEMA_NEEDS))
 def verbalize_schema(star):
     rows = schema_phrases(star)
-    return ds.verbalize_schema(rows).join(rows.select("s", "p", "o", "n_facts"), ["s", "p", "o"])
+    own = values(star.spark, OWN_TEMPLATES, "s", "p", "o", "template", "pos")
+    return ds.verbalize_schema(rows, own).join(rows.select("s", "p", "o", "n_facts"), ["s", "p", "o"])
 
 
 def doc_ids(star: Star) -> DataFrame:
     return star.table("documents").select(F.col("doc_id").alias("doc")).distinct()
 
 
-SIZE = "9 + " + md5_mod("'7|' || doc", 4)
+def sql_numbers(rows: str, columns: str, key: str) -> str:
+    """DuckDB: the rows with an ordinal from 0 by hash, their number, and the least prime from it on."""
+    return f"""(SELECT *, (SELECT min(x) FROM (SELECT unnest(range(greatest(n, 2), greatest(n, 2) + 300)) AS x) WHERE NOT EXISTS (SELECT 1 FROM range(2, 1100) d(d) WHERE d.d * d.d <= x AND x % d.d = 0)) AS prime
+  FROM (SELECT {columns}, row_number() OVER (ORDER BY md5('7|' || {key}), {key}) - 1 AS ordinal, count(*) OVER () AS n FROM {rows}))"""
+
+
+def sql_drawn(numbers: str, most: str, name: str, columns: str) -> str:
+    """DuckDB: the first turns of each document's permutation, met with the items."""
+    part = lambda what: md5_mod(f"'{what}|7|{name}|' || doc", ds.STEPS)
+    step = f"(({part('step')}::BIGINT * {ds.STEPS} + {part('step2')}) % greatest(prime - 1, 1) + 1)"
+    start = f"(({part('start')}::BIGINT * {ds.STEPS} + {part('start2')}) % prime)"
+    return f"""(SELECT doc, turn, {columns} FROM (SELECT doc, turn, n, ({step} * turn + {start}) % prime AS at FROM docs, (SELECT DISTINCT n, prime FROM {numbers}) z, LATERAL (SELECT unnest(range(least({most} + prime - n, prime))) AS turn) y) d JOIN {numbers} i ON i.ordinal = d.at)"""
 
 
-@book.add(sql(f"""WITH {SCHEMA}, docs AS (SELECT DISTINCT doc_id AS doc FROM documents), r AS (SELECT doc, s, p, o, row_number() OVER (PARTITION BY doc ORDER BY md5('7|' || doc || '|' || s || '|' || p || '|' || o)) AS position FROM docs, sp)
-SELECT doc, s, p, o, position::INTEGER AS position FROM r WHERE position <= {SIZE}""", *SCHEMA_NEEDS))
+DOCS = "docs AS (SELECT DISTINCT doc_id AS doc FROM documents)"
+SIZE = f"{ds.LEAST} + " + md5_mod("'7|' || doc", ds.MORE + 1)
+
+
+@book.add(sql(f"""WITH {SENTS}, {DOCS}, nums AS MATERIALIZED {sql_numbers("sents", "p, s, o", "s || '|' || p || '|' || o")}, d AS {sql_drawn("nums", str(ds.LEAST + ds.MORE), "", "p, s, o")},
+r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY turn) AS position FROM d) SELECT doc, s, p, o, position::INTEGER AS position FROM r WHERE position <= {SIZE}""", *NEEDED))
 def sample_documents(star):
-    return ds.sample_documents(doc_ids(star), schema_phrases(star).select("s", "p", "o"), "7", F.concat_ws("|", "s", "p", "o"))
+    """9 to 12 of all told facts for each document."""
+    return ds.sample_documents(doc_ids(star), told(star).select("s", "p", "o"), "7", F.concat_ws("|", "s", "p", "o"))
+
+
+STRATA = {"used": 5, "subclass": 2, "other": 1}
 
 
-@book.add(sql(f"""WITH {SCHEMA}, docs AS (SELECT DISTINCT doc_id AS doc FROM documents), k AS (SELECT s, p, o, CASE WHEN n_facts > 0 THEN 'used' WHEN p = 'rdfs:subClassOf' THEN 'subclass' ELSE 'other' END AS stratum FROM sp),
-h AS (SELECT doc, s, p, o, stratum, md5('7|' || doc || '|' || s || '|' || p || '|' || o) AS h FROM docs, k), q AS (SELECT *, row_number() OVER (PARTITION BY doc, stratum ORDER BY h) <= CASE stratum WHEN 'used' THEN 5 WHEN 'subclass' THEN 2 ELSE 1 END AS own FROM h),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY own DESC, h) AS r FROM q) SELECT doc, s, p, o, stratum, row_number() OVER (PARTITION BY doc ORDER BY h)::INTEGER AS position FROM r WHERE r <= {SIZE}""", *SCHEMA_NEEDS))
+@book.add(sql(f"""WITH {SCHEMA}, {DOCS}, k AS (SELECT s, p, o, CASE WHEN n_facts > 0 THEN 'used' WHEN p = 'rdfs:subClassOf' THEN 'subclass' ELSE 'other' END AS stratum FROM sp),
+{", ".join(f"n_{x} AS MATERIALIZED " + sql_numbers(f"(SELECT * FROM k WHERE stratum = '{x}')", "s, p, o, stratum", "s || '|' || p || '|' || o") for x in STRATA)},
+n_all AS MATERIALIZED {sql_numbers("k", "s, p, o, stratum", "s || '|' || p || '|' || o")},
+own AS ({" UNION ALL ".join(f"SELECT * FROM (SELECT *, {i} AS stage, row_number() OVER (PARTITION BY doc ORDER BY turn) AS r FROM {sql_drawn(f'n_{x}', str(q), x, 's, p, o, stratum')}) WHERE r <= {q}" for i, (x, q) in enumerate(STRATA.items()))}),
+rest AS (SELECT doc, turn, s, p, o, stratum, 3 AS stage, 0 AS r FROM {sql_drawn("n_all", str(ds.LEAST + ds.MORE + sum(STRATA.values())), "", "s, p, o, stratum")} a WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.doc = a.doc AND own.s = a.s AND own.p = a.p AND own.o = a.o)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY stage, turn) AS position FROM (SELECT * FROM own UNION ALL SELECT * FROM rest)) SELECT doc, s, p, o, stratum, position::INTEGER AS position FROM r WHERE position <= {SIZE}""", *SCHEMA_NEEDS))
 def stratified_documents(star):
     stratum = F.when(F.col("n_facts") > 0, "used").when(F.col("p") == "rdfs:subClassOf", "subclass").otherwise("other")
     rows = schema_phrases(star).select("s", "p", "o", stratum.alias("stratum"))
-    return ds.stratified_documents(doc_ids(star), rows, {"used": 5, "subclass": 2, "other": 1}, "7", F.concat_ws("|", "s", "p", "o"), "stratum")
+    return ds.stratified_documents(doc_ids(star), rows, STRATA, "7", F.concat_ws("|", "s", "p", "o"), "stratum")
 
 
 @book.add(sql("""WITH once AS (SELECT p, min([s, o]) AS k FROM facts WHERE p = 'tradesWith' GROUP BY p, least(s, o), greatest(s, o)), f AS (SELECT p, s, o FROM facts WHERE p <> 'tradesWith' UNION ALL SELECT p, k[1], k[2] FROM once),
@@ -66,12 +97,33 @@ def verbalize_facts(star):
     return ds.verbalize_facts(star.facts(), star.individuals(), star.phrases, star.symmetric, ds.FACT_TEMPLATES)
 
 
-@book.add(sql(f"""WITH {SENTS}, n AS (SELECT greatest(1, ceil(count(*) / 10000))::UBIGINT AS n FROM sents), h AS (SELECT sents.*, {md5_mod("text", "n")} AS bucket FROM sents, n), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5(text), p, s, o) - 1 AS r FROM h)
-SELECT p, s, o, text, bucket, (r // 10)::INTEGER AS doc, (r % 10 + 1)::INTEGER AS position FROM r""", *NEEDED))
+def sql_chunks(rows: str) -> str:
+    """DuckDB: chunks of a relation (p, s, o, text) as `chunks` (doc, position, …)."""
+    size = f"{ds.FEWEST} + " + md5_mod("'7|' || doc", ds.MOST_SENTENCES - ds.FEWEST + 1)
+    return f"""numbered AS (SELECT *, row_number() OVER (ORDER BY md5(text), p, s, o) - 1 AS n FROM {rows}), cuts0 AS (SELECT doc, {size} AS size FROM range((SELECT ceil(count(*) / {ds.FEWEST})::BIGINT FROM {rows})) r(doc)),
+cuts AS (SELECT doc, sum(size) OVER (ORDER BY doc) - size AS first, size FROM cuts0), chunks AS (SELECT p, s, o, text, doc, (n - first + 1)::INTEGER AS position FROM numbered ASOF JOIN cuts ON numbered.n >= cuts.first)"""
+
+
+@book.add(sql(f"WITH {SENTS}, {sql_chunks('sents')} SELECT * FROM chunks", *NEEDED))
 def chunk_documents(star):
     return ds.chunk_documents(told(star).select("p", "s", "o", "text"))
 
 
+SPLIT_DOC = f"CASE WHEN {md5_mod('document_id', 100)} < 70 THEN 'train' WHEN {md5_mod('document_id', 100)} < 85 THEN 'val' ELSE 'test' END"
+
+
+@book.add(sql(f"WITH {SENTS}, {sql_chunks('sents')}, d AS (SELECT *, 'doc_' || lpad((doc + 1)::VARCHAR, 7, '0') AS document_id FROM chunks) SELECT document_id, {SPLIT_DOC} AS split, string_agg(text, chr(10) ORDER BY position) AS text, count(*) AS n_sentences FROM d GROUP BY document_id", *NEEDED))
+def document_texts(star):
+    """Whole documents of 8 to 12 sentences."""
+    return ds.document_records(chunk_documents(star))[0]
+
+
+@book.add(sql(f"WITH {SENTS}, {sql_chunks('sents')}, d AS (SELECT *, 'doc_' || lpad((doc + 1)::VARCHAR, 7, '0') AS document_id FROM chunks) SELECT document_id, document_id || '_s' || lpad(position::VARCHAR, 3, '0') AS sentence_id, {SPLIT_DOC} AS split, text, s, p, o FROM d", *NEEDED))
+def gold_records(star):
+    """What each sentence of the documents states."""
+    return ds.document_records(chunk_documents(star))[1]
+
+
 # examples with negatives, tiers and splits
 
 PAIRS = """pairs0 AS (SELECT a.p, b.p AS q, CASE WHEN a.domain IS NOT DISTINCT FROM b.domain AND a.rng IS NOT DISTINCT FROM b.rng THEN CASE WHEN a.domain IS NOT NULL AND a.rng IS NOT NULL THEN 'type_identical' END
@@ -90,18 +142,21 @@ split_ AS (SELECT *, CASE WHEN h < 70 THEN 'train' WHEN h < 85 THEN 'val' ELSE '
 EX_NEEDS = (*NEEDED, "sig", "synonyms")
 
 
-def keyed(star: Star) -> DataFrame:
-    labels = star.individuals("Region", "Nation", "Customer", "Supplier", "Order")
-    rows = star.facts("inRegion", "basedIn", "placedBy").join(labels.select(F.col("ind").alias("s"), F.col("label").alias("subject")), "s").join(labels.select(F.col("ind").alias("o"), F.col("label").alias("object")), "o")
+def keyed(star: Star, types: bool = False) -> DataFrame:
+    """(key, p, s, o, subject, object): told facts with their labels; types: and their types as bits, by the same two joins."""
+    kinds = ("Region", "Nation", "Customer", "Supplier", "Order")
+    names = bitmaps(star, *kinds) if types else star.individuals(*kinds)
+    more = lambda n: [F.col("types").alias(n)] if types else []
+    rows = star.facts("inRegion", "basedIn", "placedBy").join(names.select(F.col("ind").alias("s"), F.col("label").alias("subject"), *more("subject_types")), "s").join(names.select(F.col("ind").alias("o"), F.col("label").alias("object"), *more("object_types")), "o")
     return rows.withColumn("key", F.concat_ws("|", "s", "p", "o"))
 
 
-def examples(star: Star) -> DataFrame:
-    return ds.verifier_examples(keyed(star), star.phrases, star.signature, ("s", "o"))
+def examples(star: Star, types: bool = False) -> DataFrame:
+    return ds.verifier_examples(keyed(star, types), star.phrases, star.signature, ("s", "o", *(("subject_types", "object_types") if types else ())))
 
 
-def split_examples(star: Star) -> DataFrame:
-    return ds.with_split(ds.augment_tiers(examples(star), star.synonyms))
+def split_examples(star: Star, types: bool = False) -> DataFrame:
+    return ds.with_split(ds.augment_tiers(examples(star, types), star.synonyms))
 
 
 @book.add(sql(f"WITH {NEGS} SELECT key, neg_type, q FROM negs", *EX_NEEDS))

@@ -11,13 +11,12 @@ from ..functions import strings as fs
 from ..operators import graph as g
 from ..operators import mentions as men
 from ..operators import metrics as m
-from ..operators import ontology as onto
 from ..operators import verify
 from ..sources import files
 from .binding import NAMESPACE, SUBCLASSES, Star, sql, values
 from .book import Book, md5_mod
 from .q_data import ALL, EX_NEEDS, split_examples
-from .q_ontology import BROKEN, broken, closed
+from .q_ontology import BROKEN, ancestors, bitmaps, broken, closed, signature_bits
 from .q_text import NEEDED, SENTS, SPLIT, TYPED, spans, tagged, told
 
 book = Book()
@@ -39,7 +38,7 @@ def kg_triples(star: Star) -> DataFrame:
 
 
 def gated(star: Star) -> DataFrame:
-    return star.once("gated", lambda: files.saved(g.gate(kg_triples(star), star.signature, closed(star))))
+    return star.once("gated", lambda: files.saved(g.gate(kg_triples(star), signature_bits(star), bitmaps(star))))
 
 
 def used(star: Star) -> DataFrame:
@@ -47,7 +46,7 @@ def used(star: Star) -> DataFrame:
 
 
 def kg(star: Star) -> DataFrame:
-    return g.build_kg(kg_triples(star), star.signature, closed(star), star.individuals(), star.subclass, star.attributes())
+    return g.build_kg(kg_triples(star), signature_bits(star), bitmaps(star), closed(star), star.individuals(), star.subclass, star.attributes())
 
 
 @book.add(sql(f"WITH {ACCEPTED} SELECT s, p, o, accepted FROM gated", *KG_NEEDS))
@@ -105,7 +104,7 @@ def validate_shapes(star):
 @book.add(sql("SELECT DISTINCT ind, cls FROM (SELECT ind, cls FROM inds UNION ALL SELECT ind, anc FROM inds JOIN anc USING (cls))", "inds", "anc"))
 def infer_types(star):
     edges = g.iri_triples(star.individuals().select(F.col("ind").alias("s"), F.lit("rdf:type").alias("p"), F.col("cls").alias("o")))
-    return g.infer_types(edges, onto.closure(star.subclass))
+    return g.infer_types(edges, ancestors(star))
 
 
 # patterns
@@ -126,8 +125,7 @@ def match_pattern(star):
 
 @book.add(sql("SELECT i.ind AS customer, f.s AS \"order\" FROM inds i LEFT JOIN facts f ON f.o = i.ind AND f.p = 'placedBy' WHERE cls = 'Customer'", "facts", "inds"))
 def optional_pattern(star):
-    k = linked(star)
-    return g.optional_pattern(g.pattern(k, "?customer", "rdf:type", "Customer"), k, ("?order", "placedBy", "?customer"))
+    return g.star_pattern(linked(star), "?customer", [("?customer", "rdf:type", "Customer")], [("?order", "placedBy", "?customer")])
 
 
 @book.add(sql("SELECT s AS a, o AS b FROM facts WHERE p = 'tradesWith' AND s <> o", "facts"))
@@ -140,11 +138,8 @@ PROFILE = "SELECT i.ind AS customer, f.o AS nation, a.lex AS balance, b.lex AS s
 
 @book.add(sql(PROFILE, "facts", "inds", "attrs"))
 def entity_profile(star):
-    k = linked(star)
-    people = g.pattern(k, "?customer", "rdf:type", "?cls").filter(F.col("cls").isin("Customer", "Supplier")).drop("cls")
-    for p in (("?customer", "basedIn", "?nation"), ("?customer", "acctbal", "?balance"), ("?customer", "segment", "?segment")):
-        people = g.optional_pattern(people, k, p)
-    return people
+    optional = [("?customer", "basedIn", "?nation"), ("?customer", "acctbal", "?balance"), ("?customer", "segment", "?segment")]
+    return g.star_pattern(linked(star), "?customer", [("?customer", "rdf:type", "?cls")], optional).filter(F.col("cls").isin("Customer", "Supplier")).drop("cls")
 
 
 @book.add(sql("SELECT f.s AS party, f.o AS nation, x.o AS region FROM facts f LEFT JOIN facts x ON x.s = f.o AND x.p = 'inRegion' WHERE f.p = 'basedIn' AND NOT regexp_matches(f.s, '_[0-9]*[13579]$')", "facts"))
@@ -224,8 +219,8 @@ V_NEEDS = (*EX_NEEDS, "types")
 
 
 def verified(star: Star) -> DataFrame:
-    rows = split_examples(star).withColumn("subject_short", F.col("s")).withColumn("object_short", F.col("o")).withColumn("gold", F.col("label") == "VALID")
-    return verify.rule_verify(rows, star.signature, closed(star))
+    rows = split_examples(star, types=True).withColumn("gold", F.col("label") == "VALID")
+    return verify.rule_verify(rows, signature_bits(star))
 
 
 @book.add(sql(f"WITH {VERIFIED} SELECT key, candidate_relation, complexity_tier, gold, pred FROM v", *V_NEEDS))
@@ -312,46 +307,68 @@ def token_accuracy(star):
 # models, sources and sinks: no SQL
 
 
+def scored_examples(star: Star) -> DataFrame:
+    """Test examples with the verdict of a model trained on the others; the examples are made once."""
+    rows = files.saved(split_examples(star))
+    model, _ = verify.train_verifier(rows)
+    scored = verify.score_claims(model, rows.filter("split = 'test'"))
+    return files.saved(scored.select("complexity_tier", "neg_type", (F.col("label") == "VALID").alias("gold"), (F.col("verdict") == "VALID").alias("pred")))
+
+
 @book.add()
 def train_verifier(star):
     """Rule and model side by side on the test split: accuracy, precision, recall, F1 by system."""
-    rows = split_examples(star)
-    model, _ = verify.train_verifier(rows)
-    scored = verify.score_claims(model, rows.filter("split = 'test'"))
-    pairs = scored.select(F.lit("model").alias("system"), (F.col("label") == "VALID").alias("gold"), (F.col("verdict") == "VALID").alias("pred"))
     rule = verified(star).filter("split = 'test'").select(F.lit("rule").alias("system"), "gold", "pred")
-    return m.f1_by(pairs.unionByName(rule), "system")
+    return m.f1_by(scored_examples(star).select(F.lit("model").alias("system"), "gold", "pred").unionByName(rule), "system")
+
+
+@book.add()
+def verifier_by_tier(star):
+    """The trained verifier on the test split: F1 by tier, and how many negatives of each kind it rejects."""
+    rows = scored_examples(star)
+    tiers = m.f1_by(rows, "complexity_tier").select(F.lit("tier").alias("metric"), F.col("complexity_tier").alias("key"), "n", F.col("f1").alias("value"))
+    return tiers.unionByName(m.reject_by_negative(rows).select(F.lit("rejected").alias("metric"), F.col("neg_type").alias("key"), F.col("total").alias("n"), F.col("rate").alias("value")))
 
 
 @book.add()
 def score_claims(star):
-    rows = split_examples(star)
+    """Test claims scored by a verifier that was trained, stored in the shared folder and loaded again."""
+    rows = files.saved(split_examples(star))
     model, _ = verify.train_verifier(rows, (0.0,))
-    return verify.score_claims(model, rows.filter("split = 'test'").select("key", "candidate_relation", "complexity_tier", "text"))
+    path = verify.save_model(model, files.shared_folder(star.spark, "verifier"))
+    return verify.score_claims(path, rows.filter("split = 'test'").select("key", "candidate_relation", "complexity_tier", "text"))
 
 
 def tag_rows(star: Star) -> DataFrame:
-    return tagged(star).withColumn("split", fs.hash_split(F.col("sid")))
+    return files.saved(tagged(star).withColumn("split", fs.hash_split(F.col("sid"))))
 
 
-@book.add()
-def train_tagger(star):
+def predicted_tags(star: Star) -> DataFrame:
+    """(sid, pos, gold, pred) of test sentences, by a tagger chosen by its accuracy on the validation split."""
     rows = tag_rows(star)
     test = rows.filter("split = 'test'")
-    made = verify.predict_tags(verify.train_tagger(rows, ["sid"]), test.drop("tag"), ["sid"])
-    return m.token_accuracy(test.select("sid", "pos", F.col("tag").alias("gold")).join(made, ["sid", "pos"]))
+    model, _ = verify.train_tagger(rows, ["sid"])
+    return test.select("sid", "pos", F.col("tag").alias("gold")).join(verify.predict_tags(model, test.drop("tag"), ["sid"]), ["sid", "pos"])
 
 
 @book.add()
-def tag_sentences(star):
-    rows = tag_rows(star)
-    return verify.tag_sentences(verify.train_tagger(rows, ["sid"]), rows.filter("split = 'test'").select("sid", "pos", "token"), ["sid"])
+def train_tagger(star):
+    return m.token_accuracy(predicted_tags(star))
 
 
-@book.add(sql(f"WITH {SENTS} SELECT s, p, o, text FROM sents WHERE {md5_mod('text', 3)} = 0", *NEEDED))
-def batch_validate(star):
-    rows = told(star).select("s", "p", "o", "text").withColumn("h", fs.md5_mod(F.col("text"), 3))
-    return verify.batch_validate(rows, lambda b: b["h"] == 0).drop("h")
+@book.add()
+def tagger_report(star):
+    """Precision, recall, F1 and support of each tag on the test split."""
+    return m.label_report(predicted_tags(star).select("gold", "pred"))
+
+
+@book.add()
+def tag_sentences(star):
+    """Entities of test sentences by a tagger that was trained, stored in the shared folder and loaded again."""
+    rows = tag_rows(star)
+    model, _ = verify.train_tagger(rows, ["sid"], (0.0,))
+    path = verify.save_model(model, files.shared_folder(star.spark, "tagger"))
+    return verify.tag_sentences(path, rows.filter("split = 'test'").select("sid", "pos", "token"), ["sid"])
 
 
 @book.add(sql("""SELECT 'class' AS axiom, name AS s, '' AS p, '' AS o FROM classes UNION ALL SELECT 'objprop', p, '', '' FROM sig UNION ALL SELECT 'dataprop', p, '', '' FROM dsig UNION ALL SELECT 'individual', ind, '', '' FROM inds

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import ontology as onto
+from ..sources.files import saved
 from .binding import Star, sql, values
 from .book import Book
 
@@ -16,8 +17,25 @@ NAMES = """names AS (SELECT name AS short, NULL::VARCHAR AS label, 'class' AS ki
 WORDS = "lower(trim(regexp_replace(replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', ' '), '\\s+', ' ', 'g')))"
 
 
+def ancestors(star: Star) -> DataFrame:
+    return star.once("ancestors", lambda: onto.closure(star.subclass))
+
+
 def closed(star: Star) -> DataFrame:
-    return star.once("closed", lambda: onto.type_closure(star.individuals(), onto.closure(star.subclass), star.classes))
+    return star.once("closed", lambda: onto.type_closure(star.individuals(), ancestors(star), star.classes))
+
+
+def bits(star: Star) -> DataFrame:
+    return star.once("bits", lambda: saved(onto.class_bits(ancestors(star), star.classes)))
+
+
+def bitmaps(star: Star, *kinds: str) -> DataFrame:
+    """(ind, types, label): the individuals' types as bits, one row each."""
+    return onto.type_bits(star.individuals(*kinds), ancestors(star), bits(star), onto.words_of(bits(star)), "label")
+
+
+def signature_bits(star: Star) -> DataFrame:
+    return star.once("signature_bits", lambda: saved(onto.signature_bits(star.signature, bits(star))))
 
 
 def names(star: Star) -> DataFrame:
@@ -34,6 +52,24 @@ def subclass_closure(star):
     return onto.closure(star.subclass).join(n, "cls", "left").select("cls", "anc", F.coalesce("n", F.lit(0)).alias("n_individuals"))
 
 
+def order_chains(star: Star) -> DataFrame:
+    """(child, parent): each order and the customer's next by key; the last leads back to the first where the customer's key is a
+    multiple of 3, and to itself where it is of 5."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = star.table("orders").select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(w).alias("next"), F.first("o_orderkey").over(w).alias("first"))
+    back = F.when(F.col("o_custkey") % 3 == 0, F.col("first")).when(F.col("o_custkey") % 5 == 0, F.col("o_orderkey"))
+    name = lambda c: F.concat(F.lit("order_"), c)
+    return rows.select(name("o_orderkey").alias("child"), name(F.coalesce("next", back)).alias("parent")).filter("parent is not null")
+
+
+@book.add("""WITH RECURSIVE e AS (SELECT o_orderkey AS a, coalesce(lead(o_orderkey) OVER w, CASE WHEN o_custkey % 3 = 0 THEN first(o_orderkey) OVER w WHEN o_custkey % 5 = 0 THEN o_orderkey END) AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+r(a, b, far) AS (SELECT a, b, 1 FROM e WHERE b IS NOT NULL UNION SELECT r.a, e.b, far + 1 FROM r JOIN e ON e.a = r.b WHERE e.b IS NOT NULL AND far < 200)
+SELECT 'order_' || a AS cls, 'order_' || b AS anc, min(far)::BIGINT AS far FROM r GROUP BY ALL""")
+def chain_closure(star):
+    """All that is reached along deep chains and cycles of the data, and how far it is."""
+    return onto.distances(order_chains(star))
+
+
 @book.add(sql("SELECT ind, cls FROM types", "types"))
 def type_closure(star):
     return closed(star)
@@ -44,7 +80,7 @@ def most_specific_class(star):
     inds = star.individuals()
     types = inds.filter("cls <> 'Part'").select("ind", "cls", F.lit(1).alias("pos")).union(inds.filter("cls <> 'Part'").select("ind", F.lit("Entity"), F.lit(0)))
     types = types.union(inds.filter("cls = 'Part'").select("ind", F.lit(None).cast("string"), F.lit(0)))
-    return onto.most_specific_class(types, onto.closure(star.subclass))
+    return onto.most_specific_class(types, ancestors(star))
 
 
 @book.add(sql("SELECT ind, coalesce(arg_min(coarse, rank), 'Entity') AS coarse FROM types LEFT JOIN prio USING (cls) GROUP BY ind", "types", "prio"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings as fs
 from ..operators import mentions as men
-from ..operators.dataset import verbalize_facts
+from ..operators.dataset import chunk_documents, document_records, verbalize_facts
 from ..operators.ontology import entity_dictionary, relation_triggers, surface_entries
 from ..sources.files import saved
 from . import q_ontology
@@ -40,19 +40,23 @@ def told(star: Star) -> DataFrame:
     return rows.drop("variant").withColumn("sid", F.concat_ws("|", "s", "p"))
 
 
-def dictionary(star: Star) -> DataFrame:
-    """Surfaces of classes, individuals and properties, with types."""
+def entries(star: Star) -> DataFrame:
+    """(surface, entry) of classes, individuals and properties, with types."""
     none = F.lit(None).cast("string").alias("label")
     names = star.individuals("Region", "Nation", "Customer", "Supplier", "Order").select(F.col("ind").alias("short"), "label", F.lit("individual").alias("kind"))
     names = names.unionByName(star.classes.select(F.col("name").alias("short"), none, F.lit("class").alias("kind")))
     rows = surface_entries(men.with_types(names, q_ontology.closed(star)))
     entry = F.struct(F.lit(1).alias("pos"), F.col("p").alias("short"), F.lit("object_property").alias("kind"), F.array().cast("array<string>").alias("types"))
     triggers = relation_triggers(star.signature, star.phrases).join(star.phrases.select("p"), "p").select("surface", entry.alias("entry"))
-    return entity_dictionary(rows.union(triggers))
+    return rows.union(triggers)
+
+
+def dictionary(star: Star) -> DataFrame:
+    return entity_dictionary(entries(star))
 
 
 def mentioned(star: Star) -> DataFrame:
-    # written once, as the first words of surfaces and the surfaces are both looked up in it
+    # written once: its surfaces are counted, filtered by and joined
     return men.detect_mentions(told(star), star.once("dictionary", lambda: saved(dictionary(star))), ["sid"], LONGEST, "text")
 
 
@@ -253,8 +257,7 @@ def bio_decode(star):
 
 @book.add(sql(f"WITH {SENTS}, c AS (SELECT p, count(*) AS n FROM sents GROUP BY p) SELECT 'sentences' AS metric, '' AS key, sum(n)::BIGINT AS value FROM c UNION ALL SELECT 'mentions', 'individual', 2 * sum(n)::BIGINT FROM c UNION ALL SELECT 'mentions', 'object_property', sum(n)::BIGINT FROM c UNION ALL SELECT 'candidates', p, n FROM c UNION ALL SELECT 'label_set', p, n FROM c UNION ALL SELECT 'signal', 'relation', sum(n)::BIGINT FROM c UNION ALL SELECT 'split', {SPLIT_OF}, count(*) FROM sents GROUP BY 2", *NEEDED))
 def weak_stats(star):
-    rows = saved(mentioned(star))
-    return men.weak_stats(rows, men.relation_candidates(rows, star.signature, ["sid"]), ["sid"], fs.hash_split(F.col("sid")))
+    return men.weak_stats(mentioned(star), star.signature, ["sid"], fs.hash_split(F.col("sid")))
 
 
 @book.add(sql(f"WITH {SENTS} SELECT s, p, o, text FROM sents", *NEEDED))
@@ -267,9 +270,67 @@ def extract_window(star):
     return men.distinct_triples(candidates(star, gated=False, window=10), ["sid"]).drop("sid")
 
 
-@book.add(sql(f"WITH {SENTS} SELECT s, p, o, text FROM sents WHERE p <> 'inRegion'", *NEEDED))
-def extract_gated(star):
-    """Window candidates that a function over Arrow batches accepts; repeats stay."""
-    from ..operators.verify import batch_validate
+# documents with wrong-typed entities nearer to the relation, and surfaces that several individuals share
+
 
-    return batch_validate(candidates(star, gated=False, window=10).select("s", "p", "o", "text"), lambda b: b["p"] != "inRegion")
+NOISE = 4
+OTHER = {"inRegion": "Order#1", "basedIn": "ASIA", "placedBy": "ASIA"}
+
+
+def noisy(star: Star) -> DataFrame:
+    """(p, s, o, text) of told facts: by a hash plain, with an entity of the wrong type before or behind the relation, or under a
+    name that individuals of several classes share."""
+    labels = star.individuals("Region", "Nation", "Customer", "Supplier", "Order")
+    rows = star.facts(*TOLD).join(labels.select(F.col("ind").alias("s"), F.col("label").alias("sl")), "s").join(labels.select(F.col("ind").alias("o"), F.col("label").alias("ol")), "o").join(star.phrases, "p")
+    h = fs.md5_mod(F.concat_ws("|", "s", "p", "o"), NOISE)
+    other = F.coalesce(*[F.when(F.col("p") == p, w) for p, w in OTHER.items()])
+    alias = F.when(F.col("p") == "inRegion", F.col("sl")).otherwise(F.concat(F.lit("Account "), F.substring_index("s", "_", -1)))
+    near = F.when(h == 0, F.format_string("%s %s %s.", "sl", "phrase", "ol")).when(h == 1, F.format_string("%s, as %s knows, %s %s.", F.col("sl"), other, F.col("phrase"), F.col("ol")))
+    text = near.when(h == 2, F.format_string("%s %s, says %s, %s.", F.col("sl"), F.col("phrase"), other, F.col("ol"))).otherwise(F.format_string("%s %s %s.", alias, F.col("phrase"), F.col("ol")))
+    return rows.select("p", "s", "o", text.alias("text"))
+
+
+def shared_names(star: Star) -> DataFrame:
+    """The dictionary with `account n` for customers, orders and suppliers of that number."""
+    people = star.individuals("Customer", "Order", "Supplier").select(F.col("ind").alias("short"), F.concat(F.lit("account "), F.substring_index("ind", "_", -1)).alias("label"), F.lit("individual").alias("kind"))
+    typed = men.with_types(people, q_ontology.closed(star))
+    alias = typed.select(F.lower("label").alias("surface"), F.struct(F.lit(3).alias("pos"), "short", "kind", "types").alias("entry"))
+    return entity_dictionary(entries(star).union(alias))
+
+
+def noisy_documents(star: Star) -> DataFrame:
+    return document_records(chunk_documents(noisy(star)))[0]
+
+
+def document_mentions(star: Star) -> DataFrame:
+    return star.once("document_mentions", lambda: men.document_mentions(noisy_documents(star), saved(shared_names(star)), "document_id", LONGEST))
+
+
+#: DuckDB: the documents' sentences, their tokens, mentions and typed candidates, all from the text.
+FOUND = rf"""lab AS (SELECT ind, label FROM inds WHERE cls <> 'Part'), noise AS (SELECT p, s, o, x.label AS sl, y.label AS ol, phrase, {md5_mod("s || '|' || p || '|' || o", NOISE)} AS h, CASE WHEN p = 'inRegion' THEN 'Order#1' ELSE 'ASIA' END AS w,
+  CASE WHEN p = 'inRegion' THEN x.label ELSE 'Account ' || split_part(s, '_', 2) END AS alias FROM facts JOIN lab x ON x.ind = s JOIN lab y ON y.ind = o JOIN phrases USING (p) WHERE p IN ('inRegion', 'basedIn', 'placedBy')),
+made AS (SELECT p, s, o, CASE h WHEN 0 THEN sl || ' ' || phrase || ' ' || ol || '.' WHEN 1 THEN sl || ', as ' || w || ' knows, ' || phrase || ' ' || ol || '.' WHEN 2 THEN sl || ' ' || phrase || ', says ' || w || ', ' || ol || '.' ELSE alias || ' ' || phrase || ' ' || ol || '.' END AS text FROM noise),
+{{chunks}}, docs AS (SELECT 'doc_' || lpad((doc + 1)::VARCHAR, 7, '0') AS document_id, string_agg(text, chr(10) ORDER BY position) AS text FROM chunks GROUP BY doc),
+sent AS (SELECT document_id, n, text FROM (SELECT document_id, unnest(ls) AS text, generate_subscripts(ls, 1) AS n FROM (SELECT document_id, string_split(regexp_replace(text, '([.!?])[ 	]+([A-Z0-9])', '' || chr(10) || '', 'g'), chr(10)) AS ls FROM docs))),
+src AS (SELECT document_id || '|' || n AS sid, text FROM sent), {TOKENS},
+names AS (SELECT ind AS short, label, 'individual' AS kind FROM lab UNION ALL SELECT name, NULL, 'class' FROM classes),
+surf AS (SELECT DISTINCT lower(trim(x)) AS surface, short, kind FROM (SELECT unnest([coalesce(label, short), short, {WORDS.format('short')}, coalesce(label, {WORDS.format('short')})]) AS x, short, kind FROM names) WHERE length(trim(x)) >= 2
+  UNION SELECT 'account ' || split_part(ind, '_', 2), ind, 'individual' FROM lab WHERE split_part(ind, '_', 1) IN ('customer', 'order', 'supplier') UNION SELECT lower(phrase), p, 'object_property' FROM phrases UNION SELECT {WORDS.format('p')}, p, 'object_property' FROM phrases),
+grams AS (SELECT a.sid, a.st, b.en, lower(substr(a.text, a.st + 1, b.en - a.st)) AS surface FROM toks a JOIN toks b ON b.sid = a.sid AND b.pos BETWEEN a.pos AND a.pos + {LONGEST - 1}),
+hits AS (SELECT sid, st, max(en) AS en FROM grams WHERE surface IN (SELECT surface FROM surf) GROUP BY sid, st),
+nxt AS (SELECT a.sid, a.st, a.en, min(b.st) AS nx FROM hits a LEFT JOIN hits b ON a.sid = b.sid AND b.st >= a.en GROUP BY ALL),
+walk AS (SELECT sid, st, en, nx FROM nxt WHERE (sid, st) IN (SELECT (sid, min(st)) FROM hits GROUP BY sid) UNION ALL SELECT n.sid, n.st, n.en, n.nx FROM walk JOIN nxt n ON n.sid = walk.sid AND n.st = walk.nx),
+men AS (SELECT walk.sid, st, en, short, kind FROM walk JOIN src USING (sid) JOIN surf ON surface = lower(substr(src.text, st + 1, en - st))),
+trig AS (SELECT sid, st, en, min(short) AS p FROM men WHERE kind = 'object_property' GROUP BY sid, st, en),
+typed AS (SELECT sid, st, en, short, kind, cls FROM men JOIN types ON ind = short WHERE kind IN ('individual', 'class')),
+left_ AS (SELECT t.sid, t.st AS ts, t.en AS te, p, max(m.en) AS en FROM trig t JOIN sig USING (p) JOIN typed m ON m.sid = t.sid AND m.en <= t.st AND m.cls = domain GROUP BY ALL),
+right_ AS (SELECT t.sid, t.st AS ts, p, min(m.st) AS st FROM trig t JOIN sig USING (p) JOIN typed m ON m.sid = t.sid AND m.st >= t.en AND m.cls = rng GROUP BY ALL),
+found AS (SELECT l.sid, p, l.ts AS trigger_start, min(a.st)::INTEGER AS s_start, min(a.en)::INTEGER AS s_end, min(b.st)::INTEGER AS o_start, min(b.en)::INTEGER AS o_end, min(a.short) AS s, min(b.short) AS o FROM left_ l JOIN right_ r USING (sid, ts, p) JOIN sig USING (p)
+  JOIN typed a ON a.sid = l.sid AND a.en = l.en AND a.cls = domain AND a.kind = 'individual' JOIN typed b ON b.sid = l.sid AND b.st = r.st AND b.cls = rng AND b.kind = 'individual' GROUP BY ALL)"""
+FOUND_NEEDS = ("facts", "inds", "phrases", "classes", "sig", "types")
+
+
+def found_sql(body: str) -> str:
+    from .q_data import sql_chunks
+
+    return sql(f"WITH {FOUND.replace('{chunks}', sql_chunks('made'))} {body}", *FOUND_NEEDS)

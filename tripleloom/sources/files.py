@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TRIPLES = "array<struct<subject:string,predicate:string,object:string>>"
@@ -34,6 +37,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a table that is broadcast at most.
+BROADCAST_ROWS = 50_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, marked to be broadcast if a count finds few rows in it; otherwise Spark joins it as it likes."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def unescaped(c: Column) -> Column:
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -43,41 +55,100 @@ def unescaped(c: Column) -> Column:
 #: Spark DDL of the axiom tables.
 AXIOMS = {
     "class": "name string", "objprop": "name string", "dataprop": "name string", "individual": "name string", "label": "name string, label string", "comment": "name string, comment string",
-    "domain": "p string, cls string, kind string", "range": "p string, cls string", "subclass": "child string, parent string", "type": "cls string, ind string, pos int",
+    "domain": "p string, cls string, kind string", "range": "p string, cls string", "subclass": "child string, parent string", "type": "cls string, ind string, pos bigint",
     "obj": "p string, s string, o string", "data": "p string, s string, lex string, dtype string", "inverse": "a string, b string", "symmetric": "p string",
 }
+#: Elements of the format that are axioms.
+ELEMENTS = ["Declaration", "AnnotationAssertion", "ObjectPropertyDomain", "DataPropertyDomain", "ObjectPropertyRange", "SubClassOf", "ClassAssertion", "ObjectPropertyAssertion", "DataPropertyAssertion",
+            "InverseObjectProperties", "SymmetricObjectProperty"]
+#: Axioms of one part of a file at most, as a power of two, for their places.
+PLACES = 23
+
+
+def axiom_elements(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, x): the axioms of all files under a path, in one scan, whatever their lines; pos rises within a file. A file is read by as
+    many tasks as it has parts: each task cuts its lines where an axiom begins; what stands before its first axiom belongs to the
+    last axiom of the part before, and these pieces, two a part at most, are joined afterwards."""
+    begin = re.compile("(?=<(?:" + "|".join(ELEMENTS) + ")[ >])")
+    names = ["file", "block", "n", "head", "x"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, parts, done = None, 0, [], []
+
+        def put() -> None:
+            if now:
+                done.append((*now, n, n == 0, "".join(parts)))
+
+        for b in batches:
+            for value, file, block in zip(*(c.to_pylist() for c in b.columns)):
+                if (file, block) != now:
+                    put()
+                    now, n, parts = (file, block), 0, []
+                first, *more = begin.split(value)
+                parts.append(first)
+                for x in more:
+                    put()
+                    n, parts = n + 1, [x]
+                parts.append("\n")
+            if len(done) >= 4096:
+                yield batch(done)
+                done.clear()
+        put()
+        if done:
+            yield batch(done)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()))], names=names)
+
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    rows = saved(spark.read.text(path).select("value", *place).mapInArrow(run, "file string, block long, n long, head boolean, x string"))
+    # the last axiom of a part and what the next parts begin with
+    last = rows.groupBy("file", "block").agg(F.max("n").alias("n"))
+    edges = rows.join(last, ["file", "block", "n"], "left_semi").union(rows.filter("head")).distinct()
+    pieces = Window.partitionBy("file").orderBy("block", "n")
+    edges = edges.withColumn("g", F.sum((~F.col("head")).cast("int")).over(pieces))
+    whole = edges.groupBy("file", "g").agg(F.min(F.struct("block", "n")).alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "n", "x"))), lambda e: e["x"]), "").alias("x"))
+    inner = rows.filter("not head").join(last, ["file", "block", "n"], "left_anti").select("block", "n", "x")
+    both = inner.union(whole.filter("g > 0").select("at.block", "at.n", "x"))
+    return both.select((F.shiftleft("block", PLACES) + F.col("n")).alias("pos"), F.regexp_replace("x", r">\s+<", "><").alias("x"))
 
 
 def load_ontology(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of `AXIOMS` from all OWL/XML files under a path. Names are cut behind `#`; the kind of a domain is `object` or
-    `data`; dtype is `xsd:` and a name, also where a file writes it as an entity. Class expressions aren't read: a union
-    as range is no range."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r">\s+<", "><").alias("x"))
+    """The tables of `AXIOMS` from all OWL/XML files under a path, which are scanned once. Names are cut behind `#`; the kind of a
+    domain is `object` or `data`; dtype is `xsd:` and a name, also where a file writes it as an entity. Class expressions aren't
+    read: a union as range is no range."""
     iri = lambda tag: rf'<{tag} (?:IRI|abbreviatedIRI)="(?:[^"#]*#)?([^"]*)"/>'
-
-    def axioms(tag: str, body: str, names: list[str], more: Column | None = None) -> DataFrame:
-        pattern = rf"<{tag}>{body}</{tag}>"
-        rows = text.select(F.posexplode(F.regexp_extract_all("x", F.lit(f"({pattern})"), F.lit(1))).alias("pos", "a"))
-        cells = [unescaped(F.regexp_extract("a", pattern, i + 1)).alias(n) for i, n in enumerate(names)]
-        return rows.select(*cells, *([more] if more is not None else []), "pos")
-
-    drop = lambda df: df.drop("pos").distinct()
-    declared = lambda kind: drop(axioms("Declaration", iri(kind), ["name"]))
-    noted = lambda what: drop(axioms("AnnotationAssertion", rf'<AnnotationProperty (?:IRI|abbreviatedIRI)="[^"]*[#:]{what}"/><IRI>(?:[^<#]*#)?([^<]*)</IRI><Literal[^>]*>([^<]*)</Literal>', ["name", what]))
-    domain = lambda kind, tag: drop(axioms(f"{tag}Domain", iri(tag) + iri("Class"), ["p", "cls"], F.lit(kind).alias("kind")))
-    datatype = F.regexp_extract("a", r'<Literal[^>]*datatypeIRI="(?:[^"]*#|&xsd;|xsd:)([^"]*)"', 1)
-    return {
-        "class": declared("Class"), "objprop": declared("ObjectProperty"), "dataprop": declared("DataProperty"), "individual": declared("NamedIndividual"),
-        "label": noted("label"), "comment": noted("comment"),
-        "domain": domain("object", "ObjectProperty").unionByName(domain("data", "DataProperty")),
-        "range": drop(axioms("ObjectPropertyRange", iri("ObjectProperty") + iri("Class"), ["p", "cls"])),
-        "subclass": drop(axioms("SubClassOf", iri("Class") + iri("Class"), ["child", "parent"])),
-        "type": axioms("ClassAssertion", iri("Class") + iri("NamedIndividual"), ["cls", "ind"]),
-        "obj": drop(axioms("ObjectPropertyAssertion", iri("ObjectProperty") + iri("NamedIndividual") + iri("NamedIndividual"), ["p", "s", "o"])),
-        "data": drop(axioms("DataPropertyAssertion", iri("DataProperty") + iri("NamedIndividual") + r"<Literal[^>]*>([^<]*)</Literal>", ["p", "s", "lex"], F.when(datatype != "", F.concat(F.lit("xsd:"), datatype)).alias("dtype"))),
-        "inverse": drop(axioms("InverseObjectProperties", iri("ObjectProperty") + iri("ObjectProperty"), ["a", "b"])),
-        "symmetric": drop(axioms("SymmetricObjectProperty", iri("ObjectProperty"), ["p"])),
-    }
+    text, literal = r"<IRI>(?:[^<#]*#)?([^<]*)</IRI>", r"<Literal[^>]*>([^<]*)</Literal>"
+    noted = lambda what: rf'<AnnotationProperty (?:IRI|abbreviatedIRI)="[^"]*[#:]{what}"/>' + text + literal
+    # table, element and what stands in it
+    forms = [
+        ("class", "Declaration", iri("Class")), ("objprop", "Declaration", iri("ObjectProperty")), ("dataprop", "Declaration", iri("DataProperty")), ("individual", "Declaration", iri("NamedIndividual")),
+        ("label", "AnnotationAssertion", noted("label")), ("comment", "AnnotationAssertion", noted("comment")),
+        ("domain object", "ObjectPropertyDomain", iri("ObjectProperty") + iri("Class")), ("domain data", "DataPropertyDomain", iri("DataProperty") + iri("Class")),
+        ("range", "ObjectPropertyRange", iri("ObjectProperty") + iri("Class")), ("subclass", "SubClassOf", iri("Class") + iri("Class")), ("type", "ClassAssertion", iri("Class") + iri("NamedIndividual")),
+        ("obj", "ObjectPropertyAssertion", iri("ObjectProperty") + iri("NamedIndividual") + iri("NamedIndividual")), ("data", "DataPropertyAssertion", iri("DataProperty") + iri("NamedIndividual") + literal),
+        ("inverse", "InverseObjectProperties", iri("ObjectProperty") + iri("ObjectProperty")), ("symmetric", "SymmetricObjectProperty", iri("ObjectProperty")),
+    ]
+    cells = F.lit(None).cast("struct<axiom:string,a:string,b:string,c:string>")
+    for name, element, body in reversed(forms):
+        pattern = f"^<{element}>{body}</{element}>"
+        cell = lambda i: unescaped(F.regexp_extract("x", pattern, i)) if re.compile(pattern).groups >= i else F.lit(None).cast("string")  # noqa: B023, E731
+        cells = F.when(F.col("x").startswith(f"<{element}>") & F.col("x").rlike(pattern), F.struct(F.lit(name).alias("axiom"), cell(1).alias("a"), cell(2).alias("b"), cell(3).alias("c"))).otherwise(cells)
+    datatype = F.regexp_extract("x", r'<Literal[^>]*datatypeIRI="(?:[^"]*#|&xsd;|xsd:)([^"]*)"', 1)
+    rows = axiom_elements(spark, path).select(cells.alias("r"), F.when(datatype != "", F.concat(F.lit("xsd:"), datatype)).alias("dtype"), "pos").filter("r is not null")
+    rows = saved(rows.select("r.*", "dtype", "pos"))
+
+    def table(name: str, *columns: str) -> DataFrame:
+        return rows.filter(F.col("axiom") == name).select(*[F.col(c).alias(n) for c, n in zip("abc", columns)])
+
+    domain = lambda kind: table(f"domain {kind}", "p", "cls").withColumn("kind", F.lit(kind))
+    found = {name: table(name, *columns) for name, columns in (
+        ("class", ["name"]), ("objprop", ["name"]), ("dataprop", ["name"]), ("individual", ["name"]), ("label", ["name", "label"]), ("comment", ["name", "comment"]), ("range", ["p", "cls"]),
+        ("subclass", ["child", "parent"]), ("obj", ["p", "s", "o"]), ("inverse", ["a", "b"]), ("symmetric", ["p"]),
+    )}
+    found |= {"domain": domain("object").unionByName(domain("data")), "data": rows.filter("axiom = 'data'").select(F.col("a").alias("p"), F.col("b").alias("s"), F.col("c").alias("lex"), "dtype")}
+    found = {name: df.distinct() for name, df in found.items()}
+    return found | {"type": rows.filter("axiom = 'type'").select(F.col("a").alias("cls"), F.col("b").alias("ind"), "pos")}
 
 
 def write_ontology(tables: dict[str, DataFrame], path: str, per_file: int = 50_000) -> None:
