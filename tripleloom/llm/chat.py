@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import saved, session_of
 
 #: Types of a schema and what they admit (bool is no number).
-TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 #: Schemas of the tools that `conversation_calls` derives.
 SCHEMAS = {
     "ask": {"properties": {"limit": {"type": "integer", "minimum": 1, "maximum": 8}, "query": {"type": "string", "minLength": 1}}, "required": ["limit", "query"]},
@@ -21,15 +21,17 @@ ROUNDS_BETWEEN_CHECKPOINTS = 4
 
 
 def problem(value, schema: dict, at: str = "") -> str:
-    """The first fault of a value against a schema (type, required, properties, enum, bounds), by name; '' if none."""
+    """The first fault of a value against a schema (type, required, properties, enum, bounds), by name; '' if none. A type may be a
+    list of names, of which one must fit; a name that is none fits nothing. Bounds hold for numbers, lengths for strings only."""
     kind = schema.get("type", "object" if "properties" in schema else None)
-    if kind and (not isinstance(value, TYPES[kind]) or isinstance(value, bool) and kind in ("integer", "number")):
-        return f"{at or 'arguments'}: not {kind}"
+    kinds = kind if isinstance(kind, list) else [kind]
+    if kind is not None and not any(fits(value, k) for k in kinds):
+        return f"{at or 'arguments'}: not {' or '.join(map(str, kinds))}"
     if "enum" in schema and value not in schema["enum"]:
         return f"{at}: not in enum"
-    if "minimum" in schema and value < schema["minimum"] or "maximum" in schema and value > schema["maximum"]:
+    if fits(value, "number") and ("minimum" in schema and value < schema["minimum"] or "maximum" in schema and value > schema["maximum"]):
         return f"{at}: out of range"
-    if "minLength" in schema and len(value) < schema["minLength"]:
+    if isinstance(value, str) and "minLength" in schema and len(value) < schema["minLength"]:
         return f"{at}: too short"
     if isinstance(value, list) and "items" in schema:
         return next((p for i, v in enumerate(value) if (p := problem(v, schema["items"], f"{at}[{i}]"))), "")
@@ -46,6 +48,10 @@ def problem(value, schema: dict, at: str = "") -> str:
     return ""
 
 
+def fits(value, kind: str) -> bool:
+    return kind in TYPES and isinstance(value, TYPES[kind]) and not (isinstance(value, bool) and kind in ("integer", "number"))
+
+
 def canonical(value) -> str:
     """JSON with sorted keys and no blanks; no NaN, and no lone surrogate, which UTF-8 can't hold (ValueError for both)."""
     text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
@@ -55,7 +61,7 @@ def canonical(value) -> str:
 
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that wait for none, else one more than the highest they wait for. Calls
-    in or behind a cycle have no row; what they wait for but isn't there counts as done.
+    in or behind a cycle have no row; what they wait for but isn't there, or is null, counts as done.
 
     One round for each level: calls whose last open dependency is done come next. No conversation is gathered anywhere."""
     key = ["conv_id", "call_id"]
@@ -102,16 +108,18 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
             problems, records = [], []
             columns = (b.column(k).to_pylist() for k in range(b.num_columns))
             for _, turn, call_id, name, _, _, linked, arguments, content in zip(*columns, strict=True):
+                whole = {"arguments": None, "id": call_id, "name": name, "result": content if linked else None, "turn": turn}
                 try:
                     value = json.loads(arguments or "")
-                    canonical(value)
+                    # the record holds the arguments one level deeper than they are
+                    record = canonical(whole | {"arguments": value})
                     found = "arguments: not object" if not isinstance(value, dict) else problem(value, schemas[name]) if name in schemas else "name: unknown"
                 except RecursionError:
-                    value, found = None, "arguments: nested too deeply"
+                    record, found = canonical(whole), "arguments: nested too deeply"
                 except ValueError:
-                    value, found = None, "arguments: not JSON"
+                    record, found = canonical(whole), "arguments: not JSON"
                 problems.append(found)
-                records.append(canonical({"arguments": value, "id": call_id, "name": name, "result": content if linked else None, "turn": turn}))
+                records.append(record)
             new = [pa.array(problems, pa.string()), pa.array(records, pa.string())]
             yield pa.RecordBatch.from_arrays([*b.columns[:7], *new], names=["conv_id", "turn", "call_id", "name", "level", "n_copies", "linked", "problem", "record"])
 
