@@ -194,6 +194,21 @@ def test_tool_calls_that_json_cannot_hold(spark):
     assert got == {"a": "arguments: not JSON", "b": "arguments: nested too deeply", "c": "arguments: not JSON", "d": "arguments: not JSON", "e": ""}
 
 
+def test_tool_calls_at_the_limit_of_nesting(spark):
+    rows = [(1, n, f"c{n}", "ask", '{"query": ' + "[" * n + "]" * n + "}", []) for n in range(9_970, 10_006)]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    got = {r["turn"]: r["problem"] for r in chat.link_calls(calls, spark.createDataFrame([], "conv_id long, call_id string, turn long, content string"), chat.SCHEMAS).collect()}
+    assert len(got) == 36 and set(got.values()) <= {"limit: missing", "arguments: nested too deeply"}
+
+
+def test_schemas_without_type_and_with_several(spark):
+    loose = {"f": {"properties": {"a": {"minimum": 1, "maximum": 5}, "b": {"minLength": 2}, "c": {"type": ["string", "null"]}, "d": {"type": "null"}, "e": {"type": "what"}}}}
+    cases = {'{"a": "x", "b": 7, "c": null, "d": null}': "", '{"a": 9}': "a: out of range", '{"b": "x"}': "b: too short", '{"c": 1}': "c: not string or null", '{"d": 0}': "d: not null", '{"e": 1}': "e: not what", '{"a": true, "b": [1]}': ""}
+    calls = spark.createDataFrame([(1, i, f"c{i}", "f", a, None) for i, a in enumerate(cases)], "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    rows = chat.link_calls(calls, spark.createDataFrame([], "conv_id long, call_id string, turn long, content string"), loose).orderBy("turn").collect()
+    assert [r["problem"] for r in rows] == list(cases.values())
+
+
 def test_toxicity_index_is_exact():
     rng = np.random.default_rng(0)
     rows = [tuple(sorted((int(t), int(rng.integers(1, 4))) for t in rng.choice(30, rng.integers(1, 6), replace=False))) for _ in range(700)]
@@ -280,6 +295,33 @@ def test_disguises(text, kind, part):
     assert pii.redact(text) == text.replace(part, f"[{kind.upper()}]")
 
 
+@pytest.mark.parametrize("text", ["look at example.com now", "we met at google.com yesterday", "a talk at arxiv.org, then tea", "dinner at eight", "version 3 dot 5 of it", "point 7 at 10.5"])
+def test_clean_sentences_stay(text):
+    assert pii.redact(text) == text
+
+
+def test_disguises_of_known_identifiers(spark):
+    """Each disguise of each identifier in a sentence of its own: the added span is the disguised text, at its place in the source."""
+    mails = [("jane.roe", "mail", "com"), ("bob_77", "corp-x", "org"), ("x9", "a.b", "de")]
+    ips = ["10.0.0.1", "192.168.7.30"]
+    phones = ["+4930123456789", "+14155550123"]
+    words = "zero one two three four five six seven eight nine".split()
+    cases = []
+    for user, host, end in mails:
+        for at in (" at ", " [at] ", "(at)", " {at} ", " @ ", "[@]"):
+            for dot in (" dot ", "[dot]", " (dot) ", "{dot}"):
+                cases.append(("email", f"{user}{at}{host.replace('.', dot)}{dot}{end}"))
+        cases += [("email", f"{user} at {host}.{end}"), ("email", f"{user}[at]{host}.{end}")]
+    for ip in ips:
+        cases += [("ip", ip.replace(".", d)) for d in (" dot ", "[.]", "(dot)", " [dot] ")]
+        cases.append(("ip", ".".join(" ".join(words[int(c)] for c in p) for p in ip.split(".")).replace(".", " dot ")))
+    for phone in phones:
+        cases += [("phone", "plus " + " ".join(words[int(c)] for c in phone[1:])), ("phone", "plus " + "-".join(words[int(c)] for c in phone[1:]))]
+    rows = [(i, f"Ça va? Please note {c} — thanks, {i}th.", k, c) for i, (k, c) in enumerate(cases)]
+    got = {r["doc_id"]: r["spans"] for r in pii.span_digests(spark.createDataFrame(rows, "doc_id long, text string, kind string, part string")).collect()}
+    assert [(i, got[i]) for i, t, k, c in rows if got[i] != f"{k}:{t.index(c)}:{t.index(c) + len(c)}"] == []
+
+
 @pytest.mark.parametrize("part", [" ", "-", " dot a", "[ at", "one ", "1 ", "@a.b dot ", "plus 1 "])
 def test_disguises_in_linear_time(part):
     import time

@@ -47,6 +47,9 @@ FAR = re.compile("[^\x00-\xff]|­|·")
 DIGIT_WORD = "(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 ONE = rf"(?:(?:double|triple)[ -]+)?(?:{DIGIT_WORD}|[0-9])"
 RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(plus)[ ,-]+)?({ONE}(?:[ ,.-]{{0,2}}(?<![A-Za-z])(?={ONE}(?![A-Za-z])){ONE})+)(?![A-Za-z])", re.I)
+PART = rf"{ONE}(?:[ -]{ONE}|(?<=[0-9])[0-9]){{0,2}}"
+#: Four numbers of up to three digits, spelled or not, between spelled dots.
+SPELLED_IP = re.compile(rf"(?<![A-Za-z0-9]){PART}(?:[ ]*(?:\.|dot|point)[ ]*{PART}){{3}}(?![A-Za-z0-9])", re.I)
 UNIT = re.compile(rf"(?:(double|triple)[ -]+)?({DIGIT_WORD}|[0-9])", re.I)
 # The look-behinds change no match: one that fails at the first blank or mark of a run fails at its others too. They keep the
 # time linear in the run.
@@ -56,6 +59,11 @@ DOMAIN_WORDS = r"[A-Za-z0-9-]+"
 BARE_AT = re.compile(
     rf"(?<=[A-Za-z0-9])[ ]+(?:at|@)[ ]+(?={DOMAIN_WORDS}(?:\.{DOMAIN_WORDS})*[ ]+dot[ ]+[A-Za-z]|{DOMAIN_WORDS}(?:\.{DOMAIN_WORDS})*\.(?:{LAST_LABELS})(?![A-Za-z0-9]))", re.I
 )
+#: What stands before a bare "at" with a plain domain: a name that is no mere word, or a word of this kind not far before.
+NO_WORD = re.compile(r"[A-Za-z0-9._%+-]*[0-9._%+][A-Za-z0-9._%+-]*\Z")
+INVITES = re.compile(r"(?:e-?mail|mail|contact|write|reach|message|address|ping)", re.I)
+NEARBY = 48
+SPELLED_DOT = re.compile(rf"{DOMAIN_WORDS}(?:\.{DOMAIN_WORDS})*[ ]+dot[ ]", re.I)
 LOCAL_DOT = re.compile(r"(?<=[A-Za-z0-9])[ ]+dot[ ]+(?=[A-Za-z0-9._-]+@)", re.I)
 DOTTED_DOMAIN = re.compile(r"@[A-Za-z0-9.-]+(?:[ ]+dot[ ]+(?=[A-Za-z0-9])[A-Za-z0-9.-]+)+", re.I)
 DOMAIN_DOT = re.compile(r"[ ]+dot[ ]+(?=[A-Za-z0-9])", re.I)
@@ -156,18 +164,35 @@ class Rewritten:
         self.replace([(m.start(), m.end(), new) for a in around.finditer(self.text) for m in pattern.finditer(self.text, a.start(), a.end())])
 
 
+def believable(text: str, m: re.Match) -> bool:
+    """Whether a bare "at" joins a name to a domain: the domain's dot is spelled, or what stands before is no ordinary word, or mail is
+    spoken of not far before it."""
+    before = text[max(m.start() - NEARBY, 0) : m.start()]
+    return bool(SPELLED_DOT.match(text, m.end()) or NO_WORD.search(before) or INVITES.search(before))
+
+
 def spelled_runs(text: str) -> list[tuple[int, int, str]]:
-    """Runs of digits of which some are spelled, seven digits at least (fewer in a dotted number), as digits."""
+    """Runs of two or more digits of which some are spelled, as digits."""
     out = []
     for m in RUN.finditer(text):
         units = UNIT.findall(m[2])
         if not any(w.lower() in SPELLED for _, w in units):
             continue
-        digits = "".join(SPELLED.get(w.lower(), w) * {"double": 2, "triple": 3}.get(k.lower(), 1) for k, w in units)
+        digits = digits_of(m[2])
         out.append((m.start() if m[1] else m.start(2), m.end(), ("+" if m[1] else "") + digits))
     return out
 
 
+def digits_of(text: str) -> str:
+    return "".join(SPELLED.get(w.lower(), w) * {"double": 2, "triple": 3}.get(k.lower(), 1) for k, w in UNIT.findall(text))
+
+
+def spelled_ips(text: str) -> list[tuple[int, int, str]]:
+    """Dotted numbers with a spelled digit, also parts of a single one, as digits and dots."""
+    found = [(m.start(), m.end(), re.split(r"\.|dot|point", m[0], flags=re.I)) for m in SPELLED_IP.finditer(text)]
+    return [(a, b, ".".join(map(digits_of, parts))) for a, b, parts in found if any(w.lower() in SPELLED for p in parts for _, w in UNIT.findall(p))]
+
+
 def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the source that only the rewritten text shows and that don't touch a plain span of their kind."""
     low = text.lower()
@@ -184,14 +209,17 @@ def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[
         r.every(BRACKET_DOT, ".")
     if ats or dots or far:
         r.every(BRACKET_AT, "@")
-        r.every(BARE_AT, "@")
+        r.replace([(m.start(), m.end(), "@") for m in BARE_AT.finditer(r.text) if believable(r.text, m)])
         r.every(LOCAL_DOT, ".")
         r.every_in(DOTTED_DOMAIN, DOMAIN_DOT, ".")
     runs: set[str] = set()
     if numbers:
+        if dots:
+            r.replace(spelled_ips(r.text))
         found = spelled_runs(r.text)
         runs = {d for _, _, d in found if 9 <= len(d.lstrip("+")) <= 15}
         r.replace(found)
+    if numbers or dots:
         r.every(NUMBER_DOT, ".")
     spans = plain_spans(r.text)
     if runs:
