@@ -24,7 +24,7 @@ WEIGHTS = (5, 2, 1)
 #: A source gives each document so often at most.
 MOST = 3
 #: Documents of a source in one block, about.
-BLOCK = 20_000
+BLOCK = 4_000
 #: Sources up to which their targets are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 #: Documents that a source's last block holds back, to land together with the two of the flight.
