@@ -271,11 +271,27 @@ sys AS (SELECT 'all' AS system, s, p, o, text FROM gold UNION ALL SELECT 'rule',
 c AS (SELECT system, count(g.s) AS tp, count(*) - count(g.s) AS fp, (SELECT count(*) FROM gold) - count(g.s) AS fn FROM sys LEFT JOIN gold g USING (s, p, o, text) GROUP BY system), f AS (SELECT system, tp, fp, fn, {PRF} FROM c)"""
 
 
-@book.add(sql(f"WITH {SYSTEMS} SELECT *, rank() OVER (ORDER BY f1 DESC)::INTEGER AS rank FROM f", *NEEDED))
-def compare_systems(star):
+RANKED = sql(f"WITH {SYSTEMS} SELECT *, rank() OVER (ORDER BY f1 DESC)::INTEGER AS rank FROM f", *NEEDED)
+
+
+def system_rows(star: Star) -> DataFrame:
     own = told(star).select("p", "s", "o", "text")
-    rows = own.withColumn("system", F.lit("all")).unionByName(predicted(star).withColumn("system", F.lit("rule"))).unionByName(predicted(star, "b").withColumn("system", F.lit("window")))
-    return m.compare_systems(own, rows)
+    return own.withColumn("system", F.lit("all")).unionByName(predicted(star).withColumn("system", F.lit("rule"))).unionByName(predicted(star, "b").withColumn("system", F.lit("window")))
+
+
+@book.add(RANKED)
+def compare_systems(star):
+    return m.compare_systems(told(star).select("p", "s", "o", "text"), system_rows(star))
+
+
+@book.add(RANKED)
+def compare_files(star):
+    """The same from files of predictions, a folder for each system."""
+    place = files.shared_folder(star.spark, "predictions")
+    rows = system_rows(star).select(F.col("s").alias("subject_short"), F.col("p").alias("predicate"), F.col("o").alias("object_short"), F.col("text").alias("sentence"), "system")
+    files.write_predictions(rows, place)
+    back = files.read_predictions(star.spark, place).select(F.col("subject_short").alias("s"), F.col("predicate").alias("p"), F.col("object_short").alias("o"), F.col("sentence").alias("text"), "system")
+    return m.compare_systems(told(star).select("p", "s", "o", "text"), back)
 
 
 @book.add(sql(f"""WITH {SENTS}, k AS (SELECT s || '|' || p AS sid, {md5_mod('text', 5)} AS h, lower(regexp_replace(sl, '#', ' # ')) AS a, upper(split_part(s, '_', 1)) AS a_type, lower(regexp_replace(ol, '#', ' # ')) AS b, upper(split_part(o, '_', 1)) AS b_type FROM sents),

@@ -135,8 +135,10 @@ def load_ontology(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         cell = lambda i: unescaped(F.regexp_extract("x", pattern, i)) if re.compile(pattern).groups >= i else F.lit(None).cast("string")  # noqa: B023, E731
         cells = F.when(F.col("x").startswith(f"<{element}>") & F.col("x").rlike(pattern), F.struct(F.lit(name).alias("axiom"), cell(1).alias("a"), cell(2).alias("b"), cell(3).alias("c"))).otherwise(cells)
     datatype = F.regexp_extract("x", r'<Literal[^>]*datatypeIRI="(?:[^"]*#|&xsd;|xsd:)([^"]*)"', 1)
-    rows = axiom_elements(spark, path).select(cells.alias("r"), F.when(datatype != "", F.concat(F.lit("xsd:"), datatype)).alias("dtype"), "pos").filter("r is not null")
-    rows = saved(rows.select("r.*", "dtype", "pos"))
+    rows = axiom_elements(spark, path).select(cells.alias("r"), datatype.alias("kind"), "pos").filter("r is not null")
+    # repeated axioms go in one exchange for all tables; only assertions of types keep their places
+    dtype = F.when((F.col("r.axiom") == "data") & (F.col("kind") != ""), F.concat(F.lit("xsd:"), "kind"))
+    rows = saved(rows.select("r.*", dtype.alias("dtype"), F.when(F.col("r.axiom") == "type", F.col("pos")).alias("pos")).distinct())
 
     def table(name: str, *columns: str) -> DataFrame:
         return rows.filter(F.col("axiom") == name).select(*[F.col(c).alias(n) for c, n in zip("abc", columns)])
@@ -147,7 +149,6 @@ def load_ontology(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         ("subclass", ["child", "parent"]), ("obj", ["p", "s", "o"]), ("inverse", ["a", "b"]), ("symmetric", ["p"]),
     )}
     found |= {"domain": domain("object").unionByName(domain("data")), "data": rows.filter("axiom = 'data'").select(F.col("a").alias("p"), F.col("b").alias("s"), F.col("c").alias("lex"), "dtype")}
-    found = {name: df.distinct() for name, df in found.items()}
     return found | {"type": rows.filter("axiom = 'type'").select(F.col("a").alias("cls"), F.col("b").alias("ind"), "pos")}
 
 
@@ -184,6 +185,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(SCHEMAS.get(schema, schema)).json(path)
 
 
+def write_predictions(rows: DataFrame, path: str) -> None:
+    """Predicted triples as JSON lines, a folder for each system."""
+    rows.write.partitionBy("system").json(path)
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """(subject_short, predicate, object_short, sentence, system) of all systems' files below a path; a system is its folder's name."""
+    named = spark.read.schema(SCHEMAS["triples"] + ", system string").json(path)
+    return named.select("subject_short", "predicate", "object_short", "sentence", "system")
+
+
 def write_splits(rows: DataFrame, path: str, kind: str = "json") -> None:
     """One folder for each split; reading the whole path gives all."""
     rows.write.partitionBy("split").format(kind).save(path)
