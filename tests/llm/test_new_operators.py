@@ -87,7 +87,7 @@ def test_repair_against_brute_force(spark):
     rows = [(c, rng.choice([None, *range(12)]), rng.choice(roles), rng.choice(texts)) for c in [*range(40), None] for _ in range(rng.randint(0, 9))]
     df = spark.createDataFrame(rows, CONVERSATIONS).withColumn("c", F.lit(1)).withColumn("letters", F.lit("x"))
     want = brute_repair(rows)
-    for longest in (1 << 16, 3, 1):  # pieces of one row try the cost matrices
+    for longest in (1 << 16, 1):  # pieces of one row try the cost matrices
         assert mended(df, longest=longest) == want
 
 
