@@ -9,8 +9,8 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: One or two of each family; the driver compares them all.
 NAMES = ["subclass_closure", "abox_violations", "entity_dictionary", "display_name", "sentence_split", "detect_terms", "merge_mentions", "extract_triples", "bio_decode", "tier_nested", "leakage_audit",
-         "hash_split_10000", "kg_gate", "validate_shapes", "entity_profile", "filter_regex", "triple_prf", "label_report", "entity_prf", "load_ontology", "write_splits", "batch_validate", "chain_closure", "optional_pattern", "rule_verify", "weak_stats", "dataset_stats",
-         "verbalize_schema", "sample_documents", "stratified_documents", "chunk_documents", "document_texts", "extract_documents", "extract_gated"]
+         "hash_split_10000", "kg_gate", "validate_shapes", "entity_profile", "filter_regex", "triple_prf", "label_report", "entity_prf", "load_ontology", "write_splits", "batch_validate", "chain_closure", "rule_verify", "weak_stats", "dataset_stats",
+         "verbalize_schema", "sample_documents", "stratified_documents", "chunk_documents", "extract_documents", "compare_files"]
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +36,8 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_models_beat_chance(spark):
     assert registry.QUERIES["train_tagger"](spark, DATA).first()["accuracy"] > 0.9
+    report = {r["label"]: r["f1"] for r in registry.QUERIES["tagger_report"](spark, DATA).collect()}
+    assert report["accuracy"] > 0.95 and {"B-NATION", "I-ORDER", "O"} <= set(report)
     f1 = {r["system"]: r["f1"] for r in registry.QUERIES["train_verifier"](spark, DATA).collect()}
     assert f1["rule"] > 0.5 and f1["model"] > 0.5
     claims = registry.QUERIES["score_claims"](spark, DATA).collect()
@@ -45,14 +47,12 @@ def test_models_beat_chance(spark):
 
 
 def test_model_gate_and_reports(spark):
-    """Most wrong-typed neighbours and few right ones go; reports cover all tiers, kinds of negatives and tags."""
+    """A stored verifier keeps candidates; its report covers all tiers and kinds of negatives."""
     kept = {tuple(r) for r in registry.QUERIES["extract_by_model"](spark, DATA).collect()}
-    assert kept and len(kept) <= registry.QUERIES["extract_documents"](spark, DATA).count()
+    assert 1000 < len(kept) < 1750
     rows = {(r["metric"], r["key"]): r["value"] for r in registry.QUERIES["verifier_by_tier"](spark, DATA).collect()}
     assert {k for m, k in rows if m == "tier"} == {"explicit", "implicit", "long_distance", "nested"} and {k for m, k in rows if m == "rejected"} == {"type_identical", "partial_overlap", "type_incompatible"}
     assert all(v > 0.9 for (m, _), v in rows.items() if m == "tier")
-    report = {r["label"]: r["f1"] for r in registry.QUERIES["tagger_report"](spark, DATA).collect()}
-    assert report["accuracy"] > 0.95 and {"B-NATION", "I-ORDER", "O"} <= set(report)
 
 
 def test_splits_leak_nothing(spark):
