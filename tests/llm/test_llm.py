@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -209,10 +210,11 @@ def test_schemas_without_type_and_with_several(spark):
     assert [r["problem"] for r in rows] == list(cases.values())
 
 
-def test_toxicity_index_is_exact():
+@pytest.mark.parametrize("kind", [toxicity.Index, toxicity.WideIndex])
+def test_toxicity_index_is_exact(kind):
     rng = np.random.default_rng(0)
     rows = [tuple(sorted((int(t), int(rng.integers(1, 4))) for t in rng.choice(30, rng.integers(1, 6), replace=False))) for _ in range(700)]
-    ix = toxicity.Index({bytes([i]): i for i in range(30)}, np.ones(30) + rng.random(30), np.ones(700), list(range(700)), 0.1, 0.0)
+    ix = kind({bytes([i]): i for i in range(30)}, np.ones(30) + rng.random(30), np.ones(700), list(range(700)), 0.1, 0.0)
     ix.fill(sorted(rows))
     dense = np.zeros((700, 30))
     for i, r in enumerate(sorted(rows)):
@@ -223,6 +225,8 @@ def test_toxicity_index_is_exact():
         sims = dense[:, t] @ w
         best = sorted(((-round(float(s), 9), i) for i, s in enumerate(sims) if s > 0))[: toxicity.NEIGHBOURS]
         assert ix.nearest(r) == [(-s, i) for s, i in best]
+        assert best[0][1] not in [i for _, i in ix.nearest(r, best[0][1])]
+    kind({}, np.zeros(0), np.zeros(0), [], 0.1, 0.0).fill([])
 
 
 def test_toxicity_held_out(spark):
@@ -234,37 +238,43 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_against_all_examples(spark):
-    """Scores of a whole table against the cosine with every example, without the index."""
+    """Scores of a whole table against the cosine with every example, without the indexes."""
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    ix = toxicity.fit(docs, labels)
-    got = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, labels).collect()}
-    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
-    df = np.zeros(len(ix.terms))
-    counts = {}
-    for doc, t in texts.items():
-        words = re.findall(r"[^\W\d_]+", t.lower()) if t.isascii() else toxicity.terms_of(t)
-        words = [w.encode() if isinstance(w, str) else w for w in words]
-        words += [toxicity.stem(w) for w in words if len(w) > toxicity.STEM] if t.isascii() else []
-        counts[doc] = {ix.terms[w]: words.count(w) for w in set(words) & set(ix.terms)}
-        df[list(counts[doc])] += 1
-    assert np.allclose(ix.idf, np.log((1 + len(texts)) / (1 + df)) + 1)
-
-    def vector(c):
-        v = np.zeros(len(ix.terms))
-        for k, n in c.items():
-            v[k] = (1 + np.log(n)) * ix.idf[k]
-        return v / np.linalg.norm(v)
-
-    known = np.array([vector(counts[i]) for i in ix.ids])
-    for doc, c in counts.items():
-        if not c:
-            assert got[doc] == ix.none
-            continue
-        s = known @ vector(c)
-        near = sorted((-round(float(x), 9), i) for i, x in enumerate(s) if x > 0)[: toxicity.NEIGHBOURS]
-        x = min(max(ix.vote([(-a, i) for a, i in near]), 1e-4), 1 - 1e-4)
-        assert abs(got[doc] - 1 / (1 + np.exp(-(ix.scale[0] + ix.scale[1] * np.log(x / (1 - x)))))) < 1e-6
+    scorer = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: (r["score"], r["evidence"]) for r in toxicity.scores(docs, labels).collect()}
+    words = {}
+    for r in docs.collect():
+        t = r["text"] or ""
+        ws = re.findall(r"[^\W\d_]+", t.lower()) if t.isascii() else toxicity.terms_of(t)
+        ws = [w.encode() if isinstance(w, str) else w for w in ws]
+        words[r["doc_id"]] = Counter(ws + ([toxicity.stem(w) for w in ws if len(w) > toxicity.STEM] if t.isascii() else []))
+    bare = {doc for doc, ws in words.items() if not ws.keys() & scorer.chosen.terms.keys()}
+    assert set(scorer.wide.ids) <= bare and not set(scorer.chosen.ids) & bare
+    assert scorer.wide.terms.keys() == {w for i in scorer.wide.ids for w in words[i]}
+    for ix, mine in ((scorer.chosen, words.keys() - bare), (scorer.wide, bare)):
+        counts = {doc: {ix.terms[w]: n for w, n in ws.items() if w in ix.terms} for doc, ws in words.items()}
+        df = np.zeros(len(ix.terms))
+        for c in counts.values():
+            df[list(c)] += 1
+        assert np.allclose(ix.idf, np.log((1 + len(words)) / (1 + df)) + 1)
+
+        def vector(c):
+            v = np.zeros(len(ix.terms))
+            for k, n in c.items():
+                v[k] = (1 + np.log(n)) * ix.idf[k]
+            return v / np.linalg.norm(v)
+
+        known = np.array([vector(counts[i]) for i in ix.ids])
+        for doc in mine:
+            if not counts[doc]:
+                assert got[doc] == (ix.none, [])
+                continue
+            s = known @ vector(counts[doc])
+            near = sorted((-round(float(x), 9), i) for i, x in enumerate(s) if x > 0)[: toxicity.NEIGHBOURS]
+            x = min(max(ix.vote([(-a, i) for a, i in near]), 1e-4), 1 - 1e-4)
+            assert abs(got[doc][0] - 1 / (1 + np.exp(-(ix.scale[0] + ix.scale[1] * np.log(x / (1 - x)))))) < 1e-6
+            assert len(got[doc][1]) == min(3, len(near))
 
 
 def test_plain_spans_against_regexes():

@@ -5,12 +5,17 @@ documents. Labelled examples are vectors over those terms in an inverted index w
 examples with the largest weight of each. A query takes blocks by their upper bounds and stops where no block can reach the
 neighbours found so far, so its neighbours are exact. Votes weighted by distance give a raw score, calibrated on the
 examples' own leave-one-out votes.
+
+A text without a chosen term is compared in all terms, in the same way, with the examples that have none either. The terms of
+that second index are all those of its examples, and every one counts in vectors and norms.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -27,6 +32,8 @@ EXAMPLES = 20_000
 #: A term is chosen if its log-likelihood ratio for the labels is at least this (one in about 130,000 terms reaches it by
 #: chance) and it is in so many examples, if so large a share of these has label 1, and so many times the share of all.
 LEAST_RATIO, LEAST_ROWS, LEAST_SHARE, LEAST_LIFT = 20.0, 4, 0.3, 2.0
+#: Examples without a chosen term that texts without one are compared with in all terms, at most (by a hash of doc_id).
+BARE_EXAMPLES = 1024
 #: Examples whose leave-one-out votes calibrate the scores, at most.
 CALIBRATION = 4000
 NEIGHBOURS, BLOCK = 25, 64
@@ -65,7 +72,7 @@ class Index:
     labels: np.ndarray
     ids: list
     prior: float
-    none: float  # score of texts without a chosen term
+    none: float  # score of texts without a term
     postings: list = field(default_factory=list)
     best: np.ndarray | None = None  # terms x blocks
     scale: tuple[float, float] = (0.0, 1.0)
@@ -143,6 +150,57 @@ class Index:
             self.scale = (float(w[0]), float(w[1]))
 
 
+class WideIndex(Index):
+    """The same over all terms. A text holds many of them, so the postings of all its terms in a set of blocks are added up in one
+    step: first those of the half of the blocks with the best bounds, then those of the blocks that can still reach its neighbours."""
+
+    def fill(self, rows: list[tuple]) -> None:
+        blocks = max(1, (len(rows) + BLOCK - 1) // BLOCK)
+        found = [self.vector(counts) for counts in rows]
+        t = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in found]])
+        at = np.repeat(np.arange(len(rows)), [len(t) for t, _ in found])
+        w = np.concatenate([np.zeros(0), *[w for _, w in found]])
+        order = np.argsort(t, kind="stable")
+        t, self.at, self.w = t[order], at[order], w[order]
+        self.best = np.zeros((len(self.terms), blocks))
+        np.maximum.at(self.best, (t, self.at // BLOCK), self.w)
+        # a term's postings in block b are those from starts[term, b] on, ends[term, b] - starts[term, b] of them
+        self.ends = np.bincount(t * blocks + self.at // BLOCK, minlength=len(self.terms) * blocks).cumsum().reshape(-1, blocks)
+        self.starts = np.concatenate([[0], self.ends.ravel()[:-1]]).reshape(-1, blocks)
+
+    def sums(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The similarity with each example, as far as it is in one of the blocks."""
+        first = self.starts[np.ix_(terms, blocks)].ravel()
+        size = self.ends[np.ix_(terms, blocks)].ravel() - first
+        spots = np.repeat(first - size.cumsum() + size, size) + np.arange(size.sum())
+        return np.bincount(self.at[spots], np.repeat(np.repeat(weights, len(blocks)), size) * self.w[spots], len(self.labels))
+
+    def nearest(self, counts: tuple, without: int = -1) -> list[tuple[float, int]]:
+        terms, weights = self.vector(counts)
+        bound = weights @ self.best[terms]
+        order = np.argsort(-bound, kind="stable")
+        half = (len(order) + 1) // 2
+        sums = self.sums(terms, weights, order[:half])
+        if without >= 0:
+            sums[without] = 0
+        reached = np.partition(sums, -NEIGHBOURS)[-NEIGHBOURS] if len(sums) > NEIGHBOURS else 0.0
+        rest = order[half:]
+        if len(rest := rest[bound[rest] + 1e-9 >= reached]):
+            sums += self.sums(terms, weights, rest)
+            if without >= 0:
+                sums[without] = 0
+        sums = np.round(sums, 9)
+        reached = np.partition(sums, -NEIGHBOURS)[-NEIGHBOURS] if len(sums) > NEIGHBOURS else 0.0
+        hit = np.flatnonzero((sums > 0) & (sums >= reached))
+        hit = hit[np.lexsort((hit, -sums[hit]))][:NEIGHBOURS]
+        return list(zip(sums[hit].tolist(), hit.tolist(), strict=True))
+
+
+def counts_of(words: Iterable[bytes], terms: dict[bytes, int]) -> tuple:
+    """The numbers of those words that are terms, with their frequencies, in order."""
+    return tuple(sorted((terms[w], n) for w, n in Counter(words).items() if w in terms))
+
+
 def select_counts(texts: list[str], terms: dict[bytes, int]) -> list[tuple]:
     """For each text the chosen terms in it, with their frequencies, in order."""
     out = []
@@ -150,12 +208,40 @@ def select_counts(texts: list[str], terms: dict[bytes, int]) -> list[tuple]:
     for t in texts:
         words = terms_of(t)
         hits = known & set(words)
-        out.append(tuple(sorted((terms[h], n) for h, n in Counter(w for w in words if w in hits).items())) if hits else ())
+        out.append(counts_of((w for w in words if w in hits), terms) if hits else ())
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = EXAMPLES) -> Index:
-    """The index from at most `rows` labelled documents outside the held-out fifth (crc32 of doc_id as text, mod 5, is 0).
+@dataclass
+class Scorer:
+    """The index of chosen terms, and that of all terms for texts without a chosen one; equal ones of either are scored once
+    while they are remembered."""
+
+    chosen: Index
+    wide: WideIndex
+
+    def __post_init__(self) -> None:
+        self.known: Memo = Memo(self.chosen.score, 20_000)
+        self.bare: dict = {}
+
+    def score(self, text: str) -> tuple[float, list]:
+        words = terms_of(text)
+        hits = self.chosen.terms.keys() & set(words)
+        if hits:
+            return self.known[counts_of((w for w in words if w in hits), self.chosen.terms)]
+        key = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+        if key not in self.bare:
+            if len(self.bare) >= 50_000:
+                self.bare.clear()
+            self.bare[key] = self.wide.score(counts_of(words, self.wide.terms))
+        return self.bare[key]
+
+    def __reduce__(self):
+        return Scorer, (self.chosen, self.wide)
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = EXAMPLES) -> Scorer:
+    """Both indexes from at most `rows` labelled documents outside the held-out fifth (crc32 of doc_id as text, mod 5, is 0).
     Labels without a document, null labels and null ids aren't used; several labels of a document count as the largest; of
     several texts of a document the least counts; equal texts with equal labels are one example. Without any usable
     label all scores are 0."""
@@ -181,45 +267,61 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = EXAMPLES) -> Index:
         .filter((F.col("a") + F.col("b") >= LEAST_ROWS) & (F.col("a") >= least * (F.col("a") + F.col("b"))))
     )
     best = found.withColumn("ratio", ratio(F.col("a"), F.col("b"), n1, n0)).filter(F.col("ratio") >= LEAST_RATIO).select("term").collect()
-    chosen = [bytes(r["term"]) for r in best]
-    terms = {t: i for i, t in enumerate(sorted(chosen))}
-
-    def frequency(texts, _):
-        df = Counter(t for counts in select_counts(texts, terms) for t, _ in counts)
-        return [pa.array([[{"t": t, "n": n} for t, n in df.items()]] + [[]] * (len(texts) - 1), pa.list_(pa.struct([("t", pa.int32()), ("n", pa.int64())])))]
-
-    df = np.zeros(len(terms))
-    for r in map_texts(docs, [], "df array<struct<t:int,n:bigint>>", frequency).select(F.inline("df")).groupBy("t").agg(F.sum("n").alias("n")).collect() if terms else []:
-        df[r["t"]] = r["n"]
-    idf = np.log((1 + docs.count()) / (1 + df)) + 1
+    terms = {t: i for i, t in enumerate(sorted(bytes(r["term"]) for r in best))}
+    pairs = pa.list_(pa.struct([("t", pa.int32()), ("n", pa.int64())]))
 
     def vectors(texts, _):
-        return [pa.array([[{"t": t, "n": n} for t, n in c] for c in select_counts(texts, terms)], pa.list_(pa.struct([("t", pa.int32()), ("n", pa.int64())])))]
+        return [pa.array([[{"t": t, "n": n} for t, n in c] for c in select_counts(texts, terms)], pairs)]
 
     rows_ = map_texts(train, ["doc_id", "toxic"], "counts array<struct<t:int,n:bigint>>", vectors).collect()
     examples = sorted((tuple((c["t"], c["n"]) for c in r["counts"]), r["doc_id"], int(r["toxic"] > 0)) for r in rows_)
-    bare = [y for c, _, y in examples if not c]
+    bare = [(d, y) for c, d, y in examples if not c]
     examples = [e for e in examples if e[0]]  # in the order of their terms, so that blocks hold similar examples
-    index = Index(
-        terms=terms, idf=idf, labels=np.array([y for _, _, y in examples], float), ids=[d for _, d, _ in examples],
-        prior=share, none=(sum(bare) + PRIOR_WEIGHT * share) / (len(bare) + PRIOR_WEIGHT),
-    )
-    index.fill([c for c, _, _ in examples])
-    index.calibrate([c for c, _, _ in examples])
-    return index
+    none = (sum(y for _, y in bare) + PRIOR_WEIGHT * share) / (len(bare) + PRIOR_WEIGHT)
+    some = sorted(bare, key=lambda e: hashlib.md5(str(e[0]).encode()).digest())[:BARE_EXAMPLES]
+
+    def words(texts, _):
+        found = [[{"w": w, "n": n} for w, n in Counter(terms_of(t)).items()] for t in texts]
+        return [pa.array(found, pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))]
+
+    own = train.filter(F.col("doc_id").isin([d for d, _ in some])) if some else train.limit(0)
+    texts_ = map_texts(own, ["doc_id"], "words array<struct<w:binary,n:bigint>>", words).collect()
+    words_of = {r["doc_id"]: {bytes(x["w"]): x["n"] for x in r["words"]} for r in texts_}
+    wide_terms = {w: i for i, w in enumerate(sorted({w for found in words_of.values() for w in found}))}
+    counted = {w: i for i, w in enumerate(sorted(terms.keys() | wide_terms.keys()))}
+
+    def frequency(texts, _):
+        df = Counter(counted[w] for t in texts for w in counted.keys() & set(terms_of(t)))
+        return [pa.array([[{"t": t, "n": n} for t, n in df.items()]] + [[]] * (len(texts) - 1), pairs)]
+
+    df = np.zeros(len(counted))
+    for r in map_texts(docs, [], "df array<struct<t:int,n:bigint>>", frequency).select(F.inline("df")).groupBy("t").agg(F.sum("n").alias("n")).collect() if counted else []:
+        df[r["t"]] = r["n"]
+    weight = np.log((1 + docs.count()) / (1 + df)) + 1
+    idf = lambda of: weight[np.array([counted[w] for w in of], np.int64)]
+
+    def filled(index: Index, rows: list[tuple]) -> Index:
+        index.fill(rows)
+        index.calibrate(rows)
+        return index
+
+    index = Index(terms=terms, idf=idf(terms), labels=np.array([y for _, _, y in examples], float), ids=[d for _, d, _ in examples], prior=share, none=none)
+    # by the most frequent terms, which tell languages and topics apart, so that blocks hold similar examples
+    of_bare = [(tuple(sorted((wide_terms[w], n) for w, n in words_of[d].items())), d, y) for d, y in some if words_of[d]]
+    of_bare.sort(key=lambda e: (sorted((-n, t) for t, n in e[0])[:4], e[1]))
+    wide = WideIndex(terms=wide_terms, idf=idf(wide_terms), labels=np.array([y for _, _, y in of_bare], float), ids=[d for _, d, _ in of_bare], prior=none, none=none)
+    return Scorer(filled(index, [c for c, _, _ in examples]), filled(wide, [c for c, _, _ in of_bare]))
 
 
 def scores(docs: DataFrame, labels: DataFrame, keep: list[str] = ["doc_id"]) -> DataFrame:
     """(keep…, score, evidence) for every row's whole text; evidence is the doc_ids of the nearest examples. Null text counts
-    as empty; texts without a chosen term get the share of label 1 among such examples. Repeated rows stay."""
+    as empty; texts without any term of an example get the share of label 1 among examples without a chosen term, and no
+    evidence. Repeated rows stay."""
     spark = session_of(docs)
-    index = spark.sparkContext.broadcast(fit(docs, labels))
-    cache: dict = {}
+    scorer = spark.sparkContext.broadcast(fit(docs, labels))
 
     def each(texts, _):
-        i = index.value
-        memo = cache.setdefault("m", Memo(i.score, 20_000))
-        found = [memo[c] for c in select_counts(texts, i.terms)]
+        found = [scorer.value.score(t) for t in texts]
         return [pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
 
     return map_texts(docs, keep, "score double, evidence array<bigint>", each)
@@ -228,11 +330,9 @@ def scores(docs: DataFrame, labels: DataFrame, keep: list[str] = ["doc_id"]) ->
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of `docs`, with all columns, whose score is below the threshold. Null texts count as empty and stay with
     their nulls; of repeated rows all stay or go."""
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    cache: dict = {}
+    scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def each(batch, texts, _):
-        memo = cache.setdefault("m", Memo(index.value.score, 20_000))
-        return batch.filter(pa.array([memo[c][0] < threshold for c in select_counts(texts, index.value.terms)], pa.bool_()))
+        return batch.filter(pa.array([scorer.value.score(t)[0] < threshold for t in texts], pa.bool_()))
 
     return rewrite_rows(docs, each)
