@@ -225,3 +225,12 @@ def test_ontology_files_read_in_parts(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_each_ontology_table_reads_its_own_files(spark, tmp_path):
+    tables = {"individual": spark.range(500).select(F.concat(F.lit("x"), "id").alias("name")), "label": spark.range(500).select(F.concat(F.lit("x"), "id").alias("name"), F.lit("a < b & c").alias("label"))}
+    for kind in ("none", "gzip"):
+        files.write_ontology({k: df.union(df) for k, df in tables.items()}, str(tmp_path / kind), 200, kind)
+        t = files.load_ontology(spark, str(tmp_path / kind))
+        assert re.search(r"PartitionFilters: \[[^\]]*label", t["label"]._jdf.queryExecution().executedPlan().toString())
+        assert t["individual"].count() == 500 and {tuple(r) for r in t["label"].collect()} == {(f"x{i}", "a < b & c") for i in range(500)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import tempfile
 import uuid
@@ -46,12 +47,6 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def unescaped(c: Column) -> Column:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
-
-
 #: Spark DDL of the axiom tables.
 AXIOMS = {
     "class": "name string", "objprop": "name string", "dataprop": "name string", "individual": "name string", "label": "name string, label string", "comment": "name string, comment string",
@@ -65,95 +60,134 @@ ELEMENTS = ["Declaration", "AnnotationAssertion", "ObjectPropertyDomain", "DataP
 PLACES = 23
 
 
-def axiom_elements(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, x): the axioms of all files under a path, in one scan, whatever their lines; pos rises within a file. A file is read by as
-    many tasks as it has parts: each task cuts its lines where an axiom begins; what stands before its first axiom belongs to the
-    last axiom of the part before, and these pieces, two a part at most, are joined afterwards."""
-    begin = re.compile("(?=<(?:" + "|".join(ELEMENTS) + ")[ >])")
-    names = ["file", "block", "n", "head", "x"]
+def axiom_forms() -> dict[str, list[tuple[str, re.Pattern]]]:
+    """element -> (table, what stands in it): the forms of axioms that are read; groups are columns a, b and c."""
+    iri = lambda tag: rf'<{tag} (?:IRI|abbreviatedIRI)="(?:[^"#]*#)?([^"]*)"/>'
+    text, literal = r"<IRI>(?:[^<#]*#)?([^<]*)</IRI>", r"<Literal[^>]*>([^<]*)</Literal>"
+    noted = lambda what: rf'<AnnotationProperty (?:IRI|abbreviatedIRI)="[^"]*[#:]{what}"/>' + text + literal
+    forms = [
+        ("class", "Declaration", iri("Class")), ("objprop", "Declaration", iri("ObjectProperty")), ("dataprop", "Declaration", iri("DataProperty")), ("individual", "Declaration", iri("NamedIndividual")),
+        ("label", "AnnotationAssertion", noted("label")), ("comment", "AnnotationAssertion", noted("comment")),
+        ("domain object", "ObjectPropertyDomain", iri("ObjectProperty") + iri("Class")), ("domain data", "DataPropertyDomain", iri("DataProperty") + iri("Class")),
+        ("range", "ObjectPropertyRange", iri("ObjectProperty") + iri("Class")), ("subclass", "SubClassOf", iri("Class") + iri("Class")), ("type", "ClassAssertion", iri("Class") + iri("NamedIndividual")),
+        ("obj", "ObjectPropertyAssertion", iri("ObjectProperty") + iri("NamedIndividual") + iri("NamedIndividual")), ("data", "DataPropertyAssertion", iri("DataProperty") + iri("NamedIndividual") + literal),
+        ("inverse", "InverseObjectProperties", iri("ObjectProperty") + iri("ObjectProperty")), ("symmetric", "SymmetricObjectProperty", iri("ObjectProperty")),
+    ]
+    found: dict[str, list[tuple[str, re.Pattern]]] = {}
+    for name, element, body in forms:
+        found.setdefault(element, []).append((name, re.compile(f"<{element}>{body}</{element}>")))
+    return found
+
+
+GAPS = re.compile(r">\s+<", re.ASCII)
+DATATYPE = re.compile(r'<Literal[^>]*datatypeIRI="(?:[^"]*#|&xsd;|xsd:)([^"]*)"')
+#: Columns of a read axiom; those of a piece at a part's border are its file, its text, and `head` where it begins the part.
+READ = "axiom string, a string, b string, c string, dtype string, pos long"
+
+
+def unescaped(s: str) -> str:
+    if "&" in s:
+        for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
+            s = s.replace(a, b)
+    return s
+
+
+def parsed_axiom(x: str, pos: int, forms: dict[str, list[tuple[str, re.Pattern]]]) -> tuple | None:
+    """One axiom as a row of `READ`, or None where it has no form that is read; only assertions of types keep their places."""
+    x = GAPS.sub("><", x)
+    for name, form in forms.get(x[1 : x.find(">")], ()):
+        if m := form.match(x):
+            cells = [*map(unescaped, m.groups()), None, None][:3]
+            kind = DATATYPE.search(x) if name == "data" else None
+            return name, *cells, f"xsd:{kind[1]}" if kind and kind[1] else None, pos if name == "type" else None
+    return None
+
+
+def axiom_batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        types = [pa.string()] * 5 + [pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["axiom", "a", "b", "c", "dtype", "pos"])
+
+
+def read_axioms(spark: SparkSession, path: str) -> DataFrame:
+    """The axioms of all files under a path as rows of `READ`, in one scan, whatever their lines, kept in the shared folder with a
+    folder for each kind, so that a table reads only its own; pos rises within a file. A file is read by as many tasks as it has
+    parts: each task cuts its lines where an axiom begins and reads each axiom that ends within the part; what stands before its
+    first axiom belongs to the last axiom of the part before. These pieces, two a part at most, are kept as axiom `edge`,
+    joined, and read afterwards."""
+    begin = re.compile("<(?:" + "|".join(ELEMENTS) + ")[ >]")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, n, parts, done = None, 0, [], []
+        forms, now, n, parts, done = axiom_forms(), None, 0, [], []
 
-        def put() -> None:
+        def put(last: bool) -> None:
             if now:
-                done.append((*now, n, n == 0, "".join(parts)))
+                pos, x = (now[1] << PLACES) + n, "".join(parts)
+                if n == 0 or last:
+                    done.append(("edge", now[0], x, "head" if n == 0 else None, None, pos))
+                elif row := parsed_axiom(x, pos, forms):
+                    done.append(row)
 
         for b in batches:
-            for value, file, block in zip(*(c.to_pylist() for c in b.columns)):
-                if (file, block) != now:
-                    put()
-                    now, n, parts = (file, block), 0, []
-                first, *more = begin.split(value)
-                parts.append(first)
-                for x in more:
-                    put()
-                    n, parts = n + 1, [x]
+            values, of_file, of_block = b.columns
+            # the rows of one part stand together
+            one = len(b) and (of_file[0], of_block[0]) == (of_file[-1], of_block[-1])
+            places = itertools.repeat((of_file[0].as_py(), of_block[0].as_py())) if one else zip(of_file.to_pylist(), of_block.to_pylist())
+            for value, place in zip(values.to_pylist(), places):
+                if place != now:
+                    put(True)
+                    now, n, parts = place, 0, []
+                at = [m.start() for m in begin.finditer(value)]
+                parts.append(value[: at[0]] if at else value)
+                for i, j in zip(at, [*at[1:], None]):
+                    put(False)
+                    n, parts = n + 1, [value[i:j]]
                 parts.append("\n")
             if len(done) >= 4096:
-                yield batch(done)
+                yield from axiom_batches(done)
                 done.clear()
-        put()
-        if done:
-            yield batch(done)
+        put(True)
+        yield from axiom_batches(done)
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()))], names=names)
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms = axiom_forms()
+        for b in batches:
+            yield from axiom_batches([r for x, pos in zip(*(c.to_pylist() for c in b.columns)) if (r := parsed_axiom(x, pos, forms))])
 
+    kept = shared_folder(spark, "axioms")
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    rows = saved(spark.read.text(path).select("value", *place).mapInArrow(run, "file string, block long, n long, head boolean, x string"))
+    spark.read.text(path).select("value", *place).mapInArrow(run, READ).write.partitionBy("axiom").parquet(kept)
     # the last axiom of a part and what the next parts begin with
-    last = rows.groupBy("file", "block").agg(F.max("n").alias("n"))
-    edges = rows.join(last, ["file", "block", "n"], "left_semi").union(rows.filter("head")).distinct()
-    pieces = Window.partitionBy("file").orderBy("block", "n")
-    edges = edges.withColumn("g", F.sum((~F.col("head")).cast("int")).over(pieces))
-    whole = edges.groupBy("file", "g").agg(F.min(F.struct("block", "n")).alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "n", "x"))), lambda e: e["x"]), "").alias("x"))
-    inner = rows.filter("not head").join(last, ["file", "block", "n"], "left_anti").select("block", "n", "x")
-    both = inner.union(whole.filter("g > 0").select("at.block", "at.n", "x"))
-    return both.select((F.shiftleft("block", PLACES) + F.col("n")).alias("pos"), F.regexp_replace("x", r">\s+<", "><").alias("x"))
+    edges = spark.read.schema(READ).parquet(kept).filter("axiom = 'edge'").select(F.col("a").alias("file"), F.col("b").alias("x"), F.col("c").isNotNull().alias("head"), "pos")
+    pieces = edges.withColumn("g", F.sum((~F.col("head")).cast("int")).over(Window.partitionBy("file").orderBy("pos")))
+    whole = pieces.groupBy("file", "g").agg(F.min("pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]), "").alias("x"))
+    whole.filter("g > 0").select("x", "pos").mapInArrow(again, READ).write.mode("append").partitionBy("axiom").parquet(kept)
+    return spark.read.schema(READ).parquet(kept)
 
 
 def load_ontology(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of `AXIOMS` from all OWL/XML files under a path, which are scanned once. Names are cut behind `#`; the kind of a
     domain is `object` or `data`; dtype is `xsd:` and a name, also where a file writes it as an entity. Class expressions aren't
     read: a union as range is no range."""
-    iri = lambda tag: rf'<{tag} (?:IRI|abbreviatedIRI)="(?:[^"#]*#)?([^"]*)"/>'
-    text, literal = r"<IRI>(?:[^<#]*#)?([^<]*)</IRI>", r"<Literal[^>]*>([^<]*)</Literal>"
-    noted = lambda what: rf'<AnnotationProperty (?:IRI|abbreviatedIRI)="[^"]*[#:]{what}"/>' + text + literal
-    # table, element and what stands in it
-    forms = [
-        ("class", "Declaration", iri("Class")), ("objprop", "Declaration", iri("ObjectProperty")), ("dataprop", "Declaration", iri("DataProperty")), ("individual", "Declaration", iri("NamedIndividual")),
-        ("label", "AnnotationAssertion", noted("label")), ("comment", "AnnotationAssertion", noted("comment")),
-        ("domain object", "ObjectPropertyDomain", iri("ObjectProperty") + iri("Class")), ("domain data", "DataPropertyDomain", iri("DataProperty") + iri("Class")),
-        ("range", "ObjectPropertyRange", iri("ObjectProperty") + iri("Class")), ("subclass", "SubClassOf", iri("Class") + iri("Class")), ("type", "ClassAssertion", iri("Class") + iri("NamedIndividual")),
-        ("obj", "ObjectPropertyAssertion", iri("ObjectProperty") + iri("NamedIndividual") + iri("NamedIndividual")), ("data", "DataPropertyAssertion", iri("DataProperty") + iri("NamedIndividual") + literal),
-        ("inverse", "InverseObjectProperties", iri("ObjectProperty") + iri("ObjectProperty")), ("symmetric", "SymmetricObjectProperty", iri("ObjectProperty")),
-    ]
-    cells = F.lit(None).cast("struct<axiom:string,a:string,b:string,c:string>")
-    for name, element, body in reversed(forms):
-        pattern = f"^<{element}>{body}</{element}>"
-        cell = lambda i: unescaped(F.regexp_extract("x", pattern, i)) if re.compile(pattern).groups >= i else F.lit(None).cast("string")  # noqa: B023, E731
-        cells = F.when(F.col("x").startswith(f"<{element}>") & F.col("x").rlike(pattern), F.struct(F.lit(name).alias("axiom"), cell(1).alias("a"), cell(2).alias("b"), cell(3).alias("c"))).otherwise(cells)
-    datatype = F.regexp_extract("x", r'<Literal[^>]*datatypeIRI="(?:[^"]*#|&xsd;|xsd:)([^"]*)"', 1)
-    rows = axiom_elements(spark, path).select(cells.alias("r"), datatype.alias("kind"), "pos").filter("r is not null")
-    # repeated axioms go in one exchange for all tables; only assertions of types keep their places
-    dtype = F.when((F.col("r.axiom") == "data") & (F.col("kind") != ""), F.concat(F.lit("xsd:"), "kind"))
-    rows = saved(rows.select("r.*", dtype.alias("dtype"), F.when(F.col("r.axiom") == "type", F.col("pos")).alias("pos")).distinct())
+    rows = read_axioms(spark, path)
 
     def table(name: str, *columns: str) -> DataFrame:
-        return rows.filter(F.col("axiom") == name).select(*[F.col(c).alias(n) for c, n in zip("abc", columns)])
+        # repeated axioms go in an exchange of their table
+        return rows.filter(F.col("axiom") == name).select(*[F.col(c).alias(n) for c, n in zip("abc", columns)]).distinct()
 
     domain = lambda kind: table(f"domain {kind}", "p", "cls").withColumn("kind", F.lit(kind))
     found = {name: table(name, *columns) for name, columns in (
         ("class", ["name"]), ("objprop", ["name"]), ("dataprop", ["name"]), ("individual", ["name"]), ("label", ["name", "label"]), ("comment", ["name", "comment"]), ("range", ["p", "cls"]),
         ("subclass", ["child", "parent"]), ("obj", ["p", "s", "o"]), ("inverse", ["a", "b"]), ("symmetric", ["p"]),
     )}
-    found |= {"domain": domain("object").unionByName(domain("data")), "data": rows.filter("axiom = 'data'").select(F.col("a").alias("p"), F.col("b").alias("s"), F.col("c").alias("lex"), "dtype")}
-    return found | {"type": rows.filter("axiom = 'type'").select(F.col("a").alias("cls"), F.col("b").alias("ind"), "pos")}
+    data = rows.filter("axiom = 'data'").select(F.col("a").alias("p"), F.col("b").alias("s"), F.col("c").alias("lex"), "dtype").distinct()
+    types = rows.filter("axiom = 'type'").select(F.col("a").alias("cls"), F.col("b").alias("ind"), "pos").distinct()
+    return found | {"domain": domain("object").unionByName(domain("data")), "data": data, "type": types}
 
 
-def write_ontology(tables: dict[str, DataFrame], path: str, per_file: int = 50_000) -> None:
-    """OWL/XML axioms of the given tables (names and columns as in `AXIOMS`), one a line, so many lines a file at most."""
+def write_ontology(tables: dict[str, DataFrame], path: str, per_file: int = 50_000, compression: str = "none") -> None:
+    """OWL/XML axioms of the given tables (names and columns as in `AXIOMS`), one a line, so many lines a file at most. Compressed
+    files are read whole, each by one task."""
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
     one = lambda tag, c: F.concat(F.lit(f'<{tag} IRI="#'), esc(F.col(c)), F.lit('"/>'))
     axiom = lambda tag, *cells: F.concat(F.lit(f"<{tag}>"), *cells, F.lit(f"</{tag}>"))
@@ -171,7 +205,7 @@ def write_ontology(tables: dict[str, DataFrame], path: str, per_file: int = 50_0
         "inverse": axiom("InverseObjectProperties", prop("a"), prop("b")), "symmetric": axiom("SymmetricObjectProperty", prop("p")),
     }
     out = reduce(DataFrame.union, [df.select(lines[name].alias("value")) for name, df in tables.items()])
-    out.write.option("maxRecordsPerFile", per_file).text(path)
+    out.write.option("maxRecordsPerFile", per_file).option("compression", compression).text(path)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
