@@ -234,3 +234,12 @@ def test_each_ontology_table_reads_its_own_files(spark, tmp_path):
         t = files.load_ontology(spark, str(tmp_path / kind))
         assert re.search(r"PartitionFilters: \[[^\]]*label", t["label"]._jdf.queryExecution().executedPlan().toString())
         assert t["individual"].count() == 500 and {tuple(r) for r in t["label"].collect()} == {(f"x{i}", "a < b & c") for i in range(500)}
+
+
+def test_forms_of_numbered_names_stay_few(spark):
+    """A filter over surfaces with numbers doesn't fill up, and lets all of them through."""
+    names = spark.range(100_000).select(F.concat(F.lit("order#"), "id").alias("surface"))
+    bits = mentions.masks(names, "surface")
+    assert bits.agg(F.sum(F.bit_count("_mask"))).first()[0] <= 5
+    assert mentions.may_hold(names, "surface", bits).count() == 100_000
+

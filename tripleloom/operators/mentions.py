@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -73,15 +74,20 @@ BROADCAST_SURFACES = 20_000
 FILTER_BITS = 1 << 23
 
 
+def digits_alike(text: Column) -> Column:
+    """The text with all digits alike: names that differ in numbers alone have one form, however many they are."""
+    return F.translate(text, "123456789", "000000000")
+
+
 def masks(texts: DataFrame, text: str) -> DataFrame:
-    """(_word, _mask): the bits that the hashes of a column set; at most FILTER_BITS / 63 rows."""
-    bits = texts.select(F.pmod(F.xxhash64(text), F.lit(FILTER_BITS)).alias("h"))
+    """(_word, _mask): the bits that the hashes of a column's forms set, digits alike; at most FILTER_BITS / 63 rows."""
+    bits = texts.select(F.pmod(F.xxhash64(digits_alike(F.col(text))), F.lit(FILTER_BITS)).alias("h"))
     return bits.groupBy(F.floor(F.col("h") / 63).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("h") % 63).cast("int"))).alias("_mask"))
 
 
 def may_hold(rows: DataFrame, text: str, filter_: DataFrame) -> DataFrame:
     """The rows whose text is null or passes a filter of `masks`, which is broadcast."""
-    h = F.pmod(F.xxhash64(text), F.lit(FILTER_BITS))
+    h = F.pmod(F.xxhash64(digits_alike(F.col(text))), F.lit(FILTER_BITS))
     set_ = F.getbit(F.col("_mask"), (h % 63).cast("int")) == 1
     return rows.join(F.broadcast(filter_), F.floor(h / 63) == F.col("_word"), "left").filter(F.col(text).isNull() | set_).drop("_word", "_mask")
 
@@ -235,17 +241,39 @@ def bio_tags(token_table: DataFrame, spans: DataFrame, key: list[str]) -> DataFr
     return both.select(*[F.col(f"t.{k}") for k in key], "pos", "token", tag.alias("tag"))
 
 
+def sentence_tags(mentioned: DataFrame, key: list[str], type_of: Callable[[Column], Column]) -> DataFrame:
+    """(key…, text, tags array<struct<pos, token, tag>>): the same of sentences with mentions (key…, text, mentions), a row a sentence,
+    without a join or an exchange. type_of: a mention's type, null where it is none of a name."""
+    spans = F.filter(F.transform(F.coalesce("mentions", F.slice("mentions", 1, 0)), lambda m: F.struct(m["start"], m["end"], type_of(m).alias("type"))), lambda m: m["type"].isNotNull())
+    rows = mentioned.select(*key, "text", tokens(F.col("text")).alias("_t"), spans.alias("_spans"))
+
+    def tag(t: Column) -> Column:
+        over = F.filter("_spans", lambda m: overlaps(t, m))
+        return F.coalesce(F.get(F.transform(over, lambda m: F.concat(F.when(t["start"] <= m["start"], "B-").otherwise("I-"), m["type"])), F.lit(0)), F.lit("O"))
+
+    return rows.select(*key, "text", F.transform("_t", lambda t, i: F.struct(i.alias("pos"), t["token"].alias("token"), tag(t).alias("tag"))).alias("tags"))
+
+
+def decoded(tags: Column, strict: bool = False) -> Column:
+    """array<struct<entity, label>> of a sentence's array<struct<pos, token, tag>> in order: I- goes on with whatever is open; an I-
+    with nothing open counts for nothing. strict: it must have the open label, and the text keeps its case."""
+    none = F.struct(F.lit(None).cast("string").alias("label"), F.lit("").alias("words"), F.array().cast("array<struct<entity:string,label:string>>").alias("found"))
+
+    def closed(s: Column) -> Column:
+        return F.when(s["label"].isNull(), s["found"]).otherwise(F.concat(s["found"], F.array(F.struct((s["words"] if strict else F.lower(s["words"])).alias("entity"), s["label"].alias("label")))))
+
+    def step(s: Column, x: Column) -> Column:
+        label = F.substring(x["tag"], 3, 100)
+        ended = F.struct(F.lit(None).cast("string").alias("label"), F.lit("").alias("words"), closed(s).alias("found"))
+        begun = F.struct(label.alias("label"), x["token"].alias("words"), closed(s).alias("found"))
+        more = F.struct(s["label"].alias("label"), F.concat(s["words"], F.lit(" "), x["token"]).alias("words"), s["found"].alias("found"))
+        goes_on = s["label"].isNotNull() & ((s["label"] == label) if strict else F.lit(True))
+        return F.when(x["tag"].isNull(), s).when(x["tag"] == "O", ended).when(x["tag"].startswith("B-"), begun).when(goes_on, more).otherwise(ended)
+
+    return F.aggregate(tags, none, step, closed)
+
+
 def bio_decode(tags: DataFrame, key: list[str], strict: bool = False) -> DataFrame:
-    """(key…, entity, label) from (key…, pos, token, tag): I- goes on with whatever is open; an I- with nothing open counts for
-    nothing. strict: it must have the open label, and the text keeps its case."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*key).orderBy("pos")
-    label = F.when(F.col("tag") != "O", F.substring("tag", 3, 100))
-    breaks = (F.col("tag") == "O") | F.col("tag").startswith("B-")
-    if strict:
-        breaks = breaks | (label != F.lag(label).over(w))
-    rows = tags.withColumn("label", label).withColumn("island", F.sum(breaks.cast("int")).over(w))
-    parts = rows.filter("tag <> 'O'").groupBy(*key, "island").agg(F.min_by(F.struct("tag", "label"), "pos").alias("head"), F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("ts"))
-    words = F.array_join(F.transform("ts", lambda t: t["token"]), " ")
-    return parts.filter(F.col("head.tag").startswith("B-")).select(*key, (words if strict else F.lower(words)).alias("entity"), F.col("head.label").alias("label"))
+    """(key…, entity, label) from (key…, pos, token, tag), as `decoded` gives them. One exchange; rows of one key are one sentence."""
+    whole = tags.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "tag"))).alias("xs"))
+    return whole.select(*key, F.inline(decoded(F.col("xs"), strict)))

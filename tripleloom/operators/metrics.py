@@ -36,19 +36,32 @@ def triple_prf(gold: DataFrame, predicted: DataFrame, key: list[str] = TRIPLE) -
     return total.select("tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def set_prf(rows: DataFrame, gold: Column, predicted: Column) -> DataFrame:
+    """The same of arrays that each row has whole, so that nothing is joined: repeats within a row count once."""
+    sets = rows.select(gold.alias("g"), predicted.alias("x"))
+    total = sets.agg(*[F.coalesce(F.sum(F.size(c)), F.lit(0)).alias(n) for n, c in (("tp", F.array_intersect("g", "x")), ("fp", F.array_except("x", "g")), ("fn", F.array_except("g", "x")))])
+    return total.select("tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
 def recall_by_relation(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """(p, hit, total, recall)"""
     both = gold.select(*TRIPLE).distinct().join(predicted.select(*TRIPLE).distinct().withColumn("x", F.lit(1)), TRIPLE, "left")
     return both.groupBy("p").agg(F.count("x").alias("hit"), F.count("*").alias("total")).withColumn("recall", F.col("hit") / F.col("total"))
 
 
+def number(c: Column, weight: Column | None) -> Column:
+    """How many values there are, or the sum of weights."""
+    return F.count(c) if weight is None else F.coalesce(F.sum(c), F.lit(0).cast("long"))
+
+
 def label_report(rows: DataFrame) -> DataFrame:
     """(label, precision, recall, f1, support) from (gold, pred), with macro and weighted means and accuracy. A null prediction is an
     error, not a hit."""
+    rows = saved(rows.groupBy("gold", "pred").agg(F.count("*").alias("n")))  # one pass; all else is made of these few
     labels = rows.select(F.explode(F.array("gold", "pred")).alias("label")).filter("label is not null").distinct()
-    tp = rows.filter("gold = pred").groupBy(F.col("gold").alias("label")).agg(F.count("*").alias("tp"))
-    g = rows.groupBy(F.col("gold").alias("label")).agg(F.count("*").alias("support"))
-    x = rows.groupBy(F.col("pred").alias("label")).agg(F.count("*").alias("given"))
+    tp = rows.filter("gold = pred").groupBy(F.col("gold").alias("label")).agg(F.sum("n").alias("tp"))
+    g = rows.groupBy(F.col("gold").alias("label")).agg(F.sum("n").alias("support"))
+    x = rows.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("given"))
     each = labels.join(tp, "label", "left").join(g, "label", "left").join(x, "label", "left").na.fill(0)
     each = each.select("label", *prf(F.col("tp"), F.col("given") - F.col("tp"), F.col("support") - F.col("tp")), "support", "tp")
     means = each.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], F.sum("support").alias("support")).select(F.lit("macro avg").alias("label"), "precision", "recall", "f1", "support")
@@ -58,9 +71,9 @@ def label_report(rows: DataFrame) -> DataFrame:
     return each.drop("tp").unionByName(means).unionByName(weighted).unionByName(accuracy)
 
 
-def binary_counts() -> list[Column]:
-    """tn, fp, fn, tp over columns gold and pred (booleans)."""
-    n = lambda g, x: F.count(F.when((F.col("gold") == g) & (F.col("pred") == x), 1))
+def binary_counts(weight: Column | None = None) -> list[Column]:
+    """tn, fp, fn, tp over columns gold and pred (booleans). weight: how many rows each stands for."""
+    n = lambda g, x: number(F.when((F.col("gold") == g) & (F.col("pred") == x), F.lit(1) if weight is None else weight), weight)
     return [n(False, False).alias("tn"), n(False, True).alias("fp"), n(True, False).alias("fn"), n(True, True).alias("tp")]
 
 
@@ -85,15 +98,17 @@ def binary_metrics(matrix: DataFrame) -> DataFrame:
     )
 
 
-def f1_by(rows: DataFrame, *by: str) -> DataFrame:
-    """(by…, n, precision, recall, f1) from gold and pred booleans; rows without a prediction don't count."""
-    g = rows.filter("pred is not null").groupBy(*by).agg(F.count("*").alias("n"), *binary_counts())
+def f1_by(rows: DataFrame, *by: str, weight: Column | None = None) -> DataFrame:
+    """(by…, n, precision, recall, f1) from gold and pred booleans; rows without a prediction don't count. weight: how many rows each
+    stands for."""
+    g = rows.filter("pred is not null").groupBy(*by).agg(number(F.lit(1) if weight is None else weight, weight).alias("n"), *binary_counts(weight))
     return g.select(*by, "n", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def reject_by_negative(rows: DataFrame) -> DataFrame:
-    """(neg_type, rejected, total, rate) over negatives with a prediction."""
-    g = rows.filter("not gold and pred is not null").groupBy("neg_type").agg(F.count(F.when(~F.col("pred"), 1)).alias("rejected"), F.count("*").alias("total"))
+def reject_by_negative(rows: DataFrame, weight: Column | None = None) -> DataFrame:
+    """(neg_type, rejected, total, rate) over negatives with a prediction. weight: how many rows each stands for."""
+    one = F.lit(1) if weight is None else weight
+    g = rows.filter("not gold and pred is not null").groupBy("neg_type").agg(number(F.when(~F.col("pred"), one), weight).alias("rejected"), number(one, weight).alias("total"))
     return g.withColumn("rate", F.col("rejected") / F.col("total"))
 
 
