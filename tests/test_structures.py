@@ -243,3 +243,13 @@ def test_forms_of_numbered_names_stay_few(spark):
     assert bits.agg(F.sum(F.bit_count("_mask"))).first()[0] <= 5
     assert mentions.may_hold(names, "surface", bits).count() == 100_000
 
+
+def test_models_fit_forms_with_weights(spark):
+    """Rows that differ in numbers alone are fitted as one, with their number as weight."""
+    rows = [(f"[REL] {rel} [/REL] [E1]a#{i}[/E1] {phrase} [E2]b#{i}[/E2].", "VALID" if rel == said else "INVALID", ("train", "val")[i % 2]) for i in range(50) for rel in "pq" for said, phrase in (("p", "lies in"), ("q", "eats"))]
+    model, accuracy = verify.train_verifier(spark.createDataFrame(rows, "text string, label string, split string"))
+    assert accuracy == 1.0 and model.stages[-1].summary.predictions.count() == 4
+    words = [("Order", "B-O"), ("#", "I-O"), ("", "I-O"), ("ran", "O")]
+    tags = spark.createDataFrame([(k, i, w or str(k), t, ("train", "val")[k % 2]) for k in range(60) for i, (w, t) in enumerate(words)], "k int, pos int, token string, tag string, split string")
+    model, accuracy = verify.train_tagger(tags, ["k"])
+    assert accuracy == 1.0 and model.stages[-1].summary.predictions.count() == 4

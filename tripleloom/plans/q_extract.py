@@ -63,7 +63,7 @@ def batch_validate(star):
 
 def stored_verifier(star: Star) -> str:
     """The path of a verifier, trained and stored in the shared folder."""
-    model, _ = verify.train_verifier(files.saved(split_examples(star)), (0.0,))
+    model, _ = verify.train_verifier(split_examples(star), (0.0,))
     return verify.save_model(model, files.shared_folder(star.spark, "verifier"))
 
 
