@@ -78,8 +78,8 @@ class Index:
     scale: tuple[float, float] = (0.0, 1.0)
 
     def vector(self, counts: tuple) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array([c[0] for c in counts], np.int64)
-        w = (1 + np.log(np.array([c[1] for c in counts], np.float64))) * self.idf[t]
+        t, n = np.asarray(counts, np.int64).reshape(-1, 2).T
+        w = (1 + np.log(n.astype(np.float64))) * self.idf[t]
         return t, w / np.sqrt((w * w).sum())
 
     def fill(self, rows: list[tuple]) -> None:
@@ -164,14 +164,15 @@ class WideIndex(Index):
         t, self.at, self.w = t[order], at[order], w[order]
         self.best = np.zeros((len(self.terms), blocks))
         np.maximum.at(self.best, (t, self.at // BLOCK), self.w)
-        # a term's postings in block b are those from starts[term, b] on, ends[term, b] - starts[term, b] of them
-        self.ends = np.bincount(t * blocks + self.at // BLOCK, minlength=len(self.terms) * blocks).cumsum().reshape(-1, blocks)
-        self.starts = np.concatenate([[0], self.ends.ravel()[:-1]]).reshape(-1, blocks)
+        # a term's postings in block b are those from edges[place] to edges[place + 1], where place is term * blocks + b
+        self.blocks, self.edges = blocks, np.zeros(len(self.terms) * blocks + 1, np.int32 if len(t) < 1 << 31 else np.int64)
+        np.cumsum(np.bincount(t * blocks + self.at // BLOCK, minlength=len(self.terms) * blocks), out=self.edges[1:])
 
     def sums(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """The similarity with each example, as far as it is in one of the blocks."""
-        first = self.starts[np.ix_(terms, blocks)].ravel()
-        size = self.ends[np.ix_(terms, blocks)].ravel() - first
+        place = (terms[:, None] * self.blocks + blocks).ravel()
+        first = self.edges[place].astype(np.int64)
+        size = self.edges[place + 1] - first
         spots = np.repeat(first - size.cumsum() + size, size) + np.arange(size.sum())
         return np.bincount(self.at[spots], np.repeat(np.repeat(weights, len(blocks)), size) * self.w[spots], len(self.labels))
 
@@ -285,9 +286,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = EXAMPLES) -> Scorer:
         return [pa.array(found, pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))]
 
     own = train.filter(F.col("doc_id").isin([d for d, _ in some])) if some else train.limit(0)
-    texts_ = map_texts(own, ["doc_id"], "words array<struct<w:binary,n:bigint>>", words).collect()
-    words_of = {r["doc_id"]: {bytes(x["w"]): x["n"] for x in r["words"]} for r in texts_}
-    wide_terms = {w: i for i, w in enumerate(sorted({w for found in words_of.values() for w in found}))}
+    # as Arrow columns: a row object for each word of each example would take some hundred bytes of the driver
+    texts_ = map_texts(own, ["doc_id"], "words array<struct<w:binary,n:bigint>>", words).toArrow().combine_chunks()
+    found_ = texts_.column("words").combine_chunks()
+    flat, ends = found_.flatten(), found_.value_lengths().to_numpy().cumsum()
+    coded = flat.field("w").dictionary_encode()
+    own_words = coded.dictionary.to_pylist()
+    wide_terms = {w: i for i, w in enumerate(sorted(own_words))}
+    pairs_ = np.stack([np.array([wide_terms[w] for w in own_words], np.int64)[coded.indices.to_numpy()], flat.field("n").to_numpy()], 1)
+    words_of = {d: c[np.argsort(c[:, 0])] for d, c in zip(texts_.column("doc_id").to_pylist(), np.split(pairs_, ends[:-1]), strict=True)} if len(ends) else {}
     counted = {w: i for i, w in enumerate(sorted(terms.keys() | wide_terms.keys()))}
 
     def frequency(texts, _):
@@ -295,8 +302,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = EXAMPLES) -> Scorer:
         return [pa.array([[{"t": t, "n": n} for t, n in df.items()]] + [[]] * (len(texts) - 1), pairs)]
 
     df = np.zeros(len(counted))
-    for r in map_texts(docs, [], "df array<struct<t:int,n:bigint>>", frequency).select(F.inline("df")).groupBy("t").agg(F.sum("n").alias("n")).collect() if counted else []:
-        df[r["t"]] = r["n"]
+    if counted:
+        sums = map_texts(docs, [], "df array<struct<t:int,n:bigint>>", frequency).select(F.inline("df")).groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+        df[sums.column("t").to_numpy()] = sums.column("n").to_numpy()
     weight = np.log((1 + docs.count()) / (1 + df)) + 1
     idf = lambda of: weight[np.array([counted[w] for w in of], np.int64)]
 
@@ -307,8 +315,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = EXAMPLES) -> Scorer:
 
     index = Index(terms=terms, idf=idf(terms), labels=np.array([y for _, _, y in examples], float), ids=[d for _, d, _ in examples], prior=share, none=none)
     # by the most frequent terms, which tell languages and topics apart, so that blocks hold similar examples
-    of_bare = [(tuple(sorted((wide_terms[w], n) for w, n in words_of[d].items())), d, y) for d, y in some if words_of[d]]
-    of_bare.sort(key=lambda e: (sorted((-n, t) for t, n in e[0])[:4], e[1]))
+    of_bare = [(words_of[d], d, y) for d, y in some if len(words_of[d])]
+    of_bare.sort(key=lambda e: ([(-int(n), int(t)) for t, n in e[0][np.lexsort((e[0][:, 0], -e[0][:, 1]))[:4]]], e[1]))
     wide = WideIndex(terms=wide_terms, idf=idf(wide_terms), labels=np.array([y for _, _, y in of_bare], float), ids=[d for _, d, _ in of_bare], prior=none, none=none)
     return Scorer(filled(index, [c for c, _, _ in examples]), filled(wide, [c for c, _, _ in of_bare]))
 
