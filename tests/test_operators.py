@@ -139,3 +139,16 @@ def test_numbers_and_classes(spark):
     sig = spark.createDataFrame([("p", "Tool", "Place"), ("q", "Tool", "Place")], "p string, domain string, range string")
     made = dataset.verifier_examples(facts, spark.createDataFrame([("p", "stands in")], "p string, phrase string"), sig, classes=True).collect()
     assert {(r["label"], r["text"]) for r in made} == {("VALID", "[REL] p [/REL] A [E1]tool[/E1] stands in a [E2]shed[/E2]."), ("INVALID", "[REL] q [/REL] A [E1]tool[/E1] stands in a [E2]shed[/E2].")}
+
+
+def test_ngrams_of_odd_texts(spark):
+    """Marks of tokens within a text, letters whose small forms are long or unsure, digits; sentences are grouped without a step before
+    the exchange, and n-grams are cut outside of Spark's array functions, which took most of a sentence's time."""
+    words = ["big cat", "ünsicher 12", "i̇stanbul", "ΣΑΣ".lower(), "a b", "x7"]
+    d = spark.createDataFrame([(w,) for w in words], "surface string").select("surface", F.array(F.struct(F.lit(0).alias("pos"), F.col("surface").alias("short"), F.lit("individual").alias("kind"))).alias("entries"))
+    texts = ["The Big  cat, BIG CAT", "ÜNSICHER 12 and ünsicher 34", "in İstanbul, ΣΑΣ", "a\u0001 A B \u0002 a b", "X7 x8 x́ 7", ""]
+    found = mentions.detect_mentions(spark.createDataFrame(list(enumerate(texts)), "k int, sentence string"), d, ["k"], 3)
+    got = {r["k"]: [m["surface"] for m in r["mentions"] or []] for r in found.collect()}
+    assert got == {0: ["big cat"], 1: ["ünsicher 12"], 2: ["i̇stanbul", "σας"], 3: ["a b", "a b"], 4: ["x7"], 5: []}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "RepartitionByExpression" in plan and "lambdafunction(named_struct(start" not in plan

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import zlib
+from array import array
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +26,15 @@ def sentence_split(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(kept).alias("at", "sentence")).select(key, (F.col("at") + 1).alias("n"), "sentence")
 
 
+def with_marks(text: Column) -> Column:
+    """The text with a mark before and behind each token."""
+    return F.regexp_replace(text, f"({TOKEN})", "\u0001$1\u0002")
+
+
 def tokens(text: Column) -> Column:
     """array<struct<start, end, token, gap>> of words and single symbols, with what stands behind each. The text is cut once;
     places are summed block by block, so that long texts take time in proportion to their length."""
-    parts = F.split(F.regexp_replace(text, f"({TOKEN})", "\u0001$1\u0002"), "\u0001")
+    parts = F.split(with_marks(text), "\u0001")
     return F.element_at(F.transform(F.array(parts), places), 1)
 
 
@@ -79,23 +88,123 @@ def digits_alike(text: Column) -> Column:
     return F.translate(text, "123456789", "000000000")
 
 
+def form_hash(text: Column) -> Column:
+    return F.pmod(F.crc32(digits_alike(text)), F.lit(FILTER_BITS))
+
+
+def mask_of(h: Column) -> Column:
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (h % 63).cast("int"))).alias("_mask")
+
+
 def masks(texts: DataFrame, text: str) -> DataFrame:
     """(_word, _mask): the bits that the hashes of a column's forms set, digits alike; at most FILTER_BITS / 63 rows."""
-    bits = texts.select(F.pmod(F.xxhash64(digits_alike(F.col(text))), F.lit(FILTER_BITS)).alias("h"))
-    return bits.groupBy(F.floor(F.col("h") / 63).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("h") % 63).cast("int"))).alias("_mask"))
+    bits = texts.select(form_hash(F.col(text)).alias("h"))
+    return bits.groupBy(F.floor(F.col("h") / 63).alias("_word")).agg(mask_of(F.col("h")))
 
 
 def may_hold(rows: DataFrame, text: str, filter_: DataFrame) -> DataFrame:
     """The rows whose text is null or passes a filter of `masks`, which is broadcast."""
-    h = F.pmod(F.xxhash64(digits_alike(F.col(text))), F.lit(FILTER_BITS))
+    h = form_hash(F.col(text))
     set_ = F.getbit(F.col("_mask"), (h % 63).cast("int")) == 1
     return rows.join(F.broadcast(filter_), F.floor(h / 63) == F.col("_word"), "left").filter(F.col(text).isNull() | set_).drop("_word", "_mask")
 
 
+#: Digits as `digits_alike` has them; letters whose small forms may differ between Spark and Python; marks of tokens.
+ALIKE = str.maketrans("123456789", "000000000")
+UNSURE = re.compile("[^\x00-\u012f\u0131-\u024f]")
+MARK = re.compile("[\x01\x02]")
+
+
+class Passes(dict):
+    """Whether a form passes a filter, remembered for so many forms at most."""
+
+    MOST = 100_000
+
+    def __init__(self, bits: array):
+        self.bits = bits
+
+    def __missing__(self, form: str) -> bool:
+        if len(self) >= self.MOST:
+            self.clear()
+        h = zlib.crc32(form.encode()) % FILTER_BITS
+        self[form] = found = bool(self.bits[h // 63] >> h % 63 & 1)
+        return found
+
+
+def grams(text: str, marked: str, heads: Passes, surfaces: Passes, longest: int) -> list[tuple[int, int, str]]:
+    """(start, end, n-gram) of a text, also given `with_marks`: those whose first token passes one filter and that pass the other. In
+    a text with letters that are not sure, all n-grams with such a one pass."""
+    first, *parts = marked.split("\x01")
+    at, spans, found = len(first), [], []
+    for p in parts:
+        size = p.find("\x02")
+        spans.append((at, at + size))
+        at += len(p) - 1
+    if (text.isascii() or not UNSURE.search(text)) and not MARK.search(text):
+        low = text.lower().translate(ALIKE)
+        for i, (start, end) in enumerate(spans):
+            if heads[low[start:end]]:
+                found += [(start, end, text[start:end]) for _, end in spans[i : i + longest] if surfaces[low[start:end]]]
+        return found
+    may = lambda x, filter_: bool(UNSURE.search(x)) or filter_[x.lower().translate(ALIKE)]
+    pieces = [(p.split("\x02", 1)[0], p.rsplit("\x02", 1)[-1]) for p in parts]
+    for i, (start, _) in enumerate(spans):
+        if may(pieces[i][0], heads):
+            words = "".join([token + gap for token, gap in pieces[i : i + longest]])
+            each = [(start, end, words[: max(0, end - start)]) for _, end in spans[i : i + longest]]
+            found += [x for x in each if may(x[2], surfaces)]
+    return found
+
+
+def dictionary_filters(dictionary: DataFrame) -> tuple[array, array]:
+    """The filters of the surfaces' first tokens and of the surfaces, by one scan; 1 MB each, whatever the dictionary."""
+    both = F.array(F.lower(F.regexp_extract("surface", f"({TOKEN})", 1)), F.col("surface"))
+    bits = dictionary.select(F.posexplode(both).alias("which", "text")).select("which", form_hash(F.col("text")).alias("h")).filter("h is not null")
+    filters = tuple(array("q", bytes(8 * (FILTER_BITS // 63 + 1))) for _ in range(2))
+    rows = bits.groupBy("which", F.floor(F.col("h") / 63).alias("_word")).agg(mask_of(F.col("h"))).toArrow()
+    for which, word, mask in zip(*[rows.column(c).to_pylist() for c in ("which", "_word", "_mask")], strict=True):
+        filters[which][word] = mask
+    return filters
+
+
+#: Sentences of an Arrow batch, few enough for long texts.
+ARROW_ROWS = 1024
+
+
+def gram_rows(sentences: DataFrame, dictionary: DataFrame, key: list[str], longest: int, text: str) -> DataFrame:
+    """(key…, start, end, words, text): a row with each sentence's text, from -1 to -1, and one without for each n-gram that may be a
+    surface."""
+    spark = sentences.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    filters = spark.sparkContext.broadcast(dictionary_filters(dictionary))
+    source = sentences.select(*key, F.col(text).cast("string").alias("text"), with_marks(F.col(text)).alias("_marked"))
+    kinds = dict(source.dtypes)
+    names = [*key, "start", "end", "words", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, surfaces = map(Passes, filters.value)
+        for batch in batches:
+            of, wholes, found = [], [], []
+            for i, (whole, marked) in enumerate(zip(batch.column(len(key)).to_pylist(), batch.column(len(key) + 1).to_pylist(), strict=True)):
+                own = grams(whole, marked, heads, surfaces, longest) if whole else []
+                found.append((-1, -1, None))
+                found += own
+                of += [i] * (len(own) + 1)
+                wholes.append(i)
+                wholes += [None] * len(own)
+            starts, ends, words = zip(*found, strict=True) if found else ((), (), ())
+            keys = [batch.column(n).take(pa.array(of, pa.int32())) for n in range(len(key))]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(words, pa.string()), batch.column(len(key)).take(pa.array(wholes, pa.int32()))], names=names)
+
+    return source.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in key), "start int, end int, words string, text string"]))
+
+
 def detect_mentions(sentences: DataFrame, dictionary: DataFrame, key: list[str], longest: int, text: str = "sentence") -> DataFrame:
     """(key…, text, mentions array<struct<start, end, surface, entries>>): whole-word dictionary matches, case apart, chosen greedily.
 
-    Token n-grams meet surfaces by an equi-join, so the cost grows with the text, not with text times dictionary. Surfaces of classes
+    Token n-grams meet surfaces by an equi-join, so the cost grows with the text, not with text times dictionary; they are cut by a small
+    function over Arrow batches, with the tokens that Spark's pattern marks. Surfaces of classes
     and properties, which many sentences hold, are few: they are broadcast while their number allows it, and an n-gram that one of
     them matches goes past the join under a key of its own, as does the row that carries the sentence's text. All others meet the
     dictionary by one exchange, if they pass a filter of bounded size, and a second brings a sentence together again; nothing is joined back to the sentences. Sentences
@@ -104,19 +213,8 @@ def detect_mentions(sentences: DataFrame, dictionary: DataFrame, key: list[str],
     common = dictionary.filter(schema_kind)
     few = common.select("surface").limit(BROADCAST_SURFACES + 1).count() <= BROADCAST_SURFACES
 
-    def begun(t: Column, i: Column) -> Column:
-        """A token with the words behind it and their ends, so that long texts take time by their length."""
-        after = F.slice(F.col("t"), i + 1, F.lit(longest))
-        words = F.array_join(F.transform(after, lambda x: F.concat(x["token"], x["gap"])), "")
-        return F.struct(t["start"].alias("start"), F.lower(t["token"]).alias("head"), words.alias("words"), F.transform(after, lambda x: x["end"]).alias("ends"), F.lit(None).cast("string").alias("text"))
-
-    kinds = "struct<start:int,head:string,words:string,ends:array<int>,text:string>"
-    whole = F.struct(F.lit(-1).alias("start"), F.lit(None).cast("string").alias("head"), F.lit("").alias("words"), F.array(F.lit(-1)).alias("ends"), F.col("text"))
-    heads = dictionary.select(F.lower(F.regexp_extract("surface", f"({TOKEN})", 1)).alias("head"))
-    starts = sentences.select(*key, F.col(text).alias("text"), tokens(F.col(text)).alias("t")).select(*key, F.inline(F.concat(F.array(whole), F.coalesce(F.transform("t", begun), F.array().cast(f"array<{kinds}>")))))
-    rows = may_hold(starts, "head", masks(heads, "head")).select(*key, "start", "words", "text", F.explode("ends").alias("end"))
-    surface = F.when(F.col("start") >= 0, F.lower(F.substr("words", F.lit(1), F.col("end") - F.col("start"))))
-    rows = may_hold(rows.select(*key, "start", "end", surface.alias("surface"), "text"), "surface", masks(dictionary, "surface"))
+    rows = gram_rows(sentences, dictionary, key, longest, text)
+    rows = rows.select(*key, "start", "end", F.lower("words").alias("surface"), "text")
     light = dictionary
     if few:
         rows = rows.join(F.broadcast(common.select("surface", F.col("entries").alias("known"))), "surface", "left")
@@ -124,11 +222,14 @@ def detect_mentions(sentences: DataFrame, dictionary: DataFrame, key: list[str],
     else:
         rows = rows.withColumn("known", F.lit(None).cast(dictionary.schema["entries"].dataType))
     past = (F.col("start") < 0) | F.col("known").isNotNull()
-    rows = rows.withColumn("_at", F.when(past, F.concat(F.lit("\u0001"), F.xxhash64(*key, "start", "end").cast("string"))).otherwise(F.col("surface")))
-    rows = rows.join(light.select(F.col("surface").alias("_at"), "entries"), "_at", "left").withColumn("entries", F.coalesce("known", "entries"))
+    # met by the surface's hash and itself, as numbers are sorted faster; a null surface meets none
+    rows = rows.withColumn("_at", F.when(~past, F.col("surface"))).withColumn("_h", F.when(past, F.xxhash64(*key, "start", "end")).otherwise(F.xxhash64("surface")))
+    rows = rows.join(light.select(F.xxhash64("surface").alias("_h"), F.col("surface").alias("_at"), "entries"), ["_h", "_at"], "left").withColumn("entries", F.coalesce("known", "entries"))
     rows = rows.filter((F.col("start") < 0) | F.col("entries").isNotNull())
     span = F.when(F.col("start") >= 0, F.struct("start", (-F.col("end")).alias("far"), "surface", "entries"))
-    found = rows.groupBy(*key).agg(F.max("text").alias("text"), F.collect_list(span).alias("spans"))
+    # a sentence's rows are far apart, so nothing is brought together before the exchange; numbers are sorted faster than names
+    own = rows.withColumn("_k", F.xxhash64(*key)).repartition("_k", *key).groupBy("_k", *key)
+    found = own.agg(F.max("text").alias("text"), F.collect_list(span).alias("spans"))
     return found.select(*key, "text", F.when(F.size("spans") > 0, keep_longest(F.col("spans"))).alias("mentions"))
 
 
