@@ -152,3 +152,14 @@ def test_ngrams_of_odd_texts(spark):
     assert got == {0: ["big cat"], 1: ["ünsicher 12"], 2: ["i̇stanbul", "σας"], 3: ["a b", "a b"], 4: ["x7"], 5: []}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "RepartitionByExpression" in plan and "lambdafunction(named_struct(start" not in plan
+
+
+def test_draws_are_spread_over_tasks(spark):
+    """Many documents' draws are no one task's work, and a document's hashes are made before its turns."""
+    docs, items = spark.range(500).select(F.col("id").alias("doc")), spark.range(40).select(F.col("id").cast("string").alias("s"), F.lit("x").alias("kind"))
+    rows = dataset.stratified_documents(docs, items, {"x": 3}, "7", F.col("s"), "kind")
+    assert "repartition" in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+    taken = rows.groupBy("doc").agg(F.count("*").alias("n"), F.count_distinct("s").alias("d")).filter("n = d and n between 9 and 12").count()
+    assert taken == 500
+    plan = dataset.drawn(docs, 40, 12, "7")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("md5") > plan.index("Generate explode") and "md5" not in plan[: plan.index("Generate explode")]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import MARKED, hash_split, md5_mod, pick, sentence_id, strip_markers, verifier_text
+from ..sources.files import saved
 from .metrics import numbered
 
 #: Fixed values of this package: clauses for the harder tiers.
@@ -52,14 +53,19 @@ def prime_from(n: int) -> int:
     return n
 
 
-def permuted(key: Column, number: Column, n: int) -> Column:
-    """Where a key's own permutation of 0 … prime - 1 leads a number, the prime being the least from n on: a step and a start by hashes
-    of the key. Places from n on are no items."""
+def permutation(key: Column, n: int) -> list[Column]:
+    """_step and _start of a key's own permutation of 0 … prime - 1, the prime being the least from n on, by hashes of the key. It leads
+    a number to (_step * number + _start) % prime; places from n on are no items."""
     prime = prime_from(n)
     part = lambda name: md5_mod(F.concat_ws("|", F.lit(name), key), STEPS).cast("long")
     step = (part("step") * STEPS + part("step2")) % max(prime - 1, 1) + 1
     start = (part("start") * STEPS + part("start2")) % prime
-    return (step * number + start) % prime
+    return [step.alias("_step"), start.alias("_start")]
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """The documents dealt to as many tasks as shuffles have: small rows that make much work, which Spark would leave to one task."""
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc")
 
 
 def ordinals(items: DataFrame, seed: str, key: Column) -> DataFrame:
@@ -72,8 +78,10 @@ def drawn(docs: DataFrame, n: int, most: int, seed: str, name: str = "") -> Data
     """(doc, turn, ordinal): for each document the first `most` of its own permutation of n items, from turn 0; never an array of all
     items. As many turns are looked at as the prime lies above n, and `most` more."""
     turns = F.explode(F.sequence(F.lit(0), F.lit(min(most + prime_from(n) - n, prime_from(n)) - 1)))
-    at = permuted(F.concat_ws("|", F.lit(seed), F.lit(name), F.col("doc").cast("string")), F.col("turn").cast("long"), n)
-    return docs.select("doc", turns.alias("turn")).select("doc", "turn", at.alias("ordinal")).filter(F.col("ordinal") < n)
+    # hashed once a document, before its turns
+    own = docs.select("doc", *permutation(F.concat_ws("|", F.lit(seed), F.lit(name), F.col("doc").cast("string")), n)).select("*", turns.alias("turn"))
+    at = (F.col("_step") * F.col("turn").cast("long") + F.col("_start")) % prime_from(n)
+    return own.select("doc", "turn", at.alias("ordinal")).filter(F.col("ordinal") < n)
 
 
 def sizes(seed: str) -> Column:
@@ -96,13 +104,14 @@ def sample_documents(docs: DataFrame, items: DataFrame, seed: str, key: Column)
     n = numbers.count()
     if not n:
         return docs.select("doc", F.lit(0).alias("position")).join(items.limit(0), F.lit(True)).filter("false")
-    rows = drawn(docs, n, LEAST + MORE, seed).join(numbers, "ordinal").withColumn("size", sizes(seed))
+    rows = drawn(spread(docs), n, LEAST + MORE, seed).join(numbers, "ordinal").withColumn("size", sizes(seed))
     return picked(rows, items.columns)
 
 
 def stratified_documents(docs: DataFrame, items: DataFrame, quotas: dict[str, int], seed: str, key: Column, stratum: str) -> DataFrame:
     """(doc, position, item columns…): first a fixed quota from each stratum, by permutations of the strata, then, up to 9 to 12, the
     rest by a permutation of all items that leaves out what was taken."""
+    docs, items = spread(docs), saved(items)  # numbered and counted once for each stratum and for all
     parts = []
     for name, quota in quotas.items():
         numbers = ordinals(items.filter(F.col(stratum) == name), seed, key)
@@ -120,9 +129,14 @@ def stratified_documents(docs: DataFrame, items: DataFrame, quotas: dict[str, in
     of_stage = lambda i: F.filter("xs", lambda x: x["stage"] == i)
     # a stratum without items has no rows and no quota
     quotas_of = [F.slice(of_stage(i), F.lit(1), F.coalesce(F.get(of_stage(i), F.lit(0))["quota"], F.lit(0))) for i in range(len(parts) - 1)]
-    own = own.withColumn("firsts", F.transform(F.concat(*quotas_of) if quotas_of else F.slice("xs", 1, 0), lambda x: x["item"]))
-    rest = F.filter("xs", lambda x: (x["stage"] == len(parts) - 1) & ~F.array_contains("firsts", x["item"]))
-    chosen = F.slice(F.concat("firsts", F.transform(rest, lambda x: x["item"])), F.lit(1), F.col("size"))
+    firsts = F.transform(F.concat(*quotas_of) if quotas_of else F.slice("xs", 1, 0), lambda x: x["item"])
+
+    def with_rest(taken: Column) -> Column:
+        rest = F.filter("xs", lambda x: (x["stage"] == len(parts) - 1) & ~F.array_contains(taken, x["item"]))
+        return F.slice(F.concat(taken, F.transform(rest, lambda x: x["item"])), F.lit(1), F.col("size"))
+
+    # bound by a lambda: as a column, the firsts would be made anew for each item that they are compared with
+    chosen = F.element_at(F.transform(F.array(firsts), with_rest), 1)
     return own.select("doc", F.posexplode(chosen).alias("at", "item")).select("doc", (F.col("at") + 1).alias("position"), "item.*")
 
 
