@@ -163,3 +163,23 @@ def test_draws_are_spread_over_tasks(spark):
     assert taken == 500
     plan = dataset.drawn(docs, 40, 12, "7")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rindex("md5") > plan.index("Generate explode") and "md5" not in plan[: plan.index("Generate explode")]
+
+
+def test_forms_of_marked_texts(spark):
+    """Clauses behind the relation in front, as the pattern has it, also in odd texts; statistics by one row a text and one a kind."""
+    import re
+
+    texts = ["[REL] p [/REL] [E1]a[/E1] x [E2]b[/E2].", "[REL] p [/REL]a", "[REL] p\n[/REL]  a", "[REL]p a", "a [REL] p [/REL] b", "[REL][/REL] é", "", None, "[/REL] [REL] x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {r["k"]: r["x"] for r in rows.select("k", dataset.nested(F.col("text")).alias("x")).collect()}
+    for k, t in enumerate(texts):
+        if t is None:
+            assert got[k] is None
+            continue
+        head, rest = (x or "" for x in re.match(r"(?s)^(\[REL\].*?\[/REL\] ?)?(.*)$", t).groups())
+        assert got[k] in {head + clause + rest for clause in dataset.SUBORDINATES}
+    rows = spark.createDataFrame([("[REL] p [/REL] a", "VALID", None, "train"), ("[REL] q [/REL] a", "INVALID", "partial", "train"), (None, "VALID", None, None)], "text string, label string, neg_type string, split string")
+    stats = dataset.dataset_stats(rows)
+    assert {tuple(r) for r in stats.collect()} == {("label", "VALID", 2), ("label", "INVALID", 1), ("neg_type", "partial", 1), ("split", "train", 2), ("distinct_texts", "train", 2), ("sentences", "train", 1)}
+    plan = dataset.augment_tiers(rows.withColumn("sentence_relation", F.lit("p")), spark.createDataFrame([("p", "says")], "p string, synonym string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan

@@ -247,9 +247,9 @@ def tier_nested(examples: DataFrame) -> DataFrame:
 
 
 def nested(text: Column) -> Column:
-    head = F.regexp_extract(text, r"(?s)^(\[REL\].*?\[/REL\] ?)?(.*)$", 1)
-    rest = F.regexp_extract(text, r"(?s)^(\[REL\].*?\[/REL\] ?)?(.*)$", 2)
-    return F.concat(head, pick(SUBORDINATES, text), rest)
+    behind = F.locate("[/REL]", text, 6) + 6
+    head = F.when(text.startswith("[REL]") & (behind > 6), behind - 1 + (F.substr(text, behind, F.lit(1)) == " ").cast("int")).otherwise(F.lit(0))
+    return F.concat(F.substr(text, F.lit(1), head), pick(SUBORDINATES, text), F.substr(text, head + 1))
 
 
 def augment_tiers(examples: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -309,13 +309,17 @@ def tier_by_split(rows: DataFrame) -> DataFrame:
 
 def dataset_stats(rows: DataFrame) -> DataFrame:
     """(metric, key, value): labels, negative types, splits, and distinct texts and sentences (texts without marks) by split. One scan:
-    each row gives its counters, texts as digests, to one grouping."""
-    counter = lambda metric, key, item=None: F.struct(F.lit(metric).alias("metric"), F.col(key).alias("key"), (F.lit(None).cast("string") if item is None else F.md5(item)).alias("item"))
+    each row gives its kind, and its texts as digests, to one grouping; counters are made of what comes out of it."""
     bare = strip_markers(F.col("text"), whole_head=True)
-    counters = F.array(counter("label", "label"), counter("neg_type", "neg_type"), counter("split", "split"), counter("distinct_texts", "split", F.col("text")), counter("sentences", "split", bare))
+    none, digest = F.lit(None).cast("string"), lambda text: F.unhex(F.md5(text))
+    one = lambda metric, label, neg_type, item: F.struct(F.lit(metric).alias("metric"), label.alias("label"), neg_type.alias("neg_type"), F.col("split").alias("split"), item.alias("item"))
+    counters = F.array(one("rows", F.col("label"), F.col("neg_type"), none.cast("binary")), one("distinct_texts", none, none, digest(F.col("text"))), one("sentences", none, none, digest(bare)))
     # equal digests and mere counts come together before the exchange
-    once = rows.select(F.inline(counters)).filter("key is not null").groupBy("metric", "key", "item").agg(F.count("*").alias("n"))
-    return once.groupBy("metric", "key").agg(F.count("item").alias("_items"), F.sum("n").alias("_n")).select("metric", "key", F.when(F.col("metric").isin("distinct_texts", "sentences"), F.col("_items")).otherwise(F.col("_n")).alias("value"))
+    once = rows.select(F.inline(counters)).groupBy("metric", "label", "neg_type", "split", "item").agg(F.count("*").alias("n"))
+    kinds = once.groupBy("metric", "label", "neg_type", "split").agg(F.count("item").alias("items"), F.sum("n").alias("n"))
+    counter = lambda metric, key, n: F.struct(metric.alias("metric"), F.col(key).alias("key"), F.col(n).alias("n"))
+    own = F.when(F.col("metric") == "rows", F.array(*[counter(F.lit(k), k, "n") for k in ("label", "neg_type", "split")])).otherwise(F.array(counter(F.col("metric"), "split", "items")))
+    return kinds.select(F.inline(own)).filter("key is not null").groupBy("metric", "key").agg(F.sum("n").alias("value"))
 
 
 def length_budget(texts: DataFrame, text: str, exact: bool = True) -> DataFrame:
