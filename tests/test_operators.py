@@ -143,7 +143,7 @@ def test_numbers_and_classes(spark):
 
 def test_ngrams_of_odd_texts(spark):
     """Marks of tokens within a text, letters whose small forms are long or unsure, digits; sentences are grouped without a step before
-    the exchange, and n-grams are cut outside of Spark's array functions, which took most of a sentence's time."""
+    the exchange, and n-grams are cut outside of Spark's array functions, which made the largest stage."""
     words = ["big cat", "ünsicher 12", "i̇stanbul", "ΣΑΣ".lower(), "a b", "x7"]
     d = spark.createDataFrame([(w,) for w in words], "surface string").select("surface", F.array(F.struct(F.lit(0).alias("pos"), F.col("surface").alias("short"), F.lit("individual").alias("kind"))).alias("entries"))
     texts = ["The Big  cat, BIG CAT", "ÜNSICHER 12 and ünsicher 34", "in İstanbul, ΣΑΣ", "a\u0001 A B \u0002 a b", "X7 x8 x́ 7", ""]
