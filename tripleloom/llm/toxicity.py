@@ -1,10 +1,10 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
 Terms that tell the labels apart are chosen on labelled rows; document frequencies of the chosen terms are counted over all
-documents. Labelled examples are vectors over those terms in an inverted index whose posting lists are cut into blocks of
-examples with the largest weight of each. A query takes blocks by their upper bounds and stops where no block can reach the
-neighbours found so far, so its neighbours are exact. Votes weighted by distance give a raw score, calibrated on the
-examples' own leave-one-out votes.
+documents. Labelled examples are vectors over those terms in an inverted index whose longer posting lists are cut into blocks of
+examples with the largest weight of each. A query adds up short lists, takes the blocks with the best upper bounds and then
+those that can still reach the neighbours found so far, so its neighbours are exact. Votes weighted by distance give a raw
+score, calibrated on the examples' own leave-one-out votes.
 
 A text without a chosen term is compared in all terms, in the same way, with the examples that have none either. The terms of
 that second index are all those of its examples, and every one counts in vectors and norms.
@@ -15,16 +15,16 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterable
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memo
 from .common import labelled, map_texts, rewrite_rows, saved, session_of
 
 #: Labelled documents used as examples at most (by a hash of doc_id): the bound of what is collected and broadcast.
@@ -37,6 +37,12 @@ BARE_EXAMPLES = 1024
 #: Examples whose leave-one-out votes calibrate the scores, at most.
 CALIBRATION = 4000
 NEIGHBOURS, BLOCK = 25, 64
+#: A term in one of so many examples, or more, has a row of weights instead of a list.
+LONG = 8
+#: Texts searched together, at most, and list entries that these may add up.
+GROUP, ENTRIES = 64, 1 << 20
+#: Bytes of texts cut into words together (a longer text is cut alone).
+PORTION = 1 << 22
 #: Weight of the share of label 1 among all examples in each vote.
 PRIOR_WEIGHT = 0.5
 
@@ -50,12 +56,50 @@ def stem(word: bytes) -> bytes:
     return (word[:STEM] if word.isascii() else word.decode()[:STEM].encode()) + b"*"
 
 
+def letters(text: str) -> bytes:
+    return text.lower().encode().translate(MARKS)
+
+
 def terms_of(text: str) -> list[bytes]:
     """Words, and the stems of longer ones (with a star)."""
-    words = text.lower().encode().translate(MARKS).split()
+    words = letters(text).split()
     return words + [stem(w) for w in words if len(w) > STEM]
 
 
+def portions(texts: list[str]) -> Iterator[list[bytes]]:
+    part, size = [], 0
+    for t in map(letters, texts):
+        if part and size + len(t) > PORTION:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    yield part
+
+
+def counts_of(texts: list[str], terms: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the places in `terms` of those that it holds, in order, with their frequencies. Distinct words of a portion
+    of the texts are looked up once."""
+    out, many = [], len(terms) + 1
+    for part in portions(texts):
+        split = pc.split_pattern(pa.array(part, pa.binary()), b" ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        stems = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words.cast(pa.string()), 0, STEM), "*", "").cast(pa.binary())
+        place = pc.fill_null(pc.index_in(pa.concat_arrays([words, stems]), value_set=terms), len(terms)).to_numpy().astype(np.int64)
+        own, other = place[: len(words)], np.where(pc.binary_length(words).to_numpy() > STEM, place[len(words) :], len(terms))
+        code = coded.indices.to_numpy()
+        row = np.repeat(np.arange(len(part)) * many, split.value_lengths().to_numpy())
+        found = np.concatenate([own[code][(mine := own[code] < len(terms))] + row[mine], other[code][(mine := other[code] < len(terms))] + row[mine]])
+        found.sort()
+        first = np.flatnonzero(np.diff(found, prepend=-1))
+        found, times = found[first], np.diff(first, append=len(found))
+        ends = np.searchsorted(found, np.arange(len(part) + 1) * many).tolist()
+        found %= many
+        out += [(found[a:b], times[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    return out[: len(texts)]
+
+
 def ratio(a: Column, b: Column, n1: int, n0: int) -> Column:
     """Log-likelihood ratio of presence against label: in a of n1 rows with label 1, in b of n0 with label 0."""
     share = (a + b) / max(1, n1 + n0)
@@ -73,46 +117,98 @@ class Index:
     ids: list
     prior: float
     none: float  # score of texts without a term
-    postings: list = field(default_factory=list)
-    best: np.ndarray | None = None  # terms x blocks
     scale: tuple[float, float] = (0.0, 1.0)
+    first: int = 8  # the share of the blocks taken before any is left out is 1 / first
 
-    def vector(self, counts: tuple) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, counts: tuple | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         t, n = np.asarray(counts, np.int64).reshape(-1, 2).T
         w = (1 + np.log(n.astype(np.float64))) * self.idf[t]
         return t, w / np.sqrt((w * w).sum())
 
-    def fill(self, rows: list[tuple]) -> None:
-        blocks = (len(rows) + BLOCK - 1) // BLOCK
-        lists: list[list] = [[] for _ in self.terms]
-        for i, counts in enumerate(rows):
-            for t, w in zip(*self.vector(counts), strict=True):
-                lists[t].append((i, w))
-        self.best = np.zeros((len(self.terms), max(1, blocks)))
-        for t, found in enumerate(lists):
-            at = np.array([i for i, _ in found], np.int64)
-            w = np.array([w for _, w in found])
-            np.maximum.at(self.best[t], at // BLOCK, w)
-            self.postings.append((at, w, np.searchsorted(at, np.arange(blocks + 1) * BLOCK)))
-
-    def nearest(self, counts: tuple, without: int = -1) -> list[tuple[float, int]]:
+    def fill(self, rows: list) -> None:
+        """Lists of at least one in LONG of the examples become rows of weights cut into blocks, with the largest weight of each;
+        the shorter ones stay lists. Rows take LONG times the room of their lists at most."""
+        self.blocks = max(1, (len(rows) + BLOCK - 1) // BLOCK)
+        found = [self.vector(counts) for counts in rows]
+        t = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in found]])
+        at = np.repeat(np.arange(len(rows)), [len(t) for t, _ in found])
+        w = np.concatenate([np.zeros(0), *[w for _, w in found]])
+        size = np.bincount(t, minlength=len(self.terms))
+        long = size * LONG >= self.blocks * BLOCK
+        self.row = np.where(long, long.cumsum() - 1, -1)
+        mine = long[t]
+        self.rows = np.zeros((self.blocks, long.sum(), BLOCK))
+        self.rows[at[mine] // BLOCK, self.row[t[mine]], at[mine] % BLOCK] = w[mine]
+        self.best = self.rows.max(axis=2)  # blocks x rows
+        # a short list of term t is from edges[t] to edges[t + 1]
+        self.edges = np.append(0, np.where(long, 0, size).cumsum())
+        t, at, w = t[~mine], at[~mine], w[~mine]
+        order = np.argsort(t, kind="stable")
+        self.at, self.w = at[order], w[order]
+
+    def nearest(self, counts: tuple | np.ndarray, without: int = -1) -> list[tuple[float, int]]:
         """(similarity, example) of the nearest examples with some similarity; equally near ones by number."""
-        terms, weights = self.vector(counts)
-        bound = weights @ self.best[terms]
-        found: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(found) >= NEIGHBOURS and bound[b] + 1e-9 < -found[NEIGHBOURS - 1][0]):
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                at, own, ends = self.postings[t]
-                lo, hi = ends[b], ends[b + 1]
-                sums[at[lo:hi] - b * BLOCK] += w * own[lo:hi]
-            hit = np.flatnonzero(sums)
-            found += [(-round(float(s), 9), b * BLOCK + int(i)) for i, s in zip(hit, sums[hit], strict=True) if b * BLOCK + i != without]
-            found.sort()
-            del found[NEIGHBOURS:]
-        return [(-s, i) for s, i in found]
+        return self.search([self.vector(counts)], np.array([without]))[0]
+
+    def nearest_all(self, rows: list, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """The same for many, in groups."""
+        out: list = []
+        group: list = []
+        load, left_out = 0, np.array(without if without is not None else [-1] * len(rows), np.int64)
+        for counts in rows:
+            terms, weights = self.vector(counts)
+            entries = int((self.edges[terms + 1] - self.edges[terms]).sum())
+            if group and (len(group) == GROUP or load + entries > ENTRIES):
+                out += self.search(group, left_out[len(out) : len(out) + len(group)])
+                group, load = [], 0
+            group.append((terms, weights))
+            load += entries
+        return out + self.search(group, left_out[len(out) :]) if group else out
+
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray) -> list[list[tuple[float, int]]]:
+        """Short lists are added up whole; rows then block by block: for each vector first those of the blocks with the best
+        bounds, then those of the blocks that can still reach its neighbours."""
+        n, width = len(vectors), self.blocks * BLOCK
+        terms, weights = (np.concatenate(c) for c in zip(*vectors, strict=True))
+        which = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+        row = self.row[terms]
+        short = row < 0
+        start = self.edges[terms[short]]
+        size = self.edges[terms[short] + 1] - start
+        spots = np.repeat(start - size.cumsum() + size, size) + np.arange(size.sum())
+        at = np.repeat(which[short] * width, size) + self.at[spots]
+        sums = np.bincount(at, np.repeat(weights[short], size) * self.w[spots], n * width).astype(float, copy=False).reshape(n, self.blocks, BLOCK)
+        own = np.zeros((n, self.best.shape[1]))
+        own[which[~short], row[~short]] = weights[~short]
+        more = own @ self.best.T
+        bound = sums.max(axis=2) + more
+        order = np.argsort(-bound, axis=1, kind="stable")
+        begun = np.zeros(bound.shape, bool)
+        np.put_along_axis(begun, order[:, : -(-self.blocks // self.first)], True, 1)
+        flat = sums.reshape(n, width)
+        self.add_rows(sums, own, begun & (more > 0))
+        least = self.reached(flat, without)
+        self.add_rows(sums, own, ~begun & (more > 0) & (bound + 1e-9 >= least[:, None]))
+        flat = np.round(flat, 9)
+        least = self.reached(flat, without)
+        out = []
+        for s, reached in zip(flat, least.tolist(), strict=True):
+            hit = np.flatnonzero(s >= reached if reached > 0 else s > 0)
+            hit = hit[np.argsort(-s[hit], kind="stable")][:NEIGHBOURS]
+            out.append(list(zip(s[hit].tolist(), hit.tolist(), strict=True)))
+        return out
+
+    def add_rows(self, sums: np.ndarray, own: np.ndarray, wanted: np.ndarray) -> None:
+        for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+            mine = np.flatnonzero(wanted[:, b])
+            sums[mine, b] += own[mine] @ self.rows[b]
+
+    @staticmethod
+    def reached(sums: np.ndarray, without: np.ndarray) -> np.ndarray:
+        """The similarity of the last neighbour found so far; the example `without` (unless -1) is none and loses its own."""
+        mine = np.flatnonzero(without >= 0)
+        sums[mine, without[mine]] = 0
+        return np.partition(sums, -NEIGHBOURS, axis=1)[:, -NEIGHBOURS]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of label 1 among the neighbours, each weighing 1 / (distance + 0.05) of its cosine distance."""
@@ -122,21 +218,22 @@ class Index:
             up, down = up + w * self.labels[i], down + w
         return up / down
 
-    def score(self, counts: tuple) -> tuple[float, list]:
-        """Calibrated score and the ids of the three nearest examples."""
-        if not counts or not len(self.labels):
-            return self.none, []
-        near = self.nearest(counts)
+    def score(self, rows: list) -> list[tuple[float, list]]:
+        """Calibrated scores and the ids of the three nearest examples."""
+        known = [i for i, counts in enumerate(rows) if len(counts) and len(self.labels)]
+        out: list = [(self.none, [])] * len(rows)
         a, b = self.scale
-        x = min(max(self.vote(near), 1e-4), 1 - 1e-4)
-        return 1 / (1 + math.exp(-(a + b * math.log(x / (1 - x))))), [self.ids[i] for _, i in near[:3]]
+        for i, near in zip(known, self.nearest_all([rows[i] for i in known]), strict=True):
+            x = min(max(self.vote(near), 1e-4), 1 - 1e-4)
+            out[i] = 1 / (1 + math.exp(-(a + b * math.log(x / (1 - x))))), [self.ids[i] for _, i in near[:3]]
+        return out
 
-    def calibrate(self, rows: list[tuple]) -> None:
+    def calibrate(self, rows: list) -> None:
         """Logistic scaling of leave-one-out votes, by Newton steps with a mild pull to the votes themselves."""
         if not rows:
             return
         some = list(range(0, len(rows), -(-len(rows) // CALIBRATION)))
-        votes = np.array([self.vote(self.nearest(rows[i], i)) for i in some])
+        votes = np.array([self.vote(near) for near in self.nearest_all([rows[i] for i in some], some)])
         labels = self.labels[some]
         x = np.clip(votes, 1e-4, 1 - 1e-4)
         x = np.log(x / (1 - x))
@@ -150,67 +247,18 @@ class Index:
             self.scale = (float(w[0]), float(w[1]))
 
 
+@dataclass
 class WideIndex(Index):
-    """The same over all terms. A text holds many of them, so the postings of all its terms in a set of blocks are added up in one
-    step: first those of the half of the blocks with the best bounds, then those of the blocks that can still reach its neighbours."""
+    """The same over all terms. A text holds many of them, so that bounds leave out few blocks: half are taken at first."""
+
+    first: int = 2
 
-    def fill(self, rows: list[tuple]) -> None:
-        blocks = max(1, (len(rows) + BLOCK - 1) // BLOCK)
-        found = [self.vector(counts) for counts in rows]
-        t = np.concatenate([np.zeros(0, np.int64), *[t for t, _ in found]])
-        at = np.repeat(np.arange(len(rows)), [len(t) for t, _ in found])
-        w = np.concatenate([np.zeros(0), *[w for _, w in found]])
-        order = np.argsort(t, kind="stable")
-        t, self.at, self.w = t[order], at[order], w[order]
-        self.best = np.zeros((len(self.terms), blocks))
-        np.maximum.at(self.best, (t, self.at // BLOCK), self.w)
-        # a term's postings in block b are those from edges[place] to edges[place + 1], where place is term * blocks + b
-        self.blocks, self.edges = blocks, np.zeros(len(self.terms) * blocks + 1, np.int32 if len(t) < 1 << 31 else np.int64)
-        np.cumsum(np.bincount(t * blocks + self.at // BLOCK, minlength=len(self.terms) * blocks), out=self.edges[1:])
-
-    def sums(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """The similarity with each example, as far as it is in one of the blocks."""
-        place = (terms[:, None] * self.blocks + blocks).ravel()
-        first = self.edges[place].astype(np.int64)
-        size = self.edges[place + 1] - first
-        spots = np.repeat(first - size.cumsum() + size, size) + np.arange(size.sum())
-        return np.bincount(self.at[spots], np.repeat(np.repeat(weights, len(blocks)), size) * self.w[spots], len(self.labels))
-
-    def nearest(self, counts: tuple, without: int = -1) -> list[tuple[float, int]]:
-        terms, weights = self.vector(counts)
-        bound = weights @ self.best[terms]
-        order = np.argsort(-bound, kind="stable")
-        half = (len(order) + 1) // 2
-        sums = self.sums(terms, weights, order[:half])
-        if without >= 0:
-            sums[without] = 0
-        reached = np.partition(sums, -NEIGHBOURS)[-NEIGHBOURS] if len(sums) > NEIGHBOURS else 0.0
-        rest = order[half:]
-        if len(rest := rest[bound[rest] + 1e-9 >= reached]):
-            sums += self.sums(terms, weights, rest)
-            if without >= 0:
-                sums[without] = 0
-        sums = np.round(sums, 9)
-        reached = np.partition(sums, -NEIGHBOURS)[-NEIGHBOURS] if len(sums) > NEIGHBOURS else 0.0
-        hit = np.flatnonzero((sums > 0) & (sums >= reached))
-        hit = hit[np.lexsort((hit, -sums[hit]))][:NEIGHBOURS]
-        return list(zip(sums[hit].tolist(), hit.tolist(), strict=True))
-
-
-def counts_of(words: Iterable[bytes], terms: dict[bytes, int]) -> tuple:
-    """The numbers of those words that are terms, with their frequencies, in order."""
-    return tuple(sorted((terms[w], n) for w, n in Counter(words).items() if w in terms))
-
-
-def select_counts(texts: list[str], terms: dict[bytes, int]) -> list[tuple]:
-    """For each text the chosen terms in it, with their frequencies, in order."""
-    out = []
-    known = terms.keys()
-    for t in texts:
-        words = terms_of(t)
-        hits = known & set(words)
-        out.append(counts_of((w for w in words if w in hits), terms) if hits else ())
-    return out
+
+def lists(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
+    """Numbers and frequencies of each text as a list of (t, n)."""
+    ends = np.cumsum([0, *[len(t) for t, _ in found]])
+    t, n = (np.concatenate(c) for c in zip(*found, strict=True))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(t, pa.int32()), pa.array(n, pa.int64())], ["t", "n"]))
 
 
 @dataclass
@@ -222,20 +270,23 @@ class Scorer:
     wide: WideIndex
 
     def __post_init__(self) -> None:
-        self.known: Memo = Memo(self.chosen.score, 20_000)
-        self.bare: dict = {}
-
-    def score(self, text: str) -> tuple[float, list]:
-        words = terms_of(text)
-        hits = self.chosen.terms.keys() & set(words)
-        if hits:
-            return self.known[counts_of((w for w in words if w in hits), self.chosen.terms)]
-        key = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-        if key not in self.bare:
-            if len(self.bare) >= 50_000:
-                self.bare.clear()
-            self.bare[key] = self.wide.score(counts_of(words, self.wide.terms))
-        return self.bare[key]
+        self.known: dict = {}
+        self.terms = pa.array([*self.chosen.terms, *self.wide.terms], pa.binary())
+
+    def score(self, texts: list[str]) -> list[tuple[float, list]]:
+        if len(self.known) >= 50_000:
+            self.known.clear()
+        keys, few = [], len(self.chosen.terms)
+        new: tuple[dict, dict] = {}, {}
+        for terms, times in counts_of(texts, self.terms):
+            chosen = int(np.searchsorted(terms, few))
+            counts = np.stack([terms[:chosen], times[:chosen]] if chosen else [terms - few, times], 1)
+            keys.append((chosen > 0, hashlib.blake2b(counts.tobytes(), digest_size=16).digest()))
+            if keys[-1] not in self.known:
+                new[chosen > 0][keys[-1]] = counts
+        for index, rows in zip((self.wide, self.chosen), new, strict=True):
+            self.known.update(zip(rows, index.score(list(rows.values())), strict=True))
+        return [self.known[k] for k in keys]
 
     def __reduce__(self):
         return Scorer, (self.chosen, self.wide)
@@ -269,10 +320,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = EXAMPLES) -> Scorer:
     )
     best = found.withColumn("ratio", ratio(F.col("a"), F.col("b"), n1, n0)).filter(F.col("ratio") >= LEAST_RATIO).select("term").collect()
     terms = {t: i for i, t in enumerate(sorted(bytes(r["term"]) for r in best))}
-    pairs = pa.list_(pa.struct([("t", pa.int32()), ("n", pa.int64())]))
+    chosen = pa.array(list(terms), pa.binary())
 
     def vectors(texts, _):
-        return [pa.array([[{"t": t, "n": n} for t, n in c] for c in select_counts(texts, terms)], pairs)]
+        return [lists(counts_of(texts, chosen))]
 
     rows_ = map_texts(train, ["doc_id", "toxic"], "counts array<struct<t:int,n:bigint>>", vectors).collect()
     examples = sorted((tuple((c["t"], c["n"]) for c in r["counts"]), r["doc_id"], int(r["toxic"] > 0)) for r in rows_)
@@ -297,9 +348,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = EXAMPLES) -> Scorer:
     words_of = {d: c[np.argsort(c[:, 0])] for d, c in zip(texts_.column("doc_id").to_pylist(), np.split(pairs_, ends[:-1]), strict=True)} if len(ends) else {}
     counted = {w: i for i, w in enumerate(sorted(terms.keys() | wide_terms.keys()))}
 
+    numbered = pa.array(list(counted), pa.binary())
+
     def frequency(texts, _):
-        df = Counter(counted[w] for t in texts for w in counted.keys() & set(terms_of(t)))
-        return [pa.array([[{"t": t, "n": n} for t, n in df.items()]] + [[]] * (len(texts) - 1), pairs)]
+        df = np.bincount(np.concatenate([t for t, _ in counts_of(texts, numbered)]), minlength=len(counted))
+        held = np.flatnonzero(df)
+        return [lists([(held, df[held])] + [(held[:0], held[:0])] * (len(texts) - 1))]
 
     df = np.zeros(len(counted))
     if counted:
@@ -308,7 +362,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = EXAMPLES) -> Scorer:
     weight = np.log((1 + docs.count()) / (1 + df)) + 1
     idf = lambda of: weight[np.array([counted[w] for w in of], np.int64)]
 
-    def filled(index: Index, rows: list[tuple]) -> Index:
+    def filled(index: Index, rows: list) -> Index:
         index.fill(rows)
         index.calibrate(rows)
         return index
@@ -329,7 +383,7 @@ def scores(docs: DataFrame, labels: DataFrame, keep: list[str] = ["doc_id"]) ->
     scorer = spark.sparkContext.broadcast(fit(docs, labels))
 
     def each(texts, _):
-        found = [scorer.value.score(t) for t in texts]
+        found = scorer.value.score(texts)
         return [pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))]
 
     return map_texts(docs, keep, "score double, evidence array<bigint>", each)
@@ -341,6 +395,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def each(batch, texts, _):
-        return batch.filter(pa.array([scorer.value.score(t)[0] < threshold for t in texts], pa.bool_()))
+        return batch.filter(pa.array([s < threshold for s, _ in scorer.value.score(texts)], pa.bool_()))
 
     return rewrite_rows(docs, each)
