@@ -253,3 +253,57 @@ def test_models_fit_forms_with_weights(spark):
     tags = spark.createDataFrame([(k, i, w or str(k), t, ("train", "val")[k % 2]) for k in range(60) for i, (w, t) in enumerate(words)], "k int, pos int, token string, tag string, split string")
     model, accuracy = verify.train_tagger(tags, ["k"])
     assert accuracy == 1.0 and model.stages[-1].summary.predictions.count() == 4
+
+
+def test_claims_alike_are_scored_once(spark, monkeypatch):
+    """However many claims differ in numbers alone, a model scores one of them; all claims get its score."""
+    told = [("[REL] a [/REL] [E1]X#%d[/E1] is at [E2]Y[/E2].", "VALID"), ("[REL] b [/REL] [E1]X#%d[/E1] is at [E2]Y[/E2].", "INVALID")]
+    rows = [(t % i, label, s) for t, label in told for s in ("train", "val") for i in range(20)]
+    model, _ = verify.train_verifier(spark.createDataFrame(rows, "text string, label string, split string"))
+    claims = spark.createDataFrame([(i, t % i) for t, _ in told for i in range(50)] + [(99, None)], "k int, text string")
+    seen, whole = [], verify.scored
+    wanted = {(r["k"], r["text"]): r["p_valid"] for r in whole(model, claims.filter("text is not null")).collect()}
+    monkeypatch.setattr(verify, "scored", lambda m, r: seen.append(r.count()) or whole(m, r))
+    got = verify.score_claims(model, claims).collect()
+    assert seen == [2] and len(got) == 101 and sorted(got, key=repr) == sorted(verify.score_claims(model, claims, claims.filter("k < 3")).collect(), key=repr)
+    assert {(r["k"], r["text"]): r["p_valid"] for r in got if r["text"] is not None} == wanted
+    text = "X#%d is at Y."
+    candidates = spark.createDataFrame([("ab"[i % 2], text % i, 0, len(text % i) - 9, len(text % i) - 2, len(text % i) - 1, i) for i in range(40)], "p string, text string, s_start int, s_end int, o_start int, o_end int, i int")
+    kept = verify.gate_by_model(candidates, model, ["i", "p"])
+    assert seen == [2, 2, 2] and kept.columns == ["i", "p"] and sorted(r["i"] for r in kept.collect()) == list(range(0, 40, 2))
+
+
+def test_forms_are_counted_before_tiers(spark):
+    """Trainers see the same texts and numbers of rows whether examples are counted before or after their tiers are made."""
+    from tripleloom.operators import dataset
+
+    texts = ["[REL] a [/REL] [E1]X#%d[/E1] is at [E2]Y %d[/E2].", "[REL] b [/REL] [E1]X#%d 12][/E1] was 5 [E2]Z%d[/E2], 07.", "no marks %d, %d", "[E2]X%d[/E2] before [E1]Y%d[/E1]"]
+    rows = [(f"k{i}", t % (i, i * 7), "VALID" if i % 3 else "INVALID", "ab"[i % 2], "train" if i % 4 else "val") for t in texts for i in range(60)] + [("n", None, "VALID", "a", "train")]
+    examples = spark.createDataFrame(rows, "key string, text string, label string, sentence_relation string, split string")
+    synonyms = spark.createDataFrame([("a", "sits 3 in")], "p string, synonym string")
+    form = verify.without_numbers(F.col("text")).alias("text")
+    columns = [form, "label", "split", "complexity_tier"]
+    one = dataset.augment_tiers(examples, synonyms).groupBy(*columns).agg(F.count("*").alias("n"))
+    two = dataset.augmented_forms(examples, synonyms)
+    assert two.count() < one.agg(F.sum("n")).first()[0] / 2
+    two = two.groupBy(*columns).agg(F.sum("n").alias("n"))
+    assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, two.collect()), key=repr)
+
+
+def test_texts_of_tiers(spark):
+    """Marks are found in order, as the pattern of a marked text finds them."""
+    from tripleloom.functions.strings import MARKED
+    from tripleloom.operators import dataset
+
+    texts = ["[E1]a[/E1] b [E2]c[/E2] d", "x [E1]a[/E1][E2]c[/E2]\n", "[E2]a[/E2] b [E1]c[/E1]", "[E1]a[E1]b[/E1] [/E1] [E2]c[/E2][E2]", "[/E1][E1]a [E2]c[/E2]", "[E1][/E1] [E2][/E1]q", "", "é[E1]ü[/E1] 𝔘 [E2]ß[/E2]$1\\", "[E2][E1]a[/E1] [E2]x[/E2]"]
+    rows = spark.createDataFrame([(t, "s") for t in texts], "text string, sentence_relation string")
+    synonyms = spark.createDataFrame([("s", "$2 \\ is")], "p string, synonym string")
+    got = {r["text"]: r["x"] for r in dataset.with_places(rows).select("text", dataset.implicit(F.col("text"), F.lit("$2 \\ is")).alias("x")).collect()}
+    import re
+
+    assert got == {t: re.sub(MARKED, lambda m: f"{m[1]}[E1]{m[2]}[/E1] $2 \\ is [E2]{m[4]}[/E2]{m[5]}", t, count=1) for t in texts}
+    tiers = dataset.augment_tiers(rows, synonyms)
+    assert tiers.count() == 4 * len(texts)
+    clause = dataset.pick(dataset.DISTRACTORS, F.col("text")).alias("c")
+    wanted = {r["text"]: re.sub(MARKED, lambda m: f"{m[1]}[E1]{m[2]}[/E1]{r['c']}{m[3]}[E2]{m[4]}[/E2]{m[5]}", r["text"], count=1) for r in rows.select("text", clause).collect()}
+    assert sorted(r["text"] for r in tiers.filter("complexity_tier = 'long_distance'").collect()) == sorted(wanted.values())

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import MARKED, hash_split, md5_mod, pick, sentence_id, strip_markers, verifier_text
+from ..functions.strings import hash_split, md5_mod, pick, sentence_id, strip_markers, verifier_text
 from ..sources.files import saved
 from .metrics import numbered
 
@@ -187,9 +187,9 @@ def document_records(chunks: DataFrame, prefix: str = "doc") -> tuple[DataFrame,
     return docs, gold
 
 
-def hard_negatives(signature: DataFrame, keys: DataFrame) -> DataFrame:
-    """(columns of keys…, neg_type, q): for rows with p and key, one other property of each class of likeness, picked by a hash;
-    where there is none of any class, any other. Signatures are a schema, so the pairs of properties stay few."""
+def other_properties(signature: DataFrame) -> DataFrame:
+    """(p, neg_type, options): the other properties of each class of likeness, in order; where there is none of any class, all others.
+    Signatures are a schema, so the pairs of properties stay few."""
     a, b = signature.alias("a"), signature.alias("b")
     d, r = F.col("a.domain").eqNullSafe(F.col("b.domain")), F.col("a.range").eqNullSafe(F.col("b.range"))
     whole = F.col("a.domain").isNotNull() & F.col("a.range").isNotNull()
@@ -197,48 +197,74 @@ def hard_negatives(signature: DataFrame, keys: DataFrame) -> DataFrame:
     pairs = a.join(b, F.col("a.p") != F.col("b.p")).select(F.col("a.p").alias("p"), F.col("b.p").alias("q"), kind.alias("neg_type"))
     any_ = pairs.groupBy("p").agg(F.count("neg_type").alias("n"))
     pairs = pairs.join(any_, "p").withColumn("neg_type", F.when(F.col("n") == 0, "type_incompatible").otherwise(F.col("neg_type"))).filter("neg_type is not null").drop("n")
-    options = pairs.groupBy("p", "neg_type").agg(F.array_sort(F.collect_list("q")).alias("options"))
-    chosen = F.element_at("options", (md5_mod(F.concat_ws("|", F.col("key"), F.col("neg_type")), 1000) % F.size("options") + 1).cast("int"))
-    return keys.join(options, "p").select(*keys.columns, "neg_type", chosen.alias("q"))
+    return pairs.groupBy("p", "neg_type").agg(F.array_sort(F.collect_list("q")).alias("options"))
+
+
+def picked_property() -> Column:
+    """One of the options by a hash of key and class."""
+    return F.element_at("options", (md5_mod(F.concat_ws("|", F.col("key"), F.col("neg_type")), 1000) % F.size("options") + 1).cast("int"))
+
+
+def hard_negatives(signature: DataFrame, keys: DataFrame) -> DataFrame:
+    """(columns of keys…, neg_type, q): for rows with p and key, one other property of each class of likeness, picked by a hash."""
+    return keys.join(other_properties(signature), "p").select(*keys.columns, "neg_type", picked_property().alias("q"))
 
 
 def verifier_examples(facts: DataFrame, phrases: DataFrame, signature: DataFrame, carry: tuple[str, ...] = (), leads: list[str] = LEADS[:1], classes: bool = False) -> DataFrame:
     """(key, text, label, candidate_relation, sentence_relation, subject, object, neg_type, carry…) from (key, p, subject, object):
     a VALID row for each fact and lead, and an INVALID one for each of its hard negatives, with a lead by a hash. classes: subjects
     and objects are classes, which take an article."""
-    base = facts.join(phrases, "p")
-    text = lambda rel: verifier_text(rel, F.col("subject"), F.col("phrase"), F.col("object"), classes)
-    common = ["key", "subject", "object", *carry]
-    valid = base.select(*common, F.col("p").alias("candidate_relation"), F.col("p").alias("sentence_relation"), text(F.col("p")).alias("text"), F.lit("VALID").alias("label"), F.lit(None).cast("string").alias("neg_type"))
-    false = hard_negatives(signature, base).select(*common, F.col("q").alias("candidate_relation"), F.col("p").alias("sentence_relation"), text(F.col("q")).alias("text"), F.lit("INVALID").alias("label"), "neg_type")
+    # a fact's own property is one more choice, so facts are read once for both labels
+    own = phrases.select("p").distinct().select("p", F.lit(None).cast("string").alias("neg_type"), F.array("p").alias("options"))
+    rows = facts.join(phrases, "p").join(own.unionByName(other_properties(signature)), "p")
+    valid = F.col("neg_type").isNull()
+    rows = rows.withColumn("candidate_relation", F.when(valid, F.col("p")).otherwise(picked_property()))
+    text = verifier_text(F.col("candidate_relation"), F.col("subject"), F.col("phrase"), F.col("object"), classes)
+    label = F.when(valid, "VALID").otherwise("INVALID")
+    rows = rows.select("key", "subject", "object", *carry, "candidate_relation", F.col("p").alias("sentence_relation"), text.alias("text"), label.alias("label"), "neg_type")
     if leads != [""]:
-        led = lambda lead: F.regexp_replace("text", r"^(\[REL\] .*? \[/REL\] )", F.concat(F.lit("$1"), lead))
-        valid = valid.withColumn("lead", F.explode(F.array(*map(F.lit, leads)))).withColumn("text", led(F.col("lead"))).drop("lead")
-        false = false.withColumn("text", led(pick(leads, F.concat_ws("|", "key", "neg_type"))))
-    return valid.unionByName(false)
+        some = F.when(valid, F.array(*map(F.lit, leads))).otherwise(F.array(pick(leads, F.concat_ws("|", "key", "neg_type"))))
+        led = F.regexp_replace("text", r"^(\[REL\] .*? \[/REL\] )", F.concat(F.lit("$1"), F.col("_lead")))
+        rows = rows.withColumn("_lead", F.explode(some)).withColumn("text", led).drop("_lead")
+    return rows
+
+
+def with_clauses(examples: DataFrame) -> DataFrame:
+    """The rows with `_clause` and `_head`, the clauses of their text's hash, once for all tiers."""
+    return examples.withColumns({"_clause": pick(DISTRACTORS, F.col("text")), "_head": pick(SUBORDINATES, F.col("text"))})
+
+
+def with_places(rows: DataFrame) -> DataFrame:
+    """The rows with `_one`, the length of the text up to its first argument's end, and `_two`, the place of its second argument, 0 where
+    its marks are not all there in order."""
+    behind = lambda mark, at, size: F.position(F.lit(mark), F.col("text"), F.col(at) + size)
+    rows = rows.withColumn("_a", F.locate("[E1]", "text")).withColumn("_b", behind("[/E1]", "_a", 4))
+    rows = rows.withColumn("_c", behind("[E2]", "_b", 5)).withColumn("_d", behind("[/E2]", "_c", 4))
+    whole = (F.col("_a") > 0) & (F.col("_b") > 0) & (F.col("_c") > 0) & (F.col("_d") > 0)
+    return rows.withColumns({"_one": F.col("_b") + 4, "_two": F.when(whole, F.col("_c")).otherwise(0)}).drop("_a", "_b", "_c", "_d")
 
 
 def implicit(text: Column, synonym: Column) -> Column:
-    """The words between the arguments of a marked text in other words; a text without marks stays."""
-    plain = F.replace(F.replace(synonym, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
-    return F.regexp_replace(text, F.lit(MARKED), F.concat(F.lit("$1[E1]$2[/E1] "), plain, F.lit(" [E2]$4[/E2]$5")))
+    """The words between the arguments of a text `with_places` in other words; a text without marks stays."""
+    return F.when(F.col("_two") > 0, F.concat(F.substr(text, F.lit(1), F.col("_one")), F.lit(" "), synonym, F.lit(" "), F.substr(text, F.col("_two")))).otherwise(text)
 
 
 def distant(text: Column) -> Column:
-    """A clause behind the first argument of a marked text; a text without marks stays."""
-    return F.regexp_replace(text, F.lit(MARKED), F.concat(F.lit("$1[E1]$2[/E1]"), pick(DISTRACTORS, text), F.lit("$3[E2]$4[/E2]$5")))
+    """A clause behind the first argument of a text `with_places`; a text without marks stays."""
+    return F.when(F.col("_two") > 0, F.concat(F.substr(text, F.lit(1), F.col("_one")), F.col("_clause"), F.substr(text, F.col("_one") + 1))).otherwise(text)
 
 
 def tier_implicit(examples: DataFrame, synonyms: DataFrame, by: str = "sentence_relation") -> DataFrame:
     """The relation in other words; rows whose relation has none are dropped. by: the relation the sentence states, or, as a
     known quirk, the candidate."""
-    rows = examples.join(synonyms.withColumnRenamed("p", by), by)
+    rows = with_places(examples).join(synonyms.withColumnRenamed("p", by), by)
     return rows.withColumn("text", implicit(F.col("text"), F.col("synonym"))).drop("synonym").withColumn("complexity_tier", F.lit("implicit")).select(*examples.columns, "complexity_tier")
 
 
 def tier_long_distance(examples: DataFrame) -> DataFrame:
     """A clause behind the first argument."""
-    return examples.withColumn("text", distant(F.col("text"))).withColumn("complexity_tier", F.lit("long_distance"))
+    rows = with_places(with_clauses(examples)).withColumn("text", distant(F.col("text"))).withColumn("complexity_tier", F.lit("long_distance"))
+    return rows.select(*examples.columns, "complexity_tier")
 
 
 def tier_nested(examples: DataFrame) -> DataFrame:
@@ -246,10 +272,11 @@ def tier_nested(examples: DataFrame) -> DataFrame:
     return examples.withColumn("text", nested(F.col("text"))).withColumn("complexity_tier", F.lit("nested"))
 
 
-def nested(text: Column) -> Column:
+def nested(text: Column, clause: Column | None = None) -> Column:
+    """A clause, without one that of the text's hash, before the sentence."""
     behind = F.locate("[/REL]", text, 6) + 6
     head = F.when(text.startswith("[REL]") & (behind > 6), behind - 1 + (F.substr(text, behind, F.lit(1)) == " ").cast("int")).otherwise(F.lit(0))
-    return F.concat(F.substr(text, F.lit(1), head), pick(SUBORDINATES, text), F.substr(text, head + 1))
+    return F.concat(F.substr(text, F.lit(1), head), pick(SUBORDINATES, text) if clause is None else clause, F.substr(text, head + 1))
 
 
 def augment_tiers(examples: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -257,11 +284,25 @@ def augment_tiers(examples: DataFrame, synonyms: DataFrame) -> DataFrame:
     over its own result changes nothing."""
     if "complexity_tier" in examples.columns:
         examples = examples.filter(F.coalesce("complexity_tier", F.lit("explicit")).isin("explicit", "tier_1")).drop("complexity_tier")
-    tiers = F.array_compact(F.array(F.lit("explicit"), F.when(F.col("synonym").isNotNull(), "implicit"), F.lit("long_distance"), F.lit("nested")))
-    rows = examples.join(synonyms.withColumnRenamed("p", "sentence_relation"), "sentence_relation", "left")
+    return in_tiers(with_places(with_clauses(examples)), synonyms).select(*examples.columns, "complexity_tier")
+
+
+def in_tiers(rows: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """The rows, `with_clauses` and `with_places`, in each tier."""
+    names = lambda *ts: F.array(*map(F.lit, ts))
+    tiers = F.when(F.col("synonym").isNotNull(), names("explicit", "implicit", "long_distance", "nested")).otherwise(names("explicit", "long_distance", "nested"))
+    rows = rows.join(synonyms.withColumnRenamed("p", "sentence_relation"), "sentence_relation", "left").withColumn("complexity_tier", F.explode(tiers))
     tier, text = F.col("complexity_tier"), F.col("text")
-    form = F.when(tier == "implicit", implicit(text, F.col("synonym"))).when(tier == "long_distance", distant(text)).when(tier == "nested", nested(text)).otherwise(text)
-    return rows.withColumn("complexity_tier", F.explode(tiers)).withColumn("text", form).select(*examples.columns, "complexity_tier")
+    form = F.when(tier == "implicit", implicit(text, F.col("synonym"))).when(tier == "long_distance", distant(text)).when(tier == "nested", nested(text, F.col("_head"))).otherwise(text)
+    return rows.withColumn("text", form)
+
+
+def augmented_forms(examples: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(text, label, split, complexity_tier, n) of examples with a split: the same for a trainer that takes all numbers as one word.
+    Examples that are alike but for numbers are counted before tiers are made of them; their marks keep their numbers."""
+    rows = with_clauses(examples).withColumn("text", F.regexp_replace("text", r"[0-9]++(?!\])", "0"))
+    rows = rows.groupBy("text", "label", "split", "sentence_relation", "_clause", "_head").agg(F.count("*").alias("n"))
+    return in_tiers(with_places(rows), synonyms).select("text", "label", "split", "complexity_tier", "n")
 
 
 def with_split(examples: DataFrame, on: str = "fact", buckets: int = 100, train: float = 0.70, val: float = 0.15) -> DataFrame:

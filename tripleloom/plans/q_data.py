@@ -151,12 +151,19 @@ def keyed(star: Star, types: bool = False) -> DataFrame:
     return rows.withColumn("key", F.concat_ws("|", "s", "p", "o"))
 
 
-def examples(star: Star, types: bool = False) -> DataFrame:
-    return ds.verifier_examples(keyed(star, types), star.phrases, star.signature, ("s", "o", *(("subject_types", "object_types") if types else ())))
+def examples(star: Star, types: bool = False, split: bool = False) -> DataFrame:
+    """split: with the split of each fact, hashed once for all of its examples."""
+    facts = ds.with_split(keyed(star, types)) if split else keyed(star, types)
+    return ds.verifier_examples(facts, star.phrases, star.signature, ("s", "o", *(("subject_types", "object_types") if types else ()), *(("split",) if split else ())))
 
 
 def split_examples(star: Star, types: bool = False) -> DataFrame:
-    return ds.with_split(ds.augment_tiers(examples(star, types), star.synonyms))
+    return ds.augment_tiers(examples(star, types, split=True), star.synonyms)
+
+
+def split_forms(star: Star) -> DataFrame:
+    """(text, label, split, complexity_tier, n): the split examples that are alike but for numbers, counted."""
+    return ds.augmented_forms(examples(star, split=True), star.synonyms)
 
 
 @book.add(sql(f"WITH {NEGS} SELECT key, neg_type, q FROM negs", *EX_NEEDS))

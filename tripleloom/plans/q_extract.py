@@ -11,7 +11,7 @@ from ..sources import files
 from . import q_text
 from .binding import Star
 from .book import Book
-from .q_data import split_examples
+from .q_data import split_forms
 from .q_ontology import bitmaps, signature_bits
 from .q_text import found_sql
 
@@ -63,11 +63,11 @@ def batch_validate(star):
 
 def stored_verifier(star: Star) -> str:
     """The path of a verifier, trained and stored in the shared folder."""
-    model, _ = verify.train_verifier(split_examples(star), (0.0,))
+    model, _ = verify.train_verifier(split_forms(star), (0.0,))
     return verify.save_model(model, files.shared_folder(star.spark, "verifier"))
 
 
 @book.add()
 def extract_by_model(star):
     """Candidates by distance that a stored verifier, loaded from its folder, calls valid."""
-    return verify.gate_by_model(near(star), stored_verifier(star)).select(*PLACE, "p", "s", "o")
+    return verify.gate_by_model(near(star), stored_verifier(star), [*PLACE, "p", "s", "o"])
