@@ -183,3 +183,14 @@ def test_forms_of_marked_texts(spark):
     assert {tuple(r) for r in stats.collect()} == {("label", "VALID", 2), ("label", "INVALID", 1), ("neg_type", "partial", 1), ("split", "train", 2), ("distinct_texts", "train", 2), ("sentences", "train", 1)}
     plan = dataset.augment_tiers(rows.withColumn("sentence_relation", F.lit("p")), spark.createDataFrame([("p", "says")], "p string, synonym string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract" not in plan
+
+
+def test_bare_texts_as_by_patterns(spark):
+    """Texts cut at their usual marks are those that patterns leave, and only unusual ones go by patterns."""
+    usual = ["[REL] a [/REL] [E1]X[/E1] is [E2]Y[/E2].", "[REL] a [/REL]  So [E1]é𝔘[/E1], [E2] Z [/E2]", "[REL]a[/REL][E1][/E1][E2][/E2]"]
+    odd = ["[REL] a\nb [/REL] [E1]X[/E1] is [E2]Y[/E2].", "[REL] a [/REL] [E1]X[1][/E1] is [E2]Y[/E2]", "[E1]X[/E1] is [E2]Y[/E2].", "[REL] a [/REL] [E2]X[/E2] is [E1]Y[/E1]", "x [REL] a [/REL] [E1]X[/E1] is [E2]Y[/E2]", "[E[E1]1]", "", "plain", None,
+           "[REL] a [/REL] [REL]b[/REL] c", "[REL] a [/REL] [E1]X[/E1] is [E2]Y[/E2]]["]
+    rows = spark.createDataFrame([(t,) for t in usual + odd], "text string")
+    got = fs.bare_texts(rows, "text", "bare").withColumn("wanted", fs.strip_markers(F.col("text"), whole_head=True)).collect()
+    assert [r["bare"] for r in got] == [r["wanted"] for r in got] and got[0]["bare"] == "X is Y."
+    assert fs.bare_texts(rows, "text", "bare").columns == ["text", "bare"]

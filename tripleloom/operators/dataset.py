@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.strings import hash_split, md5_mod, pick, sentence_id, strip_markers, verifier_text
+from ..functions.strings import bare_texts, hash_split, md5_mod, pick, sentence_id, strip_markers, verifier_text
 from ..sources.files import saved
 from .metrics import numbered
 
@@ -351,12 +351,11 @@ def tier_by_split(rows: DataFrame) -> DataFrame:
 def dataset_stats(rows: DataFrame) -> DataFrame:
     """(metric, key, value): labels, negative types, splits, and distinct texts and sentences (texts without marks) by split. One scan:
     each row gives its kind, and its texts as digests, to one grouping; counters are made of what comes out of it."""
-    bare = strip_markers(F.col("text"), whole_head=True)
     none, digest = F.lit(None).cast("string"), lambda text: F.unhex(F.md5(text))
     one = lambda metric, label, neg_type, item: F.struct(F.lit(metric).alias("metric"), label.alias("label"), neg_type.alias("neg_type"), F.col("split").alias("split"), item.alias("item"))
-    counters = F.array(one("rows", F.col("label"), F.col("neg_type"), none.cast("binary")), one("distinct_texts", none, none, digest(F.col("text"))), one("sentences", none, none, digest(bare)))
+    counters = F.array(one("rows", F.col("label"), F.col("neg_type"), none.cast("binary")), one("distinct_texts", none, none, digest(F.col("text"))), one("sentences", none, none, digest(F.col("_bare"))))
     # equal digests and mere counts come together before the exchange
-    once = rows.select(F.inline(counters)).groupBy("metric", "label", "neg_type", "split", "item").agg(F.count("*").alias("n"))
+    once = bare_texts(rows, "text", "_bare").select(F.inline(counters)).groupBy("metric", "label", "neg_type", "split", "item").agg(F.count("*").alias("n"))
     kinds = once.groupBy("metric", "label", "neg_type", "split").agg(F.count("item").alias("items"), F.sum("n").alias("n"))
     counter = lambda metric, key, n: F.struct(metric.alias("metric"), F.col(key).alias("key"), F.col(n).alias("n"))
     own = F.when(F.col("metric") == "rows", F.array(*[counter(F.lit(k), k, "n") for k in ("label", "neg_type", "split")])).otherwise(F.array(counter(F.col("metric"), "split", "items")))
