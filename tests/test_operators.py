@@ -194,3 +194,18 @@ def test_bare_texts_as_by_patterns(spark):
     got = fs.bare_texts(rows, "text", "bare").withColumn("wanted", fs.strip_markers(F.col("text"), whole_head=True)).collect()
     assert [r["bare"] for r in got] == [r["wanted"] for r in got] and got[0]["bare"] == "X is Y."
     assert fs.bare_texts(rows, "text", "bare").columns == ["text", "bare"]
+
+
+def test_token_columns_as_by_column_functions(spark, monkeypatch):
+    """Tokens cut from Arrow columns are those of `tokens`, whatever stands in a text and however small the portions are."""
+    texts = ["A b, c.", "", None, "  x", "é𝔘 ß!", "a\x01b \x02 c\x01\x02", "\x01", "\x02\x02", "\u00a0w\u2028v", "word " * 700, "\n", "x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, sentence string").coalesce(1)
+    wanted = rows.select("k", F.posexplode(mentions.tokens(F.col("sentence"))).alias("pos", "x")).select("k", "pos", "x.token", "x.start", "x.end")
+    for size in (mentions.PORTION, 8):
+        monkeypatch.setattr(mentions, "PORTION", size)
+        got = mentions.token_rows(rows, ["k"])
+        assert got.dtypes == wanted.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+    assert "MapInArrow" in got._jdf.queryExecution().toString()  # whole columns at once, no fold over each text's tokens
+    batch = mentions.pa.RecordBatch.from_arrays([mentions.pa.array(texts)], names=["t"])
+    slices = [b.column(0).to_pylist() for b in mentions.portions(batch, 0)]
+    assert sum(slices, []) == texts and all(len(x) == 1 or sum(len((t or "").encode()) for t in x) <= 8 for x in slices) and len(slices) > 4

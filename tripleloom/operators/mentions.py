@@ -8,8 +8,10 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN = r"(?U)\w+|[^\w\s]"
@@ -59,8 +61,51 @@ def places(parts: Column) -> Column:
 
 
 def token_rows(sentences: DataFrame, key: list[str], text: str = "sentence") -> DataFrame:
-    """(key…, pos, token, start, end)"""
-    return sentences.select(*key, F.posexplode(tokens(F.col(text))).alias("pos", "x")).select(*key, "pos", "x.token", "x.start", "x.end")
+    """(key…, pos, token, start, end): what `tokens` gives, cut from texts with marks by whole Arrow columns, a portion at a time."""
+    small_batches(sentences.sparkSession)
+    source = sentences.select(*key, with_marks(F.col(text)).alias("_marked"))
+    kinds, names = dict(source.dtypes), [*key, "pos", "token", "start", "end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in portions(batch, len(key)):
+                of, *columns = token_columns(b.column(len(key)))
+                yield pa.RecordBatch.from_arrays([*(b.column(n).take(of) for n in range(len(key))), *columns], names=names)
+
+    return source.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in key), "pos int, token string, start int, end int"]))
+
+
+#: Bytes of text that are cut at once.
+PORTION = 1 << 22
+
+
+def portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of so many bytes of a text column, or one text of more."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        before = sizes[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(sizes, before + PORTION, "right")))
+        yield batch.slice(first, end - first)
+        first = end
+
+
+def token_columns(marked: pa.Array) -> list[pa.Array]:
+    """The text's number, place, token, start and end of each token of texts `with_marks`, as `places` gives them."""
+    parts = pc.split_pattern(marked, "\x01")
+    counts = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = parts.flatten()
+    of, firsts = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+    at = np.arange(len(flat)) - firsts[of]  # 0 for what stands before the first token
+    steps = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) - (at > 0)
+    starts = np.cumsum(steps) - steps
+    starts = starts - starts[firsts[of]]
+    cut = pc.split_pattern(flat, "\x02", max_splits=1)
+    token = pc.list_element(cut, 0)
+    size = np.where(pc.list_value_length(cut).to_numpy(zero_copy_only=False) == 2, pc.utf8_length(token).to_numpy(zero_copy_only=False), -1)
+    kept = at > 0
+    number = lambda x: pa.array(x[kept].astype(np.int32))
+    return [number(of), number(at - 1), token.filter(pa.array(kept)), number(starts), number(starts + size)]
 
 
 def keep_longest(spans: Column) -> Column:
@@ -171,12 +216,16 @@ def dictionary_filters(dictionary: DataFrame) -> tuple[array, array]:
 ARROW_ROWS = 1024
 
 
+def small_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def gram_rows(sentences: DataFrame, dictionary: DataFrame, key: list[str], longest: int, text: str) -> DataFrame:
     """(key…, start, end, words, text): a row with each sentence's text, from -1 to -1, and one without for each n-gram that may be a
     surface."""
     spark = sentences.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    small_batches(spark)
     filters = spark.sparkContext.broadcast(dictionary_filters(dictionary))
     source = sentences.select(*key, F.col(text).cast("string").alias("text"), with_marks(F.col(text)).alias("_marked"))
     kinds = dict(source.dtypes)
