@@ -209,3 +209,17 @@ def test_token_columns_as_by_column_functions(spark, monkeypatch):
     batch = mentions.pa.RecordBatch.from_arrays([mentions.pa.array(texts)], names=["t"])
     slices = [b.column(0).to_pylist() for b in mentions.portions(batch, 0)]
     assert sum(slices, []) == texts and all(len(x) == 1 or sum(len((t or "").encode()) for t in x) <= 8 for x in slices) and len(slices) > 4
+
+
+def test_no_hash_goes_through_an_exchange(spark):
+    """Rows of n-grams and sentences are dealt out by hashes that are no columns of theirs; mentions of shared surfaces stay whole."""
+    import re
+
+    texts = [f"Item {i} is near Item {i % 3}, é." for i in range(30)] + ["", None]
+    words = spark.createDataFrame([(f"item {i}", f"i{i}", "individual") for i in range(0, 30, 2)] + [("is near", "near", "object_property")], "surface string, short string, kind string")
+    d = files.saved(words.select("surface", F.array(F.struct(F.lit(0).alias("pos"), "short", "kind")).alias("entries")))
+    found = mentions.detect_mentions(spark.createDataFrame(list(enumerate(texts)), "k int, sentence string"), d, ["k"], 3)
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression", 1)[1]
+    assert not re.search(r"xxhash64\([^\n]*\) AS ", below)
+    got = {r["k"]: [m["surface"] for m in r["mentions"] or []] for r in found.collect()}
+    assert got == {i: ([f"item {i}"] if i % 2 == 0 else []) + ["is near"] + ([f"item {i % 3}"] if i % 3 % 2 == 0 else []) for i in range(30)} | {30: [], 31: []}

@@ -271,13 +271,15 @@ def detect_mentions(sentences: DataFrame, dictionary: DataFrame, key: list[str],
     else:
         rows = rows.withColumn("known", F.lit(None).cast(dictionary.schema["entries"].dataType))
     past = (F.col("start") < 0) | F.col("known").isNotNull()
-    # met by the surface's hash and itself, as numbers are sorted faster; a null surface meets none
-    rows = rows.withColumn("_at", F.when(~past, F.col("surface"))).withColumn("_h", F.when(past, F.xxhash64(*key, "start", "end")).otherwise(F.xxhash64("surface")))
-    rows = rows.join(light.select(F.xxhash64("surface").alias("_h"), F.col("surface").alias("_at"), "entries"), ["_h", "_at"], "left").withColumn("entries", F.coalesce("known", "entries"))
+    # met by the surface's hash and itself, as numbers are sorted faster; a null surface meets none. Hashes hardly compress, so they are
+    # no columns of an exchange: both of its sides make them again
+    h, at = F.when(past, F.xxhash64(*key, "start", "end")).otherwise(F.xxhash64("surface")), F.when(~past, F.col("surface"))
+    light = light.select(F.col("surface").alias("_at"), F.col("entries").alias("_entries"))
+    rows = rows.join(light, (h == F.xxhash64("_at")) & (at == F.col("_at")), "left").withColumn("entries", F.coalesce("known", "_entries")).drop("_at", "_entries")
     rows = rows.filter((F.col("start") < 0) | F.col("entries").isNotNull())
     span = F.when(F.col("start") >= 0, F.struct("start", (-F.col("end")).alias("far"), "surface", "entries"))
     # a sentence's rows are far apart, so nothing is brought together before the exchange; numbers are sorted faster than names
-    own = rows.withColumn("_k", F.xxhash64(*key)).repartition("_k", *key).groupBy("_k", *key)
+    own = rows.repartition(*key).withColumn("_k", F.xxhash64(*key)).groupBy("_k", *key)
     found = own.agg(F.max("text").alias("text"), F.collect_list(span).alias("spans"))
     return found.select(*key, "text", F.when(F.size("spans") > 0, keep_longest(F.col("spans"))).alias("mentions"))
 
