@@ -223,3 +223,14 @@ def test_no_hash_goes_through_an_exchange(spark):
     assert not re.search(r"xxhash64\([^\n]*\) AS ", below)
     got = {r["k"]: [m["surface"] for m in r["mentions"] or []] for r in found.collect()}
     assert got == {i: ([f"item {i}"] if i % 2 == 0 else []) + ["is near"] + ([f"item {i % 3}"] if i % 3 % 2 == 0 else []) for i in range(30)} | {30: [], 31: []}
+
+
+def test_spans_of_a_sentence_are_made_once(spark):
+    """A sentence's typed spans are bound before its tokens are looked at, not made again for each token."""
+    span = "struct<start:int,end:int,surface:string,entries:array<struct<kind:string>>>"
+    rows = spark.createDataFrame([(1, "New York is big.", [(0, 8, "new york", [("city",)]), (12, 15, "big", [("x",)])]), (2, "So.", None), (3, None, None)], f"k int, text string, mentions array<{span}>")
+    tags = mentions.sentence_tags(rows, ["k"], lambda m: F.when(F.exists(m["entries"], lambda e: e["kind"] == "city"), F.lit("CITY")))
+    plan = tags._jdf.queryExecution().optimizedPlan().toString()
+    assert "array(filter(transform(" in plan and "filter(filter(" not in plan
+    got = {r["k"]: [(t["pos"], t["token"], t["tag"]) for t in r["tags"] or []] for r in tags.collect()}
+    assert got == {1: [(0, "New", "B-CITY"), (1, "York", "I-CITY"), (2, "is", "O"), (3, "big", "O"), (4, ".", "O")], 2: [(0, "So", "O"), (1, ".", "O")], 3: []}

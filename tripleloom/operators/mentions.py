@@ -397,13 +397,16 @@ def sentence_tags(mentioned: DataFrame, key: list[str], type_of: Callable[[Colum
     """(key…, text, tags array<struct<pos, token, tag>>): the same of sentences with mentions (key…, text, mentions), a row a sentence,
     without a join or an exchange. type_of: a mention's type, null where it is none of a name."""
     spans = F.filter(F.transform(F.coalesce("mentions", F.slice("mentions", 1, 0)), lambda m: F.struct(m["start"], m["end"], type_of(m).alias("type"))), lambda m: m["type"].isNotNull())
-    rows = mentioned.select(*key, "text", tokens(F.col("text")).alias("_t"), spans.alias("_spans"))
 
-    def tag(t: Column) -> Column:
-        over = F.filter("_spans", lambda m: overlaps(t, m))
+    def tag(t: Column, own: Column) -> Column:
+        over = F.filter(own, lambda m: overlaps(t, m))
         return F.coalesce(F.get(F.transform(over, lambda m: F.concat(F.when(t["start"] <= m["start"], "B-").otherwise("I-"), m["type"])), F.lit(0)), F.lit("O"))
 
-    return rows.select(*key, "text", F.transform("_t", lambda t, i: F.struct(i.alias("pos"), t["token"].alias("token"), tag(t).alias("tag"))).alias("tags"))
+    def tagged(own: Column) -> Column:
+        return F.transform(tokens(F.col("text")), lambda t, i: F.struct(i.alias("pos"), t["token"].alias("token"), tag(t, own).alias("tag")))
+
+    # bound by a lambda: as a column, the spans would be made anew for each token
+    return mentioned.select(*key, "text", F.element_at(F.transform(F.array(spans), tagged), 1).alias("tags"))
 
 
 def decoded(tags: Column, strict: bool = False) -> Column:
